@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, simhash
+from . import decontamination, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
     "op6_simhash": simhash.op6_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
 }
