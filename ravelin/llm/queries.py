@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality_rules, simhash
+from . import decontamination, packing, quality_rules, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
     "op6_simhash": simhash.op6_simhash,
+    "op7_packing": packing.op7_packing,
+    "op8_secrets": secrets.op8_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
