@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, secrets, simhash, token_files
+from . import decontamination, packing, quality_classifier, quality_rules, secrets, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op5_token_files": token_files.op5_token_files,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
