@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialise, shuffle_partitions, slices, table, texts_of
-from .tokens import encoder
+from .base import materialise, shuffle_partitions, slices, table
+from .tokens import byte_slices, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 2048
@@ -93,13 +93,13 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row, here = encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch):
-                raw = encode.encode_all(texts_of(part, text_col))
-                ids = [np.frombuffer(x, "<u4") for x in raw]
+            for part in byte_slices(batch, text_col):
+                every, at = encode.encode_column(part.column(text_col))
+                ids = [every[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 keys = hilbert_key(np.array([grid_point(x) for x in ids]))
                 # Two bytes an id where they suffice; the length tells which.
                 narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
-                n = len(raw)
+                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), pa.array(keys), pa.array([here] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array([len(x) for x in ids], pa.int32()), pa.array(narrow, pa.binary())],
                     ["id", "key", "part", "row", "n", "ids"],

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import scratch_path, shuffle_partitions, slices, table, texts_of
-from .tokens import encoder
+from .base import scratch_path, shuffle_partitions, table
+from .tokens import byte_slices, encoder
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK = 1024
@@ -176,10 +176,11 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         for batch in batches:
             kind = batch.column(id_col).type
-            for piece in slices(batch):
-                for name, raw in zip(piece.column(id_col).to_pylist(), encode_words.encode_all(texts_of(piece, text_col)), strict=True):
+            for piece in byte_slices(batch, text_col):
+                every, at = encode_words.encode_column(piece.column(text_col))
+                for k, name in enumerate(piece.column(id_col).to_pylist()):
                     names.append(name)
-                    tokens.append(np.frombuffer(raw, "<u4"))
+                    tokens.append(every[at[k] : at[k + 1]])
                     held += len(tokens[-1])
                     if held >= file_ids:
                         yield closed()
