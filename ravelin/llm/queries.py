@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_classifier, quality_rules, secrets, simhash, token_files
+from . import decontamination, packing, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,8 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
     "op8_secrets": secrets.op8_secrets,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
 }
