@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_classifier, quality_rules, secrets, simhash, token_files, url_filter
+from . import decontamination, html_extraction, packing, quality_classifier, quality_rules, quote_linking, secrets, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_token_files": token_files.op5_token_files,
     "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
     "op8_secrets": secrets.op8_secrets,
+    "op9_quote_linking": quote_linking.op9_quote_linking,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
