@@ -19,7 +19,7 @@ file's bytes), which Spark writes to and reads from any store. Documents are
 range-partitioned by id, so ``part`` and ``seq`` order the files.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-written one after another, equal ids in the order of their texts; an empty table
+written one after another, equal ids in the order of their texts' hashes; an empty table
 gives no files; other columns are not looked at.
 """
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import scratch_path, shuffle_partitions, table
+from .base import scratch_path, shuffle_partitions, table, text_key
 from .tokens import byte_slices, encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -49,11 +49,22 @@ _HEAD = struct.Struct("<4sIQQQQ")
 _PAYLOAD = 60
 
 
+def _float_widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id; where rounding to a float makes it one too many, the code is just less tight."""
+    return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+
+
+_SHORT_WIDTHS = _float_widths(np.arange(1 << 16))
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    return _SHORT_WIDTHS[ids] if not len(ids) or ids.max() < len(_SHORT_WIDTHS) else _float_widths(ids)
+
+
 def _best(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each place the selector that packs most ids before its block's end; 0 for an escape."""
     n = len(ids)
-    # A float's exponent is the width; where rounding makes it one too large, the code is just less tight.
-    width = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.uint8)
+    width = _widths(ids)
     room = np.minimum(ends - np.arange(n), 255).astype(np.uint8)
     best = np.zeros(n, np.uint8)
     most, size = width, 1
@@ -63,7 +74,9 @@ def _best(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
             add = min(size, count - size)
             most = np.concatenate([np.maximum(most[:-add], most[add:]), np.full(min(add, n), 255, np.uint8)])[:n] if n > add else np.full(n, 255, np.uint8)
             size += add
-        best[(most <= bits) & (room >= count)] = selector
+        fits = most <= bits
+        fits &= room >= count
+        np.putmask(best, fits, selector)
     return best
 
 
@@ -92,12 +105,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     spot = np.arange(len(place)) + np.concatenate([[0], np.cumsum(escaped)[:-1]]) if len(place) else place
     words = np.zeros(len(place) + int(escaped.sum()), np.uint64)
     packed = np.where(escaped, np.uint64(1), selector.astype(np.uint64) << np.uint64(_PAYLOAD))
-    left, lane = np.nonzero(~escaped)[0], 0
+    left, lane, need = np.nonzero(~escaped)[0], 0, counts[selector]
     bits = np.array([0, *[b for _, b in PACKINGS]], np.uint64)[selector]
     while len(left):
         packed[left] |= ids[place[left] + lane] << (bits[left] * np.uint64(lane))
         lane += 1
-        left = left[counts[selector[left]] > lane]
+        left = left[need[left] > lane]
     words[spot] = packed
     words[spot[escaped] + 1] = ids[place[escaped]]
     return words, spot[np.searchsorted(place, starts)].astype(np.uint64)
@@ -162,8 +175,8 @@ class TokenFile:
 def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, file_ids: int = FILE_IDS) -> None:
     """Tokenises ``docs`` and writes the table of files to ``path``."""
     spark = docs.sparkSession
-    order = [id_col, text_col]
-    rows = docs.select(id_col, text_col).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    order = [id_col, "_text_key"]  # a range's sample is sent to the driver, so the text itself is no key
+    rows = docs.select(id_col, text_col, text_key(text_col).alias("_text_key")).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
