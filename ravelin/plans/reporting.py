@@ -123,7 +123,7 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_status_mart(spark: SparkSession, d: str) -> DataFrame:
-    return observations(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "region", "event_type").agg(F.count("*").alias("n_rows"), F.round(F.avg("value"), 5).alias("mean_value"), F.round(F.max("value"), 6).alias("max_value"))
+    return observations(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "region", "event_type").agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total_value"), F.round(F.max("value"), 6).alias("max_value"))
 
 
 def layer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +190,7 @@ UNION ALL SELECT 'event_type_known', count(*) FILTER (event_type NOT IN ('view',
 UNION ALL SELECT 'props_complete', count(*) FILTER (props IS NULL OR trim(props) = '') FROM events
 UNION ALL SELECT 'station_exists', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer))""",
     "freshness": "SELECT event_type, round((epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 3.6e9, 4) AS lag_hours FROM events GROUP BY event_type",
-    "daily_status_mart": f"SELECT strftime(ts, '%Y-%m-%d') AS day, region, event_type, count(*) AS n_rows, round(avg(value), 5) AS mean_value, round(max(value), 6) AS max_value FROM {_OBS} GROUP BY 1, 2, 3",
+    "daily_status_mart": f"SELECT strftime(ts, '%Y-%m-%d') AS day, region, event_type, count(*) AS n_rows, round(sum(value), 2) AS total_value, round(max(value), 6) AS max_value FROM {_OBS} GROUP BY 1, 2, 3",
     "layer_counts": "SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, count(*) AS n_rows, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
     "segment_pivot": """
 SELECT o_orderpriority AS priority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'F') AS DOUBLE) AS total_f,
