@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from .base import materialise, slices, table, texts_of
 
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Turns of a conversation that one task sorts together.
 TURNS = 1000
 
 
 def norm(text: str) -> str:
-    return " ".join("".join(c.lower() if "A" <= c <= "Z" else c for c in text).split())
+    return " ".join(text.translate(_LOWER).split())
 
 
 def passage_hash(text: str) -> int:
@@ -111,17 +112,20 @@ def _before(nodes: DataFrame) -> DataFrame:
 
 
 def _threads(parents: DataFrame) -> DataFrame:
-    """``(conv, turn, thread_conv, thread_turn, depth)`` from ``(conv, turn, to_conv, to_turn)``."""
-    at = parents.select("conv", "turn", F.coalesce("to_conv", "conv").alias("up_conv"), F.coalesce("to_turn", "turn").alias("up_turn"), F.when(F.col("to_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    at, total = materialise(at, "paths"), -1
-    while True:
-        up = at.select(F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("top_conv"), F.col("up_turn").alias("top_turn"), F.col("depth").alias("more"))
-        at = at.join(up, ["up_conv", "up_turn"]).select("conv", "turn", F.col("top_conv").alias("up_conv"), F.col("top_turn").alias("up_turn"), (F.col("depth") + F.col("more")).alias("depth"))
+    """``(conv, turn, thread_conv, thread_turn, depth)`` from ``(conv, turn, to_conv, to_turn)``.
+
+    Messages whose path ends at a root are done and only looked up afterwards.
+    """
+    root = F.col("to_turn").isNull()
+    at = parents.select("conv", "turn", F.coalesce("to_conv", "conv").alias("up_conv"), F.coalesce("to_turn", "turn").alias("up_turn"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done"))
+    at = materialise(at, "paths")
+    done, todo = at.where("done"), at.where("not done")
+    while not todo.isEmpty():
+        up = done.unionByName(todo).select(F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("top_conv"), F.col("up_turn").alias("top_turn"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        at = todo.join(up, ["up_conv", "up_turn"]).select("conv", "turn", F.col("top_conv").alias("up_conv"), F.col("top_turn").alias("up_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
         at = materialise(at, "paths")
-        now = at.agg(F.sum("depth")).first()[0] or 0
-        if now == total:
-            return at.select("conv", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
-        total = now
+        done, todo = done.unionByName(at.where("done")), at.where("not done")
+    return done.select("conv", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
