@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialise, shuffle_partitions, slices, table, texts_of
+from .base import materialise, shuffle_partitions, slices, table, text_key, texts_of
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -62,16 +62,17 @@ def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``(id, fp)`` for each row; fp holds the 64 bits as a signed long."""
+    """``(id, text_key, fp)`` for each row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint(t, shingle) for t in texts_of(part, text_col)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fps.view(np.int64))], [id_col, "fp"])
+                fps = np.array([fingerprint(t, shingle) for t in texts_of(part)], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(fps.view(np.int64))], [id_col, "text_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text_key long, fp long")
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray | None, depth: int, used: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +198,11 @@ def links(fps: DataFrame, budget: int = MAX_BITS, pair_rows: int = PAIR_ROWS) ->
             break
         step = min(STEP, 64 - depth)
         masks = sorted((m for m in range(1 << step) if m.bit_count() <= budget), key=int.bit_count)
-        used = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
         own = F.shiftrightunsigned("value", 64 - depth)
         child = F.shiftrightunsigned("value", 64 - depth - step)
         facing = F.shiftleft(own.bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")), step).bitwiseOR(child.bitwiseAND(F.lit((1 << step) - 1)))
-        partner = facing.bitwiseXOR(F.explode(F.array([F.lit(m) for m in masks])).cast("long"))
-        rows = rows.withColumn("_own", child).withColumn("_used", used).withColumn("_partner", partner)
+        rows = rows.withColumn("_mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+        rows = rows.withColumns({"_own": child, "_partner": facing.bitwiseXOR(F.col("_mask"))})
         rows = rows.where(F.bit_count(F.col("_own").bitwiseXOR(F.col("_partner"))) <= budget)
         rows = rows.select("rot", "value", F.least("_own", "_partner").alias("a"), F.greatest("_own", "_partner").alias("b"))
         depth += step
@@ -239,7 +239,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
-    """``(id, fp, component_id)`` for each row; component_id is the least id reachable over links."""
+    """``(id, text_key, fp, root, component_id)`` for each row.
+
+    ``component_id`` is the least id reachable over links, ``root`` the component's least fingerprint.
+    """
     prints = materialise(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
     # Copies share a fingerprint, so they are one node with the least id of them.
     nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "nodes")
@@ -247,28 +250,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     classed = materialise(classed, "classes")
     first = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(classed.join(first, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return prints.join(classed.join(first, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the row of the least id of each component, all columns.
+    """``docs`` with one row of each component, all columns.
 
-    Of rows that repeat this id, one with the least text remains.
+    It is a row of the least id; of several texts with that id the one with the
+    least hash, and of rows that repeat both a least one.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, budget)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep_id")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep_id"]), "left_semi")
-    return _one_of_each(kept, id_col, text_col)
-
-
-def _one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each id. Only ids that occur again go through a grouping."""
-    again = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
-    once = docs.join(again, docs[id_col].eqNullSafe(again["_again"]), "left_anti")
-    more = docs.join(again, docs[id_col].eqNullSafe(again["_again"]), "left_semi")
-    whole = F.struct(F.coalesce(text_col, F.lit("")).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
-    more = more.groupBy(id_col).agg(F.min(whole).alias("_least")).select(*[F.col(f"_least.`{c}`").alias(c) for c in docs.columns])
-    return once.unionByName(more)
+    found = near_duplicates(docs, id_col, text_col, shingle, budget).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    keep = found.groupBy("root", F.col(id_col).alias("_keep_id")).agg(F.min("text_key").alias("_keep_key"), F.count("*").alias("_n")).drop("root")
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep_id"]) & (text_key(text_col) == keep["_keep_key"]))
+    once = kept.where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
+    # Only rows that are repeated go through a grouping, of which a least one is kept.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    more = kept.where("_n > 1").groupBy("_keep_id", "_keep_key").agg(F.min(whole).alias("_least"))
+    return once.unionByName(more.select(*[F.col(f"_least.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
