@@ -2,7 +2,8 @@
 
 Pre-tokenizers of the two vocabularies never join what stands before a space or
 line feed with it if a visible character follows, nor a line feed with that
-character, so a text can be cut there and the parts encoded alone. The cuts are
+character, nor a letter with punctuation after it other than an apostrophe, so a
+text can be cut there and the parts encoded alone. The cuts are
 found in a batch's bytes at once, the distinct parts of a batch are looked up,
 and only parts not seen before are encoded.
 """
@@ -29,6 +30,18 @@ _PLAIN = re.compile(r" ?[^\s\x00-\x20\x7f-\xa0]+")
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _VISIBLE[0xC3:0xC9] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = True
+_LETTER[0x61:0x7B] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[0x21:0x7F] = True
+_PUNCTUATION[0x30:0x3A] = False
+_PUNCTUATION[_LETTER] = False
+_PUNCTUATION[ord("'")] = False
+#: Second bytes of U+00C0 to U+00FF that are letters; 0xD7 and 0xF7 are signs.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -103,6 +116,9 @@ class WordEncoder:
         line = (raw[:-1] == 10) & visible
         cut[:-2] |= line | ((raw[:-1] == 32) & visible)
         cut[1:-1] |= line
+        letter = _LETTER[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & _SECOND[raw[1:]]
+        cut[1:-1] |= letter[:-1] & _PUNCTUATION[raw[1:]]
         starts = bounds - first
         cut[starts] = True
         at = np.nonzero(cut)[0].astype(np.int32)  # starts of parts, and the end
