@@ -76,6 +76,8 @@ class _Element:
         if parent is not None and parent.tag == "header" and parent.marked and not parent.aside and tag not in _HEADINGS:
             aside = True
         self.aside = aside
+        if aside and not self.key.startswith("-"):
+            self.key = f"-{self.key}"  # a paragraph of a menu is another element than one of the content
 
 
 def events(page: str) -> Iterator[tuple[str, str, _Element]]:
@@ -92,13 +94,14 @@ def events(page: str) -> Iterator[tuple[str, str, _Element]]:
         tag = tag.lower()
         kind = "inline" if tag in _INLINE else "tag"
         if m["close"]:
-            top = stack[-1]
+            top, key = stack[-1], tag
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     top = stack[k]
+                    key = top.key if kind == "tag" else tag
                     del stack[k:]
                     break
-            yield kind, tag, top
+            yield kind, key, top
             continue
         if kind == "tag" and tag not in _VOID:
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
@@ -141,7 +144,9 @@ def count_page(page: str, counts: dict) -> None:
     if not any(e.marked for _, _, e in found):
         return
     for kind, value, element in found:
-        inside = element.marked and not element.aside
+        if element.marked and element.aside:
+            continue  # weighs nothing, see Weights
+        inside = element.marked
         if kind == "text":
             counts["word", element.key][not inside] += len(value.split())
         else:
