@@ -162,7 +162,7 @@ SQL = {
 SELECT r_name AS region, recent_alerts, previous_alerts, recent_alerts - previous_alerts AS change,
        CASE WHEN recent_alerts > previous_alerts THEN 'worsening' WHEN recent_alerts < previous_alerts THEN 'improving' ELSE 'stable' END AS direction
 FROM (SELECT region, count(*) FILTER ({_IN(RECENT)}) AS recent_alerts, count(*) FILTER ({_IN(PREVIOUS)}) AS previous_alerts
-      FROM {_OBS} WHERE event_type = 'error' AND ({_IN(RECENT)} OR {_IN(PREVIOUS)}) GROUP BY region) JOIN region r ON r_regionkey = region""".replace("JOIN region r ON r_regionkey = region", "a JOIN region r ON r.r_regionkey = a.region"),
+      FROM {_OBS} WHERE event_type = 'error' AND ({_IN(RECENT)} OR {_IN(PREVIOUS)}) GROUP BY region) a JOIN region r ON r.r_regionkey = a.region""",
     "regional_full_join": f"""
 WITH a AS (SELECT region, count(*) AS n FROM {_OBS} WHERE event_type = 'error' AND {_IN(RECENT)} GROUP BY region),
 b AS (SELECT region, count(*) AS n FROM {_OBS} WHERE event_type = 'error' AND {_IN(PREVIOUS)} GROUP BY region)
