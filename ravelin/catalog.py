@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, network, reporting, spatial
+from .plans import analytics, network, reporting, spatial, stateful
 
-_MODULES = (reporting, spatial, network, analytics)
+_MODULES = (reporting, spatial, network, analytics, stateful)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}

@@ -122,3 +122,21 @@ def seasonal_profile(s: DataFrame, season: int) -> DataFrame:
 
 def volatility(s: DataFrame) -> DataFrame:
     return differences(s).groupBy("key").agg(F.stddev_samp("difference").alias("volatility"))
+
+
+def partial_autocorrelation(acf: DataFrame) -> DataFrame:
+    """``(key, lag, pacf)`` from ``(key, lag, acf)`` by the Levinson-Durbin recursion; lags are few for each key."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = [1.0, *pdf.sort_values("lag")["acf"]]
+        phi: list[float] = []
+        out = []
+        for k in range(1, len(r)):
+            rest = 1 - sum(p * r[j + 1] for j, p in enumerate(phi))
+            last = (r[k] - sum(p * r[k - 1 - j] for j, p in enumerate(phi))) / rest if rest else 0.0
+            phi = [p - last * phi[k - 2 - j] for j, p in enumerate(phi)] + [last]
+            out.append(last)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "lag": range(1, len(r)), "pacf": out})
+
+    return acf.groupBy("key").applyInPandas(one, f"key {dict(acf.dtypes)['key']}, lag long, pacf double")
