@@ -113,7 +113,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def read_route_lists(spark: SparkSession, path: str, column: str = "stationIds") -> DataFrame:
     """Delimited text with one column of ids joined by bars, as an array."""
-    parts = F.filter(F.transform(F.split(F.col(column), r"\|"), F.trim), lambda v: v != "")
+    parts = F.filter(F.transform(F.split(F.col(column), r"\|"), lambda v: F.trim(v)), lambda v: v != "")
     return spark.read.csv(path, header=True).withColumn(column, parts)
 
 
