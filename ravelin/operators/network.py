@@ -36,25 +36,50 @@ def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float | None = N
     ``edge_id`` is the last edge of a least path. Negative costs are an error.
     """
     steps = edges.select("from_node", "to_node", F.when(F.col("cost") >= 0, F.col("cost")).otherwise(F.raise_error(F.lit("costs must not be negative")).cast("double")).alias("step"), F.col("edge_id").cast("string").alias("edge_id"))
-    start = sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("edge_id"), F.lit(0).cast("long").alias("hops")).distinct()
-    best = settle(start, "costs")
-    moved = best
+    start = sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("edge_id")).distinct()
+    moved = settle(start, "costs")
+    found = [moved]
     for _ in range(max_rounds):
-        tried = moved.join(steps, moved["node"] == steps["from_node"]).select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), steps["edge_id"].alias("edge_id"), (F.col("hops") + 1).alias("hops"))
+        tried = moved.join(steps, moved["node"] == steps["from_node"]).select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), steps["edge_id"].alias("edge_id"))
         if max_cost is not None:
             tried = tried.where(F.col("cost") <= max_cost)
-        least = F.min(F.struct("cost", "hops", "edge_id")).alias("new")
-        tried = tried.groupBy("source", "node").agg(least)
-        old = best.select("source", "node", F.col("cost").alias("old_cost"))
-        moved = tried.join(old, ["source", "node"], "left").where(F.col("old_cost").isNull() | (F.col("new.cost") < F.col("old_cost")))
-        moved = settle(moved.select("source", "node", "new.cost", "new.edge_id", "new.hops"), "moved")
+        tried = tried.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("new"))
+        # Costs only fall, so the least of what the rounds have written is the best.
+        best = _union(found).groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("best"))
+        better = F.col("best").isNull() | (F.col("new.cost") < F.col("best.cost"))
+        moved = settle(tried.join(best, ["source", "node"], "left").where(better).select("source", "node", "new.*"), "costs")
         if moved.isEmpty():
-            return best
-        kept = best.join(moved.select("source", "node"), ["source", "node"], "left_anti")
-        best = settle(kept.unionByName(moved), "costs")
+            return best.select("source", "node", "best.*")
+        found = _compact([*found, moved], lambda df: df.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("best")).select("source", "node", "best.*"))
     raise RuntimeError("the search did not end within the allowed rounds")
 
 
+#: Rounds whose rows are read one by one before they are written together.
+_ROUNDS = 16
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _compact(parts: list[DataFrame], merge=lambda df: df) -> list[DataFrame]:
+    return parts if len(parts) < _ROUNDS else [settle(merge(_union(parts)), "rounds")]
+
+
+def _closure(start: DataFrame, step, keys: list[str]) -> DataFrame:
+    """All rows reached from ``start`` by ``step``, a round at a time; each round writes only what is new."""
+    moved = settle(start.distinct(), "reached")
+    found = [moved]
+    while True:
+        moved = settle(step(moved).distinct().join(_union(found), keys, "left_anti"), "reached")
+        if moved.isEmpty():
+            return _union(found)
+        found = _compact([*found, moved])
+
+
 def service_area(edges: DataFrame, source, max_cost: float) -> DataFrame:
     """``(node, cost)`` within a cost of one node."""
     start = edges.sparkSession.range(1).select(F.lit(source).alias("source"), F.lit(source).cast(edges.schema["from_node"].dataType).alias("node"))
@@ -78,16 +103,18 @@ def nearest_supply(edges: DataFrame, supplies: DataFrame, demands: DataFrame) ->
     search costs no more with many supplies than with one.
     """
     steps = edges.select("from_node", "to_node", F.col("cost").alias("step"))
-    best = settle(supplies.select("node", F.col("node").alias("supply"), F.lit(0.0).alias("cost")).distinct(), "supply")
-    moved = best
+    least = lambda df: df.groupBy("node").agg(F.min(F.struct("cost", "supply")).alias("best"))
+    moved = settle(supplies.select("node", F.lit(0.0).alias("cost"), F.col("node").alias("supply")).distinct(), "supply")
+    found = [moved]
     while True:
         tried = moved.join(steps, moved["node"] == steps["from_node"]).select(F.col("to_node").alias("node"), F.struct((F.col("cost") + F.col("step")).alias("cost"), "supply").alias("new"))
         tried = tried.groupBy("node").agg(F.min("new").alias("new"))
-        old = best.select("node", F.struct("cost", "supply").alias("old"))
-        moved = settle(tried.join(old, "node", "left").where(F.col("old").isNull() | (F.col("new") < F.col("old"))).select("node", "new.supply", "new.cost"), "supply-moved")
+        moved = tried.join(least(_union(found)), "node", "left").where(F.col("best").isNull() | (F.col("new") < F.col("best")))
+        moved = settle(moved.select("node", "new.*"), "supply")
         if moved.isEmpty():
             break
-        best = settle(best.join(moved.select("node"), "node", "left_anti").unionByName(moved), "supply")
+        found = _compact([*found, moved], lambda df: least(df).select("node", "best.*"))
+    best = least(_union(found)).select("node", "best.*")
     wanted = demands.select(F.col("node")).distinct().join(best, "node", "left")
     return wanted.select(F.col("node").alias("demand_node"), F.col("supply").alias("supply_node"), F.coalesce("cost", F.lit(float("inf"))).alias("cost"))
 
@@ -132,14 +159,7 @@ def reachable(edges: DataFrame, sources: DataFrame, failed: list[str] = (), open
     alive = edges.where(~F.col("edge_id").cast("string").isin([str(x) for x in failed])) if failed else edges
     if open_devices and "device_state" in edges.columns:
         alive = alive.where(~F.lower(F.coalesce("device_state", F.lit(""))).isin("open", "normally_open"))
-    found = settle(sources.select("node").distinct(), "reached")
-    moved = found
-    while True:
-        new = moved.join(alive, moved["node"] == alive["from_node"]).select(F.col("to_node").alias("node")).distinct()
-        moved = settle(new.join(found, "node", "left_anti"), "reached-new")
-        if moved.isEmpty():
-            return found
-        found = settle(found.unionByName(moved), "reached")
+    return _closure(sources.select("node"), lambda df: df.join(alive, df["node"] == alive["from_node"]).select(F.col("to_node").alias("node")), ["node"])
 
 
 def outage(edges: DataFrame, sources: DataFrame, failed: list[str]) -> DataFrame:
@@ -180,14 +200,9 @@ def single_edge_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame,
     cases = candidates.select(F.col("edge_id").cast("string").alias("case")).distinct()
     base = reachable(edges, sources)
     step = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
-    found = settle(cases.join(F.broadcast(sources.select("node").distinct()), how="cross"), "cases")  # a few sources for each case
-    moved = found
-    while True:
-        new = moved.join(step, (moved["node"] == step["from_node"]) & (moved["case"] != step["edge_id"])).select("case", F.col("to_node").alias("node")).distinct()
-        moved = settle(new.join(found, ["case", "node"], "left_anti"), "cases-new")
-        if moved.isEmpty():
-            break
-        found = settle(found.unionByName(moved), "cases")
+    start = cases.join(F.broadcast(sources.select("node").distinct()), how="cross")  # a few sources for each case
+    cut = lambda df: df.join(step, (df["node"] == step["from_node"]) & (df["case"] != step["edge_id"])).select("case", F.col("to_node").alias("node"))
+    found = _closure(start, cut, ["case", "node"])
     total = base.join(demands.select("node", "demand"), "node", "left").agg(F.count("*").alias("n"), F.sum("demand").alias("d"))
     kept = found.join(demands.select("node", "demand"), "node", "left").groupBy("case").agg(F.count("*").alias("kept_n"), F.sum("demand").alias("kept_d"))
     return kept.join(F.broadcast(total)).select(F.col("case").alias("edge_id"), (F.col("n") - F.col("kept_n")).alias("lost_nodes"), (F.coalesce("d", F.lit(0.0)) - F.coalesce("kept_d", F.lit(0.0))).alias("lost_demand"))
@@ -199,3 +214,66 @@ def shared_corridors(networks: DataFrame) -> DataFrame:
     left = pairs.withColumnRenamed("service", "service_a")
     right = pairs.withColumnRenamed("service", "service_b")
     return left.join(right, ["a", "b"]).where("service_a < service_b").groupBy("service_a", "service_b").agg(F.count("*").alias("n_shared"))
+
+
+def node_removal_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(node, lost_demand)`` for the removal of each candidate node alone."""
+    cases = candidates.select(F.col("node").alias("case")).distinct()
+    start = cases.join(F.broadcast(sources.select("node").distinct()), how="cross").where("case <> node")  # a few sources for each case
+    walk = lambda df: df.join(edges.select("from_node", "to_node"), F.col("node") == F.col("from_node")).where("to_node <> case").select("case", F.col("to_node").alias("node"))
+    kept = _closure(start, walk, ["case", "node"]).join(demands.select("node", "demand"), "node").groupBy("case").agg(F.sum("demand").alias("kept"))
+    total = reachable(edges, sources).join(demands.select("node", "demand"), "node").agg(F.coalesce(F.sum("demand"), F.lit(0.0)).alias("total"))
+    return cases.join(kept, "case", "left").join(F.broadcast(total)).select(F.col("case").alias("node"), (F.col("total") - F.coalesce("kept", F.lit(0.0))).alias("lost_demand"))
+
+
+def dependency_closure(dependencies: DataFrame, failed: DataFrame) -> DataFrame:
+    """``(node, level)`` of all that fails with ``failed(node)`` over ``(node, depends_on)``, by the fewest steps."""
+    edges = dependencies.select(F.col("depends_on").alias("from_node"), F.col("node").alias("to_node"), F.lit(1.0).alias("cost"), F.concat_ws(">", "depends_on", "node").alias("edge_id"))
+    start = failed.select(F.lit("failed").alias("source"), "node")
+    return least_costs(edges, start).select("node", F.col("cost").cast("long").alias("level"))
+
+
+def flow_accumulation(edges: DataFrame, runoff: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """``(node, flow)``: own runoff and all that flows in, over an acyclic network with one way out of a node.
+
+    Every parcel of runoff moves one edge a round; parcels that meet go on together.
+    """
+    start = runoff.groupBy("node").agg(F.sum("runoff").alias("flow"))
+    moved = settle(start, "flow")
+    parts = [moved]
+    out = edges.select("from_node", "to_node").distinct()
+    for _ in range(max_rounds):
+        moved = moved.join(out, F.col("node") == F.col("from_node")).groupBy(F.col("to_node").alias("node")).agg(F.sum("flow").alias("flow"))
+        moved = settle(moved, "flow")
+        if moved.isEmpty():
+            return _union(parts).groupBy("node").agg(F.sum("flow").alias("flow"))
+        parts = _compact([*parts, moved], lambda df: df.groupBy("node").agg(F.sum("flow").alias("flow")))
+    raise RuntimeError("the network has a cycle")
+
+
+def pressure_trace(edges: DataFrame, source, inlet: float, drop_per_cost: float) -> DataFrame:
+    """``(node, pressure)`` that is left after the least cost from a source; never below zero."""
+    return service_area(edges, source, float("inf")).select("node", F.greatest(F.lit(0.0), inlet - F.col("cost") * drop_per_cost).alias("pressure"))
+
+
+def isolation_zone(edges: DataFrame, ends: list, broken: list[str]) -> DataFrame:
+    """Nodes that no end reaches once the broken edges are shut."""
+    spark = edges.sparkSession
+    kind = edges.schema["from_node"].dataType
+    start = spark.range(1).select(F.explode(F.array(*[F.lit(e).cast(kind) for e in ends])).alias("node"))
+    return outage(edges, start, broken).where(~F.col("energised")).select("node")
+
+
+def restoration_options(edges: DataFrame, ties: DataFrame, sources: DataFrame, failed: list[str]) -> DataFrame:
+    """``(tie_id, restored_nodes)``: what closing each tie ``(tie_id, from_node, to_node)`` alone brings back.
+
+    A tie helps if it links the fed part with another; it then feeds all that is reached from there.
+    """
+    alive = edges.where(~F.col("edge_id").cast("string").isin([str(x) for x in failed]))
+    fed = reachable(alive, sources)
+    both = ties.select("tie_id", F.col("from_node").alias("a"), F.col("to_node").alias("b")).union(ties.select("tie_id", "to_node", "from_node"))
+    start = both.join(fed.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("tie_id").alias("case"), F.col("b").alias("node")).join(fed, "node", "left_anti")
+    step = alive.select("from_node", "to_node")
+    walk = lambda df: df.join(step, df["node"] == step["from_node"]).select("case", F.col("to_node").alias("node")).join(fed, "node", "left_anti")
+    gained = _closure(start.select("case", "node"), walk, ["case", "node"]).groupBy("case").agg(F.count("*").alias("restored_nodes"))
+    return ties.select("tie_id").join(gained.withColumnRenamed("case", "tie_id"), "tie_id", "left").select("tie_id", F.coalesce("restored_nodes", F.lit(0)).alias("restored_nodes"))

@@ -79,6 +79,31 @@ def shared_corridors(spark: SparkSession, d: str) -> DataFrame:
     return network.shared_corridors(rows)
 
 
+def grid_node_removal(spark: SparkSession, d: str) -> DataFrame:
+    edges = grid(spark, d)
+    demands = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") % 4 + 1).cast("double").alias("demand"))
+    return network.node_removal_screen(edges, _nodes(spark, d, 0), demands, _nodes(spark, d, 1, 5, 6, 12, 24))
+
+
+def grid_restoration(spark: SparkSession, d: str) -> DataFrame:
+    """Ties between row ends after the corner is cut off."""
+    ties = table(spark, d, "nation").where("n_nationkey % 6 = 0 and n_nationkey > 0").select(F.col("n_nationkey").alias("tie_id"), F.lit(0).cast("long").alias("from_node"), F.col("n_nationkey").cast("long").alias("to_node"))
+    return network.restoration_options(grid(spark, d), ties, _nodes(spark, d, 0), ["0", "1"])
+
+
+def part_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that depend on the part of half their key, failing from three of them."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 2).alias("depends_on"))
+    return network.dependency_closure(parts, parts.where("node in (3, 10, 11)").select("node"))
+
+
+def order_accumulation(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' balances run off to the customer of half their key."""
+    c = table(spark, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("node"), F.round(F.col("c_acctbal") * 100).cast("long").alias("runoff"))
+    edges = c.where("node > 1").select(F.col("node").alias("from_node"), F.floor(F.col("node") / 2).alias("to_node"))
+    return network.flow_accumulation(edges, c)
+
+
 _G = """(SELECT e AS edge_id, f AS from_node, t AS to_node, CAST((e * 7) % 11 + 1 AS DOUBLE) AS cost, CAST((e * 5) % 13 + 4 AS DOUBLE) AS capacity FROM
 (SELECT CAST(n_nationkey * 2 AS BIGINT) AS e, CAST(n_nationkey AS BIGINT) AS f, CAST(n_nationkey + 1 AS BIGINT) AS t FROM nation WHERE n_nationkey % 5 < 4
  UNION ALL SELECT n_nationkey * 2 + 1, n_nationkey, n_nationkey + 5 FROM nation WHERE n_nationkey < 20))"""
@@ -89,7 +114,7 @@ r AS (SELECT CAST(n.n_nationkey AS BIGINT) AS s, CAST(n.n_nationkey AS BIGINT) A
       UNION ALL SELECT s, node, min(cost), k + 1 FROM (SELECT r.s, b.t AS node, r.cost + b.cost AS cost, r.k FROM r JOIN b ON b.f = r.node UNION ALL SELECT s, node, cost, k FROM r) WHERE k < 24 GROUP BY s, node, k),
 c AS (SELECT s, node, min(cost) AS cost FROM r GROUP BY s, node)"""
 
-QUERIES = {f.__name__: f for f in (grid_costs, grid_service_area, grid_od_matrix, grid_supply, link_components, grid_topology, grid_outage, grid_contingency, grid_bottlenecks, shared_corridors)}
+QUERIES = {f.__name__: f for f in (grid_costs, grid_service_area, grid_od_matrix, grid_supply, link_components, grid_topology, grid_outage, grid_contingency, grid_bottlenecks, grid_node_removal, grid_restoration, part_dependencies, order_accumulation, shared_corridors)}
 
 SQL = {
     "grid_costs": f"{_ALL} SELECT node, round(cost, 6) AS cost FROM c WHERE s = 0",
@@ -108,6 +133,18 @@ SELECT component, count(*) AS n_nodes FROM c GROUP BY component""",
 WITH RECURSIVE g AS (SELECT * FROM {_G}), cases AS (SELECT edge_id AS c FROM g WHERE edge_id < 12),
 r AS (SELECT c, 0::BIGINT AS node FROM cases UNION SELECT r.c, g.to_node FROM r JOIN g ON g.from_node = r.node AND g.edge_id <> r.c)
 SELECT CAST(c AS VARCHAR) AS edge_id, 25 - count(*) AS lost_nodes, CAST((SELECT sum(n_nationkey % 4 + 1) FROM nation) - sum(node % 4 + 1) AS DOUBLE) AS lost_demand FROM r GROUP BY c""",
+    "grid_node_removal": f"""
+WITH RECURSIVE g AS (SELECT * FROM {_G}), r AS (SELECT CAST(c AS BIGINT) AS c, 0::BIGINT AS node FROM (SELECT unnest([1, 5, 6, 12, 24]) AS c) UNION SELECT r.c, g.to_node FROM r JOIN g ON g.from_node = r.node AND g.to_node <> r.c)
+SELECT c AS node, CAST((SELECT sum(n_nationkey % 4 + 1) FROM nation) - sum(node % 4 + 1) AS DOUBLE) AS lost_demand FROM r GROUP BY c""",
+    "grid_restoration": f"""
+WITH RECURSIVE g AS (SELECT * FROM {_G} WHERE edge_id > 1), r AS (SELECT n_nationkey AS tie_id, CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey % 6 = 0 AND n_nationkey > 0 UNION SELECT r.tie_id, g.to_node FROM r JOIN g ON g.from_node = r.node)
+SELECT tie_id, count(*) AS restored_nodes FROM r GROUP BY tie_id""",
+    "part_dependencies": """
+WITH RECURSIVE r AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey IN (3, 10, 11) UNION ALL SELECT p.p_partkey, level + 1 FROM r JOIN part p ON p.p_partkey // 2 = r.node AND p.p_partkey > 1)
+SELECT node, CAST(min(level) AS BIGINT) AS level FROM r GROUP BY node""",
+    "order_accumulation": """
+WITH RECURSIVE c AS (SELECT c_custkey AS node, CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer WHERE c_custkey > 0), r AS (SELECT node, v FROM c UNION ALL SELECT r.node // 2, v FROM r WHERE r.node > 1)
+SELECT node, CAST(sum(v) AS BIGINT) AS flow FROM r GROUP BY node""",
     "shared_corridors": """
 WITH p AS (SELECT DISTINCT l_returnflag AS s, least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem)
 SELECT x.s AS service_a, y.s AS service_b, count(*) AS n_shared FROM p x JOIN p y USING (a, b) WHERE x.s < y.s GROUP BY 1, 2""",
