@@ -145,7 +145,7 @@ def test_simhash(messy, messy_rows, empty):
     want = Counter((r[0], f % (1 << 64), least.get(root)) for r, f, root in zip(messy_rows, prints, roots, strict=True))
     got = simhash.near_duplicates(messy).collect()
     assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
-    out = simhash.drop_near_duplicates(messy)
+    out = simhash.drop_near_duplicates(messy, found=simhash.near_duplicates(messy))
     assert out.columns == messy.columns
     assert Counter(r["doc_id"] for r in out.collect()) == Counter([*least.values()] + [None] * (len(set(roots)) - len(least)))
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
@@ -160,18 +160,48 @@ def test_trie_join_splits_crowded_nodes(spark):
     for _ in range(400):  # one crowd with a common prefix
         fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))))
     fps = sorted(fps)
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long").selectExpr("fp as node", "fp")
     for budget in (0, 1, 2):
         roots = plain_components(fps, budget)
         want = {frozenset(x for x, r in zip(fps, roots, strict=True) if r == k) for k in set(roots)}
         for pair_rows in (8, 1024):
-            found = simhash.components(simhash.links(df, budget, pair_rows)).collect()
+            found = simhash.components(simhash.links(df, ["fp"], budget, pair_rows)).collect()
             groups = defaultdict(set)
             for r in found:
                 groups[r["root"]].add(r["node"] % (1 << 64))
             assert {frozenset(g) for g in groups.values()} == {g for g in want if len(g) > 1}
 
 
+def test_similar_documents(spark, messy, messy_rows, empty):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows, n = [], 0
+    for g in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([80, 300, 1500]))]
+        rows.append((n, g, " ".join(base)))
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(max(1, len(base) // 130)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            n += 1
+            rows.append((n, g, " ".join(copy)))
+        n += 1
+    rows += [(n + k, 100 + k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, g long, text string")
+    for pair_rows in (4, 1024):  # also with crowded fingerprints
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, pair_rows=pair_rows).collect()}
+        for i, g, _ in rows:
+            assert found[i] == min(j for j, h, _ in rows if h == g)
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r["g"] for r in out.collect()) == [*range(12), *range(100, 250)]
+    assert simhash.drop_near_duplicates(messy).columns == messy.columns
+    kept = simhash.drop_near_duplicates(messy).collect()
+    assert Counter(r["doc_id"] for r in kept)[101] == 0 and Counter(r["doc_id"] for r in kept)[102] == 0
+    assert simhash.drop_near_duplicates(empty).count() == 0
+
+
 # --- secrets
 
 
