@@ -75,7 +75,7 @@ SIGNATURE_SHINGLE = 5
 #: Differing bits of CONFIRM * 64 up to which texts are near duplicates. A similarity
 #: (Jaccard) of 0.8 is a cosine of 0.89 and 78 bits on average, with a standard
 #: deviation of 8; unrelated texts differ in 256.
-CONFIRM_BITS = 92
+CONFIRM_BITS = 96
 _MOST_WORDS = 400_000
 
 
