@@ -20,12 +20,12 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import slices, table, text_key, texts_of
+from .base import materialise, slices, table, text_key, texts_of
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -177,11 +177,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), "text_key", "n_words", _total(F.col("runs")).alias("n_hit"), "items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that hold a window of an item."""
-    found = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0")
-    bad = found.select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (text_key(text_col) == bad["_bad_key"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item; a filter, so nothing is shuffled.
+
+    Of several blocks each filters what the one before kept, which is written in
+    between, so that a worker holds the tables of one block.
+    """
+    for k, rows in enumerate(item_blocks(benchmark, item_col, "text", block_bytes)):
+        clean = _is_clean(docs.sparkSession.sparkContext.broadcast(Searcher(rows, window)))
+        docs = (materialise(docs, "uncontaminated") if k else docs).where(clean(text_col))
+    return docs
+
+
+def _is_clean(searcher):
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not searcher.value.search(words_of(t or ""))[0] for t in texts], dtype=bool)
+
+    return F.pandas_udf(clean, "boolean")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

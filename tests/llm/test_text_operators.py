@@ -100,9 +100,10 @@ def test_decontamination(spark, messy, messy_rows, empty):
     for block_bytes in (1 << 20, 120):  # one broadcast block, and many
         got = decontamination.contamination(messy, bench, block_bytes=block_bytes).collect()
         assert as_counts((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == want
-    out = decontamination.drop_contaminated(messy, bench)
-    assert out.columns == messy.columns
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in messy_rows if not plain_hits(r[1], items)[1])
+    for block_bytes in (1 << 20, 120):
+        out = decontamination.drop_contaminated(messy, bench, block_bytes=block_bytes)
+        assert out.columns == messy.columns
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in messy_rows if not plain_hits(r[1], items)[1])
     assert decontamination.contamination(empty, bench).count() == 0
     nothing = decontamination.contamination(messy, bench.limit(0))
     assert nothing.count() == len(messy_rows) and nothing.where("n_hit > 0").isEmpty()
