@@ -9,7 +9,7 @@ order with the predecessor's edge, so results don't depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.equations import stress_index
@@ -277,3 +277,76 @@ def restoration_options(edges: DataFrame, ties: DataFrame, sources: DataFrame, f
     walk = lambda df: df.join(step, df["node"] == step["from_node"]).select("case", F.col("to_node").alias("node")).join(fed, "node", "left_anti")
     gained = _closure(start.select("case", "node"), walk, ["case", "node"]).groupBy("case").agg(F.count("*").alias("restored_nodes"))
     return ties.select("tie_id").join(gained.withColumnRenamed("case", "tie_id"), "tie_id", "left").select("tie_id", F.coalesce("restored_nodes", F.lit(0)).alias("restored_nodes"))
+
+
+def shortest_path(edges: DataFrame, source, target) -> DataFrame:
+    """``(step, edge_id, from_node, to_node, cost)`` of a least path; empty where there is none."""
+    spark = edges.sparkSession
+    kind = edges.schema["from_node"].dataType
+    node = lambda v: spark.range(1).select(F.lit(v).cast(kind).alias("node"))
+    tree = settle(least_costs(edges, node(source).select(F.lit("s").alias("source"), "node")), "tree")
+    named = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node", "cost")
+    last = tree.where("edge_id is not null").select("node", "edge_id", "hops")
+    into = last.join(named, (last["node"] == named["to_node"]) & (last["edge_id"] == named["edge_id"])).select(named["edge_id"], "from_node", "to_node", named["cost"], "hops")
+    on_path = _closure(node(target), lambda df: df.join(into, df["node"] == into["to_node"]).select(F.col("from_node").alias("node")), ["node"])
+    return on_path.join(into, F.col("node") == F.col("to_node")).select(F.col("hops").alias("step"), "edge_id", "from_node", "to_node", "cost")
+
+
+def landmark_bounds(edges: DataFrame, landmarks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(origin, target, bound)``: the greatest difference of costs from landmarks is a lower bound of the cost between."""
+    costs = settle(least_costs(edges, landmarks.select(F.col("node").alias("source"), "node")).select("source", "node", "cost"), "landmarks")
+    a = costs.select("source", F.col("node").alias("origin"), F.col("cost").alias("a"))
+    b = costs.select("source", F.col("node").alias("target"), F.col("cost").alias("b"))
+    return pairs.join(a, "origin").join(b, ["source", "target"]).groupBy("origin", "target").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("bound"))
+
+
+def ring_redundancy(edges: DataFrame, hub, nodes: DataFrame) -> DataFrame:
+    """``(node, redundant)``: two edges at least, and no single edge whose cut parts the node from the hub."""
+    spark = edges.sparkSession
+    kind = edges.schema["from_node"].dataType
+    two_way = both_ways(edges)
+    start = spark.range(1).select(F.lit(hub).cast(kind).alias("node"))
+    cases = edges.select(F.col("edge_id").cast("string").alias("case")).distinct()
+    step = two_way.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
+    walk = lambda df: df.join(step, (df["node"] == step["from_node"]) & (df["case"] != step["edge_id"])).select("case", F.col("to_node").alias("node"))
+    kept = _closure(cases.join(F.broadcast(start), how="cross"), walk, ["case", "node"])  # one hub for each case
+    n_cases = cases.agg(F.count("*").alias("n_cases"))
+    seen = kept.groupBy("node").agg(F.count("*").alias("n_seen"))
+    degree = two_way.where("from_node <> to_node").groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("degree"))
+    out = nodes.select("node").distinct().join(seen, "node", "left").join(degree, "node", "left").join(F.broadcast(n_cases))
+    return out.select("node", (F.coalesce(F.col("n_seen") == F.col("n_cases"), F.lit(False)) & F.coalesce(F.col("degree") >= 2, F.lit(False))).alias("redundant"))
+
+
+def cut_matrix(circuits: DataFrame) -> DataFrame:
+    """``(edge_id, n_lost, circuits)`` of ``(circuit, edge_id)``: what a cut of each edge loses; the first ten are named."""
+    pairs = circuits.select("edge_id", "circuit").distinct()
+    named = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("edge_id").orderBy("circuit")))
+    return named.groupBy("edge_id").agg(F.count("*").alias("n_lost"), F.array_sort(F.collect_list(F.when(F.col("_k") <= 10, F.col("circuit")))).alias("circuits"))
+
+
+def priority_order(projects: DataFrame, benefit: Column, cost: Column, name: str) -> DataFrame:
+    """Projects by benefit over cost, ties by name: repairs by served demand an hour, or capital by avoided risk."""
+    score = F.coalesce(benefit / F.nullif(cost, F.lit(0.0)), F.lit(0.0))
+    return projects.withColumn("score", score).orderBy(F.desc("score"), name)
+
+
+def fire_flow(edges: DataFrame, demands: DataFrame) -> DataFrame:
+    """``(node, spare, enough)``: unused capacity of the edges at a node against its demand."""
+    ends = edges.select(F.col("from_node").alias("node"), "capacity", "load").union(edges.select("to_node", "capacity", "load"))
+    spare = ends.groupBy("node").agg(F.sum(F.greatest(F.lit(0.0), F.col("capacity") - F.col("load"))).alias("spare"))
+    return demands.join(spare, "node", "left").select("node", F.coalesce("spare", F.lit(0.0)).alias("spare"), (F.coalesce("spare", F.lit(0.0)) >= F.col("demand")).alias("enough"))
+
+
+def flow_rounds(edges: DataFrame, demands: DataFrame, rounds: int = 3, penalty: float = 1.0) -> DataFrame:
+    """Loads after rerouting with costs that grow with overflow, ``(edge_id, load, stress)``; stops when nothing overflows."""
+    now, out = edges, None
+    for _ in range(rounds):
+        out = settle(edge_loads(now, demands), "loads")
+        capacity = edges.select(F.col("edge_id").cast("string").alias("_id"), F.col("capacity").alias("_capacity")).distinct()
+        over = out.join(capacity, F.col("edge_id") == F.col("_id")).where(F.col("load") > F.col("_capacity"))
+        if over.isEmpty():
+            break
+        factor = over.select("_id", (1 + penalty * (F.col("load") / F.nullif(F.col("_capacity"), F.lit(0.0)) - 1)).alias("_factor"))
+        raised = now.join(factor, F.col("edge_id").cast("string") == F.col("_id"), "left")
+        now = settle(raised.withColumn("cost", F.col("cost") * F.coalesce("_factor", F.lit(1.0))).select(*edges.columns), "rerouted")
+    return out

@@ -158,3 +158,40 @@ def bins_2d(df: DataFrame, x: Column, y: Column, x_max: float, y_max: float, n:
     bx = F.least(F.floor(x / x_max * n), F.lit(n - 1)).cast("long")
     by = F.least(F.floor(y / y_max * n), F.lit(n - 1)).cast("long")
     return df.groupBy(bx.alias("bx"), by.alias("by")).agg(F.count("*").alias("n"), F.count_if(success if success is not None else F.lit(False)).alias("successes"))
+
+
+def two_line_effect(rows: DataFrame, treatment: str, x: str, outcome: str) -> DataFrame:
+    """The mean difference of two outcome lines, one fitted to each arm, over all rows."""
+    t = F.col(treatment) == 1
+    y, v = F.col(outcome), F.col(x)
+    fit = lambda arm: (F.regr_slope(F.when(arm, y), F.when(arm, v)), F.regr_intercept(F.when(arm, y), F.when(arm, v)))
+    (b1, a1), (b0, a0) = fit(t), fit(~t)
+    return rows.agg((a1 - a0 + (b1 - b0) * F.avg(v)).alias("effect"), F.count("*").alias("n"))
+
+
+def matched_effect(rows: DataFrame, treatment: str, outcome: str, score: str, stratum: str, caliper: float, id_col: str) -> DataFrame:
+    """``(stratum, pairs, effect)`` of greedy one-to-one matches within strata, treated in ascending order of score.
+
+    A match takes its partner away from later ones, so a stratum is one ordered
+    fold; strata are spread over tasks and are the unit that has to fit into one.
+    """
+    import bisect
+
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        treated = pdf[pdf[treatment] == 1].sort_values([score, id_col])
+        others = pdf[pdf[treatment] == 0].sort_values([score, id_col])
+        scores, outcomes = others[score].tolist(), others[outcome].tolist()
+        gaps, pairs = 0.0, 0
+        for s, y in zip(treated[score], treated[outcome], strict=True):
+            at = bisect.bisect_left(scores, s)
+            near = [k for k in (at - 1, at) if 0 <= k < len(scores) and abs(scores[k] - s) <= caliper]
+            if near:
+                k = min(near, key=lambda i: (abs(scores[i] - s), i))
+                gaps, pairs = gaps + y - outcomes[k], pairs + 1
+                del scores[k], outcomes[k]
+        return pd.DataFrame({"stratum": pdf[stratum].iloc[:1], "pairs": [pairs], "effect": [gaps / pairs if pairs else float("nan")]})
+
+    kept = rows.select(id_col, treatment, outcome, score, stratum).dropna()
+    return kept.groupBy(stratum).applyInPandas(fold, f"stratum {dict(rows.dtypes)[stratum]}, pairs long, effect double")
