@@ -76,7 +76,7 @@ SIGNATURE_SHINGLE = 5
 #: (Jaccard) of 0.8 is a cosine of 0.89 and 78 bits on average, with a standard
 #: deviation of 8; unrelated texts differ in 256.
 CONFIRM_BITS = 96
-_MOST_WORDS = 400_000
+_MOST_WORDS = 250_000
 
 
 class _Words(dict):
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), ["fp"], budget))
     classed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     classed = materialise(classed, "classes")
-    first = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    first = materialise(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
     return prints.join(classed.join(first, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_key", "fp", "root", "component_id")
 
 
@@ -364,7 +364,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     checks = nodes.select("node", F.array(*names[SEARCH:]).alias("check"))
     roots = components(links(nodes, names[:SEARCH], budget, pair_rows, checks, max_check)).withColumnRenamed("node", "_node")
     classed = materialise(nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "classes")
-    first = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    first = materialise(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
     return rows.select(id_col, "text_key", "node").join(classed.join(first, "root").select("node", "root", "component_id"), "node").select(id_col, "text_key", "root", "component_id")
 
 
