@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Parts kept that have been seen in two batches, and in one.
-_MOST_PARTS, _MOST_NEW = 500_000, 600_000
+_MOST_PARTS, _MOST_NEW = 400_000, 450_000
 _JOIN = 2000
 #: Parts that can't touch a mark between them: no white space or control character within.
 _PLAIN = re.compile(r" ?[^\s\x00-\x20\x7f-\xa0]+")
@@ -44,7 +44,7 @@ _SECOND[0x80:0xC0] = True
 _SECOND[[0x97, 0xB7]] = False
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, or one longer row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
