@@ -21,7 +21,7 @@ def as_counts(rows):
 # --- quality rules
 
 
-def plain_rules(rows):
+def plain_rules(rows, limit):
     per = []
     for r in rows:
         text, host = r[1] or "", r[3]
@@ -42,21 +42,21 @@ def plain_rules(rows):
             seen[host, n].add(min((digest(m) for m in norms if m != n), default=""))
     out = []
     for i, host, norms, base in per:
-        lost = sum(k for n, k in norms.items() if len(seen[host, n]) > 5)
+        lost = sum(k for n, k in norms.items() if len(seen[host, n]) > limit)
         out.append((i, *base, not base[5] and 100 * (base[0] - lost) >= 30 * base[0], lost))
     return out
 
 
 def test_quality_rules(messy, messy_rows):
     got = quality_rules.judge(messy, max_host_docs=5).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words").collect()
-    assert as_counts(got) == as_counts(plain_rules(messy_rows))
+    assert as_counts(got) == as_counts(plain_rules(messy_rows, 5))
 
 
 def test_clean_documents(messy, messy_rows, empty):
     out = quality_rules.clean_documents(messy, max_host_docs=5)
     assert out.columns == messy.columns
     rows = out.collect()
-    kept = Counter(r[0] for r in plain_rules(messy_rows) if r[7])
+    kept = Counter(r[0] for r in plain_rules(messy_rows, 5) if r[7])
     assert Counter(r["doc_id"] for r in rows) == kept
     # A null host is a host of its own, with too few documents for the limit here.
     assert all(r["source"] is None for r in rows if "shared by many" in r["text"]) or all("shared by many" not in r["text"] for r in rows if r["source"])
