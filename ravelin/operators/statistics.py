@@ -170,7 +170,7 @@ def two_line_effect(rows: DataFrame, treatment: str, x: str, outcome: str) -> Da
 
 
 def matched_effect(rows: DataFrame, treatment: str, outcome: str, score: str, stratum: str, caliper: float, id_col: str) -> DataFrame:
-    """``(stratum, pairs, effect)`` of greedy one-to-one matches within strata, treated in ascending order of score.
+    """``(stratum, pairs, effect)`` of greedy one-to-one matches within strata, treated in ascending order of score; without a pair the effect is null.
 
     A match takes its partner away from later ones, so a stratum is one ordered
     fold; strata are spread over tasks and are the unit that has to fit into one.
@@ -191,7 +191,7 @@ def matched_effect(rows: DataFrame, treatment: str, outcome: str, score: str, st
                 k = min(near, key=lambda i: (abs(scores[i] - s), i))
                 gaps, pairs = gaps + y - outcomes[k], pairs + 1
                 del scores[k], outcomes[k]
-        return pd.DataFrame({"stratum": pdf[stratum].iloc[:1], "pairs": [pairs], "effect": [gaps / pairs if pairs else float("nan")]})
+        return pd.DataFrame({"stratum": pdf[stratum].iloc[:1].to_numpy(), "pairs": [pairs], "effect": pd.Series([gaps / pairs if pairs else None], dtype="Float64")})
 
     kept = rows.select(id_col, treatment, outcome, score, stratum).dropna()
     return kept.groupBy(stratum).applyInPandas(fold, f"stratum {dict(rows.dtypes)[stratum]}, pairs long, effect double")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ratings, series
+from ..operators import models, ratings, series
 from ..session import _own_dir, table
 from ..streaming import conformal
 
@@ -67,12 +67,40 @@ def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
 
 def monthly_pacf(spark: SparkSession, d: str) -> DataFrame:
     """Partial autocorrelations from the autocorrelations, a recursion over few lags for each key."""
+    return series.partial_autocorrelation(series.autocorrelation(_monthly(spark, d), 4))
+
+
+def monthly_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """The best of three autoregressions for each priority, with paths."""
+    return models.autoregression(_monthly(spark, d), 6, [1, 2, 3])
+
+
+def propensity_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Treated and others by band of a fitted propensity."""
+    rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("t"), "l_quantity", "l_discount", "l_tax")
+    found = models.logistic_propensity(rows, "t", ["l_quantity", "l_discount", "l_tax"])
+    return found.groupBy(F.floor(F.col("propensity") * 35).alias("band")).agg(F.count_if(F.col("t") == 1).alias("treated"), F.count_if(F.col("t") == 0).alias("others"))
+
+
+def synthetic_priority(spark: SparkSession, d: str) -> DataFrame:
+    """Urgent orders' monthly totals against a mix of the other priorities."""
+    return models.synthetic_control(_monthly(spark, d), "key", "position", "value", "1-URGENT", 60)
+
+
+def partner_matches(spark: SparkSession, d: str) -> DataFrame:
+    """One-to-one matches of customers with a debt by nation, nearest in key."""
+    from ..operators.statistics import matched_effect
+
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("t"), F.col("c_acctbal").alias("y"), (F.col("c_custkey") % 100 / 100).alias("p"), "c_nationkey")
+    return matched_effect(c, "t", "y", "p", "c_nationkey", 0.1, "c_custkey")
+
+
+def _monthly(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("total"))
-    acf = series.autocorrelation(series.numbered(o, "o_orderpriority", ["month"], "total"), 4)
-    return series.partial_autocorrelation(acf)
+    return series.numbered(o, "o_orderpriority", ["month"], "total")
 
 
-QUERIES = {f.__name__: f for f in (streamed_daily_counts, streamed_calibration, elo_ratings, team_table, simulated_matches, bootstrap_means, monthly_pacf)}
+QUERIES = {f.__name__: f for f in (streamed_daily_counts, streamed_calibration, elo_ratings, team_table, simulated_matches, bootstrap_means, monthly_pacf, monthly_forecasts, propensity_bands, synthetic_priority, partner_matches)}
 
 SQL = {
     "streamed_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2",
