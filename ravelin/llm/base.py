@@ -32,7 +32,8 @@ def _own_dir() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which can be removed when its results are written."""
+    return f"{shared_dir(spark)}/ravelin-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
