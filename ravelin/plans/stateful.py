@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import models, ratings, series
-from ..session import _own_dir, table
+from ..session import scratch_path, table
 from ..streaming import conformal
 
 
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """The rows of the last batch of a stream that reads all there is now."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")

@@ -28,10 +28,15 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='ravelin-')}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below the application's own, which can be removed when its results are written."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    return f"{base}/ravelin-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts the lineage of loops."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
