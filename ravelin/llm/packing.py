@@ -35,6 +35,8 @@ LENGTH = 2048
 BUCKETS = 1024
 DIMENSIONS = 4
 BITS = 12
+#: Most ids in a shuffled row, so that ranges of equally many rows are of similar size.
+CHUNK = 4096
 
 
 @cache
@@ -88,7 +90,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """``(id, key, part, row, ids)``: the curve's key, the row's place, and its ids as bytes."""
+    """``(id, key, part, row, start, doc_tokens, ids)``: the curve's key, the row's place, and its ids as bytes, ``CHUNK`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row, here = encoder(vocabulary), 0, TaskContext.get().partitionId()
@@ -97,17 +99,18 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
                 every, at = encode.encode_column(part.column(text_col))
                 ids = [every[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 keys = hilbert_key(np.array([grid_point(x) for x in ids]))
+                cuts = [(k, c) for k, x in enumerate(ids) for c in range(0, len(x), CHUNK)]
+                at, starts = (np.array(x, np.int64) for x in zip(*cuts, strict=True))
+                chunks = [ids[k][c : c + CHUNK] for k, c in cuts]
                 # Two bytes an id where they suffice; the length tells which.
-                narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array(keys), pa.array([here] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array([len(x) for x in ids], pa.int32()), pa.array(narrow, pa.binary())],
-                    ["id", "key", "part", "row", "n", "ids"],
-                )
-                row += n
+                narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in chunks]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                columns = [part.column(id_col).take(pa.array(at)), pa.array(keys[at]), pa.array(np.full(len(at), here, np.int32)), pa.array(row + at), pa.array(starts), pa.array(sizes[at]), pa.array([len(x) for x in chunks], pa.int32()), pa.array(narrow, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "part", "row", "start", "doc_tokens", "n", "ids"])
+                row += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, part int, row long, n int, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, part int, row long, start long, doc_tokens long, n int, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
@@ -117,7 +120,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """
     spark = docs.sparkSession
     rows = materialise(tokenised(docs, id_col, text_col, vocabulary), "tokens")
-    order = ["key", "id", "part", "row"]
+    order = ["key", "id", "part", "row", "start"]
     rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,20 +128,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for batch in batches:
             for part in slices(batch):
                 out: list[tuple] = []
-                for at, (n, raw) in enumerate(zip(part.column("n").to_pylist(), part.column("ids").to_pylist(), strict=True)):
+                for at, (n, first, raw) in enumerate(zip(part.column("n").to_pylist(), part.column("start").to_pylist(), part.column("ids").to_pylist(), strict=True)):
                     wide = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
                     start = 0
                     while start < n:
                         take = min(n - start, length - filled)
-                        out.append((at, start, take, zlib.crc32(wide[start : start + take].tobytes()), n, sequence, filled))
+                        out.append((at, first + start, take, zlib.crc32(wide[start : start + take].tobytes()), sequence, filled))
                         start, filled = start + take, filled + take
                         if filled == length:
                             sequence, filled = sequence + 1, 0
                 at, *rest = (np.array(x, np.int64) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), *map(pa.array, rest), part.column("key").take(pa.array(at))], [id_col, *_PIECE, "key"])
+                of = lambda name, at=at, part=part: part.column(name).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([of("id"), *map(pa.array, rest[:3]), of("doc_tokens"), *map(pa.array, rest[3:]), of("key")], [id_col, *_PIECE, "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("id", "key", "n", "ids").mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in _PIECE) + ", key long")
+    return rows.select("id", "key", "start", "doc_tokens", "n", "ids").mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in _PIECE) + ", key long")
 
 
 _PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
