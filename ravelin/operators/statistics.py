@@ -195,3 +195,22 @@ def matched_effect(rows: DataFrame, treatment: str, outcome: str, score: str, st
 
     kept = rows.select(id_col, treatment, outcome, score, stratum).dropna()
     return kept.groupBy(stratum).applyInPandas(fold, f"stratum {dict(rows.dtypes)[stratum]}, pairs long, effect double")
+
+
+def calibrate_decay(rows: DataFrame, distance: str, observed: str, scales: list[float], powers: list[float]) -> DataFrame:
+    """The grid's ``(scale, power, rmse)`` of least error, the first of equal ones; every row meets every pair of a small grid."""
+    grid = F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.lit(float(p)).alias("power")) for s in scales for p in powers])
+    tried = rows.select(distance, observed, F.explode(grid).alias("g")).select(distance, observed, "g.*")
+    miss = F.pow(1 + F.col(distance) / F.col("scale"), -F.col("power")) - F.col(observed)
+    errors = tried.groupBy("scale", "power").agg(F.sqrt(F.avg(miss * miss)).alias("rmse"))
+    return errors.orderBy(F.round("rmse", 9), "scale", "power").limit(1)
+
+
+def sensitivity(rows: DataFrame, parameters: dict[str, float], model, share: float = 0.1) -> DataFrame:
+    """``(parameter, low, base, high)`` of a model's mean with one parameter at a time moved by a share of itself.
+
+    ``model`` maps a dict of numbers to a column of ``rows``.
+    """
+    mean = lambda p: F.avg(model(p))
+    cases = [F.struct(F.lit(name).alias("parameter"), mean(parameters | {name: v * (1 - share)}).alias("low"), mean(parameters).alias("base"), mean(parameters | {name: v * (1 + share)}).alias("high")) for name, v in parameters.items()]
+    return rows.agg(F.array(*cases).alias("x")).select(F.explode("x").alias("x")).select("x.*")
