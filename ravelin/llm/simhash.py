@@ -14,10 +14,9 @@ of links stays below the number of fingerprints.
 
 One fingerprint of three-word shingles within two bits finds copies with very few
 changes. Near duplicates at a similarity of 0.8 in five-word shingles differ in
-more bits, so for them every text has a signature: some fingerprints of its set
-of words, of which one must be within two bits (the join runs for each of them),
-and some of its five-word shingles, whose differing bits together estimate the
-similarity and confirm a candidate.
+more bits, so for them the sets of shingles themselves are used: minima of their
+hashes are banded into keys, the nodes that keys connect are candidates, and a
+candidate links where its whole set is alike.
 
 Defined cases: null and empty texts have fingerprint zero and link like others;
 repeated rows link to themselves; an empty table gives an empty result; other
@@ -69,13 +68,14 @@ def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-#: Fingerprints of a signature: of the set of words, and of five-word shingles.
-SEARCH, CONFIRM = 8, 8
+#: Words of a shingle of the sets that near duplicates are compared by.
 SIGNATURE_SHINGLE = 5
-#: Differing bits of CONFIRM * 64 up to which texts are near duplicates. A similarity
-#: (Jaccard) of 0.8 is a cosine of 0.89 and 78 bits on average, with a standard
-#: deviation of 8; unrelated texts differ in 256.
-CONFIRM_BITS = 96
+#: Keys of a set, and the minima that must agree for a key to be shared. Of pairs at a
+#: similarity (Jaccard) of 0.8, 1 - (1 - 0.8 ** 7) ** 40 = 0.9999 share one.
+BANDS, BAND_ROWS = 40, 7
+#: Least similarity of near duplicates, as a fraction.
+ALIKE = (4, 5)
+_CHUNK = 2048
 _MOST_WORDS = 250_000
 
 
@@ -101,26 +101,34 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _bits(hashes: np.ndarray, total: int) -> int:
-    as_bytes = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-    counts = np.bincount((as_bytes + np.arange(8) * 256).ravel(), minlength=2048)
-    ones = (counts.reshape(8, 256) @ _BYTE_BITS).ravel()
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
-
-
-def signature(text: str) -> list[int]:
-    """``SEARCH`` fingerprints of the words and ``CONFIRM`` of their five-word shingles."""
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, sorted; short texts have one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return [0] * (SEARCH + CONFIRM)
+        return np.zeros(1, np.uint64)
     own = np.fromiter(map(_words().__getitem__, words), np.uint64, n)
     size = min(SIGNATURE_SHINGLE, n)
     shingles = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
         shingles = shingles * np.uint64(0xD6E8FEB86659FD93) + own[k : n - size + 1 + k]
-    distinct = np.unique(own)
-    return [_bits(_mix(distinct, k), len(distinct)) for k in range(SEARCH)] + [_bits(_mix(shingles, k), len(shingles)) for k in range(SEARCH, SEARCH + CONFIRM)]
+    return np.unique(_mix(shingles, 0))
+
+
+@cache
+def _multipliers() -> np.ndarray:
+    return _mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64), 1) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set, each of ``BAND_ROWS`` minima of its hashes in other orders."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for k in range(0, len(shingles), _CHUNK):
+        np.minimum(least, np.multiply.outer(_multipliers(), shingles[k : k + _CHUNK]).min(1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = _mix(keys ^ row, 2)
+    return keys
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -185,8 +193,8 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _GROUP = ["rot", "depth", "a", "b", "i", "j"]
 
 
-def _join_in_tasks(budget: int, max_check: int | None):
-    """Streams groups of equal node pairs and joins each; rows also have ``node``, ``value`` and maybe ``check``."""
+def _join_in_tasks(budget: int):
+    """Streams groups of equal node pairs and joins each; rows also have ``node`` and ``value``."""
 
     def links(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         value, depth = rows["value"].view(np.uint64), int(rows["depth"][0])
@@ -200,22 +208,18 @@ def _join_in_tasks(budget: int, max_check: int | None):
             ia, ib = np.nonzero(left)[0], np.nonzero(~left)[0]
             i, j = trie_pairs(value[ia], value[ib], depth, int(np.bitwise_count(a ^ b)), budget)
             i, j = ia[i], ib[j]
-        if max_check is not None and len(i):
-            check, near = rows["check"][order].view(np.uint64), []
-            for k in range(0, len(i), 1 << 18):
-                bits = np.bitwise_count(check[i[k : k + (1 << 18)]] ^ check[j[k : k + (1 << 18)]])
-                near.append(bits.sum(1, dtype=np.int64) <= max_check)
-            near = np.concatenate(near)
-            i, j = i[near], j[near]
         u, v = _forest(len(value), i, j)
         node = rows["node"][order]
         return node[u], node[v]
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in [*_GROUP, "node", "value"]}
-        if max_check is not None:
-            out["check"] = batch.column("check").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
-        return out
+        return {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in [*_GROUP, "node", "value"]}
+
+    return _in_groups(columns, links, _GROUP)
+
+
+def _in_groups(columns, links, group: list[str]):
+    """Streams sorted rows as arrays by ``columns`` and gives each whole group of two and more to ``links``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -225,16 +229,16 @@ def _join_in_tasks(budget: int, max_check: int | None):
                 held = {k: np.concatenate([held[k], v]) for k, v in more.items()} if held else more
             if not held:
                 continue
-            n = len(held["value"])
+            n = len(held["node"])
             new = np.zeros(n, bool)
-            for k in _GROUP:
+            for k in group:
                 new[1:] |= held[k][1:] != held[k][:-1]
             cuts = [0, *np.nonzero(new)[0].tolist(), n]
             whole = cuts if batch is None else cuts[:-1]  # the last group may go on in the next batch
             found = [links({k: v[x:y] for k, v in held.items()}) for x, y in zip(whole, whole[1:], strict=False) if y - x > 1]
             held = {k: v[whole[-1] :] for k, v in held.items()}
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
     return run
 
@@ -244,12 +248,11 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def links(nodes: DataFrame, values: list[str], budget: int = MAX_BITS, pair_rows: int = PAIR_ROWS, checks: DataFrame | None = None, max_check: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, values: list[str], budget: int = MAX_BITS, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """A spanning set ``(u, v)`` of the links between the rows of ``nodes``.
 
     ``nodes`` has a long ``node`` and the fingerprints ``values``. Two nodes link
-    if one of their fingerprints differs in at most ``budget`` (0 to 2) bits and,
-    with ``checks(node, check)``, their check arrays in at most ``max_check``.
+    if one of their fingerprints differs in at most ``budget`` (0 to 2) bits.
     """
     if not 0 <= budget <= 2:
         raise ValueError("three segments find links of at most two bits")
@@ -293,12 +296,8 @@ def links(nodes: DataFrame, values: list[str], budget: int = MAX_BITS, pair_rows
         rows = rows.where(F.bit_count(F.col("_own").bitwiseXOR(F.col("_partner"))) <= budget)
         rows = rows.select("node", "rot", "value", F.least("_own", "_partner").alias("a"), F.greatest("_own", "_partner").alias("b"))
         depth += step
-    kept = [*_GROUP, "node", "value"]
-    if checks is not None:
-        ready = ready.join(checks.select("node", "check"), "node")
-        kept.append("check")
     dealt = ready.repartition(shuffle_partitions(spark), *_GROUP).sortWithinPartitions(*_GROUP)
-    return dealt.select(*kept).mapInArrow(_join_in_tasks(budget, max_check if checks is not None else None), "u long, v long")
+    return dealt.select(*_GROUP, "node", "value").mapInArrow(_join_in_tasks(budget), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,25 +343,87 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classed.join(first, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_key", "fp", "root", "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = MAX_BITS, max_check: int = CONFIRM_BITS, pair_rows: int = PAIR_ROWS) -> DataFrame:
-    """``(id, text_key, root, component_id)`` for each row, by signatures: near duplicates at a similarity of 0.8."""
+_PAIR = ["group", "i", "j"]
+
+
+def alike_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of a similarity of ``ALIKE`` and more that span all such pairs."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    members, every = np.unique(np.concatenate(sets), return_inverse=True)
+    label, out = np.arange(len(sets)), []
+    mark = np.zeros(len(members), bool)
+    for i in range(len(sets) - 1):
+        if (label == label[0]).all():
+            break
+        own = every[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[every[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        mark[own] = False
+        near = (ALIKE[0] + ALIKE[1]) * both >= ALIKE[0] * (sizes[i] + sizes[i + 1 :])
+        for j in (np.nonzero(near)[0] + i + 1).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _confirmed(sets: DataFrame, pair_rows: int) -> DataFrame:
+    """A spanning set ``(u, v)`` of the links within each ``group`` of ``sets(node, group, n, shingles)``; n is the group's size."""
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in [*_PAIR, "node"]}
+        out["shingles"] = np.empty(batch.num_rows, object)
+        out["shingles"][:] = batch.column("shingles").to_pylist()
+        return out
+
+    def links(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = alike_pairs([np.frombuffer(x, np.uint64) for x in rows["shingles"]])
+        return rows["node"][i], rows["node"][j]
+
+    # A large group is dealt into blocks; pairs of blocks together hold every pair of nodes.
+    blocks = F.when(F.col("n") <= pair_rows, 1).otherwise(F.ceil(2 * F.col("n") / pair_rows)).cast("int")
+    rows = sets.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("group", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "shingles")
+    dealt = rows.repartition(shuffle_partitions(sets.sparkSession), *_PAIR).sortWithinPartitions(*_PAIR)
+    return dealt.mapInArrow(_in_groups(columns, links, _PAIR), "u long, v long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """``(id, text_key, root, component_id)`` for each row: near duplicates at a similarity of 0.8 in five-word shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"s{k}" for k in range(SEARCH + CONFIRM)]
+
+    def node_of(shingles: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = np.array([signature(t) for t in texts_of(part)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), *[pa.array(found[:, k]) for k in range(len(names))]], [id_col, "text_key", *names])
+                sets = [shingle_set(t) for t in texts_of(part)]
+                keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array([node_of(x) for x in sets], pa.int64()), keys], [id_col, "text_key", "node", "keys"])
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_set(t).tobytes() for t in texts_of(part)], pa.binary())], ["node", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
-    rows = rows.mapInArrow(run, f"`{id_col}` {kind}, text_key long, " + ", ".join(f"{n} long" for n in names))
-    rows = materialise(rows.withColumn("node", F.xxhash64(*names)), "signatures")
-    # Texts with one signature are one node.
-    nodes = rows.groupBy("node").agg(F.min(id_col).alias("least_id"), *[F.first(n).alias(n) for n in names])
-    nodes = materialise(nodes, "nodes")
-    checks = nodes.select("node", F.array(*names[SEARCH:]).alias("check"))
-    roots = components(links(nodes, names[:SEARCH], budget, pair_rows, checks, max_check)).withColumnRenamed("node", "_node")
+    rows = materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, text_key long, node long, keys array<long>"), "signatures")
+    # Texts with one set of shingles are one node.
+    nodes = materialise(rows.groupBy("node").agg(F.min(id_col).alias("least_id"), F.min("text_key").alias("node_key"), F.first("keys").alias("keys")), "nodes")
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Candidates are the nodes that keys connect; each one's set is read once and compared with all of its group.
+    groups = components(keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("root", "group")
+    groups = materialise(groups, "candidates")
+    wanted = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group").join(nodes.select("node", "node_key"), "node")
+    wanted = materialise(wanted, "wanted")
+    texts = docs.select(F.col(text_col).alias("text"), text_key(text_col).alias("text_key")).join(wanted.select("node", "node_key"), F.col("text_key") == F.col("node_key"))
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(as_sets, "node long, shingles binary").join(wanted.drop("node_key"), "node")
+    roots = components(_confirmed(sets, pair_rows)).withColumnRenamed("node", "_node")
     classed = materialise(nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "classes")
     first = materialise(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
     return rows.select(id_col, "text_key", "node").join(classed.join(first, "root").select("node", "root", "component_id"), "node").select(id_col, "text_key", "root", "component_id")
