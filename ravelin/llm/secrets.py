@@ -5,7 +5,8 @@ runs. Besides, runs of key characters are encoded with a byte-level vocabulary
 (tiktoken): text that resembles what the vocabulary was made from takes few
 tokens, a random string many. A low ratio of characters to tokens marks a run,
 unless it has the form of a digest, a UUID or another identifier, or a pattern
-has found it already.
+has found it already. Where words are joined to a random string, the run's densest
+stretches of tokens are tested, and then its pieces between separators.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned one
 by one; empty tables give empty results; other columns stay as they are.
@@ -41,6 +42,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_PIECE = re.compile(rf"[A-Za-z0-9]{{{MIN_RUN},}}")
+_LETTERS = re.compile(rf"[A-Za-z]{{{MIN_RUN},}}")
+_SEPARATORS = "+/_=-"
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
 #: Forms of digests (MD5, SHA-1, SHA-2) and of identifiers: UUIDs, joined words with numbers, dates, paths of such.
 _KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
@@ -77,17 +82,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _uncovered(start: int, end: int, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a stretch outside others that are long enough for a run."""
+    for a, b in [*sorted(covered), (end, end)]:
+        if min(a, end) - start >= MIN_RUN:
+            yield start, min(a, end)
+        start = max(start, b)
+
+
+def _is_dense(run: str, encoding, max_ratio: float) -> bool:
+    if _KNOWN.fullmatch(run) or not _DIGIT.search(run) or not _LETTER.search(run):
+        return False
+    return len(run) < max_ratio * len(encoding.encode_ordinary(run))
+
+
+def _densest(run: str, encoding, max_ratio: float) -> tuple[int, int] | None:
+    """The stretch of at least ``MIN_RUN`` characters with the most tokens beyond the ratio, widened to the separators around it."""
+    ends, score = [0], [0.0]
+    for t in encoding.encode_ordinary(run):
+        size = len(encoding.decode_single_token_bytes(t))
+        ends.append(ends[-1] + size)
+        score.append(score[-1] + max_ratio - size)
+    best, found, least, i = 0.0, None, 0, 0
+    for j in range(1, len(ends)):
+        while ends[j] - ends[i] >= MIN_RUN:
+            least = i if score[i] < score[least] else least
+            i += 1
+        if i and score[j] - score[least] > best:
+            best, found = score[j] - score[least], (ends[least], ends[j])
+    if found is None:
+        return None
+    a, b = found
+    while a and run[a - 1] not in _SEPARATORS:
+        a -= 1
+    while b < len(run) and run[b] not in _SEPARATORS:
+        b += 1
+    return a, b
+
+
+def _dense_within(run: str, encoding, max_ratio: float) -> list[tuple[int, int]]:
+    """The secrets of a run: the whole, else dense stretches, and of what is left dense pieces between separators."""
+    if _is_dense(run, encoding, max_ratio):
+        return [(0, len(run))]
+    found = []
+    todo = [(0, len(run))]
+    while todo:
+        start, end = todo.pop()
+        if _KNOWN.fullmatch(run, start, end) or (stretch := _densest(run[start:end], encoding, max_ratio)) is None:
+            continue
+        a, b = start + stretch[0], start + stretch[1]
+        if not _KNOWN.fullmatch(run, a, b):
+            found.append((a, b))
+        todo += _uncovered(start, end, [(a, b)])
+    for start, end in list(_uncovered(0, len(run), found)):
+        for m in _PIECE.finditer(run, start, end):
+            if _is_dense(m[0], encoding, max_ratio):
+                found.append((m.start(), m.end()))
+            else:
+                letters = [x for x in _LETTERS.finditer(m[0]) if len(x[0]) < max_ratio * len(encoding.encode_ordinary(x[0]))]
+                found += [(m.start() + x.start(), m.start() + x.end()) for x in letters]
+    return found
+
+
 def dense_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Runs that take many tokens for their length and lie outside ``taken``."""
+    """Parts of runs that take many tokens for their length and lie outside ``taken``."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not _DIGIT.search(run) or not _LETTER.search(run) or _KNOWN.fullmatch(run):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if len(run) < max_ratio * len(_encoding(vocabulary).encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+        covered = [(a, b) for a, _, b in taken if a < m.end() and m.start() < b]
+        covered += [(m.start() + x.start(), m.start() + x.end()) for x in _UUID.finditer(m[0])]
+        for start, end in _uncovered(m.start(), m.end(), covered):
+            found += [(start + a, 3, start + b) for a, b in _dense_within(text[start:end], _encoding(vocabulary), max_ratio)]
     return found
 
 
