@@ -3,8 +3,8 @@
 Rules fit a host and all its subdomains, and paths that start with theirs; of
 several the longest wins. A URL without a rule is looked up in a list of
 canonical URLs, each of which stands for itself and all below it: as in other
-block lists, the URL is expanded into host suffixes and path prefixes. The
-expansions meet a Bloom filter first, whose bits for one key all lie in one
+block lists, the URL is expanded into all its host suffixes and, for listed hosts,
+path prefixes. The expansions meet a Bloom filter first, whose bits for one key all lie in one
 64-bit block, so that one look-up decides. Blocks are rows of a fixed number,
 which is why they can be broadcast; what passes goes through an exact join of
 hashes and canonical URLs, which removes false positives.
@@ -36,9 +36,6 @@ LISTED = [
 #: Blocks of the filter: 8 bytes each, so the broadcast has at most 512 KB of bits.
 BLOCKS = 1 << 16
 BITS = 5
-#: Host suffixes and path prefixes that are looked up for a URL.
-MAX_LABELS = 5
-MAX_SEGMENTS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -69,19 +66,19 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.btrim(host, F.lit(".")), F.regexp_replace(F.concat(F.lit("/"), path), "/+", "/"))
 
 
-def expansions(host: Column, path: Column) -> Column:
-    """The canonical URLs that stand for a URL: its last labels, each with the first parts of its path and the whole."""
+def host_suffixes(host: Column) -> Column:
+    """A host and all hosts above it."""
     labels = F.split(F.btrim(host, F.lit(".")), r"\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-    hosts = F.array_union(hosts, F.array(F.array_join(labels, ".")))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")))
+
+
+def path_prefixes(path: Column, segments: Column) -> Column:
+    """The canonical path and all paths above it of at most so many segments, which end in a slash."""
     whole = F.regexp_replace(F.concat(F.lit("/"), path), "/+", "/")
     parts = F.split(whole, "/")
-    deep = F.least(F.size(parts) - 1, F.lit(MAX_SEGMENTS))
-    prefixes = F.transform(F.sequence(F.lit(1), deep), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
-    prefixes = F.array_union(prefixes, F.array(whole))
-    every = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+    above = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, segments)), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+    return F.array_union(above, F.array(whole))
 
 
 def _block(key_hash: Column, blocks: int) -> Column:
@@ -102,6 +99,14 @@ def bloom_filter(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return listed.groupBy(_block(F.col("hash"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("hash"))).alias("bits"))
 
 
+def _maybe(keys: DataFrame, listed: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``keys`` whose ``hash`` passes the filter of the list's."""
+    bits = bloom_filter(listed, blocks)
+    mask = _mask(F.col("hash"))
+    passed = keys.withColumn("block", _block(F.col("hash"), blocks)).join(F.broadcast(bits), "block").where(F.col("bits").bitwiseAND(mask) == mask)
+    return passed.drop("block", "bits")
+
+
 def listing(spark: SparkSession, listed: DataFrame | list[str]) -> DataFrame:
     """``(canonical, hash)`` of a list of URLs, with or without a scheme."""
     if not isinstance(listed, DataFrame):
@@ -121,10 +126,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame | list[str] = LISTED, id_col:
     entries = listing(spark, listed)
     # Distinct URLs are looked up once, however many rows repeat them.
     urls = rows.where("found is null and host <> ''").select("host", "path").distinct()
-    keys = urls.select("host", "path", F.explode(expansions(F.col("host"), F.col("path"))).alias("canonical")).withColumn("hash", F.xxhash64("canonical"))
-    bits = bloom_filter(entries, blocks)
-    maybe = keys.withColumn("block", _block(F.col("hash"), blocks)).join(F.broadcast(bits), "block").where(F.col("bits").bitwiseAND(_mask(F.col("hash"))) == _mask(F.col("hash")))
-    hits = maybe.drop("block", "bits").join(entries.withColumnRenamed("canonical", "entry"), "hash").where(F.col("canonical") == F.col("entry"))
+    # First the hosts, then the paths below those that are listed, no deeper than a host's deepest entry.
+    hosts = entries.groupBy(F.substring_index("canonical", "/", 1).alias("suffix")).agg(F.max(F.size(F.split("canonical", "/"))).alias("segments")).withColumn("hash", F.xxhash64("suffix"))
+    sites = _maybe(urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).withColumn("hash", F.xxhash64("suffix")), hosts, blocks)
+    sites = sites.drop("hash").join(hosts.drop("hash"), "suffix")
+    keys = sites.select("host", "path", F.explode(F.transform(path_prefixes(F.col("path"), F.col("segments")), lambda p: F.concat("suffix", p))).alias("canonical")).withColumn("hash", F.xxhash64("canonical"))
+    maybe = _maybe(keys, entries, blocks)
+    hits = maybe.join(entries.withColumnRenamed("canonical", "entry"), "hash").where(F.col("canonical") == F.col("entry"))
     hits = hits.groupBy("host", "path").agg(F.min("entry").alias("listed"))
     hits = materialise(hits, "listed-urls").withColumnsRenamed({"host": "_host", "path": "_path"})
     out = rows.join(hits, F.col("found").isNull() & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
