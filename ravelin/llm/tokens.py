@@ -112,14 +112,16 @@ class WordEncoder:
         first, last = int(bounds[0]), int(bounds[-1])
         raw = np.frombuffer(data, np.uint8)[first:last] if last > first else np.empty(0, np.uint8)
         cut = np.zeros(len(raw) + 1, bool)
+        starts = bounds - first
         visible = _VISIBLE[raw[1:]]
+        inner = starts[(starts > 0) & (starts < len(raw))]
+        visible[inner - 1] = False  # what starts the next text is no neighbour of what ends this one
         line = (raw[:-1] == 10) & visible
         cut[:-2] |= line | ((raw[:-1] == 32) & visible)
         cut[1:-1] |= line
         letter = _LETTER[raw]
         letter[1:] |= (raw[:-1] == 0xC3) & _SECOND[raw[1:]]
         cut[1:-1] |= letter[:-1] & _PUNCTUATION[raw[1:]]
-        starts = bounds - first
         cut[starts] = True
         at = np.nonzero(cut)[0].astype(np.int32)  # starts of parts, and the end
         parts = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
