@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a temporary folder is made once.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset and all
+    runs on one machine, as in tests, a temporary folder is made once; elsewhere
+    that is an error, since executors would write to their own disks.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = _own_dir()
     return path.rstrip("/")
 
 
@@ -52,9 +57,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_key(column: str = "text"):
+def text_key(column: str | Column = "text") -> Column:
     """A hash that tells apart rows of one id with different texts."""
-    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")))
+
+
+def range_count(spark: SparkSession, n_bytes: int | None, most: int = 64 << 20) -> int:
+    """How many ranges to sort so many bytes in: as many as shuffles have, and more where those would be large."""
+    return max(shuffle_partitions(spark), -(-(n_bytes or 0) // most))
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialise, shuffle_partitions, slices, table
+from .base import materialise, range_count, slices, table
 from .tokens import byte_slices, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -121,7 +121,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     spark = docs.sparkSession
     rows = materialise(tokenised(docs, id_col, text_col, vocabulary), "tokens")
     order = ["key", "id", "part", "row", "start"]
-    rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranges = range_count(spark, rows.agg(F.sum(F.octet_length("ids"))).first()[0])
+    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, filled = TaskContext.get().partitionId() << 32, 0

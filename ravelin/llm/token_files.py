@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import scratch_path, shuffle_partitions, table, text_key
+from .base import range_count, scratch_path, table, text_key
 from .tokens import byte_slices, encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -176,7 +176,8 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Tokenises ``docs`` and writes the table of files to ``path``."""
     spark = docs.sparkSession
     order = [id_col, "_text_key"]  # a range's sample is sent to the driver, so the text itself is no key
-    rows = docs.select(id_col, text_col, text_key(text_col).alias("_text_key")).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranges = range_count(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0])
+    rows = docs.select(id_col, text_col, text_key(text_col).alias("_text_key")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
