@@ -2,10 +2,9 @@
 
 A line's norm is its text with A-Z in lower case, digits as one mark and white
 space as single spaces. Its hash is counted over the distinct documents of each
-host (the ``source``). Copies count once: a document takes part with its
-smallest other line, so that texts which agree in that line are one document.
-Lines of more documents than the limit are removed, and documents that keep too
-small a share of their words are rejected.
+host (the ``source``), where rows with equal texts are one document. Lines of
+more documents than the limit are removed, and documents that keep too small a
+share of their words are rejected.
 
 Defined cases: null and empty texts have no words and fail the base rules;
 repeated rows are judged one by one with equal results; a null host is a host;
@@ -70,7 +69,7 @@ def line_hash(line: bytes) -> int:
 
 
 def measure(text: str) -> dict:
-    """The base figures of a text, and its distinct lines as (hash, other, words)."""
+    """The base figures of a text, and its distinct lines as (hash, words)."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
@@ -78,15 +77,13 @@ def measure(text: str) -> dict:
     for x in lines:
         h = line_hash(x)
         by_hash[h] = by_hash.get(h, 0) + len(x.split())
-    least = sorted(by_hash)[:2]
-    other = {h: next((x for x in least if x != h), 0) for h in by_hash}
     return {
         "n_words": len(words),
         "word_chars": len(text) - (len(raw) - len(raw.translate(None, _SPACE))),
         "n_symbols": len(raw) - len(raw.translate(None, _SYMBOLS)),
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": repeated_words(words),
-        "lines": [{"hash": h, "other": other[h], "words": k} for h, k in by_hash.items()],
+        "lines": [{"hash": h, "words": k} for h, k in by_hash.items()],
     }
 
 
@@ -94,7 +91,7 @@ _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    lines_type = pa.list_(pa.struct([("hash", pa.int64()), ("other", pa.int64()), ("words", pa.int64())]))
+    lines_type = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,17 +102,16 @@ def _measured(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     figures = ", ".join(f"{k} long" for k in _BASE)
-    return docs.mapInArrow(run, f"id {kind}, host string, text_key long, {figures}, lines array<struct<hash:long,other:long,words:long>>")
+    return docs.mapInArrow(run, f"id {kind}, host string, text_key long, {figures}, lines array<struct<hash:long,words:long>>")
 
 
 def _frequent(lines: DataFrame, max_host_docs: int) -> DataFrame:
     """``(host, hash)`` of the lines above the limit.
 
-    Pairs of a line and another line are reduced before the shuffle, and the
-    first grouping deals them by the pair, so that a line of a third of all
-    documents is spread over all tasks.
+    The first grouping deals rows by line and document, so that a line of a third
+    of all documents is spread over all tasks; each task then sends one count of it.
     """
-    pairs = lines.groupBy("host", "hash", "other").agg(F.lit(1).alias("one"))
+    pairs = lines.groupBy("host", "hash", "text_key").agg(F.lit(1).alias("one"))
     counts = pairs.groupBy("host", "hash").agg(F.count("*").alias("n_docs"))
     return counts.where(F.col("n_docs") > max_host_docs).select(F.col("host").alias("_host"), F.col("hash").alias("_hash"))
 
@@ -152,14 +148,17 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = gone.groupBy("id", "text_key").agg(F.collect_set("hash").alias("_cut"))  # a document's own lines at most
     kept = rows.where("kept").select("id", "text_key").distinct()
     kept = kept.join(cut.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "_cut"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    kept = kept.select(F.col("id").alias("_kept_id"), F.col("text_key").alias("_kept_key"), "_cut")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]) & (text_key(text_col) == kept["_kept_key"]))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_without_lines, "string")(F.col(text_col), F.col("_cut")))
-    out = out.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        changed = F.col("_cut").isNotNull()
-        out = out.withColumn("n_chars", F.when(changed, F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    # Own columns are kept as one struct, so that no name of theirs can clash.
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.col("_cut").alias("cut"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    was = F.col(f"own.`{text_col}`")
+    out = own.join(kept, F.col(f"own.`{id_col}`").eqNullSafe(F.col("kept_id")) & (text_key(was) == F.col("kept_key")))
+    out = out.withColumn("clean", F.when(F.col("cut").isNull(), was).otherwise(F.pandas_udf(_without_lines, "string")(was, F.col("cut"))))
+    columns = {c: F.col(f"own.`{c}`") for c in docs.columns}
+    columns[text_col] = F.col("clean")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("cut").isNotNull(), F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def _without_lines(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -179,20 +178,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _W = "[^\\x20\\x09-\\x0D]+"
 OP1_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
-l AS (SELECT rid, host, pos, line, regexp_extract_all(line, '{_W}') AS lw
-      FROM (SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
-lines AS (SELECT rid, host, line, len(lw) AS words,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+l AS (SELECT rid, host, digest, pos, line, regexp_extract_all(line, '{_W}') AS lw
+      FROM (SELECT rid, host, digest, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+lines AS (SELECT rid, host, digest, line, len(lw) AS words,
                  regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm
           FROM l WHERE len(lw) > 0),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY rid),
 tri AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS c
         FROM (SELECT rid, p, w[p:p + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3))),
-own AS (SELECT rid, any_value(host) AS host, md5(norm) AS hash, sum(words) AS words FROM lines GROUP BY rid, norm),
-least AS (SELECT rid, min(hash) AS m1, min(hash) FILTER (WHERE k = 2) AS m2 FROM (SELECT rid, hash, row_number() OVER (PARTITION BY rid ORDER BY hash) AS k FROM own) GROUP BY rid),
-freq AS (SELECT host, hash FROM (SELECT host, hash, CASE WHEN hash = m1 THEN coalesce(m2, '') ELSE m1 END AS other FROM own JOIN least USING (rid))
-         GROUP BY host, hash HAVING count(DISTINCT other) > {MAX_HOST_DOCS}),
-lost AS (SELECT rid, CAST(sum(words) AS BIGINT) AS n FROM own SEMI JOIN freq USING (host, hash) GROUP BY rid),
+own AS (SELECT rid, any_value(host) AS host, any_value(digest) AS digest, norm, sum(words) AS words FROM lines GROUP BY rid, norm),
+freq AS (SELECT host, norm FROM own GROUP BY host, norm HAVING count(DISTINCT digest) > {MAX_HOST_DOCS}),
+lost AS (SELECT rid, CAST(sum(words) AS BIGINT) AS n FROM own SEMI JOIN freq USING (host, norm) GROUP BY rid),
 reps AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest(range(p, p + 3)) AS q FROM tri WHERE c > 1) GROUP BY rid)
 SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= {MIN_LEFT_PERCENT} * n_words AS kept FROM (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

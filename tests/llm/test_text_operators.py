@@ -1,6 +1,5 @@
 """Quality rules, decontamination, SimHash and secrets against plain Python."""
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -35,11 +34,10 @@ def plain_rules(rows, limit):
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
         base = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed)
         per.append((r[0], host, norms, base))
-    seen = defaultdict(set)
-    digest = lambda n: hashlib.md5(n.encode()).hexdigest()
-    for _, host, norms, _ in per:
+    seen = defaultdict(set)  # the distinct texts that have a line
+    for r, (_, host, norms, _) in zip(rows, per, strict=True):
         for n in norms:
-            seen[host, n].add(min((digest(m) for m in norms if m != n), default=""))
+            seen[host, n].add(r[1])
     out = []
     for i, host, norms, base in per:
         lost = sum(k for n, k in norms.items() if len(seen[host, n]) > limit)
