@@ -9,8 +9,10 @@ has found it already. Where words are joined to a random string, the run's dense
 stretches of tokens are tested, and then its pieces between separators.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned one
-by one; empty tables give empty results; other columns stay as they are.
-Positions are code points, ends exclusive.
+by one; empty tables give empty results; other columns, whatever their names,
+stay as they are. Of very long texts the time grows in proportion to the length.
+Spans that start at one place are ordered by kind; a dense span never overlaps
+one of a pattern. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MARK = "<secret>"
 #: Least characters of a run that is tested, and the ratio below which it is a secret.
 MIN_RUN = 20
 MAX_RATIO = 2.0
+#: Characters of a part of a run that is no secret as a whole; parts are searched one by one.
+MAX_PART = 4096
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
@@ -50,7 +54,7 @@ _UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-
 _KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
-    r"|(?:[A-Za-z]*[0-9]*[-_/+=]+)*[A-Za-z]*[0-9]*"
+    r"|(?:[A-Za-z]*+[0-9]*+[-_/+=])*+[A-Za-z]*+[0-9]*+"
     r"|[0-9=_/+-]+)"
 )
 
@@ -120,10 +124,22 @@ def _densest(run: str, encoding, max_ratio: float) -> tuple[int, int] | None:
     return a, b
 
 
+def _parts(run: str) -> Iterator[tuple[int, int]]:
+    """A long run cut behind separators into parts, so that the time is in proportion to its length."""
+    start = 0
+    while len(run) - start > MAX_PART:
+        stop = max(run.rfind(x, start + MIN_RUN, start + MAX_PART) for x in _SEPARATORS) + 1 or start + MAX_PART
+        yield start, stop
+        start = stop
+    yield start, len(run)
+
+
 def _dense_within(run: str, encoding, max_ratio: float) -> list[tuple[int, int]]:
     """The secrets of a run: the whole, else dense stretches, and of what is left dense pieces between separators."""
     if _is_dense(run, encoding, max_ratio):
         return [(0, len(run))]
+    if len(run) > MAX_PART:
+        return [(start + a, start + b) for start, end in _parts(run) for a, b in _dense_within(run[start:end], encoding, max_ratio)]
     found = []
     todo = [(0, len(run))]
     while todo:
@@ -195,11 +211,15 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, vocabulary
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else without_secrets(t, mark, vocabulary, max_ratio) for t in texts], dtype=object)
 
-    out = docs.withColumn("_clean_text", F.pandas_udf(clean, "string")(text_col))
-    if "n_chars" in docs.columns:
-        same = F.col("_clean_text").eqNullSafe(F.col(text_col))
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("_clean_text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn(text_col, F.col("_clean_text")).select(*[f"`{c}`" for c in docs.columns])
+    # Own columns are kept as one struct, so that no name of theirs can clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    was = F.col(f"own.`{text_col}`")
+    own = own.withColumn("clean", F.pandas_udf(clean, "string")(was))
+    columns = {c: F.col(f"own.`{c}`") for c in docs.columns}
+    columns[text_col] = F.col("clean")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("clean").eqNullSafe(was), columns["n_chars"]).otherwise(F.char_length("clean").cast(docs.schema["n_chars"].dataType))
+    return own.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
