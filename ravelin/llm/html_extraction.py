@@ -5,17 +5,20 @@ the element they stand in, positive in content. The run with the greatest sum,
 found by one linear scan, is the content region. The weights are log odds from
 labelled pages, those that mark their content with ``article`` or ``main``
 elements: how often a tag, or a word in such an element, lies inside the marked
-content and outside. Elements that those pages do not have get default weights.
-Blocks of the region are kept unless they lie in a menu, form, advert or the
-like.
+content and outside. Elements that those pages do not have get default weights:
+words straight in a ``div`` or ``span`` score negative, in paragraphs and other
+elements of prose positive. What is inserted into an article, such as an advert
+or readers' comments, lies within the region and is left out of it afterwards.
 
-The weights are fitted on at most ``TRAIN_PAGES`` pages, those with the smallest
-hashes of their ids.
+The weights are fitted on at most ``train_pages`` pages, those with the smallest
+hashes of their ids, and are kept for the ``max_keys`` most frequent elements.
 
 Defined cases: a null or empty page, or one without words, has empty text;
 unclosed elements end with the page; unclosed comments and scripts hide the
-rest; repeated rows are read one by one; an empty table gives an empty result;
-other columns are not looked at.
+rest, and a tag that is not closed before the next one is no tag; of regions
+with equal sums the longest of the first is taken; repeated rows are read one by
+one; an empty table gives an empty result; other columns are not looked at. The
+time is in proportion to a page's length.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,13 +36,12 @@ from pyspark.sql import functions as F
 from .base import slices, table, texts_of
 
 TRAIN_PAGES = 2_000
-#: Element keys that the weights may have.
 MAX_KEYS = 5_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
@@ -50,13 +52,12 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _MARKED = frozenset(("article", "main"))
-#: Elements, and words in their class, id or role, that are no content.
+#: Elements of prose, whose words count as content where the labelled pages tell nothing.
+_PROSE = frozenset("article body blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup li main p pre section td th".split())
+#: Elements that are no content.
 _ASIDE_TAGS = frozenset("nav aside footer form button select menu dialog head title".split())
-_ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond search share "
-    "sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
-)
+#: Words in a class, id or role of what is inserted into articles: adverts, comments, offers to share.
+_INSERTED = frozenset("ad ads advert advertisement comment comments newsletter promo related share sponsored".split())
 
 
 class _Element:
@@ -70,7 +71,7 @@ class _Element:
         self.key = parent.key if inline and not names else f"{tag}.{names.split()[0]}" if names else tag
         marked = tag in _MARKED or "main" in words or "articlebody" in words
         self.marked = marked or (parent is not None and parent.marked)
-        aside = tag in _ASIDE_TAGS or (bool(words & _ASIDE_WORDS) and not marked)
+        aside = tag in _ASIDE_TAGS or (self.marked and not marked and bool(words & _INSERTED))
         aside = aside or (tag == "header" and not self.marked) or (parent is not None and parent.aside)
         # Of a header within the content only headings count.
         if parent is not None and parent.tag == "header" and parent.marked and not parent.aside and tag not in _HEADINGS:
@@ -84,6 +85,7 @@ def events(page: str) -> Iterator[tuple[str, str, _Element]]:
     """Text and tags in order: ("text", text, element it is in) or ("tag" or "inline", key, element)."""
     root = _Element("body", "", None)
     stack = [root]
+    opened: Counter[str] = Counter()  # by tag, so that what is not open is not looked for
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             yield "text", text, stack[-1]
@@ -95,29 +97,31 @@ def events(page: str) -> Iterator[tuple[str, str, _Element]]:
         kind = "inline" if tag in _INLINE else "tag"
         if m["close"]:
             top, key = stack[-1], tag
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    top = stack[k]
-                    key = top.key if kind == "tag" else tag
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                while len(stack) > 1:
+                    top = stack.pop()
+                    opened[top.tag] -= 1
+                    if top.tag == tag:
+                        break
+                key = top.key if kind == "tag" else tag
             yield kind, key, top
             continue
-        if kind == "tag" and tag not in _VOID:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in _INLINE:
-                    break
+        if kind == "tag" and tag not in _VOID and opened["p"]:
+            k = len(stack) - 1
+            while k > 0 and stack[k].tag in _INLINE:
+                k -= 1
+            if stack[k].tag == "p":  # a block ends an open paragraph
+                opened.subtract(e.tag for e in stack[k:])
+                del stack[k:]
         element = _Element(tag, m["attrs"] or "", stack[-1])
         yield kind, element.key if kind == "tag" else tag, element
         if tag not in _VOID and not (m["attrs"] or "").endswith("/"):
             stack.append(element)
+            opened[tag] += 1
 
 
-#: Weights where the labelled pages tell nothing: of words in asides and in other elements, and of tags.
-_ASIDE, _CONTENT, _TAG = -2.0, 1.0, -0.2
+#: Weights where the labelled pages tell nothing: of words in asides, in prose and in other elements, and of tags.
+_ASIDE, _CONTENT, _OTHER, _TAG = -2.0, 1.0, -1.0, -0.2
 
 
 class Weights:
@@ -131,7 +135,7 @@ class Weights:
             return 0.0  # left out later, and no reason to cut the content in two
         w = self.words.get(element.key)
         if w is None:
-            return _ASIDE if element.aside else _CONTENT
+            return _ASIDE if element.aside else _CONTENT if element.tag in _PROSE or element.tag in _INLINE else _OTHER
         return min(w, -0.5) if element.aside else w
 
     def tag(self, key: str, element: _Element) -> float:
@@ -153,8 +157,8 @@ def count_page(page: str, counts: dict) -> None:
             counts["tag", value][not inside] += 1
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Weights:
-    """Log odds from a bounded number of labelled pages."""
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES, max_keys: int = MAX_KEYS) -> Weights:
+    """Log odds from a bounded number of labelled pages, for a bounded number of element keys."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     chosen = pages.select(F.col(id_col).alias("_id"), order.alias("_order")).where("_id is not null").distinct().orderBy("_order", "_id").limit(train_pages)
 
@@ -170,7 +174,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train
     rows = pages.select(id_col, html_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(html_col)
     counted = rows.mapInArrow(run, "kind string, key string, inside long, outside long")
     counted = counted.groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    found = counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "key").limit(MAX_KEYS).collect()
+    found = counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "key").limit(max_keys).collect()
     words, tags = {}, {}
     for kind, key, inside, outside in found:
         odds = math.log((inside + 1) / (outside + 1))
