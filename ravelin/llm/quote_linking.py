@@ -1,11 +1,14 @@
 """Chat formatting by quotation linking: threads in reply order, without quotes.
 
 Lines that start with ``>`` are quoted, as often as the mark is repeated. Runs of
-lines of one level are passages; what is left is the message's own text. The
-norm of a passage (a-z for A-Z, single spaces) is hashed, whole and line by
-line, and joined to the hashes of other messages' own texts, paragraphs and
-lines. A whole passage goes before a single line, a message of the same
-conversation before others, an earlier one before a later one.
+lines of one level are passages; what is left, without the line that says who
+wrote what follows, is the message's own text. The norm of a passage (a-z for
+A-Z, single spaces) is hashed, whole, by paragraph and by line, and joined to the
+hashes of other messages' own texts, paragraphs and lines. A whole passage goes
+before a paragraph and that before a single line, a message of the same
+conversation before others, an earlier one before a later one. Messages of other
+conversations are linked by whole passages only, of ``far_words`` words and more,
+since single lines such as thanks are said in many.
 
 A message replies to the message that its first outermost quote links to, else
 to the one before it in its conversation. Only earlier messages, by conversation
@@ -17,7 +20,8 @@ Defined cases: null and empty texts have no passages and an empty own text; rows
 that repeat conversation and turn share a place in the tree, that of the least
 parent, and are returned one by one; rows without conversation or turn are their
 own threads; an empty table gives an empty result; other columns are not looked
-at.
+at. Very long messages are one row each; of equal passages the earliest message
+is linked, first by conversation, then by turn.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from .base import materialise, slices, table, texts_of
 
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
+#: The line before a quote that says whose it is.
+_WROTE = re.compile(r"[ \t]*On [^\n]{1,300} wrote:[ \t\r]*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Turns of a conversation that one task sorts together.
 TURNS = 1000
@@ -59,46 +65,71 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
         elif level == before:
             passages[-1][1].append(line[m.end() :])
         else:
+            if not before:
+                at = len(own) - 1
+                while at > 0 and not own[at].strip():
+                    at -= 1
+                if at >= 0 and _WROTE.fullmatch(own[at]):
+                    del own[at]
             passages.append((level, [line[m.end() :]]))
         before = level
     return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n"), [p for p in passages if any(x.strip() for x in p[1])]
 
 
+#: How much of a passage agrees.
+WHOLE, PARAGRAPH, LINE = range(3)
+
+
+def _paragraphs(text: str) -> list[str]:
+    return [x for x in re.split(r"\n[^\S\n]*\n", text) if x.strip()]
+
+
+def passage_hashes(lines: list[str]) -> list[tuple[int, int, int]]:
+    """The units of a passage as (unit, hash, words of the passage), each hash once."""
+    text = "\n".join(lines)
+    units = [(WHOLE, text), *((PARAGRAPH, x) for x in _paragraphs(text)), *((LINE, x) for x in lines if x.strip())]
+    seen: dict[int, int] = {}
+    for unit, x in units:
+        seen.setdefault(passage_hash(x), unit)
+    n = len(text.split())
+    return [(unit, h, n) for h, unit in seen.items()]
+
+
 def own_hashes(own: str) -> list[int]:
-    units = {own, *re.split(r"\n\s*\n", own), *own.split("\n")}
+    units = {own, *_paragraphs(own), *own.split("\n")}
     return sorted({passage_hash(x) for x in units if x.strip()})
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    quotes = pa.list_(pa.struct([("level", pa.int32()), ("hashes", pa.list_(pa.int64()))]))
+    quotes = pa.list_(pa.struct([("level", pa.int32()), ("hashes", pa.list_(pa.struct([("unit", pa.int32()), ("hash", pa.int64()), ("words", pa.int64())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 got = [parse(t) for t in texts_of(part)]
-                found = [[{"level": level, "hashes": [passage_hash("\n".join(lines)), *[passage_hash(x) for x in lines if x.strip()]]} for level, lines in p] for _, p in got]
+                found = [[{"level": level, "hashes": [dict(zip(("unit", "hash", "words"), x, strict=True)) for x in passage_hashes(lines)]} for level, lines in p] for _, p in got]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("conv"), part.column("turn"), part.column("role"), pa.array([o for o, _ in got], pa.string()), pa.array([own_hashes(o) for o, _ in got], pa.list_(pa.int64())), pa.array(found, quotes)],
                     ["conv", "turn", "role", "own_text", "own", "quotes"],
                 )
 
-    return messages.mapInArrow(run, "conv long, turn long, role string, own_text string, own array<long>, quotes array<struct<level:int,hashes:array<long>>>")
+    return messages.mapInArrow(run, "conv long, turn long, role string, own_text string, own array<long>, quotes array<struct<level:int,hashes:array<struct<unit:int,hash:long,words:long>>>>")
 
 
-def _linked(rows: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, far_words: int) -> DataFrame:
     """``(conv, turn, pos, level, to_conv, to_turn)`` of the passages that link."""
     own = rows.where("conv is not null and turn is not null").select(F.explode("own").alias("hash"), "conv", "turn")
     # One message stands for all that say the same, so that common texts don't multiply.
     near = own.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn"))
     far = near.groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("far"))
-    asked = rows.where("conv is not null and turn is not null").select("conv", "turn", F.posexplode("quotes").alias("pos", "quote")).distinct()
-    asked = asked.select("conv", "turn", "pos", "quote.level", F.posexplode("quote.hashes").alias("rank", "hash"))
+    asked = rows.where("conv is not null and turn is not null").select("conv", "turn", F.posexplode("quotes").alias("pos", "quote"))
+    asked = asked.select("conv", "turn", "pos", "quote.level", F.explode("quote.hashes").alias("x")).select("conv", "turn", "pos", "level", "x.*")
     found = asked.join(near, ["hash", "conv"], "left").join(far, "hash", "left")
     inner = F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv").alias("to_conv"), F.col("near_turn").alias("to_turn")))
-    outer = F.when(F.col("far.conv") < F.col("conv"), F.struct(F.col("far.conv").alias("to_conv"), F.col("far.near_turn").alias("to_turn")))
+    whole = (F.col("unit") == WHOLE) & (F.col("words") >= far_words)
+    outer = F.when(whole & (F.col("far.conv") < F.col("conv")), F.struct(F.col("far.conv").alias("to_conv"), F.col("far.near_turn").alias("to_turn")))
     to = F.coalesce(inner, outer)
-    whole = F.when(F.col("rank") == 0, 0).otherwise(1)
-    best = found.where(to.isNotNull()).groupBy("conv", "turn", "pos", "level").agg(F.min(F.struct(whole.alias("whole"), F.when(inner.isNotNull(), 0).otherwise(1).alias("outer"), "rank", to.alias("to"))).alias("best"))
+    best = found.where(to.isNotNull()).groupBy("conv", "turn", "pos", "level").agg(F.min(F.struct("unit", F.when(inner.isNotNull(), 0).otherwise(1).alias("outer"), to.alias("to"))).alias("best"))
     return best.select("conv", "turn", "pos", "level", "best.to.to_conv", "best.to.to_turn")
 
 
@@ -128,7 +159,7 @@ def _threads(parents: DataFrame) -> DataFrame:
     return done.select("conv", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
 
 
-def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", far_words: int = 1) -> DataFrame:
     """Each message without its quotes, and its place in its thread.
 
     ``(conv, turn, role, own_text, n_quotes, n_linked, max_level, parent_conv,
@@ -136,7 +167,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = materialise(_parsed(rows), "messages")
-    links = materialise(_linked(rows), "links")
+    links = materialise(_linked(rows, far_words), "links")
     nodes = rows.where("conv is not null and turn is not null").select("conv", "turn").distinct()
     first = links.groupBy("conv", "turn").agg(F.min(F.struct("level", "pos", "to_conv", "to_turn")).alias("to"), F.countDistinct("pos").alias("n_linked"))
     first = first.select("conv", "turn", "to.to_conv", "to.to_turn", "n_linked")
