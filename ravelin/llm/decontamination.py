@@ -12,7 +12,8 @@ they may be larger than memory: one block needs one pass over the documents.
 
 Defined cases: null and empty texts have no words and no hits; repeated
 documents are judged one by one; items that repeat an id count once; items
-without words are left out; empty tables give no hits.
+without words are left out; empty tables give no hits; other columns are not
+looked at. The time is in proportion to a text's length, however long it is.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .base import materialise, slices, table, text_key, texts_of
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one broadcast block; a worker's tables take some fifty times as much.
+BLOCK_BYTES = 2 << 20
 #: What is no word becomes a space; A-Z becomes a-z.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -41,16 +42,16 @@ def words_of(text: str) -> list[bytes]:
 class _OneLength:
     """Wu-Manber tables for test strings of ``m`` words."""
 
-    def __init__(self, m: int, strings: set[tuple[bytes, ...]]):
+    def __init__(self, m: int, strings: list[tuple[bytes, ...]]):
         self.m, self.block = m, min(2, m)
         self.most = m - self.block + 1
         self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
+        self.bucket: dict = {}
         for s in strings:
             for j in range(self.block, m + 1):
                 key = s[j - self.block : j] if self.block == 2 else s[j - 1]
                 self.shift[key] = min(self.shift.get(key, self.most), m - j)
-            self.bucket[key].append(s)
+            self.bucket.setdefault(key, []).append(s)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
         """Where each occurring string starts."""
@@ -75,14 +76,24 @@ class Searcher:
     """Finds the windows of benchmark items in lists of words."""
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
-        self.items: dict[tuple[bytes, ...], set] = defaultdict(set)
+        # A word is held once, however many windows have it, and so are the items of a window.
+        once: dict = {}
+        owners: dict[tuple[bytes, ...], tuple] = {}
         for item, text in items:
-            words = words_of(text or "")
+            words = [once.setdefault(w, w) for w in words_of(text or "")]
+            mine = once.setdefault((None, item), (item,))
             for k in range(max(1, len(words) - window + 1) if words else 0):
-                self.items[tuple(words[k : k + window])].add(item)
-        by_length: dict[int, set] = defaultdict(set)
-        for s in self.items:
-            by_length[len(s)].add(s)
+                s = tuple(words[k : k + window])
+                others = owners.get(s, ())
+                if not others:
+                    owners[s] = mine
+                elif item not in others:
+                    more = (*others, item)
+                    owners[s] = once.setdefault((None, *more), more)
+        self.items = owners
+        by_length: dict[int, list] = defaultdict(list)
+        for s in owners:
+            by_length[len(s)].append(s)
         self.tables = [_OneLength(m, strings) for m, strings in sorted(by_length.items())]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -91,7 +102,7 @@ class Searcher:
         for t in self.tables:
             for at, s in t.find(words):
                 runs.append((at, at + t.m))
-                found |= self.items[s]
+                found.update(self.items[s])
         return merge(runs), found
 
 
@@ -161,12 +172,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if item_type == "string":
         benchmark = benchmark.withColumn(item_col, F.col(item_col).cast("string"))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
-    passes = [_pass(docs, spark.sparkContext.broadcast(Searcher(rows, window)), item_type) for rows in item_blocks(benchmark, item_col, "text", block_bytes)]
+    passes: list[DataFrame] = []
+    blocks = item_blocks(benchmark, item_col, "text", block_bytes)
+    rows = next(blocks)
+    while rows is not None:
+        more = next(blocks, None)
+        tables = spark.sparkContext.broadcast(Searcher(rows, window))
+        one = _pass(docs, tables, item_type)
+        if passes or more is not None:  # of several blocks one is searched for after the other, so that workers hold one
+            one = materialise(one.withColumn("k", F.lit(len(passes))), "block-hits")
+            tables.unpersist()
+        passes.append(one)
+        rows = more
     found = passes[0]
     if len(passes) > 1:
         # Copies of a row have the same results, which a set holds once for each block.
-        for k, more in enumerate(passes):
-            found = more.withColumn("k", F.lit(k)) if not k else found.unionByName(more.withColumn("k", F.lit(k)))
+        for one in passes[1:]:
+            found = found.unionByName(one)
         found = found.groupBy("id", "text_key").agg(
             F.max("n_words").alias("n_words"),
             F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs"),
