@@ -11,7 +11,8 @@ runs follow-the-regularised-leader updates over its documents, and the weights
 of the shards are averaged. Rows held out by the hash of their id never train.
 
 Defined cases: null and empty texts are scored by the bias alone; an id labelled
-twice has the smaller label; without labelled rows every score is 0.5; labels
+twice has the smaller label, and of several texts with an id the one with the
+least hash trains; without labelled rows every score is 0.5; labels
 that are null, or of documents that are not there, are left out; repeated
 documents are scored one by one; an empty table gives an empty result.
 """
@@ -134,7 +135,8 @@ def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
             model.update(at, value, label)
     w = model.weights()
     at = np.nonzero(w)[0]
-    return pd.DataFrame({"slot": at.astype(np.int64), "weight": w[at]})
+    # Slot DIM counts the shards that had rows.
+    return pd.DataFrame({"slot": np.append(at, DIM), "weight": np.append(w[at], 1.0)})
 
 
 def _held_out(id_col: str):
@@ -148,12 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.select("_id", "label", order.alias("order")).orderBy("order", "_id").limit(max_train)
     # Two numbers for each of at most max_train rows are broadcast.
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-    rows = rows.dropDuplicates(["id", "order"]).select("text", F.col("label").cast("double").alias("label"), "order", F.pmod("order", F.lit(SHARDS)).alias("shard"))
+    # Of several texts with one id the one with the least hash trains.
+    rows = rows.groupBy("id", "order", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.select("text", F.col("label").cast("double").alias("label"), "order", F.pmod("order", F.lit(SHARDS)).alias("shard"))
     trained = rows.groupBy("shard").applyInPandas(lambda pdf: _train_shard(pdf), "slot long, weight double")
-    found = trained.groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()  # at most DIM rows
-    weights = np.zeros(DIM)
-    weights[found["slot"]] = found["weight"] / SHARDS
-    return weights
+    found = trained.groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()  # at most DIM rows and the count of shards
+    weights = np.zeros(DIM + 1)
+    weights[found["slot"]] = found["weight"]
+    return weights[:DIM] / max(1.0, weights[DIM])
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
