@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -29,16 +30,35 @@ def coordinate_distance(x1: Column, y1: Column, x2: Column, y2: Column, method:
     return known[method](x1, y1, x2, y2)
 
 
+def _positive(**options: float) -> None:
+    for name, value in options.items():
+        if value <= 0:
+            raise ValueError(f"{name} must be greater than zero")
+
+
+def _least(value: Column, least: float, message: str) -> Column:
+    """A value, or an error where it is below the least."""
+    return F.when(value < least, F.raise_error(F.lit(message)).cast("double")).otherwise(value)
+
+
+def _distance(distance: Column) -> Column:
+    return _least(distance, 0.0, "distances must not be negative")
+
+
 def power_decay(distance: Column, scale: float = 1.0, power: float = 2.0) -> Column:
-    return F.pow(1 + distance / scale, F.lit(-power))
+    _positive(scale=scale, power=power)
+    return F.pow(1 + _distance(distance) / scale, F.lit(-power))
 
 
 def exponential_decay(distance: Column, rate: float = 1.0) -> Column:
-    return F.exp(-rate * distance)
+    _positive(rate=rate)
+    return F.exp(-rate * _distance(distance))
 
 
 def gaussian_decay(distance: Column, sigma: float = 1.0) -> Column:
-    return F.exp(-(distance * distance) / (2.0 * sigma * sigma))
+    _positive(sigma=sigma)
+    d = _distance(distance)
+    return F.exp(-(d * d) / (2.0 * sigma * sigma))
 
 
 def decay(distance: Column, method: str = "power", *, scale: float = 1.0, power: float = 2.0, rate: float = 1.0, sigma: float = 1.0) -> Column:
@@ -102,15 +122,24 @@ def service_deficit(demand: Column, delivered: Column) -> Column:
 
 
 def headloss_hazen_williams(length: Column, flow: Column, diameter: Column, roughness: float = 130.0) -> Column:
-    return 10.67 * length * F.pow(flow / roughness, F.lit(1.852)) / F.pow(diameter, F.lit(4.87))
+    """Zero for pipes without diameter or roughness."""
+    if roughness <= 0:
+        return F.when(length.isNotNull() & flow.isNotNull() & diameter.isNotNull(), F.lit(0.0))
+    loss = 10.67 * length * F.pow(flow / roughness, F.lit(1.852)) / F.pow(F.nullif(diameter, F.lit(0.0)), F.lit(4.87))
+    return F.when(diameter <= 0, F.lit(0.0)).otherwise(loss)
 
 
 def aged_failure_rate(base: Column, age_years: Column, aging: float = 0.03) -> Column:
-    return base * F.exp(aging * age_years)
+    """Negative rates, ages and factors are errors."""
+    if aging < 0:
+        raise ValueError("the aging factor must not be negative")
+    return _least(base, 0.0, "failure rates must not be negative") * F.exp(aging * _least(age_years, 0.0, "ages must not be negative"))
 
 
 def expected_impact(probability: Column, consequence: Column) -> Column:
-    return probability * consequence
+    """Probabilities outside 0 to 1, and negative consequences, are errors."""
+    bad = (probability < 0) | (probability > 1) | (consequence < 0)
+    return F.when(bad, F.raise_error(F.lit("probabilities must be in 0 to 1 and consequences not negative")).cast("double")).otherwise(probability * consequence)
 
 
 def accessibility_score(supplies: Column, costs: Column, method: str = "power", **options: float) -> Column:
@@ -119,9 +148,11 @@ def accessibility_score(supplies: Column, costs: Column, method: str = "power",
 
 
 def resilience_index(redundancy: Column, recovery: Column, robustness: Column, deficit: Column, weights: Sequence[float] = (0.3, 0.25, 0.25, 0.2)) -> Column:
-    """Weighted scores with the deficit as a penalty, over the sum of weights."""
+    """Weighted scores less the weighted deficit, over the sum of weights."""
     a, b, c, d = weights
-    return (a * redundancy + b * recovery + c * robustness + d * (1 - deficit)) / sum(weights)
+    if min(weights) < 0 or sum(weights) == 0:
+        raise ValueError("weights must not be negative, and one must be greater than zero")
+    return (a * redundancy + b * recovery + c * robustness - d * deficit) / sum(weights)
 
 
 #: Metres, and cubic metres a second, in one of each unit.
@@ -152,7 +183,28 @@ def elo_expected(rating: Column, other: Column) -> Column:
 
 
 def margin_multiplier(difference: Column) -> Column:
-    return F.log(difference + 1) * 2.2 / (0.001 * difference + 2.2)
+    """How much a margin of victory counts; one without a margin."""
+    d = F.abs(difference)
+    return F.when(d == 0, F.lit(1.0)).otherwise(F.log(d + 1) * 2.2 / (0.001 * d + 2.2))
+
+
+def travel_penalty(km: Column, most: float = 0.15) -> Column:
+    """Nothing below 500 km, then with the logarithm up to ``most`` at 8000 km."""
+    return F.when(km < 500, F.lit(0.0)).otherwise(F.least(F.lit(most), most * F.log(km / 500) / math.log(16)))
+
+
+def normal_two_sided(z: Column) -> Column:
+    """The two-sided p-value of a standard normal statistic (rational approximation of erfc, error below 1.2e-7)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    poly = F.lit(_ERFC[-1])
+    for c in reversed(_ERFC[:-1]):
+        poly = poly * t + c
+    return t * F.exp(-x * x + poly)
+
+
+#: Coefficients of the approximation (Numerical Recipes, erfcc), in ascending powers.
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
 def ndvi(nir: Column, red: Column) -> Column:

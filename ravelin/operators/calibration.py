@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.equations import normal_two_sided
+
 
 def _inside(label: str) -> Column:
     return F.col(label).between(F.col("lower"), F.col("upper")).cast("double")
@@ -59,17 +61,23 @@ def feature_attribution(rows: DataFrame, sigma: str, features: list[str], top: i
 
 
 def runs_test(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """``(key, runs, n_above, n_below, z)``: runs above and below the median of each key's ordered values."""
+    """``(key, runs, n_above, n_below, expected, z, p_value)`` of each key's ordered values, at or above their median and below.
+
+    With fewer than ten values, or values on one side only, there is no z and the
+    p-value is one.
+    """
     middle = rows.groupBy(key).agg(F.median(value).alias("_m"))
     w = Window.partitionBy(key).orderBy(*order)
-    r = rows.join(middle, key).where(F.col(value) != F.col("_m")).withColumn("_up", F.col(value) > F.col("_m"))
+    r = rows.join(middle, key).withColumn("_up", F.col(value) >= F.col("_m"))
     r = r.withColumn("_new", F.coalesce((F.lag("_up").over(w) != F.col("_up")).cast("int"), F.lit(1)))
     out = r.groupBy(key).agg(F.sum("_new").alias("runs"), F.count_if("_up").alias("n_above"), F.count_if(~F.col("_up")).alias("n_below"))
-    a, b = F.col("n_above"), F.col("n_below")
+    a, b = F.col("n_above").cast("double"), F.col("n_below").cast("double")
     n = a + b
-    mean = 2 * a * b / n + 1
-    variance = (mean - 1) * (mean - 2) / F.nullif(n - 1, F.lit(0))
-    return out.withColumn("z", F.coalesce((F.col("runs") - mean) / F.nullif(F.sqrt(variance), F.lit(0.0)), F.lit(0.0)))
+    expected = 1 + 2 * a * b / n
+    variance = 2 * a * b * (2 * a * b - n) / (n * n * F.nullif(n - 1, F.lit(0.0)))
+    tested = (n >= 10) & (F.col("n_above") > 0) & (F.col("n_below") > 0)
+    z = F.when(tested, (F.col("runs") - expected) / F.sqrt(F.greatest(variance, F.lit(1e-12))))
+    return out.withColumns({"expected": F.when(tested, expected).otherwise(F.lit(0.0)), "z": z, "p_value": F.coalesce(normal_two_sided(z), F.lit(1.0))})
 
 
 def morans_i(values: DataFrame, pairs: DataFrame) -> DataFrame:

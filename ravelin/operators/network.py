@@ -1,15 +1,15 @@
 """Least-cost search and screens over networks as iterated joins.
 
 An edge table has ``edge_id, from_node, to_node, cost`` and, where needed,
-``capacity``. Every round joins the nodes whose cost got smaller with the edges
-and keeps the least cost of each node, until nothing changes; rounds are written
-out, so plans stay short and lost executors cost little. Costs have a total
+``capacity``. Every round goes a few edges on from the nodes whose cost got
+smaller and keeps the least cost of each node, until nothing changes; rounds are
+written out, so plans stay short and lost executors cost little. Costs have a total
 order with the predecessor's edge, so results don't depend on row order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.equations import stress_index
@@ -37,13 +37,20 @@ def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float | None = N
     """
     steps = edges.select("from_node", "to_node", F.when(F.col("cost") >= 0, F.col("cost")).otherwise(F.raise_error(F.lit("costs must not be negative")).cast("double")).alias("step"), F.col("edge_id").cast("string").alias("edge_id"))
     start = sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("edge_id")).distinct()
+    steps = settle(steps.withColumnRenamed("edge_id", "by"), "steps")
+    least = lambda df: df.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("new"))
+
+    def onward(df: DataFrame) -> DataFrame:
+        tried = df.join(steps, F.col("node") == F.col("from_node")).select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("by").alias("edge_id"))
+        return least(tried if max_cost is None else tried.where(F.col("cost") <= max_cost)).select("source", "node", "new.*")
+
     moved = settle(start, "costs")
     found = [moved]
     for _ in range(max_rounds):
-        tried = moved.join(steps, moved["node"] == steps["from_node"]).select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), steps["edge_id"].alias("edge_id"))
-        if max_cost is not None:
-            tried = tried.where(F.col("cost") <= max_cost)
-        tried = tried.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("new"))
+        hops = [onward(moved)]
+        for _ in range(_HOPS - 1):
+            hops.append(onward(hops[-1]))
+        tried = least(_union(hops))
         # Costs only fall, so the least of what the rounds have written is the best.
         best = _union(found).groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("best"))
         better = F.col("best").isNull() | (F.col("new.cost") < F.col("best.cost"))
@@ -54,8 +61,8 @@ def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float | None = N
     raise RuntimeError("the search did not end within the allowed rounds")
 
 
-#: Rounds whose rows are read one by one before they are written together.
-_ROUNDS = 16
+#: Rounds whose rows are read one by one before they are written together, and edges that a round goes on.
+_ROUNDS, _HOPS = 16, 4
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -70,11 +77,14 @@ def _compact(parts: list[DataFrame], merge=lambda df: df) -> list[DataFrame]:
 
 
 def _closure(start: DataFrame, step, keys: list[str]) -> DataFrame:
-    """All rows reached from ``start`` by ``step``, a round at a time; each round writes only what is new."""
+    """All rows reached from ``start`` by ``step``, a few steps a round; each round writes only what is new."""
     moved = settle(start.distinct(), "reached")
     found = [moved]
     while True:
-        moved = settle(step(moved).distinct().join(_union(found), keys, "left_anti"), "reached")
+        hops = [step(moved).distinct()]
+        for _ in range(_HOPS - 1):
+            hops.append(step(hops[-1]).distinct())
+        moved = settle(_union(hops).distinct().join(_union(found), keys, "left_anti"), "reached")
         if moved.isEmpty():
             return _union(found)
         found = _compact([*found, moved])
@@ -300,28 +310,9 @@ def landmark_bounds(edges: DataFrame, landmarks: DataFrame, pairs: DataFrame) ->
     return pairs.join(a, "origin").join(b, ["source", "target"]).groupBy("origin", "target").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("bound"))
 
 
-def ring_redundancy(edges: DataFrame, hub, nodes: DataFrame) -> DataFrame:
-    """``(node, redundant)``: two edges at least, and no single edge whose cut parts the node from the hub."""
-    spark = edges.sparkSession
-    kind = edges.schema["from_node"].dataType
-    two_way = both_ways(edges)
-    start = spark.range(1).select(F.lit(hub).cast(kind).alias("node"))
-    cases = edges.select(F.col("edge_id").cast("string").alias("case")).distinct()
-    step = two_way.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
-    walk = lambda df: df.join(step, (df["node"] == step["from_node"]) & (df["case"] != step["edge_id"])).select("case", F.col("to_node").alias("node"))
-    kept = _closure(cases.join(F.broadcast(start), how="cross"), walk, ["case", "node"])  # one hub for each case
-    n_cases = cases.agg(F.count("*").alias("n_cases"))
-    seen = kept.groupBy("node").agg(F.count("*").alias("n_seen"))
-    degree = two_way.where("from_node <> to_node").groupBy(F.col("from_node").alias("node")).agg(F.count("*").alias("degree"))
-    out = nodes.select("node").distinct().join(seen, "node", "left").join(degree, "node", "left").join(F.broadcast(n_cases))
-    return out.select("node", (F.coalesce(F.col("n_seen") == F.col("n_cases"), F.lit(False)) & F.coalesce(F.col("degree") >= 2, F.lit(False))).alias("redundant"))
-
-
-def cut_matrix(circuits: DataFrame) -> DataFrame:
-    """``(edge_id, n_lost, circuits)`` of ``(circuit, edge_id)``: what a cut of each edge loses; the first ten are named."""
-    pairs = circuits.select("edge_id", "circuit").distinct()
-    named = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("edge_id").orderBy("circuit")))
-    return named.groupBy("edge_id").agg(F.count("*").alias("n_lost"), F.array_sort(F.collect_list(F.when(F.col("_k") <= 10, F.col("circuit")))).alias("circuits"))
+def shared_fate(circuits: DataFrame) -> DataFrame:
+    """``(edge_id, n_lost)`` of ``(circuit, edge_id)``: how many circuits use each edge and are lost with it."""
+    return circuits.select("edge_id", "circuit").distinct().groupBy("edge_id").agg(F.count("*").alias("n_lost"))
 
 
 def priority_order(projects: DataFrame, benefit: Column, cost: Column, name: str) -> DataFrame:

@@ -44,10 +44,11 @@ def detector_scores(s: DataFrame, size: int = 5, warm_up: int = 5) -> DataFrame:
     return out.where(F.col("position") > warm_up)
 
 
-def mad_scores(s: DataFrame, size: int = 30, warm_up: int = 5) -> DataFrame:
-    """0.6745 |x - median| / MAD over a bounded run of earlier values; zero where MAD is zero."""
+def mad_scores(s: DataFrame, size: int | None = None, warm_up: int = 5) -> DataFrame:
+    """0.6745 |x - median| / MAD over all earlier values, or the last ``size`` of them; zero where MAD is zero."""
+    start = Window.unboundedPreceding if size is None else -size
     middle = lambda a: (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.floor((F.size(a) + 2) / 2).cast("int"))) / 2
-    s = s.withColumn("_past", F.array_sort(F.collect_list("value").over(_w().rowsBetween(-size, -1)))).where(F.col("position") > warm_up)
+    s = s.withColumn("_past", F.array_sort(F.collect_list("value").over(_w().rowsBetween(start, -1)))).where(F.col("position") > warm_up)
     s = s.withColumn("_median", middle(F.col("_past")))
     s = s.withColumn("_mad", middle(F.array_sort(F.transform("_past", lambda v: F.abs(v - F.col("_median"))))))
     score = F.when(F.col("_mad") > 0, 0.6745 * F.abs(F.col("value") - F.col("_median")) / F.col("_mad")).otherwise(F.lit(0.0))
@@ -61,10 +62,10 @@ def anomalies(s: DataFrame, threshold: float = 2.5, size: int = 5, warm_up: int
 def detector_quality(flags: DataFrame, flag: str, truth: str) -> DataFrame:
     """Counts, precision, recall and F1; F1 from the rounded two."""
     counted = flags.agg(F.count_if(F.col(flag) & F.col(truth)).alias("tp"), F.count_if(F.col(flag) & ~F.col(truth)).alias("fp"), F.count_if(~F.col(flag) & F.col(truth)).alias("fn"))
-    ratio = lambda a, b: F.when(F.col("tp") + F.col(b) > 0, F.round(F.col(a) / F.nullif(F.col("tp") + F.col(b), F.lit(0)), 4)).otherwise(F.lit(0.0))
+    ratio = lambda a, b: F.when(F.col("tp") + F.col(b) > 0, F.round(F.col(a) / F.nullif(F.col("tp") + F.col(b), F.lit(0)), 2)).otherwise(F.lit(0.0))
     counted = counted.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
     p, r = F.col("precision"), F.col("recall")
-    return counted.withColumn("f1", F.when(p + r > 0, F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 4)).otherwise(F.lit(0.0)))
+    return counted.withColumn("f1", F.when(p + r > 0, F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 2)).otherwise(F.lit(0.0)))
 
 
 def candidate_forecasts(s: DataFrame, size: int = 3, season: int = 4) -> DataFrame:

@@ -66,7 +66,7 @@ def station_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def station_mad(spark: SparkSession, d: str) -> DataFrame:
-    return series.mad_scores(_stations(spark, d), 15).select("key", "position", F.round("mad_score", 4).alias("mad_score"))
+    return series.mad_scores(_stations(spark, d)).select("key", "position", F.round("mad_score", 4).alias("mad_score"))
 
 
 def detector_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -222,12 +222,12 @@ SELECT o_custkey, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d')
     "rolling_means": f"WITH {_M} SELECT key, position, round(mean, 7) AS mean FROM (SELECT *, avg(value) OVER (PARTITION BY key ORDER BY position ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mean FROM m) WHERE position >= 6",
     "station_scores": f"{_SCORES} SELECT key, position, round(z, 4) + 0.0 AS z, round(rolling_z, 4) + 0.0 AS rolling_z, round(change_z, 4) + 0.0 AS change_z FROM z",
     "station_mad": f"""
-WITH {_E}, p AS (SELECT a.key, a.position, a.value, b.value AS past FROM e a JOIN e b ON a.key = b.key AND b.position BETWEEN a.position - 15 AND a.position - 1 WHERE a.position > 5),
+WITH {_E}, p AS (SELECT a.key, a.position, a.value, b.value AS past FROM e a JOIN e b ON a.key = b.key AND b.position < a.position WHERE a.position > 5),
 q AS (SELECT key, position, value, past, median(past) OVER (PARTITION BY key, position) AS med FROM p),
 r AS (SELECT key, position, any_value(value) AS value, any_value(med) AS med, median(abs(past - med)) AS mad FROM q GROUP BY key, position)
 SELECT key, position, CASE WHEN mad > 0 THEN round(0.6745 * abs(value - med) / mad, 4) ELSE 0.0::DOUBLE END AS mad_score FROM r""",
     "detector_quality": f"""{_SCORES}, k AS (SELECT count(*) FILTER (abs(rolling_z) >= 2.5 AND value > 100) AS tp, count(*) FILTER (abs(rolling_z) >= 2.5 AND NOT value > 100) AS fp, count(*) FILTER (NOT abs(rolling_z) >= 2.5 AND value > 100) AS fn FROM z),
-pr AS (SELECT *, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall FROM k) SELECT *, round(2 * precision * recall / (precision + recall), 4) AS f1 FROM pr""",
+pr AS (SELECT *, round(tp / (tp + fp), 2) AS precision, round(tp / (tp + fn), 2) AS recall FROM k) SELECT *, round(2 * precision * recall / (precision + recall), 2) AS f1 FROM pr""",
     "forecast_leaderboard": f"""
 WITH {_M}, f AS (SELECT *, lag(value) OVER w AS last_value, (lag(value) OVER w + lag(value, 2) OVER w + lag(value, 3) OVER w) / 3 AS trailing_mean,
   lag(value) OVER w + (lag(value) OVER w - first_value(value) OVER w) / nullif(position - 2, 0) AS drift, lag(value, 4) OVER w AS seasonal_naive, max(position) OVER (PARTITION BY key) AS n FROM m WINDOW w AS (PARTITION BY key ORDER BY position)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.equations import _ERFC
 from ..operators import calibration, network, spatial, statistics
 from ..session import table
 from .network import _ALL, grid
@@ -44,7 +45,7 @@ def attribution(spark: SparkSession, d: str) -> DataFrame:
 
 def station_runs(spark: SparkSession, d: str) -> DataFrame:
     out = calibration.runs_test(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
-    return out.select("user_id", "runs", "n_above", "n_below", F.round("z", 6).alias("z"))
+    return out.select("user_id", "runs", "n_above", "n_below", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"))
 
 
 def supplier_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +89,7 @@ def grid_landmarks(spark: SparkSession, d: str) -> DataFrame:
 def supplier_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Orders that are lost if a supplier fails."""
     c = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("edge_id"), F.col("l_orderkey").alias("circuit"))
-    return network.cut_matrix(c).select("edge_id", "n_lost")
+    return network.shared_fate(c)
 
 
 def project_priorities(spark: SparkSession, d: str) -> DataFrame:
@@ -115,11 +116,13 @@ SQL = {
     "coverage_levels": f"WITH {_I}, q AS (SELECT unnest([0.5::DOUBLE, 0.8, 0.9]) AS level, unnest(quantile_cont(score, [0.5, 0.8, 0.9])) AS q FROM i WHERE l_orderkey % 2 = 0) SELECT level, round(avg(CASE WHEN score <= q THEN 1.0 ELSE 0.0 END), 6) AS actual FROM i, q WHERE l_orderkey % 2 <> 0 GROUP BY level",
     "quantile_loss": f"WITH {_I} SELECT round(avg(greatest(0.9 * (label - upper), -0.1 * (label - upper))), 3) AS pinball, round(avg(greatest(lower - label, label - upper)), 3) AS cqr FROM i",
     "attribution": f"WITH {_I}, c AS (SELECT 'l_quantity' AS feature, corr(half, l_quantity) AS c FROM i UNION ALL SELECT 'l_discount', corr(half, l_discount) FROM i UNION ALL SELECT 'l_tax', corr(half, l_tax) FROM i) SELECT feature, round(c, 6) AS correlation FROM c ORDER BY abs(c) DESC, feature LIMIT 2",
-    "station_runs": """
-WITH m AS (SELECT user_id, median(value) AS m FROM events GROUP BY 1), u AS (SELECT user_id, ts, event_id, value > m AS up FROM events JOIN m USING (user_id) WHERE value <> m),
+    "station_runs": f"""
+WITH m AS (SELECT user_id, median(value) AS m FROM events GROUP BY 1), u AS (SELECT user_id, ts, event_id, value >= m AS up FROM events JOIN m USING (user_id)),
 n AS (SELECT *, CASE WHEN lag(up) OVER (PARTITION BY user_id ORDER BY ts, event_id) = up THEN 0 ELSE 1 END AS new FROM u),
-r AS (SELECT user_id, CAST(sum(new) AS BIGINT) AS runs, count(*) FILTER (up) AS a, count(*) FILTER (NOT up) AS b FROM n GROUP BY 1), s AS (SELECT *, 2 * a * b / (a + b) + 1 AS mean FROM r)
-SELECT user_id, runs, a AS n_above, b AS n_below, round((runs - mean) / sqrt((mean - 1) * (mean - 2) / (a + b - 1)), 6) AS z FROM s""",
+r AS (SELECT user_id, CAST(sum(new) AS BIGINT) AS runs, count(*) FILTER (up) AS a, count(*) FILTER (NOT up) AS b FROM n GROUP BY 1),
+s AS (SELECT *, CASE WHEN a + b >= 10 AND a > 0 AND b > 0 THEN (runs - 1 - 2.0 * a * b / (a + b)) / sqrt(greatest(2.0 * a * b * (2.0 * a * b - a - b) / (pow(a + b, 2) * (a + b - 1)), 1e-12)) END AS z FROM r),
+t AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM s)
+SELECT user_id, runs, a AS n_above, b AS n_below, round(z, 6) AS z, round(coalesce(t * exp(-x * x + ({" + ".join(f"({c}) * pow(t, {k})" for k, c in enumerate(_ERFC))})), 1.0), 6) AS p_value FROM t""",
     "supplier_autocorrelation": f"""
 WITH p AS (SELECT s, t FROM (SELECT a.s_suppkey AS s, b.s_suppkey AS t, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY {_D}, CAST(b.s_suppkey AS VARCHAR)) AS k FROM {_S} a, {_S} b WHERE a.s_suppkey <> b.s_suppkey) WHERE k <= 3),
 m AS (SELECT avg(s_acctbal) AS m, count(*) AS n, var_pop(s_acctbal) AS v FROM supplier), c AS (SELECT s_suppkey AS id, s_acctbal - m AS c FROM supplier, m),
