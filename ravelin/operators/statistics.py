@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import quantile_at, value_ranks
+
 
 def conformal_quantiles(scores: DataFrame, group: str, score: str, alpha: float = 0.1) -> DataFrame:
-    """``(group, quantile, n)``: the interpolated quantile of scores at ceil((n + 1)(1 - alpha)) / n.
+    """``(group, quantile, n)``: the interpolated quantile of scores at ceil((n + 1)(1 - alpha)) / n, above one the greatest score.
 
-    The level depends on a group's size, so two ranked rows are blended instead
-    of collecting the group; above one the quantile is the greatest score.
+    Scores are ranked in ranges over all groups, so no task holds a group.
     """
-    ranked = scores.where(F.col(score).isNotNull()).select(F.col(group).alias("_g"), F.col(score).alias("_s"))
-    ranked = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("_s")))
-    size = ranked.groupBy("_g").agg(F.count("*").alias("_n"))
-    level = F.least(F.lit(1.0), F.ceil((F.col("_n") + 1) * (1 - alpha)) / F.col("_n"))
-    at = ranked.join(size, "_g").withColumn("_at", (F.col("_n") - 1) * level)
-    near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_at") - (F.col("_k") - 1)))
-    return at.where(near > 0).groupBy("_g", "_n").agg((F.sum(F.col("_s") * near) / F.sum(near)).alias("quantile")).select(F.col("_g").alias(group), "quantile", F.col("_n").alias("n"))
+    rows = scores.where(F.col(score).isNotNull()).select(F.col(group).alias("_g"), F.col(score).cast("double").alias("_s"))
+    level = F.least(F.lit(1.0), F.ceil((F.col("size") + 1) * (1 - alpha)) / F.col("size"))
+    return quantile_at(value_ranks(rows, ["_g"], "_s"), ["_g"], "_s", level).select(F.col("_g").alias(group), "quantile", "n")
 
 
 def conformal_intervals(rows: DataFrame, quantiles: DataFrame, group: str, prediction: str, sigma: str | None = None) -> DataFrame:
@@ -131,11 +128,12 @@ def e_value(ratio: Column) -> Column:
 
 
 def gini(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Gini of values clamped at zero, per group."""
-    v = df.select(F.col(group).alias("_g"), F.greatest(F.lit(0.0), F.col(value)).alias("_v"))
-    v = v.withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("_v")))
-    n, total = F.count("*"), F.sum("_v")
-    g = F.when(total > 0, 2 * F.sum(F.col("_k") * F.col("_v")) / F.nullif(n * total, F.lit(0.0)) - (n + 1) / n).otherwise(F.lit(0.0))
+    """Gini of values clamped at zero, per group; values are ranked in ranges over all groups."""
+    v = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.greatest(F.lit(0.0), F.col(value).cast("double")).alias("_v"))
+    v = value_ranks(v, ["_g"], "_v")
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col("_v"))
+    weighted = F.sum(F.col("_v") * (F.col("n") * F.col("before") + F.col("n") * (F.col("n") + 1) / 2))
+    g = F.when(total > 0, 2 * weighted / F.nullif(n * total, F.lit(0.0)) - (n + 1) / n).otherwise(F.lit(0.0))
     return v.groupBy("_g").agg(g.alias("gini")).select(F.col("_g").alias(group), "gini")
 
 
