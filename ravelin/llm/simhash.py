@@ -80,7 +80,7 @@ _MOST_WORDS = 250_000
 
 
 class _Words(dict):
-    """The 64-bit hash of each word seen."""
+    """The 64-bit hash of each word seen by a task."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > _MOST_WORDS:
@@ -89,9 +89,7 @@ class _Words(dict):
         return value
 
 
-@cache
-def _words() -> _Words:
-    return _Words()
+_words = _Words()
 
 
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -107,7 +105,7 @@ def shingle_set(text: str) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(1, np.uint64)
-    own = np.fromiter(map(_words().__getitem__, words), np.uint64, n)
+    own = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     size = min(SIGNATURE_SHINGLE, n)
     shingles = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
@@ -229,10 +227,11 @@ def _in_groups(columns, links, group: list[str]):
                 held = {k: np.concatenate([held[k], v]) for k, v in more.items()} if held else more
             if not held:
                 continue
-            n = len(held["node"])
-            new = np.zeros(n, bool)
-            for k in group:
-                new[1:] |= held[k][1:] != held[k][:-1]
+            new = _changes(held, group)
+            other = new | _changes(held, ["node"])  # a node that is there twice in a row counts once
+            other[:1] = True
+            held = {k: v[other] for k, v in held.items()}
+            new, n = new[other], len(held["node"])
             cuts = [0, *np.nonzero(new)[0].tolist(), n]
             whole = cuts if batch is None else cuts[:-1]  # the last group may go on in the next batch
             found = [links({k: v[x:y] for k, v in held.items()}) for x, y in zip(whole, whole[1:], strict=False) if y - x > 1]
@@ -243,6 +242,14 @@ def _in_groups(columns, links, group: list[str]):
     return run
 
 
+def _changes(rows: dict[str, np.ndarray], columns: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before in any of the columns."""
+    new = np.zeros(len(rows["node"]), bool)
+    for k in columns:
+        new[1:] |= rows[k][1:] != rows[k][:-1]
+    return new
+
+
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -384,9 +391,10 @@ def _confirmed(sets: DataFrame, pair_rows: int) -> DataFrame:
 
     # A large group is dealt into blocks; pairs of blocks together hold every pair of nodes.
     blocks = F.when(F.col("n") <= pair_rows, 1).otherwise(F.ceil(2 * F.col("n") / pair_rows)).cast("int")
-    rows = sets.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("group", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "shingles")
-    dealt = rows.repartition(shuffle_partitions(sets.sparkSession), *_PAIR).sortWithinPartitions(*_PAIR)
+    rows = sets.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    order = [*_PAIR, "node"]
+    dealt = rows.repartition(shuffle_partitions(sets.sparkSession), *_PAIR).sortWithinPartitions(*order)
     return dealt.mapInArrow(_in_groups(columns, links, _PAIR), "u long, v long")
 
 
@@ -403,28 +411,36 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 sets = [shingle_set(t) for t in texts_of(part)]
                 keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array([node_of(x) for x in sets], pa.int64()), keys], [id_col, "text_key", "node", "keys"])
+        _words.clear()
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_set(t).tobytes() for t in texts_of(part)], pa.binary())], ["node", "shingles"])
+                sets = [shingle_set(t) for t in texts_of(part)]
+                # The row was found by a hash of its id and text; the node tells whether it is the right one.
+                right = pa.array([node_of(x) == node for x, node in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
+                columns = [*(part.column(k) for k in ("node", "group", "n")), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "group", "n", "shingles"]).filter(right)
+        _words.clear()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
     rows = materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, text_key long, node long, keys array<long>"), "signatures")
-    # Texts with one set of shingles are one node.
-    nodes = materialise(rows.groupBy("node").agg(F.min(id_col).alias("least_id"), F.min("text_key").alias("node_key"), F.first("keys").alias("keys")), "nodes")
+    row_key = lambda name: F.xxhash64(F.col(name), F.col("text_key"))
+    # Texts with one set of shingles are one node, for which one row's text is read again.
+    nodes = rows.groupBy("node").agg(F.min(id_col).alias("least_id"), F.min(row_key(id_col)).alias("row_key"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes, "nodes")
     keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Candidates are the nodes that keys connect; each one's set is read once and compared with all of its group.
     groups = components(keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("root", "group")
     groups = materialise(groups, "candidates")
-    wanted = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group").join(nodes.select("node", "node_key"), "node")
+    wanted = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group").join(nodes.select("node", "row_key"), "node")
     wanted = materialise(wanted, "wanted")
-    texts = docs.select(F.col(text_col).alias("text"), text_key(text_col).alias("text_key")).join(wanted.select("node", "node_key"), F.col("text_key") == F.col("node_key"))
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(as_sets, "node long, shingles binary").join(wanted.drop("node_key"), "node")
-    roots = components(_confirmed(sets, pair_rows)).withColumnRenamed("node", "_node")
-    classed = materialise(nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "classes")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    texts = texts.select("text", row_key("id").alias("row_key")).join(wanted, "row_key").select("node", "group", "n", "text")
+    sets = texts.mapInArrow(as_sets, "node long, group long, n long, shingles binary")
+    roots = components(_confirmed(sets, pair_rows))
+    classed = materialise(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "classes")
     first = materialise(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
     return rows.select(id_col, "text_key", "node").join(classed.join(first, "root").select("node", "root", "component_id"), "node").select(id_col, "text_key", "root", "component_id")
 
@@ -433,17 +449,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each component of ``found``, by default of ``similar_documents``; all columns.
 
     It is a row of the least id; of several texts with that id the one with the
-    least hash, and of rows that repeat both a least one.
+    least hash, and of rows that repeat both the one that is least as JSON.
     """
     found = similar_documents(docs, id_col, text_col) if found is None else found
     found = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("root", F.col(id_col).alias("_keep_id")).agg(F.min("text_key").alias("_keep_key"), F.count("*").alias("_n")).drop("root")
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep_id"]) & (text_key(text_col) == keep["_keep_key"]))
-    once = kept.where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
-    # Only rows that are repeated go through a grouping, of which a least one is kept.
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    more = kept.where("_n > 1").groupBy("_keep_id", "_keep_key").agg(F.min(whole).alias("_least"))
-    return once.unionByName(more.select(*[F.col(f"_least.`{c}`").alias(c) for c in docs.columns]))
+    keep = found.groupBy("root", F.col(id_col).alias("keep_id")).agg(F.min("text_key").alias("keep_key"), F.count("*").alias("n")).drop("root")
+    # Own columns are kept as one struct, so that no name of theirs can clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    kept = own.join(keep, F.col(f"own.`{id_col}`").eqNullSafe(F.col("keep_id")) & (text_key(F.col(f"own.`{text_col}`")) == F.col("keep_key")))
+    # Only rows that are repeated go through a grouping, of which the one that is least as JSON is kept.
+    more = kept.where("n > 1").groupBy("keep_id", "keep_key").agg(F.min_by("own", F.to_json("own")).alias("own"))
+    return kept.where("n = 1").select("own.*").unionByName(more.select("own.*"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Parts kept that have been seen in two batches, and in one.
-_MOST_PARTS, _MOST_NEW = 400_000, 450_000
+_MOST_PARTS, _MOST_NEW = 250_000, 300_000
 _JOIN = 2000
 #: Parts that can't touch a mark between them: no white space or control character within.
 _PLAIN = re.compile(r" ?[^\s\x00-\x20\x7f-\xa0]+")
