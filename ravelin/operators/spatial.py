@@ -8,11 +8,14 @@ are between centroids, columns ``x`` and ``y``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import equations, geometry
 from ..session import settle
+from .tables import aggregate
 
 
 def query_bounds(df: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, mode: str = "intersects", geometry_col: str = "geometry") -> DataFrame:
@@ -38,77 +41,132 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _near_cells(df: DataFrame, size: float) -> DataFrame:
-    """Each row in its own cell and the eight around it."""
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return df.withColumn("_cx", F.explode(F.transform(around, lambda k: _cell(F.col("x"), size) + k))).withColumn("_cy", F.explode(F.transform(around, lambda k: _cell(F.col("y"), size) + k)))
+#: Coordinates that rows meet by: the plane's, or those of the sphere's surface in space.
+_AXES = {"euclidean": ["x", "y"], "haversine": ["_u", "_v", "_w"]}
+
+
+def _placed(df: DataFrame, method: str) -> DataFrame:
+    """Rows with the coordinates of the method; on the sphere x and y are degrees of longitude and latitude."""
+    if method not in _AXES:
+        raise ValueError(f"unknown distance method: {method}")
+    if method == "euclidean":
+        return df
+    lon, lat, r = F.radians("x"), F.radians("y"), equations.EARTH_RADIUS_KM
+    return df.withColumns({"_u": r * F.cos(lat) * F.cos(lon), "_v": r * F.cos(lat) * F.sin(lon), "_w": r * F.sin(lat)})
+
+
+def _straight(distance: float, method: str) -> float:
+    """The length of the straight line through the sphere for a distance on it."""
+    if method == "euclidean":
+        return distance
+    r = equations.EARTH_RADIUS_KM
+    return 2 * r * math.sin(min(distance / (2 * r), math.pi / 2))
 
 
-def _sides(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
-    return left.select(F.col(left_id).alias("left_id"), "x", "y"), right.select(F.col(right_id).alias("right_id"), "x", "y")
+def _sides(left: DataFrame, right: DataFrame, left_id: str, right_id: str, method: str = "euclidean") -> tuple[DataFrame, DataFrame]:
+    axes = list(dict.fromkeys(["x", "y", *_AXES.get(method, [])]))
+    one, two = left.select(F.col(left_id).alias("left_id"), "x", "y"), right.select(F.col(right_id).alias("right_id"), "x", "y")
+    return _placed(one, method).select("left_id", *axes), _placed(two, method).select("right_id", *axes)
 
 
-def _pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of centroids that may be within ``size``, with their distance."""
-    a = left.withColumns({"_cx": _cell(F.col("x"), size), "_cy": _cell(F.col("y"), size)})
-    b = _near_cells(right, size).withColumnsRenamed({"x": "_rx", "y": "_ry"})
-    met = a.join(b, ["_cx", "_cy"])
-    return met.select("left_id", "right_id", equations.euclidean_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry")).alias("distance"))
+def _pairs(left: DataFrame, right: DataFrame, size: float, method: str = "euclidean") -> DataFrame:
+    """Pairs of centroids that may be within ``size`` as the crow flies, with their distance and that straight one."""
+    axes = _AXES[method]
+    cells = [f"_c{k}" for k in range(len(axes))]
+    around = lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _cell(F.col(x), size) + k)
+    a = left.withColumns({c: _cell(F.col(x), size) for c, x in zip(cells, axes, strict=True)})
+    b = right
+    for c, x in zip(cells, axes, strict=True):  # each row in its own cell and those around it
+        b = b.withColumn(c, F.explode(around(x)))
+    names = list(dict.fromkeys(["x", "y", *axes]))
+    met = a.join(b.withColumnsRenamed({x: f"_r{x}" for x in names}), cells)
+    straight = F.sqrt(sum(((F.col(x) - F.col(f"_r{x}")) * (F.col(x) - F.col(f"_r{x}")) for x in axes), F.lit(0.0)))
+    distance = equations.coordinate_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"), method)
+    return met.select("left_id", "right_id", distance.alias("distance"), straight.alias("_straight"))
 
 
-def proximity_join(left: DataFrame, right: DataFrame, max_distance: float, left_id: str, right_id: str) -> DataFrame:
-    """All pairs within a distance: ``(left_id, right_id, distance)``."""
+def _keep_left(pairs: DataFrame, left: DataFrame, left_id: str, how: str) -> DataFrame:
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
+    return pairs if how == "inner" else left.select(F.col(left_id).alias("left_id")).distinct().join(pairs, "left_id", "left")
+
+
+def proximity_join(left: DataFrame, right: DataFrame, max_distance: float, left_id: str, right_id: str, how: str = "inner", method: str = "euclidean") -> DataFrame:
+    """All pairs within a distance: ``(left_id, right_id, distance)``; with ``how="left"`` also left rows without any."""
     if max_distance <= 0:
         raise ValueError("the distance must be positive")
-    return _pairs(*_sides(left, right, left_id, right_id), max_distance).where(F.col("distance") <= max_distance)
+    # A little more than the straight line, against rounding; the exact distance decides.
+    found = _pairs(*_sides(left, right, left_id, right_id, method), _straight(max_distance, method) * (1 + 1e-9) + 1e-9, method).where(F.col("distance") <= max_distance)
+    return _keep_left(found.select("left_id", "right_id", "distance"), left, left_id, how)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, max_distance: float | None = None, exclude_self: bool = False) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, max_distance: float | None = None, exclude_self: bool = False, how: str = "inner", method: str = "euclidean") -> DataFrame:
     """The k nearest rows of ``right``: ``(left_id, right_id, distance, rank)``, ties by the text of the id.
 
     Exact: a left row is done when its k-th match lies within the radius of the
     search; for the others the radius is doubled. Past the largest possible
-    distance every row is done.
+    distance every row is done. With ``how="left"`` left rows without a match
+    stay. Distances on the sphere grow with straight ones, which are searched by.
     """
     spark = left.sparkSession
-    a, b = _sides(left, right, left_id, right_id)
-    extent = a.select("x", "y").union(b.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
+    a, b = _sides(left, right, left_id, right_id, method)
+    axes = _AXES[method]
+    spans = a.select(*axes).union(b.select(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
     n = b.count()
-    if not n or not extent[2]:
-        return spark.createDataFrame([], f"left_id {dict(a.dtypes)['left_id']}, right_id {dict(b.dtypes)['right_id']}, distance double, rank int")
-    furthest = ((extent[0] or 0.0) ** 2 + (extent[1] or 0.0) ** 2) ** 0.5
-    span = max(extent[0] or 0.0, extent[1] or 0.0, 1e-9)
-    limit = furthest if max_distance is None else min(max_distance, furthest)
+    if not n or spans[0] is None:
+        none = spark.createDataFrame([], f"left_id {dict(a.dtypes)['left_id']}, right_id {dict(b.dtypes)['right_id']}, distance double, rank int")
+        return _keep_left(none, left, left_id, how)
+    furthest = math.sqrt(sum((v or 0.0) ** 2 for v in spans)) * (1 + 1e-9)
+    span = max(*(v or 0.0 for v in spans), 1e-9)
+    limit = furthest if max_distance is None else min(_straight(max_distance, method) * (1 + 1e-9), furthest)
     radius = min(max(2.0 * span * (k / n) ** 0.5, 1e-9), max(limit, 1e-9))
     w = Window.partitionBy("left_id").orderBy("distance", F.col("right_id").cast("string"))
     todo, out = a, None
     while True:
-        found = _pairs(todo, b, radius).where(F.col("distance") <= radius)
+        found = _pairs(todo, b, radius, method).where(F.col("_straight") <= radius).drop("_straight")
+        if max_distance is not None:
+            found = found.where(F.col("distance") <= max_distance)
         if exclude_self:
             found = found.where(F.col("left_id") != F.col("right_id"))
         ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        last = radius >= limit
-        if last:
-            return ranked if out is None else out.unionByName(ranked)
+        if radius >= limit:
+            return _keep_left(ranked if out is None else out.unionByName(ranked), left, left_id, how)
         ranked = settle(ranked, "nearest")
         done = ranked.where(F.col("rank") == k).select("left_id")
         ready = ranked.join(done, "left_id", "left_semi")
         out = ready if out is None else out.unionByName(ready)
         todo = settle(todo.join(done, "left_id", "left_anti"), "nearest-todo")
         if todo.isEmpty():
-            return out
+            return _keep_left(out, left, left_id, how)
         radius = min(radius * 2, limit)
 
 
-def assign_nearest(origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None) -> DataFrame:
+def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, suffix: str = "right") -> DataFrame:
+    """Pairs with all columns of both sides; those of the right that clash get a suffix."""
+    own = left.select(F.col(left_id).alias("_left_id"), *left.columns)
+    taken = {*left.columns, *pairs.columns}
+    other = right.select(F.col(right_id).alias("_right_id"), *[F.col(c).alias(f"{c}_{suffix}" if c in taken else c) for c in right.columns])
+    out = pairs.join(own, F.col("left_id") == F.col("_left_id")).join(other, F.col("right_id") == F.col("_right_id"), "left")
+    return out.drop("_left_id", "_right_id", "left_id", "right_id")
+
+
+def assign_nearest(origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None, how: str = "inner", method: str = "euclidean") -> DataFrame:
     """For each target its nearest origin: ``(target_id, origin_id, distance)``."""
-    found = nearest_join(targets, origins, target_id, origin_id, 1, max_distance)
+    found = nearest_join(targets, origins, target_id, origin_id, 1, max_distance, how=how, method=method)
     return found.select(F.col("left_id").alias("target_id"), F.col("right_id").alias("origin_id"), "distance")
 
 
-def summarize_assignments(origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None) -> DataFrame:
-    """Counts and distances of the targets assigned to each origin; origins without any stay."""
-    per = assign_nearest(origins, targets, origin_id, target_id, max_distance).groupBy("origin_id").agg(F.count("*").alias("n_targets"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"), F.avg("distance").alias("mean_distance"))
+def summarize_assignments(origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None, how: str = "left", method: str = "euclidean", aggregations: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+    """Counts, distances and aggregates of the targets assigned to each origin; with ``how="left"`` origins without any stay."""
+    found = assign_nearest(origins, targets, origin_id, target_id, max_distance, method=method)
+    extra = aggregations or {}
+    if extra:
+        columns = [*extra, *([order] if order and order not in extra else [])]
+        found = found.join(targets.select(F.col(target_id).alias("_target"), *[F.col(c).alias(f"_{c}") for c in columns]), F.col("target_id") == F.col("_target"))
+    more = [aggregate(f"_{c}", op, f"_{order}" if order else None).alias(f"{c}_{op}") for c, op in extra.items()]
+    per = found.groupBy("origin_id").agg(F.count("*").alias("n_targets"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"), F.avg("distance").alias("mean_distance"), *more)
+    if how == "inner":
+        return per
     own = origins.select(F.col(origin_id).alias("origin_id")).distinct()
     return own.join(per, "origin_id", "left").withColumn("n_targets", F.coalesce("n_targets", F.lit(0)))
 
@@ -144,11 +202,15 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return pairs
 
 
-def coverage_summary(areas: DataFrame, targets: DataFrame, area_id: str, target_id: str, predicate: str = "contains", cell: float = 1.0) -> DataFrame:
-    """How many targets each area covers; areas without any stay. Ids stay as rows of the pairs."""
-    pairs = spatial_join(areas, targets, area_id, target_id, predicate, "inner", cell)
-    per = pairs.groupBy("left_id").agg(F.count("*").alias("n_covered"), F.min("right_id").alias("first_id"))
-    return areas.select(F.col(area_id).alias("left_id")).join(per, "left_id", "left").select(F.col("left_id").alias("area_id"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "first_id")
+def coverage_summary(areas: DataFrame, targets: DataFrame, area_id: str, target_id: str, predicate: str = "contains", cell: float = 1.0, aggregations: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+    """How many targets each area covers, and aggregates of them; areas without any stay. Ids stay as rows of the pairs."""
+    pairs, extra = spatial_join(areas, targets, area_id, target_id, predicate, "inner", cell), aggregations or {}
+    if extra:
+        columns = [*extra, *([order] if order and order not in extra else [])]
+        pairs = pairs.join(targets.select(F.col(target_id).alias("right_id"), *[F.col(c).alias(f"_{c}") for c in columns]), "right_id")
+    more = {f"{c}_{op}": aggregate(f"_{c}", op, f"_{order}" if order else None) for c, op in extra.items()}
+    per = pairs.groupBy("left_id").agg(F.count("*").alias("n_covered"), F.min("right_id").alias("first_id"), *[c.alias(n) for n, c in more.items()])
+    return areas.select(F.col(area_id).alias("left_id")).join(per, "left_id", "left").select(F.col("left_id").alias("area_id"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "first_id", *more)
 
 
 def neighborhood_pressure(df: DataFrame, id_col: str, weight: str, reach: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
@@ -159,12 +221,104 @@ def neighborhood_pressure(df: DataFrame, id_col: str, weight: str, reach: float,
     return df.select(F.col(id_col).alias("left_id")).join(per, "left_id", "left").select(F.col("left_id").alias(id_col), F.coalesce("pressure", F.lit(0.0)).alias("pressure"))
 
 
-def interaction_table(df: DataFrame, id_col: str, origin: str, destination: str, reach: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
-    """Interactions of ordered pairs within reach: ``(left_id, right_id, distance, interaction)``."""
-    pairs = proximity_join(df, df, reach, id_col, id_col).where(F.col("left_id") != F.col("right_id"))
-    a = df.select(F.col(id_col).alias("left_id"), F.col(origin).alias("_o"))
-    b = df.select(F.col(id_col).alias("right_id"), F.col(destination).alias("_d"))
-    return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", "distance", equations.interaction(F.col("_o"), F.col("_d"), F.col("distance"), scale, power).alias("interaction"))
+def _apart(df: DataFrame, id_col: str, reach: float, method: str) -> DataFrame:
+    """Ordered pairs of different rows within reach."""
+    return proximity_join(df, df, reach, id_col, id_col, method=method).where(F.col("left_id") != F.col("right_id"))
+
+
+def _both(pairs: DataFrame, df: DataFrame, id_col: str, left: dict[str, Column], right: dict[str, Column]) -> DataFrame:
+    a = df.select(F.col(id_col).alias("left_id"), *[c.alias(n) for n, c in left.items()])
+    b = df.select(F.col(id_col).alias("right_id"), *[c.alias(n) for n, c in right.items()])
+    return pairs.join(a, "left_id").join(b, "right_id")
+
+
+def interaction_table(df: DataFrame, id_col: str, origin: str, destination: str, reach: float, scale: float = 1.0, power: float = 2.0, preferred_bearing: float | None = None, method: str = "euclidean") -> DataFrame:
+    """Interactions of ordered pairs within reach: ``(left_id, right_id, distance, interaction)``, with ``alignment`` to a preferred bearing if one is given."""
+    met = _both(_apart(df, id_col, reach, method), df, id_col, {"_o": F.col(origin), "_x": F.col("x"), "_y": F.col("y")}, {"_d": F.col(destination), "_rx": F.col("x"), "_ry": F.col("y")})
+    more = [] if preferred_bearing is None else [equations.alignment(F.col("_x"), F.col("_y"), F.col("_rx"), F.col("_ry"), preferred_bearing).alias("alignment")]
+    return met.select("left_id", "right_id", "distance", equations.interaction(F.col("_o"), F.col("_d"), F.col("distance"), scale, power).alias("interaction"), *more)
+
+
+def distance_table(df: DataFrame, id_col: str, reach: float, method: str = "euclidean") -> DataFrame:
+    """The distances of all pairs within reach, each row to itself included: ``(left_id, right_id, distance)``."""
+    return proximity_join(df, df, reach, id_col, id_col, method=method)
+
+
+def area_similarity_table(df: DataFrame, id_col: str, reach: float, scale: float = 1.0, power: float = 1.0, method: str = "euclidean") -> DataFrame:
+    """``(left_id, right_id, similarity)`` of ordered pairs within reach, by the areas of their geometries."""
+    size = geometry.area(F.col("geometry"))
+    met = _both(_apart(df, id_col, reach, method), df, id_col, {"_a": size}, {"_b": size})
+    return met.select("left_id", "right_id", equations.area_similarity(F.col("_a"), F.col("_b"), F.col("distance"), scale, power).alias("similarity"))
+
+
+def _from_anchor(df: DataFrame, id_col: str, anchor, method: str) -> DataFrame:
+    """Rows with their ``distance`` from the row of an id, which has to be there."""
+    at = df.where(F.col(id_col) == F.lit(anchor)).select(F.col("x").alias("_ax"), F.col("y").alias("_ay")).limit(1)
+    if at.isEmpty():
+        raise KeyError(f"no row has the id {anchor}")
+    return df.join(F.broadcast(at)).withColumn("distance", equations.coordinate_distance(F.col("_ax"), F.col("_ay"), F.col("x"), F.col("y"), method)).drop("_ax", "_ay")  # one row
+
+
+def anchor_influence(df: DataFrame, id_col: str, weight: str, anchor, scale: float = 1.0, power: float = 2.0, method: str = "euclidean") -> DataFrame:
+    """Rows with ``influence``: their weight, decayed by the distance from an anchor."""
+    return _from_anchor(df, id_col, anchor, method).withColumn("influence", equations.influence(F.col(weight), F.col("distance"), scale, power))
+
+
+def corridor_accessibility(df: DataFrame, id_col: str, weight: str, anchor, scale: float = 1.0, power: float = 2.0, method: str = "euclidean") -> DataFrame:
+    """Rows with ``accessibility``: their weight and length, decayed by the distance from an anchor."""
+    size = geometry.length(F.col("geometry"))
+    return _from_anchor(df, id_col, anchor, method).withColumn("accessibility", equations.corridor_strength(F.col(weight), size, F.col("distance"), scale, power))
+
+
+def buffer_points(df: DataFrame, distance: float, resolution: int = 16, geometry_col: str = "geometry") -> DataFrame:
+    """Points as polygons around them, with ``4 * resolution`` corners at the distance."""
+    if distance < 0 or resolution <= 0:
+        raise ValueError("the distance must not be negative, and the resolution positive")
+    n = 4 * resolution
+    centre = F.element_at(F.col(geometry_col)["coords"], 1)
+    angle = lambda k: k % n * (-2 * math.pi / n)
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: geometry.vertex(centre["x"] + distance * F.cos(angle(k)), centre["y"] + distance * F.sin(angle(k))))
+    other = F.raise_error(F.lit("only points have buffers here")).cast(geometry.GEOMETRY)
+    return df.withColumn(geometry_col, F.when(F.col(geometry_col)["type"] == "Point", F.struct(F.lit("Polygon").alias("type"), ring.alias("coords"))).otherwise(other))
+
+
+def buffer_join(points: DataFrame, other: DataFrame, distance: float, left_id: str, right_id: str, how: str = "inner", resolution: int = 16) -> DataFrame:
+    """Pairs of points and geometries that meet the polygon around the point."""
+    return spatial_join(buffer_points(points, distance, resolution), other, left_id, right_id, "intersects", how, cell=max(distance * 2, 1e-6))
+
+
+def _turned(ring: list) -> list[tuple[float, float]]:
+    """The open ring's corners, counter-clockwise."""
+    points = [(v["x"], v["y"]) for v in ring][:-1]
+    twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))
+    return points if twice >= 0 else points[::-1]
+
+
+def _convex_overlap(subject: list, window: list) -> list | None:
+    """What a ring and a convex one have in common, cut by one side after the other."""
+    points, sides = _turned(subject), _turned(window)
+    for a, b in zip(sides, sides[1:] + sides[:1], strict=True):
+        inside = lambda p, a=a, b=b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        kept = []
+        for p, q in zip(points, points[1:] + points[:1], strict=True):
+            s, t = inside(p), inside(q)
+            if s >= 0:
+                kept.append(p)
+            if (s > 0 > t) or (s < 0 < t):
+                f = s / (s - t)
+                kept.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
+        points = kept
+    return [{"x": float(x), "y": float(y)} for x, y in [*points, points[0]]] if len(points) > 2 else None
+
+
+def overlay_intersections(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float = 1.0) -> DataFrame:
+    """``(left_id, right_id, geometry)``: what polygons of both sides have in common; those of the right have to be convex."""
+    pairs = spatial_join(left, right, left_id, right_id, "intersects", "inner", cell)
+    cut = F.udf(_convex_overlap, "array<struct<x:double,y:double>>", useArrow=True)
+    a = left.select(F.col(left_id).alias("left_id"), F.col("geometry.coords").alias("_a"))
+    b = right.select(F.col(right_id).alias("right_id"), F.col("geometry.coords").alias("_b"))
+    met = pairs.join(a, "left_id").join(b, "right_id").withColumn("_ring", cut("_a", "_b")).where(F.col("_ring").isNotNull())
+    return met.select("left_id", "right_id", F.struct(F.lit("Polygon").alias("type"), F.col("_ring").alias("coords")).alias("geometry"))
 
 
 def _clip_ring(ring: list, window: tuple[float, float, float, float]) -> list | None:

@@ -20,8 +20,8 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers (even) and parts (odd), linked by rare deliveries."""
-    rows = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber = 1 and l_partkey % 3 = 0")
+    """Suppliers (even) and parts (odd), linked by deliveries."""
+    rows = table(spark, d, "lineitem")
     return rows.select((F.col("l_suppkey") * 2).alias("from_node"), (F.col("l_partkey") * 2 + 1).alias("to_node")).distinct().withColumn("edge_id", F.concat_ws("-", "from_node", "to_node"))
 
 
@@ -122,9 +122,8 @@ SQL = {
     "grid_od_matrix": f"{_ALL} SELECT s AS origin, node AS destination, cost FROM c WHERE s IN (0, 4, 12) AND node IN (7, 20, 24)",
     "grid_supply": f"{_ALL} SELECT node AS demand_node, s AS supply_node, cost FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, s) AS k FROM c WHERE s IN (3, 21)) WHERE k = 1",
     "link_components": """
-WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey * 2 AS f, l_partkey * 2 + 1 AS t FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1 AND l_partkey % 3 = 0),
-b AS (SELECT f, t FROM l UNION SELECT t, f FROM l),
-r AS (SELECT DISTINCT f AS node, f AS root FROM b UNION SELECT b.t, r.root FROM r JOIN b ON b.f = r.node),
+WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey * 2 AS f, l_partkey * 2 + 1 AS t FROM lineitem), b AS (SELECT f, t FROM l UNION SELECT t, f FROM l),
+r AS (SELECT DISTINCT f AS node, f AS root, 0 AS i FROM b UNION ALL SELECT node, min(root), i + 1 FROM (SELECT b.t AS node, r.root, r.i FROM r JOIN b ON b.f = r.node UNION ALL SELECT node, root, i FROM r) WHERE i < 20 GROUP BY node, i),
 c AS (SELECT node, min(root) AS component FROM r GROUP BY node)
 SELECT component, count(*) AS n_nodes FROM c GROUP BY component""",
     "grid_topology": "SELECT 25::BIGINT AS n_nodes, 1::BIGINT AS n_components, 40::BIGINT AS n_edges, 0::BIGINT AS n_loops, 0::BIGINT AS n_repeated",
