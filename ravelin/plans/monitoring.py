@@ -20,7 +20,7 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("feature_id"), F.when(F.col("c_custkey") % 6 == 0, "other").otherwise("value").alias("metric"), F.lit(4.0).alias("low"), (F.col("c_custkey") % 40 + 30).cast("double").alias("high"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("feature_id"), F.when(F.col("c_custkey") % 6 == 0, "other").otherwise("value").alias("metric"), F.lit(4.0).alias("low"), (F.col("c_custkey") % 40 + 30).cast("double").alias("high"))
 
 
 def _stated(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def observation_file(spark: SparkSession, d: str) -> DataFrame:
 
 _F = "f AS (SELECT c_custkey AS feature_id, c_mktsegment AS category, 'R' || n_regionkey AS region, c_custkey % 97 AS x, floor(c_custkey / 97) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 _O = "o AS (SELECT event_id AS observation_id, user_id AS feature_id, ts AS observed_at, value, CASE event_type WHEN 'error' THEN 'alert' WHEN 'signup' THEN 'offline' ELSE 'normal' END AS status FROM events)"
-_T = "th AS (SELECT c_custkey AS feature_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 4.0::DOUBLE END AS low, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE (c_custkey % 40 + 30)::DOUBLE END AS high FROM customer WHERE c_custkey % 2 = 0)"
+_T = "th AS (SELECT c_custkey AS feature_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 4.0::DOUBLE END AS low, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE (c_custkey % 40 + 30)::DOUBLE END AS high FROM customer)"
 _S = f"""WITH {_F}, {_O}, {_T}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY observed_at DESC, observation_id DESC) AS k FROM o) WHERE k = 1),
 s AS (SELECT f.*, l.value, low, high, CASE WHEN l.value IS NULL THEN coalesce(l.status, 'normal') WHEN l.status = 'offline' THEN 'offline' WHEN l.value < low OR l.value > high THEN 'alert' ELSE 'normal' END AS status FROM f LEFT JOIN l USING (feature_id) LEFT JOIN th USING (feature_id))"""
 

@@ -29,8 +29,17 @@ def _own_dir() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, below the application's own, which can be removed when its results are written."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """A new path in the shared folder, below the application's own, which can be removed when its results are written.
+
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder serves on one
+    machine; elsewhere that is an error, since executors would write to their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _own_dir()
+    base = base.rstrip("/")
     return f"{base}/ravelin-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 

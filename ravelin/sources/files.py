@@ -147,12 +147,55 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",") -> None:
     df.select(*cols).write.csv(path, header=True, sep=delimiter)
 
 
+def _report_rows(df: DataFrame, limit: int) -> tuple[list, bool]:
+    """At most ``limit`` rows of a report, and whether there are more."""
+    rows = df.limit(limit + 1).collect()
+    return rows[:limit], len(rows) > limit
+
+
 def to_markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report's rows as a Markdown table; nulls are empty. For results, not for data."""
+    """A report's rows as a Markdown table; nulls are empty. Rows beyond the limit are left out, which the last line then says."""
     text = lambda v: "" if v is None else str(v).replace("|", "\\|")
+    rows, more = _report_rows(df, limit)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(text, r)) + " |" for r in df.limit(limit).collect()])
+    lines += ["| " + " | ".join(map(text, r)) + " |" for r in rows]
+    return "\n".join([*lines, *([f"\nOnly the first {limit} rows."] if more else [])])
 
 
 def to_json_report(df: DataFrame, limit: int = 1000) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in df.limit(limit).collect()], indent=2, default=str)
+    """A report's rows as JSON; more rows than the limit are an error, since a cut can't be told from the text."""
+    rows, more = _report_rows(df, limit)
+    if more:
+        raise ValueError(f"a report has at most {limit} rows; write the table instead")
+    return json.dumps([r.asDict(recursive=True) for r in rows], indent=2, default=str)
+
+
+def read_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """Parquet, JSON lines or delimited text with a header, by the ending of the path."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    if kind in ("json", "jsonl", "ndjson"):
+        return spark.read.json(path)
+    if kind in ("csv", "tsv", "txt"):
+        return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if kind == "tsv" else delimiter)
+    raise ValueError(f"unknown kind of file: {path}")
+
+
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON in files that are added to a folder."""
+    df.write.mode("append").json(path)
+
+
+def write_insert_sql(df: DataFrame, path: str, name: str) -> None:
+    """Statements that insert the rows into a table, one a row, so that a database can be seeded; they skip rows that are there."""
+    kinds = dict(df.dtypes)
+
+    def literal(c: str):
+        plain = kinds[c] in ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean") or kinds[c].startswith("decimal")
+        value = F.col(c).cast("string") if plain else F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        return F.coalesce(value, F.lit("NULL"))
+
+    values = F.concat_ws(", ", *[literal(c) for c in df.columns])
+    head = f"INSERT INTO {name} ({', '.join(df.columns)}) VALUES ("
+    df.select(F.concat(F.lit(head), values, F.lit(") ON CONFLICT DO NOTHING;")).alias("value")).write.text(path)
