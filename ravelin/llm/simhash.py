@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import materialise, shuffle_partitions, slices, table, text_key, texts_of
+from .bloom import blocks_for, bloom_filter, possible
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -437,7 +438,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group").join(nodes.select("node", "row_key"), "node")
     wanted = materialise(wanted, "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
-    texts = texts.select("text", row_key("id").alias("row_key")).join(wanted, "row_key").select("node", "group", "n", "text")
+    # A filter of the rows that are wanted leaves few other texts to be shuffled.
+    blocks = blocks_for(wanted.count())
+    texts = possible(texts.select("text", row_key("id").alias("hash")), bloom_filter(wanted.select(F.col("row_key").alias("hash")), blocks), blocks).where("possible")
+    texts = texts.join(wanted, texts["hash"] == wanted["row_key"]).select("node", "group", "n", "text")
     sets = texts.mapInArrow(as_sets, "node long, group long, n long, shingles binary")
     roots = components(_confirmed(sets, pair_rows))
     classed = materialise(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "classes")
@@ -452,14 +456,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least hash, and of rows that repeat both the one that is least as JSON.
     """
     found = similar_documents(docs, id_col, text_col) if found is None else found
-    found = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = found.groupBy("root", F.col(id_col).alias("keep_id")).agg(F.min("text_key").alias("keep_key"), F.count("*").alias("n")).drop("root")
+    found = materialise(found.select(F.col(id_col).alias("id"), "text_key", "root", F.col(id_col).eqNullSafe(F.col("component_id")).alias("least")), "found")
+    keep = found.where("least").groupBy("root", F.col("id").alias("keep_id")).agg(F.min("text_key").alias("keep_key"), F.count("*").alias("n")).drop("root")
+    keep = materialise(keep, "keep")
+    # Rows whose id goes nowhere, and is there once, stay as they are and are not shuffled.
+    unsure = found.where("not least").select(F.xxhash64("id").alias("hash")).union(keep.where("n > 1").select(F.xxhash64("keep_id")))
+    blocks = blocks_for(unsure.count())
     # Own columns are kept as one struct, so that no name of theirs can clash.
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
-    kept = own.join(keep, F.col(f"own.`{id_col}`").eqNullSafe(F.col("keep_id")) & (text_key(F.col(f"own.`{text_col}`")) == F.col("keep_key")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(F.col(f"`{id_col}`")).alias("hash"))
+    own = possible(own, bloom_filter(unsure, blocks), blocks, "unsure")
+    kept = own.where("unsure").join(keep, F.col(f"own.`{id_col}`").eqNullSafe(F.col("keep_id")) & (text_key(F.col(f"own.`{text_col}`")) == F.col("keep_key")))
     # Only rows that are repeated go through a grouping, of which the one that is least as JSON is kept.
     more = kept.where("n > 1").groupBy("keep_id", "keep_key").agg(F.min_by("own", F.to_json("own")).alias("own"))
-    return kept.where("n = 1").select("own.*").unionByName(more.select("own.*"))
+    out = own.where("not unsure").select("own.*").unionByName(kept.where("n = 1").select("own.*"))
+    return out.unionByName(more.select("own.*"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

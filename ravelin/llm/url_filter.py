@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import materialise, table
+from .bloom import bloom_filter, possible
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -35,7 +36,6 @@ LISTED = [
 ]
 #: Blocks of the filter: 8 bytes each, so the broadcast has at most 512 KB of bits.
 BLOCKS = 1 << 16
-BITS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -81,30 +81,9 @@ def path_prefixes(path: Column, segments: Column) -> Column:
     return F.array_union(above, F.array(whole))
 
 
-def _block(key_hash: Column, blocks: int) -> Column:
-    return F.pmod(key_hash, F.lit(blocks)).cast("int")
-
-
-def _mask(key_hash: Column) -> Column:
-    """``BITS`` bits of a block, from six bits of the hash each."""
-    out = F.lit(0).cast("long")
-    for k in range(BITS):
-        bit = F.shiftrightunsigned(key_hash, 20 + 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return out
-
-
-def bloom_filter(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``(block, bits)`` of the list's ``hash`` column; at most ``blocks`` rows."""
-    return listed.groupBy(_block(F.col("hash"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("hash"))).alias("bits"))
-
-
 def _maybe(keys: DataFrame, listed: DataFrame, blocks: int) -> DataFrame:
     """The rows of ``keys`` whose ``hash`` passes the filter of the list's."""
-    bits = bloom_filter(listed, blocks)
-    mask = _mask(F.col("hash"))
-    passed = keys.withColumn("block", _block(F.col("hash"), blocks)).join(F.broadcast(bits), "block").where(F.col("bits").bitwiseAND(mask) == mask)
-    return passed.drop("block", "bits")
+    return possible(keys, bloom_filter(listed, blocks), blocks).where("possible").drop("possible")
 
 
 def listing(spark: SparkSession, listed: DataFrame | list[str]) -> DataFrame:
