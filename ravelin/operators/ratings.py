@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,26 +13,37 @@ from pyspark.sql import functions as F
 def elo_ratings(matches: DataFrame, league: str, order: list[str], start: float = 1500.0, k: float = 20.0) -> DataFrame:
     """``(league, team, rating, played)`` after all matches of ``(home, away, home_score, away_score)``.
 
-    Every rating depends on the ones before, so a league is one ordered fold;
-    leagues are spread over tasks. Ratings are rounded to a tenth after each match.
+    Every rating depends on the ones before, so a league is one ordered fold over
+    sorted batches, which holds the ratings and no matches; leagues are spread over
+    tasks. Ratings are rounded to a tenth after each match.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict = {}
-        played: dict = {}
-        for row in pdf.sort_values(order, kind="stable").itertuples(index=False):
-            a, b = rating.get(row.home, start), rating.get(row.away, start)
-            diff = row.home_score - row.away_score
-            expected = 1 / (1 + 10 ** ((b - a) / 400))
-            won = 0.5 if diff == 0 else float(diff > 0)
-            step = k * (np.log(abs(diff) + 1) * 2.2 / (0.001 * abs(diff) + 2.2) if diff else 1.0) * (won - expected)
-            rating[row.home], rating[row.away] = round(a + step, 1), round(b - step, 1)
-            for team in (row.home, row.away):
-                played[team] = played.get(team, 0) + 1
-        return pd.DataFrame({"league": pdf[league].iloc[0], "team": list(rating), "rating": list(rating.values()), "played": list(played.values())})
-
     types = dict(matches.dtypes)
-    return matches.groupBy(league).applyInPandas(fold, f"league {types[league]}, team {types['home']}, rating double, played long")
+    sorted_matches = matches.repartition(F.col(league)).sortWithinPartitions(league, *order).select(F.col(league).alias("league"), "home", "away", "home_score", "away_score")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rating, played = None, {}, {}
+
+        def standings() -> pd.DataFrame:
+            return pd.DataFrame({"league": [now] * len(rating), "team": list(rating), "rating": list(rating.values()), "played": [played[t] for t in rating]})
+
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                if row.league != now:
+                    if rating:
+                        yield standings()
+                    now, rating, played = row.league, {}, {}
+                a, b = rating.get(row.home, start), rating.get(row.away, start)
+                diff = row.home_score - row.away_score
+                expected = 1 / (1 + 10 ** ((b - a) / 400))
+                won = 0.5 if diff == 0 else float(diff > 0)
+                step = k * (np.log(abs(diff) + 1) * 2.2 / (0.001 * abs(diff) + 2.2) if diff else 1.0) * (won - expected)
+                rating[row.home], rating[row.away] = round(a + step, 1), round(b - step, 1)
+                for team in (row.home, row.away):
+                    played[team] = played.get(team, 0) + 1
+        if rating:
+            yield standings()
+
+    return sorted_matches.mapInPandas(fold, f"league {types[league]}, team {types['home']}, rating double, played long")
 
 
 def team_table(matches: DataFrame) -> DataFrame:

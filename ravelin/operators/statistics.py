@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import quantile_at, value_ranks
@@ -170,8 +170,10 @@ def two_line_effect(rows: DataFrame, treatment: str, x: str, outcome: str) -> Da
 def matched_effect(rows: DataFrame, treatment: str, outcome: str, score: str, stratum: str, caliper: float, id_col: str) -> DataFrame:
     """``(stratum, pairs, effect)`` of greedy one-to-one matches within strata, treated in ascending order of score; without a pair the effect is null.
 
-    A match takes its partner away from later ones, so a stratum is one ordered
-    fold; strata are spread over tasks and are the unit that has to fit into one.
+    A match takes its partner away from later ones, so what may depend on each
+    other is one ordered fold. Scores that are further apart than the caliper are
+    never matched, so a stratum is cut at such gaps; these runs are spread over
+    tasks and are the unit that has to fit into one.
     """
     import bisect
 
@@ -189,10 +191,15 @@ def matched_effect(rows: DataFrame, treatment: str, outcome: str, score: str, st
                 k = min(near, key=lambda i: (abs(scores[i] - s), i))
                 gaps, pairs = gaps + y - outcomes[k], pairs + 1
                 del scores[k], outcomes[k]
-        return pd.DataFrame({"stratum": pdf[stratum].iloc[:1].to_numpy(), "pairs": [pairs], "effect": pd.Series([gaps / pairs if pairs else None], dtype="Float64")})
+        return pd.DataFrame({"stratum": pdf[stratum].iloc[:1].to_numpy(), "pairs": [pairs], "gaps": [float(gaps)]})
 
     kept = rows.select(id_col, treatment, outcome, score, stratum).dropna()
-    return kept.groupBy(stratum).applyInPandas(fold, f"stratum {dict(rows.dtypes)[stratum]}, pairs long, effect double")
+    ordered = Window.partitionBy(stratum).orderBy(score)
+    cut = F.coalesce((F.col(score) - F.lag(score).over(ordered) > caliper).cast("int"), F.lit(0))
+    runs = kept.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(ordered)).drop("_cut")
+    found = runs.groupBy(stratum, "_run").applyInPandas(fold, f"stratum {dict(rows.dtypes)[stratum]}, pairs long, gaps double")
+    pairs = F.sum("pairs")
+    return found.groupBy("stratum").agg(pairs.alias("pairs"), F.when(pairs > 0, F.sum("gaps") / pairs).alias("effect"))
 
 
 def calibrate_decay(rows: DataFrame, distance: str, observed: str, scales: list[float], powers: list[float]) -> DataFrame:

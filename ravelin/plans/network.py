@@ -147,4 +147,11 @@ SELECT node, CAST(sum(v) AS BIGINT) AS flow FROM r GROUP BY node""",
     "shared_corridors": """
 WITH p AS (SELECT DISTINCT l_returnflag AS s, least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem)
 SELECT x.s AS service_a, y.s AS service_b, count(*) AS n_shared FROM p x JOIN p y USING (a, b) WHERE x.s < y.s GROUP BY 1, 2""",
+    "grid_bottlenecks": f"""
+WITH RECURSIVE g AS (SELECT edge_id, from_node AS f, to_node AS t, pow(1.37, edge_id % 17) + edge_id / 1000.0 AS cost, capacity FROM {_G}),
+r AS (SELECT CAST(n_nationkey AS BIGINT) AS s, CAST(n_nationkey AS BIGINT) AS node, 0.0::DOUBLE AS cost, 0 AS k FROM nation
+      UNION ALL SELECT s, node, min(cost), k + 1 FROM (SELECT r.s, g.t AS node, r.cost + g.cost AS cost, r.k FROM r JOIN g ON g.f = r.node UNION ALL SELECT s, node, cost, k FROM r) WHERE k < 24 GROUP BY s, node, k),
+c AS (SELECT s, node, min(cost) AS cost FROM r GROUP BY s, node), d AS (SELECT CAST(n_nationkey AS BIGINT) AS d, CAST(n_nationkey % 3 + 1 AS DOUBLE) AS demand FROM nation WHERE n_nationkey > 0),
+l AS (SELECT g.edge_id, sum(demand) AS load FROM g JOIN c a ON a.s = 0 AND a.node = g.f JOIN c z ON z.s = g.t JOIN d ON d.d = z.node JOIN c w ON w.s = 0 AND w.node = d.d WHERE abs(a.cost + g.cost + z.cost - w.cost) < 1e-7 GROUP BY 1)
+SELECT CAST(g.edge_id AS VARCHAR) AS edge_id, round(coalesce(load, 0), 6) AS load, round(pow(coalesce(load, 0) / capacity, 2), 6) AS stress FROM g LEFT JOIN l USING (edge_id)""",
 }

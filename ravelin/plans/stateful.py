@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import models, ratings, series
 from ..session import scratch_path, table
 from ..streaming import conformal
+from .analytics import _M
 
 
 def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -64,7 +65,8 @@ def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
 
 def monthly_pacf(spark: SparkSession, d: str) -> DataFrame:
     """Partial autocorrelations from the autocorrelations, a recursion over few lags for each key."""
-    return series.partial_autocorrelation(series.autocorrelation(_monthly(spark, d), 4))
+    out = series.partial_autocorrelation(series.autocorrelation(_monthly(spark, d), 4))
+    return out.select("key", "lag", F.round("pacf", 6).alias("pacf"))
 
 
 def monthly_forecasts(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +102,12 @@ def _monthly(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (streamed_daily_counts, streamed_calibration, elo_ratings, team_table, simulated_matches, bootstrap_means, monthly_pacf, monthly_forecasts, propensity_bands, synthetic_priority, partner_matches)}
 
 SQL = {
+    "monthly_pacf": f"""
+WITH {_M}, c AS (SELECT key, position, value - avg(value) OVER (PARTITION BY key) AS c FROM m), l AS (SELECT key, c, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4 FROM c WINDOW w AS (PARTITION BY key ORDER BY position)),
+r AS (SELECT key, sum(c * c1) / sum(c * c) AS r1, sum(c * c2) / sum(c * c) AS r2, sum(c * c3) / sum(c * c) AS r3, sum(c * c4) / sum(c * c) AS r4 FROM l GROUP BY key),
+a AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS p22 FROM r), b AS (SELECT *, r1 - p22 * r1 AS p21 FROM a), d AS (SELECT *, (r3 - p21 * r2 - p22 * r1) / (1 - p21 * r1 - p22 * r2) AS p33 FROM b),
+e AS (SELECT *, p21 - p33 * p22 AS p31, p22 - p33 * p21 AS p32 FROM d), f AS (SELECT *, (r4 - p31 * r3 - p32 * r2 - p33 * r1) / (1 - p31 * r1 - p32 * r2 - p33 * r3) AS p44 FROM e)
+SELECT key, unnest([1::BIGINT, 2, 3, 4]) AS lag, round(unnest([r1, p22, p33, p44]), 6) AS pacf FROM f""",
     "streamed_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2",
     "streamed_calibration": """
 WITH r AS (SELECT l_returnflag AS kind, abs(l_extendedprice - 1500.0 * l_quantity) AS s, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber DESC) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
