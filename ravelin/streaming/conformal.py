@@ -33,18 +33,31 @@ def sliding_calibration(stream: DataFrame, kind: str = "kind", score: str = "sco
 
     With a ``rate`` the miscoverage level adapts: it falls after a score above
     the quantile and rises after others. Rows of a batch go by ``order``; state
-    is bounded by the window.
+    is bounded by the window, and so is what a task holds of a batch. Only with a
+    rate, where every score counts, is a kind's batch sorted whole.
     """
 
+    def last_of(batches: Iterable[pd.DataFrame]) -> tuple[list[float], int]:
+        """The scores of the last rows, and how many there were."""
+        kept, n = None, 0
+        for pdf in batches:
+            pdf = pdf[[order, score]].dropna(subset=[score])
+            n += len(pdf)
+            kept = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(order, kind="stable").tail(size)
+        return ([] if kept is None else kept[score].astype(float).tolist()), n
+
     def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, seen, level = ([], 0, alpha) if not state.exists else (json.loads(state.get[0]), state.get[1], state.get[2])
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        for value in rows[score].dropna():
-            if rate:
+        if not rate:
+            more, n = last_of(batches)
+            held, seen = [*held, *more][-size:], seen + n
+        else:
+            rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+            for value in rows[score].dropna():
                 missed = float(value > window_quantile(held, level)) if held else 0.0
                 level = min(0.5, max(0.001, level + rate * (alpha - missed)))
-            held = [*held[-(size - 1) :], float(value)] if size > 1 else [float(value)]
-            seen += 1
+                held = [*held[-(size - 1) :], float(value)] if size > 1 else [float(value)]
+                seen += 1
         state.update((json.dumps(held), seen, level))
         yield pd.DataFrame({"kind": [key[0]], "n_seen": [seen], "window_size": [len(held)], "quantile": [window_quantile(held, level)], "level": [level]})
 
