@@ -61,7 +61,9 @@ def gaussian_decay(distance: Column, sigma: float = 1.0) -> Column:
     return F.exp(-(d * d) / (2.0 * sigma * sigma))
 
 
-def decay(distance: Column, method: str = "power", *, scale: float = 1.0, power: float = 2.0, rate: float = 1.0, sigma: float = 1.0) -> Column:
+def decay(
+    distance: Column, method: str = "power", *, scale: float = 1.0, power: float = 2.0, rate: float = 1.0, sigma: float = 1.0
+) -> Column:
     """A decay by name; an unknown name is an error."""
     if method == "power":
         return power_decay(distance, scale, power)
@@ -80,7 +82,9 @@ def interaction(origin: Column, destination: Column, distance: Column, scale: fl
     return origin * destination * power_decay(distance, scale, power)
 
 
-def gravity_interaction(origin: Column, destination: Column, cost: Column, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0, scale_factor: float = 1.0) -> Column:
+def gravity_interaction(
+    origin: Column, destination: Column, cost: Column, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0, scale_factor: float = 1.0
+) -> Column:
     """Masses over generalised cost; negative masses and costs that aren't positive are errors."""
     value = F.lit(scale_factor) * F.pow(origin, F.lit(alpha)) * F.pow(destination, F.lit(beta)) / F.pow(cost, F.lit(gamma))
     bad = (origin < 0) | (destination < 0) | (cost <= 0)
@@ -118,7 +122,9 @@ def stress_index(load: Column, capacity: Column, power: float = 2.0) -> Column:
 
 
 def service_deficit(demand: Column, delivered: Column) -> Column:
-    return F.when(demand <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (demand - delivered) / F.nullif(demand, F.lit(0.0)))))
+    return F.when(demand <= 0, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), (demand - delivered) / F.nullif(demand, F.lit(0.0))))
+    )
 
 
 def headloss_hazen_williams(length: Column, flow: Column, diameter: Column, roughness: float = 130.0) -> Column:
@@ -139,7 +145,9 @@ def aged_failure_rate(base: Column, age_years: Column, aging: float = 0.03) -> C
 def expected_impact(probability: Column, consequence: Column) -> Column:
     """Probabilities outside 0 to 1, and negative consequences, are errors."""
     bad = (probability < 0) | (probability > 1) | (consequence < 0)
-    return F.when(bad, F.raise_error(F.lit("probabilities must be in 0 to 1 and consequences not negative")).cast("double")).otherwise(probability * consequence)
+    return F.when(
+        bad, F.raise_error(F.lit("probabilities must be in 0 to 1 and consequences not negative")).cast("double")
+    ).otherwise(probability * consequence)
 
 
 def accessibility_score(supplies: Column, costs: Column, method: str = "power", **options: float) -> Column:
@@ -147,7 +155,9 @@ def accessibility_score(supplies: Column, costs: Column, method: str = "power",
     return F.aggregate(F.zip_with(supplies, costs, lambda s, c: s * decay(c, method, **options)), F.lit(0.0), lambda a, v: a + v)
 
 
-def resilience_index(redundancy: Column, recovery: Column, robustness: Column, deficit: Column, weights: Sequence[float] = (0.3, 0.25, 0.25, 0.2)) -> Column:
+def resilience_index(
+    redundancy: Column, recovery: Column, robustness: Column, deficit: Column, weights: Sequence[float] = (0.3, 0.25, 0.25, 0.2)
+) -> Column:
     """Weighted scores less the weighted deficit, over the sum of weights."""
     a, b, c, d = weights
     if min(weights) < 0 or sum(weights) == 0:
@@ -227,4 +237,6 @@ def threshold_status(value: Column, low: Column, high: Column, status: Column) -
 
 def alert_score(value: Column, low: Column, high: Column, fallback: Column) -> Column:
     """How far a value is towards its limit, to two digits, else the fallback."""
-    return F.when(high.isNotNull() & (high != 0), F.round(value / F.nullif(high, F.lit(0.0)), 2)).when(low.isNotNull() & (value != 0), F.round(low / F.nullif(value, F.lit(0.0)), 2)).otherwise(fallback)
+    return F.when(
+        high.isNotNull() & (high != 0), F.round(value / F.nullif(high, F.lit(0.0)), 2)
+    ).when(low.isNotNull() & (value != 0), F.round(low / F.nullif(value, F.lit(0.0)), 2)).otherwise(fallback)

@@ -43,13 +43,18 @@ def segments(g: Column) -> Column:
     c = g["coords"]
     n = F.size(c)
     return F.when(n < 2, F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at(c, i).alias("a"), F.element_at(c, F.least(i + 1, n)).alias("b")))
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+            lambda i: F.struct(F.element_at(c, i).alias("a"), F.element_at(c, F.least(i + 1, n)).alias("b"))
+        )
     )
 
 
 def bounds(g: Column) -> Column:
     xs, ys = F.transform(g["coords"], lambda v: v["x"]), F.transform(g["coords"], lambda v: v["y"])
-    return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+    return F.struct(
+        F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y")
+    )
 
 
 def _total(array: Column, value) -> Column:
@@ -80,7 +85,9 @@ def centroid(g: Column) -> Column:
     def part(k: str) -> Column:
         by_length = _total(s, lambda p: half(k)(p) / 2 * size(p)) / F.nullif(total, F.lit(0.0))
         by_area = _total(s, lambda p: half(k)(p) * _cross(p)) / F.nullif(3 * twice, F.lit(0.0))
-        return F.when(g["type"] == "LineString", F.coalesce(by_length, mean(k))).when(g["type"] == "Polygon", F.coalesce(by_area, mean(k))).otherwise(F.element_at(g["coords"], 1)[k])
+        return F.when(
+            g["type"] == "LineString", F.coalesce(by_length, mean(k))
+        ).when(g["type"] == "Polygon", F.coalesce(by_area, mean(k))).otherwise(F.element_at(g["coords"], 1)[k])
 
     return F.struct(part("x").alias("x"), part("y").alias("y"))
 
@@ -134,7 +141,9 @@ def intersects(g: Column, h: Column) -> Column:
     g_point, h_point = g["type"] == "Point", h["type"] == "Point"
     in_h = F.when(h["type"] == "Polygon", point_in_polygon(p, h)).otherwise(F.exists(segments(h), lambda s: on_segment(p, s)))
     in_g = F.when(g["type"] == "Polygon", point_in_polygon(q, g)).otherwise(F.exists(segments(g), lambda s: on_segment(q, s)))
-    inside = F.when(h["type"] == "Polygon", point_in_polygon(p, h)).otherwise(F.lit(False)) | F.when(g["type"] == "Polygon", point_in_polygon(q, g)).otherwise(F.lit(False))
+    inside = F.when(
+        h["type"] == "Polygon", point_in_polygon(p, h)
+    ).otherwise(F.lit(False)) | F.when(g["type"] == "Polygon", point_in_polygon(q, g)).otherwise(F.lit(False))
     return F.when(g_point & h_point, same).when(g_point, in_h).when(h_point, in_g).otherwise(edges | inside)
 
 
@@ -159,17 +168,23 @@ def transform_vertices(g: Column, change) -> Column:
 def to_web_mercator(g: Column) -> Column:
     """Degrees to spherical Mercator metres."""
     r = 6378137.0
-    return transform_vertices(g, lambda v: vertex(F.radians(v["x"]) * r, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(v["y"]) / 2)) * r))
+    return transform_vertices(
+        g, lambda v: vertex(F.radians(v["x"]) * r, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(v["y"]) / 2)) * r)
+    )
 
 
 def from_web_mercator(g: Column) -> Column:
     r = 6378137.0
-    return transform_vertices(g, lambda v: vertex(F.degrees(v["x"] / r), F.degrees(2 * F.atan(F.exp(v["y"] / r)) - F.lit(1.5707963267948966))))
+    return transform_vertices(
+        g, lambda v: vertex(F.degrees(v["x"] / r), F.degrees(2 * F.atan(F.exp(v["y"] / r)) - F.lit(1.5707963267948966)))
+    )
 
 
 def to_geojson(g: Column) -> Column:
     """A GeoJSON geometry as text."""
     pair = lambda v: F.concat(F.lit("["), v["x"].cast("string"), F.lit(","), v["y"].cast("string"), F.lit("]"))
     flat = F.array_join(F.transform(g["coords"], pair), ",")
-    body = F.when(g["type"] == "Point", flat).when(g["type"] == "Polygon", F.concat(F.lit("[["), flat, F.lit("]]"))).otherwise(F.concat(F.lit("["), flat, F.lit("]")))
+    body = F.when(g["type"] == "Point", flat).when(
+        g["type"] == "Polygon", F.concat(F.lit("[["), flat, F.lit("]]"))
+    ).otherwise(F.concat(F.lit("["), flat, F.lit("]")))
     return F.concat(F.lit('{"type":"'), g["type"], F.lit('","coordinates":'), body, F.lit("}"))

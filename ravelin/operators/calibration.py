@@ -21,7 +21,9 @@ def percentile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> Dat
 
 def coverage_by_bin(rows: DataFrame, label: str, by: str, n: int = 10) -> DataFrame:
     """``(bin, coverage, mean_by, n)`` over percentile bins of a column: width, feature, degree or sigma."""
-    return percentile_bins(rows, by, n).groupBy("bin").agg(F.avg(_inside(label)).alias("coverage"), F.avg(by).alias("mean_by"), F.count("*").alias("n"))
+    return percentile_bins(rows, by, n).groupBy("bin").agg(
+        F.avg(_inside(label)).alias("coverage"), F.avg(by).alias("mean_by"), F.count("*").alias("n")
+    )
 
 
 def calibration_error(rows: DataFrame, label: str, target: float, n: int = 10) -> DataFrame:
@@ -35,7 +37,9 @@ def expected_coverage(rows: DataFrame, score: str, split: Column, levels: list[f
     q = rows.where(split).agg(F.percentile(score, F.array(*[F.lit(v) for v in levels])).alias("_q"))
     rest = rows.where(~split).join(F.broadcast(q))  # one row of quantiles
     out = rest.agg(*[F.avg((F.col(score) <= F.col("_q")[k]).cast("double")).alias(f"l{k}") for k in range(len(levels))])
-    return out.select(F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"l{k}").alias("actual")) for k, v in enumerate(levels)])).alias("x")).select("x.*")
+    return out.select(
+        F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"l{k}").alias("actual")) for k, v in enumerate(levels)])).alias("x")
+    ).select("x.*")
 
 
 def pinball_loss(prediction: Column, target: Column, tau: float) -> Column:
@@ -77,7 +81,9 @@ def runs_test(rows: DataFrame, key: str, order: list[str], value: str) -> DataFr
     variance = 2 * a * b * (2 * a * b - n) / (n * n * F.nullif(n - 1, F.lit(0.0)))
     tested = (n >= 10) & (F.col("n_above") > 0) & (F.col("n_below") > 0)
     z = F.when(tested, (F.col("runs") - expected) / F.sqrt(F.greatest(variance, F.lit(1e-12))))
-    return out.withColumns({"expected": F.when(tested, expected).otherwise(F.lit(0.0)), "z": z, "p_value": F.coalesce(normal_two_sided(z), F.lit(1.0))})
+    return out.withColumns(
+        {"expected": F.when(tested, expected).otherwise(F.lit(0.0)), "z": z, "p_value": F.coalesce(normal_two_sided(z), F.lit(1.0))}
+    )
 
 
 def morans_i(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -96,11 +102,15 @@ def coverage_curve(rows: DataFrame, error: str, sigma: str, shares: list[float],
 
     Rows are first counted in percentile buckets of sigma, so no task sorts them all.
     """
-    binned = percentile_bins(rows, sigma, buckets).groupBy("bin").agg(F.sum(F.pow(F.col(error), F.lit(2.0))).alias("s"), F.count("*").alias("n"))
+    binned = percentile_bins(rows, sigma, buckets).groupBy("bin").agg(
+        F.sum(F.pow(F.col(error), F.lit(2.0))).alias("s"), F.count("*").alias("n")
+    )
     w = Window.orderBy("bin")  # at most as many rows as buckets
     total = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cum = binned.select("bin", F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"), F.sum("n").over(total).alias("all"))
-    every = cum.select("*", F.explode(F.array(*[F.lit(v) for v in shares])).alias("share")).where(F.col("n") >= F.col("share") * F.col("all"))
+    every = cum.select(
+        "*", F.explode(F.array(*[F.lit(v) for v in shares])).alias("share")
+    ).where(F.col("n") >= F.col("share") * F.col("all"))
     best = every.groupBy("share").agg(F.min_by(F.struct("s", "n"), "n").alias("x"))
     return best.select("share", F.sqrt(F.col("x.s") / F.col("x.n")).alias("rmse"), F.col("x.n").alias("n"))
 
@@ -111,7 +121,9 @@ def coverage_curve(rows: DataFrame, error: str, sigma: str, shares: list[float],
 def cloud_frequency(masks: DataFrame, pixel: list[str], cloudy: str, threshold: float = 0.8, temperature: float = 10.0) -> DataFrame:
     """Share of cloudy times of each pixel, whether it is void, and how far it can be known."""
     out = masks.groupBy(*pixel).agg(F.avg(F.col(cloudy).cast("double")).alias("frequency"))
-    return out.withColumns({"void": F.col("frequency") > threshold, "knowability": 1 / (1 + F.exp(-temperature * (threshold - F.col("frequency"))))})
+    return out.withColumns(
+        {"void": F.col("frequency") > threshold, "knowability": 1 / (1 + F.exp(-temperature * (threshold - F.col("frequency"))))}
+    )
 
 
 def masked_losses(pixels: DataFrame, prediction: str, target: str, sigma: str, mask: str) -> DataFrame:

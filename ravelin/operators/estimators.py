@@ -67,7 +67,10 @@ def _effect(df: DataFrame, pseudo: Column) -> DataFrame:
 
 def _with_interval(s: DataFrame) -> DataFrame:
     z = F.col("effect") / F.nullif(F.col("se"), F.lit(0.0))
-    return s.select("*", (F.col("effect") - 1.959964 * F.col("se")).alias("ci_low"), (F.col("effect") + 1.959964 * F.col("se")).alias("ci_high"), F.coalesce(normal_two_sided(z), F.lit(0.0)).alias("p_value"))
+    return s.select(
+        "*", (F.col("effect") - 1.959964 * F.col("se")).alias("ci_low"), (F.col("effect") + 1.959964 * F.col("se")).alias("ci_high"),
+        F.coalesce(normal_two_sided(z), F.lit(0.0)).alias("p_value")
+    )
 
 
 def _linear(rows: DataFrame, y: str, xs: list[str], where: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -96,14 +99,18 @@ def two_learner(rows: DataFrame, treatment: str, outcome: str, covariates: list[
     return rows.withColumn("cate", _line(one - other, covariates))
 
 
-def logistic_fit(rows: DataFrame, treatment: str, covariates: list[str], leave: list[Column] | None = None, rounds: int = 25, ridge: float = 1.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def logistic_fit(
+    rows: DataFrame, treatment: str, covariates: list[str], leave: list[Column] | None = None, rounds: int = 25, ridge: float = 1.0
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Coefficients of logistic models on standardised covariates with a ridge, by Newton steps from sums; with the means and deviations.
 
     ``leave`` holds a condition for each model, whose rows it leaves out; all
     models take their steps in the same aggregations.
     """
     leave = leave or [F.lit(False)]
-    moments = rows.agg(*[F.avg(F.col(c).cast("double")) for c in covariates], *[F.stddev_pop(F.col(c).cast("double")) for c in covariates]).first()
+    moments = rows.agg(
+        *[F.avg(F.col(c).cast("double")) for c in covariates], *[F.stddev_pop(F.col(c).cast("double")) for c in covariates]
+    ).first()
     p = len(covariates)
     mean = np.array([m or 0.0 for m in moments[:p]])
     sd = np.array([s or 1.0 for s in moments[p:]])
@@ -156,9 +163,17 @@ def inverse_weighting(rows: DataFrame, treatment: str, outcome: str, covariates:
     t, y, e = F.col(treatment).cast("double"), F.col(outcome).cast("double"), F.col("propensity")
     w = F.least(F.lit(WEIGHT_CAP), F.when(t == 1, 1 / e).otherwise(1 / (1 - e)))
     arm = lambda v: F.when(t == v, w)
-    s = p.agg(*[f(arm(v)).alias(f"{n}{v}") for v in (0, 1) for n, f in (("w", F.sum),)], F.sum(arm(1) * y).alias("y1"), F.sum(arm(0) * y).alias("y0"), F.count("*").alias("n"))
+    s = p.agg(
+        *[f(arm(v)).alias(f"{n}{v}") for v in (0, 1) for n, f in (("w", F.sum),)], F.sum(arm(1) * y).alias("y1"),
+        F.sum(arm(0) * y).alias("y0"), F.count("*").alias("n")
+    )
     s = s.withColumns({"m1": F.col("y1") / F.col("w1"), "m0": F.col("y0") / F.col("w0")})
-    spread = p.join(F.broadcast(s)).agg(F.sqrt(F.sum(F.pow(F.when(t == 1, w * (y - F.col("m1")) / F.col("w1")).otherwise(w * (y - F.col("m0")) / F.col("w0")), F.lit(2.0)))).alias("se"))  # one row of means
+    # one row of means
+    spread = p.join(F.broadcast(s)).agg(
+        F.sqrt(
+            F.sum(F.pow(F.when(t == 1, w * (y - F.col("m1")) / F.col("w1")).otherwise(w * (y - F.col("m0")) / F.col("w0")), F.lit(2.0)))
+        ).alias("se")
+    )
     return _with_interval(s.join(F.broadcast(spread)).select((F.col("m1") - F.col("m0")).alias("effect"), "se", "n"))
 
 
@@ -178,7 +193,11 @@ def cross_fitted(rows: DataFrame, treatment: str, outcome: str, covariates: list
     """
     used = _complete(rows, [treatment, outcome, *covariates]).withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int"))
     size = len(covariates) + 2
-    sums = {(r["_fold"], int(r["_arm"])): _square([v or 0.0 for v in r["s"]], size) for r in used.groupBy("_fold", F.col(treatment).cast("int").alias("_arm")).agg(_products(covariates, outcome).alias("s")).collect()}  # two rows a fold
+    # two rows a fold
+    sums = {
+        (r["_fold"], int(r["_arm"])): _square([v or 0.0 for v in r["s"]], size)
+        for r in used.groupBy("_fold", F.col(treatment).cast("int").alias("_arm")).agg(_products(covariates, outcome).alias("s")).collect()
+    }
     whole = {arm: sum((m for (_, a), m in sums.items() if a == arm), np.zeros((size, size))) for arm in (0, 1)}
     betas, mean, sd = logistic_fit(used, treatment, covariates, [F.col("_fold") == k for k in range(folds)])
     mu, share = {1: F.lit(None).cast("double"), 0: F.lit(None).cast("double")}, F.lit(None).cast("double")
@@ -191,7 +210,9 @@ def cross_fitted(rows: DataFrame, treatment: str, outcome: str, covariates: list
     return _effect(used, _pseudo(treatment, outcome, mu[1], mu[0], share))
 
 
-def subgroup_effects(rows: DataFrame, subgroup: str, treatment: str, outcome: str, covariates: list[str], min_rows: int = 40, min_arm: int = 10) -> DataFrame:
+def subgroup_effects(
+    rows: DataFrame, subgroup: str, treatment: str, outcome: str, covariates: list[str], min_rows: int = 40, min_arm: int = 10
+) -> DataFrame:
     """``(subgroup, n, treated, effect, se, ci_low, ci_high)``: regression adjustment in every subgroup with enough rows in both arms.
 
     Each group is one row of sums, so groups are solved in parallel, however many
@@ -199,16 +220,25 @@ def subgroup_effects(rows: DataFrame, subgroup: str, treatment: str, outcome: st
     """
     used = _complete(rows, [treatment, outcome, *covariates])
     xs = [treatment, *covariates]
-    sums = used.groupBy(F.col(subgroup).cast("string").alias("subgroup")).agg(F.count("*").alias("n"), F.sum(F.col(treatment).cast("long")).alias("treated"), _products(xs, outcome).alias("s"))
+    sums = used.groupBy(F.col(subgroup).cast("string").alias("subgroup")).agg(
+        F.count("*").alias("n"), F.sum(F.col(treatment).cast("long")).alias("treated"), _products(xs, outcome).alias("s")
+    )
     sums = sums.where((F.col("n") >= min_rows) & (F.col("treated") >= min_arm) & (F.col("n") - F.col("treated") >= min_arm))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             found = [_solve(_square(s, len(xs) + 2)) for s in pdf["s"]]
-            yield pd.DataFrame({"subgroup": pdf["subgroup"], "n": pdf["n"], "treated": pdf["treated"], "effect": [float(b[1]) for b, _, _ in found], "se": [float(e[1]) for _, e, _ in found]})
+            yield pd.DataFrame(
+                {
+                    "subgroup": pdf["subgroup"], "n": pdf["n"], "treated": pdf["treated"], "effect": [float(b[1]) for b, _, _ in found],
+                    "se": [float(e[1]) for _, e, _ in found]
+                }
+            )
 
     out = sums.mapInPandas(solve, "subgroup string, n long, treated long, effect double, se double")
-    return out.select("*", (F.col("effect") - 1.959964 * F.col("se")).alias("ci_low"), (F.col("effect") + 1.959964 * F.col("se")).alias("ci_high"))
+    return out.select(
+        "*", (F.col("effect") - 1.959964 * F.col("se")).alias("ci_low"), (F.col("effect") + 1.959964 * F.col("se")).alias("ci_high")
+    )
 
 
 def placebo_test(rows: DataFrame, treatment: str, placebo: str, covariates: list[str]) -> DataFrame:
@@ -216,7 +246,10 @@ def placebo_test(rows: DataFrame, treatment: str, placebo: str, covariates: list
     methods = {"regression": regression_adjustment, "weighting": inverse_weighting, "doubly_robust": doubly_robust}
     out = None
     for name, f in methods.items():
-        one = f(rows, treatment, placebo, covariates).select(F.lit(name).alias("method"), "effect", "ci_low", "ci_high", F.lit(0.0).between(F.col("ci_low"), F.col("ci_high")).alias("passes"))
+        one = f(rows, treatment, placebo, covariates).select(
+            F.lit(name).alias("method"), "effect", "ci_low", "ci_high",
+            F.lit(0.0).between(F.col("ci_low"), F.col("ci_high")).alias("passes")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -266,8 +299,12 @@ def bias_scenarios(estimate: DataFrame, deviation: float, steps: int = 6, most:
     near = F.least(F.abs("ci_low"), F.abs("ci_high"))
     bias = F.abs("effect") * F.col("_share")
     return estimate.select("*", shares).select(
-        bias.alias("bias"), (F.col("effect") - sign * bias).alias("effect"), (F.col("ci_low") - sign * bias).alias("ci_low"), (F.col("ci_high") - sign * bias).alias("ci_high"),
-        effect_e_value(F.col("effect"), F.lit(deviation)).alias("e_value"), F.when(nothing, F.lit(1.0)).otherwise(effect_e_value(near, F.lit(deviation))).alias("e_value_ci"),
+        bias.alias("bias"), (F.col("effect") - sign * bias).alias("effect"), (F.col("ci_low") - sign * bias).alias("ci_low"), (
+            F.col("ci_high") - sign * bias
+        ).alias("ci_high"),
+        effect_e_value(F.col("effect"), F.lit(deviation)).alias("e_value"), F.when(nothing, F.lit(1.0)).otherwise(
+            effect_e_value(near, F.lit(deviation))
+        ).alias("e_value_ci"),
     )
 
 
@@ -279,11 +316,24 @@ def parallel_trends(rows: DataFrame, treatment: str, period: str, outcome: str)
     """
     y = F.col(outcome).cast("double")
     cells = rows.groupBy(period).agg(
-        *[F.count(F.when(F.col(treatment) == a, y)).alias(f"n{a}") for a in (0, 1)], *[F.avg(F.when(F.col(treatment) == a, y)).alias(f"m{a}") for a in (0, 1)],
-        *[F.coalesce(F.var_pop(F.when(F.col(treatment) == a, y)) * F.count(F.when(F.col(treatment) == a, y)), F.lit(0.0)).alias(f"s{a}") for a in (0, 1)],
+        *[
+            F.count(F.when(F.col(treatment) == a, y)).alias(f"n{a}") for a in (0, 1)
+        ], *[F.avg(F.when(F.col(treatment) == a, y)).alias(f"m{a}") for a in (0, 1)],
+        *[
+            F.coalesce(F.var_pop(F.when(F.col(treatment) == a, y)) * F.count(F.when(F.col(treatment) == a, y)), F.lit(0.0)).alias(f"s{a}")
+            for a in (0, 1)
+        ],
     ).where("n0 > 0 and n1 > 0")
-    cells = cells.select((F.col("m1") - F.col("m0")).alias("d"), (F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))).alias("w"), (F.col("s0") + F.col("s1")).alias("s"), (F.col("n0") + F.col("n1")).alias("n"))
-    s = cells.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("wdd"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("p"))
+    cells = cells.select(
+        (F.col("m1") - F.col("m0")).alias("d"), (F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))).alias("w"),
+        (F.col("s0") + F.col("s1")).alias("s"), (F.col("n0") + F.col("n1")).alias("n")
+    )
+    s = cells.agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("wdd"),
+        F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("p")
+    )
     free = F.col("n") - 2 * F.col("p")
-    f = ((F.col("wdd") - F.col("wd") * F.col("wd") / F.nullif(F.col("w"), F.lit(0.0))) / F.nullif(F.col("p") - 1, F.lit(0))) / F.nullif(F.col("s") / F.nullif(free, F.lit(0)), F.lit(0.0))
+    f = (
+        (F.col("wdd") - F.col("wd") * F.col("wd") / F.nullif(F.col("w"), F.lit(0.0))) / F.nullif(F.col("p") - 1, F.lit(0))
+    ) / F.nullif(F.col("s") / F.nullif(free, F.lit(0)), F.lit(0.0))
     return s.select(F.coalesce(f, F.lit(0.0)).alias("f_statistic"), F.col("p").alias("n_periods"), free.alias("df"))

@@ -12,7 +12,9 @@ def split_tail(series: DataFrame, validation: int, test: int) -> DataFrame:
     """Rows ``(key, position, value)`` with ``part``: the last are for test, those before for validation."""
     last = series.groupBy("key").agg(F.max("position").alias("_last"))
     back = F.col("_last") - F.col("position")
-    return series.join(last, "key").withColumn("part", F.when(back < test, "test").when(back < test + validation, "validation").otherwise("train")).drop("_last")
+    return series.join(last, "key").withColumn(
+        "part", F.when(back < test, "test").when(back < test + validation, "validation").otherwise("train")
+    ).drop("_last")
 
 
 def _fit_ar(values: np.ndarray, order: int) -> tuple[np.ndarray, float]:
@@ -54,10 +56,17 @@ def autoregression(series: DataFrame, holdout: int, orders: list[int], paths: in
         rng = np.random.default_rng(seed)
         runs = np.sort([_forecast(values, w, holdout, rng.normal(0.0, sd, holdout)) for _ in range(paths)], axis=0)
         at = lambda q: runs[int(q * (paths - 1))]
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "order": order, "pmse": pmse, "step": range(1, holdout + 1), "forecast": _forecast(values, w, holdout), "p10": at(0.1), "median": at(0.5), "p90": at(0.9)})
+        return pd.DataFrame(
+            {
+                "key": pdf["key"].iloc[0], "order": order, "pmse": pmse, "step": range(1, holdout + 1),
+                "forecast": _forecast(values, w, holdout), "p10": at(0.1), "median": at(0.5), "p90": at(0.9)
+            }
+        )
 
     enough = series.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") - holdout > 2 * min(orders) + 1)
-    return series.join(enough.select("key"), "key", "left_semi").groupBy("key").applyInPandas(fit, f"key {kind}, order long, pmse double, step long, forecast double, p10 double, median double, p90 double")
+    return series.join(enough.select("key"), "key", "left_semi").groupBy("key").applyInPandas(
+        fit, f"key {kind}, order long, pmse double, step long, forecast double, p10 double, median double, p90 double"
+    )
 
 
 def logistic_propensity(rows: DataFrame, treatment: str, covariates: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -66,14 +75,24 @@ def logistic_propensity(rows: DataFrame, treatment: str, covariates: list[str],
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    moments = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in covariates], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{c}") for c in covariates], F.count("*").alias("_n"))
+    moments = rows.agg(
+        *[F.avg(c).alias(f"_m_{c}") for c in covariates],
+        *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{c}") for c in covariates], F.count("*").alias("_n")
+    )
     n = moments.first()["_n"]
     scaled = rows.dropna(subset=[treatment, *covariates]).join(F.broadcast(moments))  # one row of moments
-    scaled = scaled.withColumns({f"_z_{c}": (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in covariates}).withColumn("_y", F.col(treatment).cast("double"))
+    scaled = scaled.withColumns(
+        {f"_z_{c}": (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in covariates}
+    ).withColumn("_y", F.col(treatment).cast("double"))
     points = VectorAssembler(inputCols=[f"_z_{c}" for c in covariates], outputCol="_x").transform(scaled)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / max(n, 1), standardization=False, maxIter=100, tol=1e-8, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_k").fit(points)
+    model = LogisticRegression(
+        featuresCol="_x", labelCol="_y", regParam=1.0 / max(n, 1), standardization=False, maxIter=100, tol=1e-8, probabilityCol="_p",
+        rawPredictionCol="_r", predictionCol="_k"
+    ).fit(points)
     p = vector_to_array(F.col("_p"))[1]
-    return model.transform(points).withColumn("propensity", F.greatest(F.lit(low), F.least(F.lit(high), p))).select(*rows.columns, "propensity")
+    return model.transform(points).withColumn(
+        "propensity", F.greatest(F.lit(low), F.least(F.lit(high), p))
+    ).select(*rows.columns, "propensity")
 
 
 def synthetic_control(panel: DataFrame, unit: str, time: str, value: str, treated, start, steps: int = 4000) -> DataFrame:
@@ -88,7 +107,10 @@ def synthetic_control(panel: DataFrame, unit: str, time: str, value: str, treate
     wide = panel.groupBy(time).pivot(unit, units).agg(F.avg(value)).dropna()
     col = {u: F.col(f"`{u}`") for u in units}
     before = wide.where(F.col(time) < start)
-    sums = before.agg(*[F.sum(col[a] * col[b]).alias(f"{i}_{j}") for i, a in enumerate(donors) for j, b in enumerate(donors)], *[F.sum(col[a] * col[treated]).alias(f"y_{i}") for i, a in enumerate(donors)]).first()
+    sums = before.agg(
+        *[F.sum(col[a] * col[b]).alias(f"{i}_{j}") for i, a in enumerate(donors) for j, b in enumerate(donors)],
+        *[F.sum(col[a] * col[treated]).alias(f"y_{i}") for i, a in enumerate(donors)]
+    ).first()
     gram = np.array([[sums[f"{i}_{j}"] or 0.0 for j in range(len(donors))] for i in range(len(donors))], float)
     cross = np.array([sums[f"y_{i}"] or 0.0 for i in range(len(donors))], float)
     w = np.full(len(donors), 1 / len(donors))
@@ -96,7 +118,9 @@ def synthetic_control(panel: DataFrame, unit: str, time: str, value: str, treate
     for _ in range(steps):
         w = _to_simplex(w - rate * (gram @ w - cross))
     mix = sum((F.lit(float(x)) * col[u] for x, u in zip(w, donors, strict=True)), F.lit(0.0))
-    return wide.select(time, col[treated].alias("observed"), mix.alias("synthetic")).withColumn("gap", F.col("observed") - F.col("synthetic"))
+    return wide.select(
+        time, col[treated].alias("observed"), mix.alias("synthetic")
+    ).withColumn("gap", F.col("observed") - F.col("synthetic"))
 
 
 def _to_simplex(v: np.ndarray) -> np.ndarray:

@@ -28,7 +28,9 @@ def in_time(observations: DataFrame, start: str | None = None, end: str | None =
 
 def latest_observations(observations: DataFrame) -> DataFrame:
     """The newest row of each feature, ties by the greater id."""
-    newest = F.max_by(F.struct(*[c for c in observations.columns if c != "feature_id"]), F.struct("observed_at", "observation_id")).alias("x")
+    newest = F.max_by(
+        F.struct(*[c for c in observations.columns if c != "feature_id"]), F.struct("observed_at", "observation_id")
+    ).alias("x")
     return observations.groupBy("feature_id").agg(newest).select("feature_id", "x.*")
 
 
@@ -39,15 +41,22 @@ def with_status(features: DataFrame, observations: DataFrame, thresholds: DataFr
     out = features.join(last, "feature_id", "left").join(limits, "feature_id", "left")
     same = F.col("_metric") == F.col("metric")
     low, high = F.when(same, F.col("low")), F.when(same, F.col("high"))
-    status = F.when(F.col("value").isNull(), F.coalesce("_status", F.lit("normal"))).otherwise(threshold_status(F.col("value"), low, high, F.col("_status")))
+    status = F.when(
+        F.col("value").isNull(), F.coalesce("_status", F.lit("normal"))
+    ).otherwise(threshold_status(F.col("value"), low, high, F.col("_status")))
     fallback = F.lit(0.0)
     for name, score in FALLBACK_SCORES.items():
         fallback = F.when(F.col("status") == name, F.lit(score)).otherwise(fallback)
     out = out.withColumns({"status": status, "_low": low, "_high": high})
-    return out.withColumn("alert_score", alert_score(F.col("value"), F.col("_low"), F.col("_high"), fallback)).drop("_status", "_metric", "_low", "_high", "low", "high")
+    return out.withColumn(
+        "alert_score", alert_score(F.col("value"), F.col("_low"), F.col("_high"), fallback)
+    ).drop("_status", "_metric", "_low", "_high", "low", "high")
 
 
-def list_features(features: DataFrame, category: str | None = None, region: str | None = None, status: str | None = None, bbox: tuple[float, float, float, float] | None = None, exact_case: bool = False) -> DataFrame:
+def list_features(
+    features: DataFrame, category: str | None = None, region: str | None = None, status: str | None = None,
+    bbox: tuple[float, float, float, float] | None = None, exact_case: bool = False
+) -> DataFrame:
     """Features that pass the filters given; names compare without case unless asked otherwise."""
     same = (lambda c, v: F.col(c) == v) if exact_case else (lambda c, v: F.lower(c) == v.lower())
     for column, wanted in (("category", category), ("region", region)):
@@ -62,7 +71,9 @@ def list_features(features: DataFrame, category: str | None = None, region: str
     return features
 
 
-def recent_observations(observations: DataFrame, limit: int = 5, feature_id=None, start: str | None = None, end: str | None = None) -> DataFrame:
+def recent_observations(
+    observations: DataFrame, limit: int = 5, feature_id=None, start: str | None = None, end: str | None = None
+) -> DataFrame:
     rows = in_time(observations, start, end)
     if feature_id is not None:
         rows = rows.where(F.col("feature_id") == feature_id)
@@ -76,25 +87,42 @@ def recent_per_feature(observations: DataFrame, limit: int) -> DataFrame:
 
 def summary(features: DataFrame) -> DataFrame:
     """Counts by category, by status and by region, from one pass: ``(kind, name, n)``."""
-    rows = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("name")) for c in ("category", "status", "region")])).alias("x"))
+    rows = features.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("name"))
+                    for c in ("category", "status", "region")
+                ]
+            )
+        ).alias("x")
+    )
     return rows.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
 def operations_summary(features: DataFrame, observations: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """By region: features, those in alert, alert observations in the time asked for, and the rate of alerts."""
     seen = in_time(observations, start, end).where(F.col("status") == "alert").groupBy("feature_id").agg(F.count("*").alias("_alerts"))
-    out = features.join(seen, "feature_id", "left").groupBy("region").agg(F.count("*").alias("n_features"), F.count_if(F.col("status") == "alert").alias("n_alert_features"), F.coalesce(F.sum("_alerts"), F.lit(0)).alias("n_alerts"))
+    out = features.join(seen, "feature_id", "left").groupBy("region").agg(
+        F.count("*").alias("n_features"), F.count_if(F.col("status") == "alert").alias("n_alert_features"),
+        F.coalesce(F.sum("_alerts"), F.lit(0)).alias("n_alerts")
+    )
     return out.withColumn("alert_rate", F.round(F.col("n_alert_features") / F.col("n_features"), 4))
 
 
-def export_observations(observations: DataFrame, features: DataFrame, thresholds: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+def export_observations(
+    observations: DataFrame, features: DataFrame, thresholds: DataFrame, start: str | None = None, end: str | None = None
+) -> DataFrame:
     """Observations of the given features with attributes and limits, missing text as empty."""
     rows = in_time(observations, start, end).join(features.select("feature_id"), "feature_id", "left_semi")
     limits = thresholds.select("feature_id", F.col("metric").alias("_metric"), "low", "high")
     out = rows.join(features.select("feature_id", "category", "region"), "feature_id", "left").join(limits, "feature_id", "left")
     same = F.col("_metric") == F.col("metric")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return out.select("observation_id", "feature_id", text(F.col("category")).alias("category"), text(F.col("region")).alias("region"), "observed_at", "metric", "value", "status", text(F.when(same, F.col("low"))).alias("low"), text(F.when(same, F.col("high"))).alias("high"))
+    return out.select(
+        "observation_id", "feature_id", text(F.col("category")).alias("category"), text(F.col("region")).alias("region"), "observed_at",
+        "metric", "value", "status", text(F.when(same, F.col("low"))).alias("low"), text(F.when(same, F.col("high"))).alias("high")
+    )
 
 
 def upsert_thresholds(thresholds: DataFrame, changes: DataFrame) -> DataFrame:

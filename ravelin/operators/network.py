@@ -35,13 +35,24 @@ def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float | None = N
 
     ``edge_id`` is the last edge of a least path. Negative costs are an error.
     """
-    steps = edges.select("from_node", "to_node", F.when(F.col("cost") >= 0, F.col("cost")).otherwise(F.raise_error(F.lit("costs must not be negative")).cast("double")).alias("step"), F.col("edge_id").cast("string").alias("edge_id"))
-    start = sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("edge_id")).distinct()
+    steps = edges.select(
+        "from_node", "to_node",
+        F.when(F.col("cost") >= 0, F.col("cost")).otherwise(
+            F.raise_error(F.lit("costs must not be negative")).cast("double")
+        ).alias("step"),
+        F.col("edge_id").cast("string").alias("edge_id")
+    )
+    start = sources.select(
+        "source", "node", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("edge_id")
+    ).distinct()
     steps = settle(steps.withColumnRenamed("edge_id", "by"), "steps")
     least = lambda df: df.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("new"))
 
     def onward(df: DataFrame) -> DataFrame:
-        tried = df.join(steps, F.col("node") == F.col("from_node")).select("source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("by").alias("edge_id"))
+        tried = df.join(steps, F.col("node") == F.col("from_node")).select(
+            "source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"),
+            F.col("by").alias("edge_id")
+        )
         return least(tried if max_cost is None else tried.where(F.col("cost") <= max_cost)).select("source", "node", "new.*")
 
     moved = settle(start, "costs")
@@ -57,7 +68,12 @@ def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float | None = N
         moved = settle(tried.join(best, ["source", "node"], "left").where(better).select("source", "node", "new.*"), "costs")
         if moved.isEmpty():
             return best.select("source", "node", "best.*")
-        found = _compact([*found, moved], lambda df: df.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("best")).select("source", "node", "best.*"))
+        found = _compact(
+            [*found, moved],
+            lambda df: df.groupBy("source", "node").agg(
+                F.min(F.struct("cost", "hops", "edge_id")).alias("best")
+            ).select("source", "node", "best.*")
+        )
     raise RuntimeError("the search did not end within the allowed rounds")
 
 
@@ -92,7 +108,9 @@ def _closure(start: DataFrame, step, keys: list[str]) -> DataFrame:
 
 def service_area(edges: DataFrame, source, max_cost: float) -> DataFrame:
     """``(node, cost)`` within a cost of one node."""
-    start = edges.sparkSession.range(1).select(F.lit(source).alias("source"), F.lit(source).cast(edges.schema["from_node"].dataType).alias("node"))
+    start = edges.sparkSession.range(1).select(
+        F.lit(source).alias("source"), F.lit(source).cast(edges.schema["from_node"].dataType).alias("node")
+    )
     return least_costs(edges, start, max_cost).select("node", "cost")
 
 
@@ -101,8 +119,12 @@ def od_costs(edges: DataFrame, origins: DataFrame, destinations: DataFrame) -> D
     nodes = edges.select(F.col("from_node").alias("node")).union(edges.select("to_node")).distinct()
     known = origins.select(F.col("node")).distinct().join(nodes, "node", "left_semi")
     found = least_costs(edges, known.select(F.col("node").alias("source"), "node"))
-    wanted = known.select(F.col("node").alias("origin")).join(destinations.select(F.col("node").alias("destination")).distinct(), how="cross")
-    out = wanted.join(found.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "cost"), ["origin", "destination"], "left")
+    wanted = known.select(F.col("node").alias("origin")).join(
+        destinations.select(F.col("node").alias("destination")).distinct(), how="cross"
+    )
+    out = wanted.join(
+        found.select(F.col("source").alias("origin"), F.col("node").alias("destination"), "cost"), ["origin", "destination"], "left"
+    )
     return out.select("origin", "destination", F.coalesce("cost", F.lit(float("inf"))).alias("cost"))
 
 
@@ -117,7 +139,9 @@ def nearest_supply(edges: DataFrame, supplies: DataFrame, demands: DataFrame) ->
     moved = settle(supplies.select("node", F.lit(0.0).alias("cost"), F.col("node").alias("supply")).distinct(), "supply")
     found = [moved]
     while True:
-        tried = moved.join(steps, moved["node"] == steps["from_node"]).select(F.col("to_node").alias("node"), F.struct((F.col("cost") + F.col("step")).alias("cost"), "supply").alias("new"))
+        tried = moved.join(steps, moved["node"] == steps["from_node"]).select(
+            F.col("to_node").alias("node"), F.struct((F.col("cost") + F.col("step")).alias("cost"), "supply").alias("new")
+        )
         tried = tried.groupBy("node").agg(F.min("new").alias("new"))
         moved = tried.join(least(_union(found)), "node", "left").where(F.col("best").isNull() | (F.col("new") < F.col("best")))
         moved = settle(moved.select("node", "new.*"), "supply")
@@ -126,7 +150,9 @@ def nearest_supply(edges: DataFrame, supplies: DataFrame, demands: DataFrame) ->
         found = _compact([*found, moved], lambda df: least(df).select("node", "best.*"))
     best = least(_union(found)).select("node", "best.*")
     wanted = demands.select(F.col("node")).distinct().join(best, "node", "left")
-    return wanted.select(F.col("node").alias("demand_node"), F.col("supply").alias("supply_node"), F.coalesce("cost", F.lit(float("inf"))).alias("cost"))
+    return wanted.select(
+        F.col("node").alias("demand_node"), F.col("supply").alias("supply_node"), F.coalesce("cost", F.lit(float("inf"))).alias("cost")
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,21 +170,29 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ordered(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")))
+        large = ordered(
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
+        )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = settle(ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))), "stars")
+        pairs = settle(
+            ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))), "stars"
+        )
         after = mark(pairs)
         if after == before:
             break
         before = after
-    return nodes.join(pairs.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(
+        pairs.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left"
+    ).select("node", F.coalesce("component", "node").alias("component"))
 
 
 def topology(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, components, self-loops, repeated undirected pairs."""
     comps = components(edges)
     loops = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("from_node") == F.col("to_node")).alias("n_loops"))
-    pair = edges.where("from_node <> to_node").groupBy(F.least("from_node", "to_node").alias("a"), F.greatest("from_node", "to_node").alias("b")).count()
+    pair = edges.where("from_node <> to_node").groupBy(
+        F.least("from_node", "to_node").alias("a"), F.greatest("from_node", "to_node").alias("b")
+    ).count()
     repeated = pair.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_repeated"))
     counted = comps.agg(F.count("*").alias("n_nodes"), F.countDistinct("component").alias("n_components"))
     return counted.join(F.broadcast(loops)).join(F.broadcast(repeated))  # single rows
@@ -169,7 +203,9 @@ def reachable(edges: DataFrame, sources: DataFrame, failed: list[str] = (), open
     alive = edges.where(~F.col("edge_id").cast("string").isin([str(x) for x in failed])) if failed else edges
     if open_devices and "device_state" in edges.columns:
         alive = alive.where(~F.lower(F.coalesce("device_state", F.lit(""))).isin("open", "normally_open"))
-    return _closure(sources.select("node"), lambda df: df.join(alive, df["node"] == alive["from_node"]).select(F.col("to_node").alias("node")), ["node"])
+    return _closure(
+        sources.select("node"), lambda df: df.join(alive, df["node"] == alive["from_node"]).select(F.col("to_node").alias("node")), ["node"]
+    )
 
 
 def outage(edges: DataFrame, sources: DataFrame, failed: list[str]) -> DataFrame:
@@ -187,19 +223,31 @@ def edge_loads(edges: DataFrame, demands: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     tree = least_costs(edges, demands.select(F.col("origin").alias("source"), F.col("origin").alias("node")).distinct())
     back = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node", "cost")
-    last = tree.join(back.select("edge_id", "from_node", "to_node"), (tree["node"] == F.col("to_node")) & (tree["edge_id"] == back["edge_id"]), "left").select("source", "node", tree["edge_id"].alias("edge_id"), "from_node")
+    last = tree.join(
+        back.select("edge_id", "from_node", "to_node"), (tree["node"] == F.col("to_node")) & (tree["edge_id"] == back["edge_id"]), "left"
+    ).select("source", "node", tree["edge_id"].alias("edge_id"), "from_node")
     last = settle(last, "tree")
-    at = settle(demands.groupBy(F.col("origin").alias("source"), F.col("destination").alias("node")).agg(F.sum("demand").alias("demand")), "demands")
+    at = settle(
+        demands.groupBy(F.col("origin").alias("source"), F.col("destination").alias("node")).agg(F.sum("demand").alias("demand")), "demands"
+    )
     loads = spark.createDataFrame([], "edge_id string, demand double")
     while True:
-        step = settle(at.join(last.where("edge_id is not null"), ["source", "node"]).select("source", F.col("from_node").alias("node"), "edge_id", "demand"), "walk")
+        step = settle(
+            at.join(last.where("edge_id is not null"), ["source", "node"]).select(
+                "source", F.col("from_node").alias("node"), "edge_id", "demand"
+            ),
+            "walk"
+        )
         if step.isEmpty():
             break
         loads = loads.unionByName(step.select("edge_id", F.col("demand").cast("double")))
         at = settle(step.groupBy("source", "node").agg(F.sum("demand").alias("demand")), "demands")
     total = loads.groupBy("edge_id").agg(F.sum("demand").alias("load"))
     capacity = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "capacity").distinct()
-    return capacity.join(total, "edge_id", "left").select("edge_id", F.coalesce("load", F.lit(0.0)).alias("load"), stress_index(F.coalesce("load", F.lit(0.0)), F.col("capacity")).alias("stress"))
+    return capacity.join(total, "edge_id", "left").select(
+        "edge_id", F.coalesce("load", F.lit(0.0)).alias("load"),
+        stress_index(F.coalesce("load", F.lit(0.0)), F.col("capacity")).alias("stress")
+    )
 
 
 def single_edge_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -214,8 +262,13 @@ def single_edge_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame,
     cut = lambda df: df.join(step, (df["node"] == step["from_node"]) & (df["case"] != step["edge_id"])).select("case", F.col("to_node").alias("node"))
     found = _closure(start, cut, ["case", "node"])
     total = base.join(demands.select("node", "demand"), "node", "left").agg(F.count("*").alias("n"), F.sum("demand").alias("d"))
-    kept = found.join(demands.select("node", "demand"), "node", "left").groupBy("case").agg(F.count("*").alias("kept_n"), F.sum("demand").alias("kept_d"))
-    return kept.join(F.broadcast(total)).select(F.col("case").alias("edge_id"), (F.col("n") - F.col("kept_n")).alias("lost_nodes"), (F.coalesce("d", F.lit(0.0)) - F.coalesce("kept_d", F.lit(0.0))).alias("lost_demand"))
+    kept = found.join(demands.select("node", "demand"), "node", "left").groupBy("case").agg(
+        F.count("*").alias("kept_n"), F.sum("demand").alias("kept_d")
+    )
+    return kept.join(F.broadcast(total)).select(
+        F.col("case").alias("edge_id"), (F.col("n") - F.col("kept_n")).alias("lost_nodes"),
+        (F.coalesce("d", F.lit(0.0)) - F.coalesce("kept_d", F.lit(0.0))).alias("lost_demand")
+    )
 
 
 def shared_corridors(networks: DataFrame) -> DataFrame:
@@ -231,14 +284,23 @@ def node_removal_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame
     cases = candidates.select(F.col("node").alias("case")).distinct()
     start = cases.join(F.broadcast(sources.select("node").distinct()), how="cross").where("case <> node")  # a few sources for each case
     walk = lambda df: df.join(edges.select("from_node", "to_node"), F.col("node") == F.col("from_node")).where("to_node <> case").select("case", F.col("to_node").alias("node"))
-    kept = _closure(start, walk, ["case", "node"]).join(demands.select("node", "demand"), "node").groupBy("case").agg(F.sum("demand").alias("kept"))
-    total = reachable(edges, sources).join(demands.select("node", "demand"), "node").agg(F.coalesce(F.sum("demand"), F.lit(0.0)).alias("total"))
-    return cases.join(kept, "case", "left").join(F.broadcast(total)).select(F.col("case").alias("node"), (F.col("total") - F.coalesce("kept", F.lit(0.0))).alias("lost_demand"))
+    kept = _closure(start, walk, ["case", "node"]).join(
+        demands.select("node", "demand"), "node"
+    ).groupBy("case").agg(F.sum("demand").alias("kept"))
+    total = reachable(edges, sources).join(demands.select("node", "demand"), "node").agg(
+        F.coalesce(F.sum("demand"), F.lit(0.0)).alias("total")
+    )
+    return cases.join(kept, "case", "left").join(F.broadcast(total)).select(
+        F.col("case").alias("node"), (F.col("total") - F.coalesce("kept", F.lit(0.0))).alias("lost_demand")
+    )
 
 
 def dependency_closure(dependencies: DataFrame, failed: DataFrame) -> DataFrame:
     """``(node, level)`` of all that fails with ``failed(node)`` over ``(node, depends_on)``, by the fewest steps."""
-    edges = dependencies.select(F.col("depends_on").alias("from_node"), F.col("node").alias("to_node"), F.lit(1.0).alias("cost"), F.concat_ws(">", "depends_on", "node").alias("edge_id"))
+    edges = dependencies.select(
+        F.col("depends_on").alias("from_node"), F.col("node").alias("to_node"), F.lit(1.0).alias("cost"),
+        F.concat_ws(">", "depends_on", "node").alias("edge_id")
+    )
     start = failed.select(F.lit("failed").alias("source"), "node")
     return least_costs(edges, start).select("node", F.col("cost").cast("long").alias("level"))
 
@@ -253,7 +315,9 @@ def flow_accumulation(edges: DataFrame, runoff: DataFrame, max_rounds: int = 10_
     parts = [moved]
     out = edges.select("from_node", "to_node").distinct()
     for _ in range(max_rounds):
-        moved = moved.join(out, F.col("node") == F.col("from_node")).groupBy(F.col("to_node").alias("node")).agg(F.sum("flow").alias("flow"))
+        moved = moved.join(
+            out, F.col("node") == F.col("from_node")
+        ).groupBy(F.col("to_node").alias("node")).agg(F.sum("flow").alias("flow"))
         moved = settle(moved, "flow")
         if moved.isEmpty():
             return _union(parts).groupBy("node").agg(F.sum("flow").alias("flow"))
@@ -263,7 +327,9 @@ def flow_accumulation(edges: DataFrame, runoff: DataFrame, max_rounds: int = 10_
 
 def pressure_trace(edges: DataFrame, source, inlet: float, drop_per_cost: float) -> DataFrame:
     """``(node, pressure)`` that is left after the least cost from a source; never below zero."""
-    return service_area(edges, source, float("inf")).select("node", F.greatest(F.lit(0.0), inlet - F.col("cost") * drop_per_cost).alias("pressure"))
+    return service_area(edges, source, float("inf")).select(
+        "node", F.greatest(F.lit(0.0), inlet - F.col("cost") * drop_per_cost).alias("pressure")
+    )
 
 
 def isolation_zone(edges: DataFrame, ends: list, broken: list[str]) -> DataFrame:
@@ -281,12 +347,18 @@ def restoration_options(edges: DataFrame, ties: DataFrame, sources: DataFrame, f
     """
     alive = edges.where(~F.col("edge_id").cast("string").isin([str(x) for x in failed]))
     fed = reachable(alive, sources)
-    both = ties.select("tie_id", F.col("from_node").alias("a"), F.col("to_node").alias("b")).union(ties.select("tie_id", "to_node", "from_node"))
-    start = both.join(fed.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("tie_id").alias("case"), F.col("b").alias("node")).join(fed, "node", "left_anti")
+    both = ties.select(
+        "tie_id", F.col("from_node").alias("a"), F.col("to_node").alias("b")
+    ).union(ties.select("tie_id", "to_node", "from_node"))
+    start = both.join(fed.withColumnRenamed("node", "a"), "a", "left_semi").select(
+        F.col("tie_id").alias("case"), F.col("b").alias("node")
+    ).join(fed, "node", "left_anti")
     step = alive.select("from_node", "to_node")
     walk = lambda df: df.join(step, df["node"] == step["from_node"]).select("case", F.col("to_node").alias("node")).join(fed, "node", "left_anti")
     gained = _closure(start.select("case", "node"), walk, ["case", "node"]).groupBy("case").agg(F.count("*").alias("restored_nodes"))
-    return ties.select("tie_id").join(gained.withColumnRenamed("case", "tie_id"), "tie_id", "left").select("tie_id", F.coalesce("restored_nodes", F.lit(0)).alias("restored_nodes"))
+    return ties.select("tie_id").join(gained.withColumnRenamed("case", "tie_id"), "tie_id", "left").select(
+        "tie_id", F.coalesce("restored_nodes", F.lit(0)).alias("restored_nodes")
+    )
 
 
 def shortest_path(edges: DataFrame, source, target) -> DataFrame:
@@ -297,17 +369,27 @@ def shortest_path(edges: DataFrame, source, target) -> DataFrame:
     tree = settle(least_costs(edges, node(source).select(F.lit("s").alias("source"), "node")), "tree")
     named = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node", "cost")
     last = tree.where("edge_id is not null").select("node", "edge_id", "hops")
-    into = last.join(named, (last["node"] == named["to_node"]) & (last["edge_id"] == named["edge_id"])).select(named["edge_id"], "from_node", "to_node", named["cost"], "hops")
-    on_path = _closure(node(target), lambda df: df.join(into, df["node"] == into["to_node"]).select(F.col("from_node").alias("node")), ["node"])
-    return on_path.join(into, F.col("node") == F.col("to_node")).select(F.col("hops").alias("step"), "edge_id", "from_node", "to_node", "cost")
+    into = last.join(
+        named, (last["node"] == named["to_node"]) & (last["edge_id"] == named["edge_id"])
+    ).select(named["edge_id"], "from_node", "to_node", named["cost"], "hops")
+    on_path = _closure(
+        node(target), lambda df: df.join(into, df["node"] == into["to_node"]).select(F.col("from_node").alias("node")), ["node"]
+    )
+    return on_path.join(into, F.col("node") == F.col("to_node")).select(
+        F.col("hops").alias("step"), "edge_id", "from_node", "to_node", "cost"
+    )
 
 
 def landmark_bounds(edges: DataFrame, landmarks: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(origin, target, bound)``: the greatest difference of costs from landmarks is a lower bound of the cost between."""
-    costs = settle(least_costs(edges, landmarks.select(F.col("node").alias("source"), "node")).select("source", "node", "cost"), "landmarks")
+    costs = settle(
+        least_costs(edges, landmarks.select(F.col("node").alias("source"), "node")).select("source", "node", "cost"), "landmarks"
+    )
     a = costs.select("source", F.col("node").alias("origin"), F.col("cost").alias("a"))
     b = costs.select("source", F.col("node").alias("target"), F.col("cost").alias("b"))
-    return pairs.join(a, "origin").join(b, ["source", "target"]).groupBy("origin", "target").agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("bound"))
+    return pairs.join(a, "origin").join(b, ["source", "target"]).groupBy("origin", "target").agg(
+        F.max(F.abs(F.col("a") - F.col("b"))).alias("bound")
+    )
 
 
 def shared_fate(circuits: DataFrame) -> DataFrame:
@@ -325,7 +407,9 @@ def fire_flow(edges: DataFrame, demands: DataFrame) -> DataFrame:
     """``(node, spare, enough)``: unused capacity of the edges at a node against its demand."""
     ends = edges.select(F.col("from_node").alias("node"), "capacity", "load").union(edges.select("to_node", "capacity", "load"))
     spare = ends.groupBy("node").agg(F.sum(F.greatest(F.lit(0.0), F.col("capacity") - F.col("load"))).alias("spare"))
-    return demands.join(spare, "node", "left").select("node", F.coalesce("spare", F.lit(0.0)).alias("spare"), (F.coalesce("spare", F.lit(0.0)) >= F.col("demand")).alias("enough"))
+    return demands.join(spare, "node", "left").select(
+        "node", F.coalesce("spare", F.lit(0.0)).alias("spare"), (F.coalesce("spare", F.lit(0.0)) >= F.col("demand")).alias("enough")
+    )
 
 
 def flow_rounds(edges: DataFrame, demands: DataFrame, rounds: int = 3, penalty: float = 1.0) -> DataFrame:

@@ -45,14 +45,20 @@ def rules_label() -> Column:
 
 def top_drivers(k: int = 3) -> Column:
     """The features that add most to the score, as ``(feature, contribution)``, the first of equal ones first."""
-    parts = [F.struct(F.round(F.col(f) * w, 2).alias("contribution"), F.lit(-i).alias("_order"), F.lit(f).alias("feature")) for i, (f, w) in enumerate(SCORE_WEIGHTS.items())]
+    parts = [
+        F.struct(F.round(F.col(f) * w, 2).alias("contribution"), F.lit(-i).alias("_order"), F.lit(f).alias("feature")) for i,
+        (f, w) in enumerate(SCORE_WEIGHTS.items())
+    ]
     ordered = F.slice(F.sort_array(F.array(*parts), asc=False), 1, k)
     return F.transform(ordered, lambda p: F.struct(p["feature"].alias("feature"), p["contribution"].alias("contribution")))
 
 
 def training_profile(samples: DataFrame, label: str) -> DataFrame:
     """``(label, n, mean_risk, mean_recent, mean_anomaly_rate)`` for each class."""
-    return samples.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.round(F.avg(risk_score()), 2).alias("mean_risk"), F.round(F.avg("recent_mean"), 2).alias("mean_recent"), F.round(F.avg("anomaly_rate"), 2).alias("mean_anomaly_rate"))
+    return samples.groupBy(F.col(label).alias("label")).agg(
+        F.count("*").alias("n"), F.round(F.avg(risk_score()), 2).alias("mean_risk"), F.round(F.avg("recent_mean"), 2).alias("mean_recent"),
+        F.round(F.avg("anomaly_rate"), 2).alias("mean_anomaly_rate")
+    )
 
 
 def classifier_leaderboard(rows: DataFrame, label: str, predictions: list[str], positive: str = "high") -> DataFrame:
@@ -60,7 +66,9 @@ def classifier_leaderboard(rows: DataFrame, label: str, predictions: list[str],
     out = None
     for name in predictions:
         p, y = F.col(name) == positive, F.col(label) == positive
-        one = rows.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn")).withColumn("model", F.lit(name))
+        one = rows.agg(
+            F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn")
+        ).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
     ratio = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 2), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
@@ -70,7 +78,9 @@ def classifier_leaderboard(rows: DataFrame, label: str, predictions: list[str],
     order = F.struct(-F.col("f1"), -F.col("accuracy"), F.col("model"))
     every = F.array_sort(F.collect_list(order))
     ranks = out.agg(every.alias("_all"))  # a row for each model
-    return out.join(F.broadcast(ranks)).select("model", "accuracy", "precision", "recall", "f1", F.array_position("_all", order).alias("rank"))
+    return out.join(F.broadcast(ranks)).select(
+        "model", "accuracy", "precision", "recall", "f1", F.array_position("_all", order).alias("rank")
+    )
 
 
 # --- series
@@ -83,8 +93,12 @@ def feature_profile(s: DataFrame, short: int = 3, long: int = 5) -> DataFrame:
     at = lambda k: F.max(F.when(back == k, v))
     out = s.join(last, "key").groupBy("key").agg(
         at(0).alias("latest"), F.avg(v).alias("mean"), F.avg(F.when(back < short, v)).alias("short_mean"), F.avg(F.when(back < long, v)).alias("long_mean"),
-        F.coalesce(F.stddev_samp(F.when(back < short, v)), F.lit(0.0)).alias("short_deviation"), F.coalesce(at(0) - at(1), F.lit(0.0)).alias("recent_change"),
-        ((at(0) - F.max(F.when(F.col("position") == 1, v))) / F.greatest(F.max("_n") - 1, F.lit(1))).alias("slope"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("variability"),
+        F.coalesce(
+            F.stddev_samp(F.when(back < short, v)), F.lit(0.0)
+        ).alias("short_deviation"), F.coalesce(at(0) - at(1), F.lit(0.0)).alias("recent_change"),
+        (
+            (at(0) - F.max(F.when(F.col("position") == 1, v))) / F.greatest(F.max("_n") - 1, F.lit(1))
+        ).alias("slope"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("variability"),
     )
     return out.select("key", *[F.round(c, 2).alias(c) for c in out.columns if c != "key"])
 
@@ -93,7 +107,11 @@ def fit_percent(rows: DataFrame, by: str, actual: str, predicted: str) -> DataFr
     """``(by, fit)``: explained variance in per cent; 100 where the actual values don't vary."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     spread = F.var_pop(a) * F.count(a)
-    return rows.groupBy(by).agg(F.when(spread == 0, F.lit(100.0)).otherwise(F.round((1 - F.sum((a - p) * (a - p)) / F.nullif(spread, F.lit(0.0))) * 100, 2)).alias("fit"))
+    return rows.groupBy(by).agg(
+        F.when(spread == 0, F.lit(100.0)).otherwise(
+            F.round((1 - F.sum((a - p) * (a - p)) / F.nullif(spread, F.lit(0.0))) * 100, 2)
+        ).alias("fit")
+    )
 
 
 def fit_category(r_squared: Column) -> Column:
@@ -105,10 +123,14 @@ def fit_category(r_squared: Column) -> Column:
 
 def gauge_report(rows: DataFrame, gauge: str, x: str, y: str) -> DataFrame:
     """``(gauge, n, x_range, y_range, r2, slope, intercept, category)`` of a line through each gauge's values."""
-    ranges = rows.groupBy(F.col(gauge).alias("gauge")).agg(F.round(F.max(x) - F.min(x), 3).alias("x_range"), F.round(F.max(y) - F.min(y), 3).alias("y_range"))
+    ranges = rows.groupBy(F.col(gauge).alias("gauge")).agg(
+        F.round(F.max(x) - F.min(x), 3).alias("x_range"), F.round(F.max(y) - F.min(y), 3).alias("y_range")
+    )
     lines = statistics.regression_line(rows.withColumnRenamed(gauge, "gauge"), "gauge", x, y)
     r2 = F.round("r2", 4)
-    return ranges.join(lines, "gauge").select("gauge", "n", "x_range", "y_range", r2.alias("r2"), "slope", "intercept", fit_category(r2).alias("category"))
+    return ranges.join(lines, "gauge").select(
+        "gauge", "n", "x_range", "y_range", r2.alias("r2"), "slope", "intercept", fit_category(r2).alias("category")
+    )
 
 
 # --- conformal intervals with propagated difficulty
@@ -116,20 +138,30 @@ def gauge_report(rows: DataFrame, gauge: str, x: str, y: str) -> DataFrame:
 
 def neighbour_difficulty(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, difficulty)``: the mean absolute residual of the in-neighbours that trained, zero without any. ``nodes`` has node, part, label and prediction."""
-    known = nodes.where(F.col("part") == "train").select(F.col("node").alias("from_node"), F.abs(F.col("label") - F.col("prediction")).alias("_r"))
-    mean = edges.select("from_node", "to_node").join(known, "from_node").groupBy(F.col("to_node").alias("node")).agg(F.avg("_r").alias("_m"))
+    known = nodes.where(F.col("part") == "train").select(
+        F.col("node").alias("from_node"), F.abs(F.col("label") - F.col("prediction")).alias("_r")
+    )
+    mean = edges.select("from_node", "to_node").join(known, "from_node").groupBy(
+        F.col("to_node").alias("node")
+    ).agg(F.avg("_r").alias("_m"))
     return nodes.select("node").join(mean, "node", "left").select("node", F.coalesce("_m", F.lit(0.0)).alias("difficulty"))
 
 
 def propagated_intervals(nodes: DataFrame, edges: DataFrame, weight: float = 0.3, alpha: float = 0.1) -> DataFrame:
     """The nodes that don't train with ``lower`` and ``upper``: quantiles of the calibrating nodes' scores in units of one plus the weighted difficulty, by type."""
     rows = nodes.join(neighbour_difficulty(nodes, edges), "node").withColumn("sigma", 1 + weight * F.col("difficulty"))
-    scores = rows.where(F.col("part") == "calibration").select("type", (F.abs(F.col("label") - F.col("prediction")) / F.col("sigma")).alias("score"))
-    out = statistics.conformal_intervals(rows.where(F.col("part") != "train"), statistics.conformal_quantiles(scores, "type", "score", alpha), "type", "prediction", "sigma")
+    scores = rows.where(F.col("part") == "calibration").select(
+        "type", (F.abs(F.col("label") - F.col("prediction")) / F.col("sigma")).alias("score")
+    )
+    out = statistics.conformal_intervals(
+        rows.where(F.col("part") != "train"), statistics.conformal_quantiles(scores, "type", "score", alpha), "type", "prediction", "sigma"
+    )
     return out.select("node", "type", "part", "label", "lower", "upper")
 
 
-def tuned_weights(nodes: DataFrame, edges: DataFrame, weights: list[float], alpha: float = 0.1, slack: float = 0.02, least: int = 10) -> DataFrame:
+def tuned_weights(
+    nodes: DataFrame, edges: DataFrame, weights: list[float], alpha: float = 0.1, slack: float = 0.02, least: int = 10
+) -> DataFrame:
     """``(type, weight)``: for each type the weight of the difficulty with the narrowest intervals that still cover.
 
     Half of the calibrating nodes, by a hash, give the quantiles and the others
@@ -138,11 +170,25 @@ def tuned_weights(nodes: DataFrame, edges: DataFrame, weights: list[float], alph
     """
     rows = nodes.where(F.col("part") == "calibration").join(neighbour_difficulty(nodes, edges), "node")
     rows = rows.withColumn("_tune", F.pmod(F.crc32(F.col("node").cast("string").cast("binary")), F.lit(2)) == 0)
-    tried = rows.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))).withColumn("sigma", 1 + F.col("weight") * F.col("difficulty"))
-    tried = settle(tried.select(F.concat_ws("|", F.col("type").cast("string"), F.col("weight").cast("string")).alias("case"), "type", "weight", "sigma", "_tune", F.abs(F.col("label") - F.col("prediction")).alias("miss")), "tuning")
-    q = statistics.conformal_quantiles(tried.where("_tune").select("case", (F.col("miss") / F.col("sigma")).alias("score")), "case", "score", alpha)
-    half = tried.where(~F.col("_tune")).join(q.withColumnRenamed("n", "_n"), "case").withColumn("_width", F.col("quantile") * F.col("sigma"))
-    judged = half.groupBy("type", "weight").agg(F.avg((F.col("miss") <= F.col("_width")).cast("double")).alias("covered"), F.avg("_width").alias("width"), F.min("_n").alias("n"))
+    tried = rows.withColumn(
+        "weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))
+    ).withColumn("sigma", 1 + F.col("weight") * F.col("difficulty"))
+    tried = settle(
+        tried.select(
+            F.concat_ws("|", F.col("type").cast("string"), F.col("weight").cast("string")).alias("case"), "type", "weight", "sigma",
+            "_tune", F.abs(F.col("label") - F.col("prediction")).alias("miss")
+        ),
+        "tuning"
+    )
+    q = statistics.conformal_quantiles(
+        tried.where("_tune").select("case", (F.col("miss") / F.col("sigma")).alias("score")), "case", "score", alpha
+    )
+    half = tried.where(~F.col("_tune")).join(q.withColumnRenamed("n", "_n"), "case").withColumn(
+        "_width", F.col("quantile") * F.col("sigma")
+    )
+    judged = half.groupBy("type", "weight").agg(
+        F.avg((F.col("miss") <= F.col("_width")).cast("double")).alias("covered"), F.avg("_width").alias("width"), F.min("_n").alias("n")
+    )
     good = judged.where((F.col("covered") >= 1 - alpha - slack) & (F.col("n") >= least))
     best = good.groupBy("type").agg(F.min_by("weight", F.struct(F.round("width", 9), "weight")).alias("weight"))
     return nodes.select("type").distinct().join(best, "type", "left").select("type", F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -210,4 +256,6 @@ def service_table(rows: DataFrame, predictors: list[str], coefficients: dict[str
 
 def accessibility_table(rows: DataFrame, key: str, supply: str, cost: str, method: str = "power", **options: float) -> DataFrame:
     """``(key, accessibility, n)``: the decayed supplies of each key, from a row for each supply."""
-    return rows.groupBy(key).agg(F.sum(F.col(supply) * equations.decay(F.col(cost), method, **options)).alias("accessibility"), F.count("*").alias("n"))
+    return rows.groupBy(key).agg(
+        F.sum(F.col(supply) * equations.decay(F.col(cost), method, **options)).alias("accessibility"), F.count("*").alias("n")
+    )

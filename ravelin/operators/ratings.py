@@ -18,13 +18,20 @@ def elo_ratings(matches: DataFrame, league: str, order: list[str], start: float
     tasks. Ratings are rounded to a tenth after each match.
     """
     types = dict(matches.dtypes)
-    sorted_matches = matches.repartition(F.col(league)).sortWithinPartitions(league, *order).select(F.col(league).alias("league"), "home", "away", "home_score", "away_score")
+    sorted_matches = matches.repartition(F.col(league)).sortWithinPartitions(league, *order).select(
+        F.col(league).alias("league"), "home", "away", "home_score", "away_score"
+    )
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rating, played = None, {}, {}
 
         def standings() -> pd.DataFrame:
-            return pd.DataFrame({"league": [now] * len(rating), "team": list(rating), "rating": list(rating.values()), "played": [played[t] for t in rating]})
+            return pd.DataFrame(
+                {
+                    "league": [now] * len(rating), "team": list(rating), "rating": list(rating.values()),
+                    "played": [played[t] for t in rating]
+                }
+            )
 
         for pdf in frames:
             for row in pdf.itertuples(index=False):
@@ -53,7 +60,10 @@ def team_table(matches: DataFrame) -> DataFrame:
     for team, own, other in sides:
         side = matches.select(F.col(team).alias("team"), F.col(own).alias("own"), F.col(other).alias("other"))
         rows = side if rows is None else rows.unionByName(side)
-    return rows.groupBy("team").agg(F.count_if(F.col("own") > F.col("other")).alias("wins"), F.count_if(F.col("own") == F.col("other")).alias("draws"), F.count_if(F.col("own") < F.col("other")).alias("losses"), F.sum("own").alias("scored"), F.sum("other").alias("conceded"))
+    return rows.groupBy("team").agg(
+        F.count_if(F.col("own") > F.col("other")).alias("wins"), F.count_if(F.col("own") == F.col("other")).alias("draws"),
+        F.count_if(F.col("own") < F.col("other")).alias("losses"), F.sum("own").alias("scored"), F.sum("other").alias("conceded")
+    )
 
 
 def simulate(spark: SparkSession, problems: DataFrame, n_sims: int, seed: int = 1) -> DataFrame:
@@ -71,10 +81,14 @@ def simulate(spark: SparkSession, problems: DataFrame, n_sims: int, seed: int =
                 rows.append((r.problem, float(diff.mean()), float(diff[int(0.1 * (n_sims - 1))]), float(diff[int(0.9 * (n_sims - 1))])))
             yield pd.DataFrame(rows, columns=["problem", "mean", "p10", "p90"])
 
-    return problems.select(F.col("problem").cast("long").alias("problem"), "home_rate", "away_rate").mapInPandas(run, "problem long, mean double, p10 double, p90 double")
+    return problems.select(
+        F.col("problem").cast("long").alias("problem"), "home_rate", "away_rate"
+    ).mapInPandas(run, "problem long, mean double, p10 double, p90 double")
 
 
-def bootstrap_interval(rows: DataFrame, group: str, value: str, n_resamples: int = 500, seed: int = 42, level: float = 0.95, buckets: int = 512) -> DataFrame:
+def bootstrap_interval(
+    rows: DataFrame, group: str, value: str, n_resamples: int = 500, seed: int = 42, level: float = 0.95, buckets: int = 512
+) -> DataFrame:
     """``(group, lower, upper)`` of the mean by a Poisson bootstrap over hashed buckets.
 
     Rows are first added up into a fixed number of buckets for each group, which
@@ -82,7 +96,9 @@ def bootstrap_interval(rows: DataFrame, group: str, value: str, n_resamples: int
     """
     types = dict(rows.dtypes)
     known = rows.where(F.col(value).isNotNull())
-    small = known.groupBy(F.col(group).alias("g"), F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).alias("bucket")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("c"))
+    small = known.groupBy(
+        F.col(group).alias("g"), F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).alias("bucket")
+    ).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("c"))
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")

@@ -61,7 +61,10 @@ def anomalies(s: DataFrame, threshold: float = 2.5, size: int = 5, warm_up: int
 
 def detector_quality(flags: DataFrame, flag: str, truth: str) -> DataFrame:
     """Counts, precision, recall and F1; F1 from the rounded two."""
-    counted = flags.agg(F.count_if(F.col(flag) & F.col(truth)).alias("tp"), F.count_if(F.col(flag) & ~F.col(truth)).alias("fp"), F.count_if(~F.col(flag) & F.col(truth)).alias("fn"))
+    counted = flags.agg(
+        F.count_if(F.col(flag) & F.col(truth)).alias("tp"), F.count_if(F.col(flag) & ~F.col(truth)).alias("fp"),
+        F.count_if(~F.col(flag) & F.col(truth)).alias("fn")
+    )
     ratio = lambda a, b: F.when(F.col("tp") + F.col(b) > 0, F.round(F.col(a) / F.nullif(F.col("tp") + F.col(b), F.lit(0)), 2)).otherwise(F.lit(0.0))
     counted = counted.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn")})
     p, r = F.col("precision"), F.col("recall")
@@ -74,7 +77,12 @@ def candidate_forecasts(s: DataFrame, size: int = 3, season: int = 4) -> DataFra
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     n = F.col("position") - 1
     slope = (F.lag("value").over(w) - F.first("value").over(past)) / F.nullif(n - 1, F.lit(0))
-    out = s.withColumns({"last_value": F.lag("value").over(w), "trailing_mean": F.avg("value").over(w.rowsBetween(-size, -1)), "drift": F.lag("value").over(w) + slope, "seasonal_naive": F.lag("value", season).over(w)})
+    out = s.withColumns(
+        {
+            "last_value": F.lag("value").over(w), "trailing_mean": F.avg("value").over(w.rowsBetween(-size, -1)),
+            "drift": F.lag("value").over(w) + slope, "seasonal_naive": F.lag("value", season).over(w)
+        }
+    )
     return out.where(F.col("position") > max(size, season, 2))
 
 
@@ -92,7 +100,10 @@ def leaderboard(s: DataFrame, holdout: int, size: int = 3, season: int = 4) -> D
 
 def linear_trend(s: DataFrame) -> DataFrame:
     """Least-squares slope, intercept, fit and the forecast of the next position."""
-    out = s.groupBy("key").agg(F.regr_slope("value", "position").alias("slope"), F.regr_intercept("value", "position").alias("intercept"), F.regr_r2("value", "position").alias("r2"), (F.max("position") + 1).alias("next_position"))
+    out = s.groupBy("key").agg(
+        F.regr_slope("value", "position").alias("slope"), F.regr_intercept("value", "position").alias("intercept"),
+        F.regr_r2("value", "position").alias("r2"), (F.max("position") + 1).alias("next_position")
+    )
     return out.withColumn("forecast", F.col("intercept") + F.col("slope") * F.col("next_position"))
 
 
@@ -103,7 +114,9 @@ def change_point(s: DataFrame) -> DataFrame:
     sums = s.withColumns({"_n": n, "_sum": F.sum("value").over(before), "_total": total})
     sums = sums.where((F.col("position") >= 2) & (F.col("_n") - F.col("position") >= 2))
     shift = (F.col("_total") - F.col("_sum")) / (F.col("_n") - F.col("position")) - F.col("_sum") / F.col("position")
-    best = sums.withColumn("shift", shift).groupBy("key").agg(F.max_by(F.struct("position", "shift"), F.struct(F.round(F.abs("shift"), 6), -F.col("position"))).alias("b"))
+    best = sums.withColumn("shift", shift).groupBy("key").agg(
+        F.max_by(F.struct("position", "shift"), F.struct(F.round(F.abs("shift"), 6), -F.col("position"))).alias("b")
+    )
     return best.select("key", F.col("b.position").alias("position"), F.col("b.shift").alias("shift"))
 
 
@@ -111,8 +124,22 @@ def autocorrelation(s: DataFrame, lags: int) -> DataFrame:
     """``(key, lag, acf)`` for lags one to ``lags``, over the series' own mean and sum of squares."""
     centred = s.withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy("key")))
     terms = [(F.col("c") * F.lag("c", k).over(_w())).alias(f"l{k}") for k in range(1, lags + 1)]
-    sums = centred.select("key", "c", *terms).groupBy("key").agg(F.sum(F.col("c") * F.col("c")).alias("v"), *[F.sum(f"l{k}").alias(f"l{k}") for k in range(1, lags + 1)])
-    long = sums.select("key", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.coalesce(F.col(f"l{k}"), F.lit(0.0)) / F.nullif(F.col("v"), F.lit(0.0))).alias("acf")) for k in range(1, lags + 1)])).alias("x"))
+    sums = centred.select("key", "c", *terms).groupBy("key").agg(
+        F.sum(F.col("c") * F.col("c")).alias("v"), *[F.sum(f"l{k}").alias(f"l{k}") for k in range(1, lags + 1)]
+    )
+    long = sums.select(
+        "key",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(k).alias("lag"), (F.coalesce(F.col(f"l{k}"), F.lit(0.0)) / F.nullif(F.col("v"), F.lit(0.0))).alias("acf")
+                    )
+                    for k in range(1, lags + 1)
+                ]
+            )
+        ).alias("x")
+    )
     return long.select("key", F.col("x.lag").cast("long").alias("lag"), F.coalesce("x.acf", F.lit(0.0)).alias("acf"))
 
 

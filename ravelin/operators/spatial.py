@@ -18,7 +18,9 @@ from ..session import settle
 from .tables import aggregate
 
 
-def query_bounds(df: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, mode: str = "intersects", geometry_col: str = "geometry") -> DataFrame:
+def query_bounds(
+    df: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, mode: str = "intersects", geometry_col: str = "geometry"
+) -> DataFrame:
     """Rows whose bounds, or centroid, meet or lie within a box; edges belong to it."""
     g = F.col(geometry_col)
     own = geometry.bounds(g)
@@ -91,16 +93,23 @@ def _keep_left(pairs: DataFrame, left: DataFrame, left_id: str, how: str) -> Dat
     return pairs if how == "inner" else left.select(F.col(left_id).alias("left_id")).distinct().join(pairs, "left_id", "left")
 
 
-def proximity_join(left: DataFrame, right: DataFrame, max_distance: float, left_id: str, right_id: str, how: str = "inner", method: str = "euclidean") -> DataFrame:
+def proximity_join(
+    left: DataFrame, right: DataFrame, max_distance: float, left_id: str, right_id: str, how: str = "inner", method: str = "euclidean"
+) -> DataFrame:
     """All pairs within a distance: ``(left_id, right_id, distance)``; with ``how="left"`` also left rows without any."""
     if max_distance <= 0:
         raise ValueError("the distance must be positive")
     # A little more than the straight line, against rounding; the exact distance decides.
-    found = _pairs(*_sides(left, right, left_id, right_id, method), _straight(max_distance, method) * (1 + 1e-9) + 1e-9, method).where(F.col("distance") <= max_distance)
+    found = _pairs(
+        *_sides(left, right, left_id, right_id, method), _straight(max_distance, method) * (1 + 1e-9) + 1e-9, method
+    ).where(F.col("distance") <= max_distance)
     return _keep_left(found.select("left_id", "right_id", "distance"), left, left_id, how)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, max_distance: float | None = None, exclude_self: bool = False, how: str = "inner", method: str = "euclidean") -> DataFrame:
+def nearest_join(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, max_distance: float | None = None,
+    exclude_self: bool = False, how: str = "inner", method: str = "euclidean"
+) -> DataFrame:
     """The k nearest rows of ``right``: ``(left_id, right_id, distance, rank)``, ties by the text of the id.
 
     Exact: a left row is done when its k-th match lies within the radius of the
@@ -114,7 +123,9 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     spans = a.select(*axes).union(b.select(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
     n = b.count()
     if not n or spans[0] is None:
-        none = spark.createDataFrame([], f"left_id {dict(a.dtypes)['left_id']}, right_id {dict(b.dtypes)['right_id']}, distance double, rank int")
+        none = spark.createDataFrame(
+            [], f"left_id {dict(a.dtypes)['left_id']}, right_id {dict(b.dtypes)['right_id']}, distance double, rank int"
+        )
         return _keep_left(none, left, left_id, how)
     furthest = math.sqrt(sum((v or 0.0) ** 2 for v in spans)) * (1 + 1e-9)
     span = max(*(v or 0.0 for v in spans), 1e-9)
@@ -150,21 +161,33 @@ def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str,
     return out.drop("_left_id", "_right_id", "left_id", "right_id")
 
 
-def assign_nearest(origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None, how: str = "inner", method: str = "euclidean") -> DataFrame:
+def assign_nearest(
+    origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None, how: str = "inner",
+    method: str = "euclidean"
+) -> DataFrame:
     """For each target its nearest origin: ``(target_id, origin_id, distance)``."""
     found = nearest_join(targets, origins, target_id, origin_id, 1, max_distance, how=how, method=method)
     return found.select(F.col("left_id").alias("target_id"), F.col("right_id").alias("origin_id"), "distance")
 
 
-def summarize_assignments(origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None, how: str = "left", method: str = "euclidean", aggregations: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+def summarize_assignments(
+    origins: DataFrame, targets: DataFrame, origin_id: str, target_id: str, max_distance: float | None = None, how: str = "left",
+    method: str = "euclidean", aggregations: dict[str, str] | None = None, order: str | None = None
+) -> DataFrame:
     """Counts, distances and aggregates of the targets assigned to each origin; with ``how="left"`` origins without any stay."""
     found = assign_nearest(origins, targets, origin_id, target_id, max_distance, method=method)
     extra = aggregations or {}
     if extra:
         columns = [*extra, *([order] if order and order not in extra else [])]
-        found = found.join(targets.select(F.col(target_id).alias("_target"), *[F.col(c).alias(f"_{c}") for c in columns]), F.col("target_id") == F.col("_target"))
+        found = found.join(
+            targets.select(F.col(target_id).alias("_target"), *[F.col(c).alias(f"_{c}") for c in columns]),
+            F.col("target_id") == F.col("_target")
+        )
     more = [aggregate(f"_{c}", op, f"_{order}" if order else None).alias(f"{c}_{op}") for c, op in extra.items()]
-    per = found.groupBy("origin_id").agg(F.count("*").alias("n_targets"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"), F.avg("distance").alias("mean_distance"), *more)
+    per = found.groupBy("origin_id").agg(
+        F.count("*").alias("n_targets"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"),
+        F.avg("distance").alias("mean_distance"), *more
+    )
     if how == "inner":
         return per
     own = origins.select(F.col(origin_id).alias("origin_id")).distinct()
@@ -174,7 +197,9 @@ def summarize_assignments(origins: DataFrame, targets: DataFrame, origin_id: str
 _PREDICATES = {"intersects": geometry.intersects, "within": geometry.within, "contains": geometry.contains}
 
 
-def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, predicate: str = "intersects", how: str = "inner", cell: float = 1.0) -> DataFrame:
+def spatial_join(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, predicate: str = "intersects", how: str = "inner", cell: float = 1.0
+) -> DataFrame:
     """Pairs whose ``geometry`` columns satisfy a predicate: ``(left_id, right_id)``.
 
     Both sides are put into every cell that their bounds touch. Of the cells that
@@ -202,23 +227,34 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return pairs
 
 
-def coverage_summary(areas: DataFrame, targets: DataFrame, area_id: str, target_id: str, predicate: str = "contains", cell: float = 1.0, aggregations: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+def coverage_summary(
+    areas: DataFrame, targets: DataFrame, area_id: str, target_id: str, predicate: str = "contains", cell: float = 1.0,
+    aggregations: dict[str, str] | None = None, order: str | None = None
+) -> DataFrame:
     """How many targets each area covers, and aggregates of them; areas without any stay. Ids stay as rows of the pairs."""
     pairs, extra = spatial_join(areas, targets, area_id, target_id, predicate, "inner", cell), aggregations or {}
     if extra:
         columns = [*extra, *([order] if order and order not in extra else [])]
         pairs = pairs.join(targets.select(F.col(target_id).alias("right_id"), *[F.col(c).alias(f"_{c}") for c in columns]), "right_id")
     more = {f"{c}_{op}": aggregate(f"_{c}", op, f"_{order}" if order else None) for c, op in extra.items()}
-    per = pairs.groupBy("left_id").agg(F.count("*").alias("n_covered"), F.min("right_id").alias("first_id"), *[c.alias(n) for n, c in more.items()])
-    return areas.select(F.col(area_id).alias("left_id")).join(per, "left_id", "left").select(F.col("left_id").alias("area_id"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "first_id", *more)
+    per = pairs.groupBy("left_id").agg(
+        F.count("*").alias("n_covered"), F.min("right_id").alias("first_id"), *[c.alias(n) for n, c in more.items()]
+    )
+    return areas.select(F.col(area_id).alias("left_id")).join(per, "left_id", "left").select(
+        F.col("left_id").alias("area_id"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"), "first_id", *more
+    )
 
 
 def neighborhood_pressure(df: DataFrame, id_col: str, weight: str, reach: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
     """Decayed weights of the other rows within reach, summed for each row."""
     pairs = proximity_join(df, df, reach, id_col, id_col).where(F.col("left_id") != F.col("right_id"))
     weights = df.select(F.col(id_col).alias("right_id"), F.col(weight).alias("_w"))
-    per = pairs.join(weights, "right_id").groupBy("left_id").agg(F.sum(equations.influence(F.col("_w"), F.col("distance"), scale, power)).alias("pressure"))
-    return df.select(F.col(id_col).alias("left_id")).join(per, "left_id", "left").select(F.col("left_id").alias(id_col), F.coalesce("pressure", F.lit(0.0)).alias("pressure"))
+    per = pairs.join(weights, "right_id").groupBy("left_id").agg(
+        F.sum(equations.influence(F.col("_w"), F.col("distance"), scale, power)).alias("pressure")
+    )
+    return df.select(F.col(id_col).alias("left_id")).join(per, "left_id", "left").select(
+        F.col("left_id").alias(id_col), F.coalesce("pressure", F.lit(0.0)).alias("pressure")
+    )
 
 
 def _apart(df: DataFrame, id_col: str, reach: float, method: str) -> DataFrame:
@@ -232,11 +268,22 @@ def _both(pairs: DataFrame, df: DataFrame, id_col: str, left: dict[str, Column],
     return pairs.join(a, "left_id").join(b, "right_id")
 
 
-def interaction_table(df: DataFrame, id_col: str, origin: str, destination: str, reach: float, scale: float = 1.0, power: float = 2.0, preferred_bearing: float | None = None, method: str = "euclidean") -> DataFrame:
+def interaction_table(
+    df: DataFrame, id_col: str, origin: str, destination: str, reach: float, scale: float = 1.0, power: float = 2.0,
+    preferred_bearing: float | None = None, method: str = "euclidean"
+) -> DataFrame:
     """Interactions of ordered pairs within reach: ``(left_id, right_id, distance, interaction)``, with ``alignment`` to a preferred bearing if one is given."""
-    met = _both(_apart(df, id_col, reach, method), df, id_col, {"_o": F.col(origin), "_x": F.col("x"), "_y": F.col("y")}, {"_d": F.col(destination), "_rx": F.col("x"), "_ry": F.col("y")})
-    more = [] if preferred_bearing is None else [equations.alignment(F.col("_x"), F.col("_y"), F.col("_rx"), F.col("_ry"), preferred_bearing).alias("alignment")]
-    return met.select("left_id", "right_id", "distance", equations.interaction(F.col("_o"), F.col("_d"), F.col("distance"), scale, power).alias("interaction"), *more)
+    met = _both(
+        _apart(df, id_col, reach, method), df, id_col, {"_o": F.col(origin), "_x": F.col("x"), "_y": F.col("y")},
+        {"_d": F.col(destination), "_rx": F.col("x"), "_ry": F.col("y")}
+    )
+    more = [] if preferred_bearing is None else [
+        equations.alignment(F.col("_x"), F.col("_y"), F.col("_rx"), F.col("_ry"), preferred_bearing).alias("alignment")
+    ]
+    return met.select(
+        "left_id", "right_id", "distance",
+        equations.interaction(F.col("_o"), F.col("_d"), F.col("distance"), scale, power).alias("interaction"), *more
+    )
 
 
 def distance_table(df: DataFrame, id_col: str, reach: float, method: str = "euclidean") -> DataFrame:
@@ -244,11 +291,15 @@ def distance_table(df: DataFrame, id_col: str, reach: float, method: str = "eucl
     return proximity_join(df, df, reach, id_col, id_col, method=method)
 
 
-def area_similarity_table(df: DataFrame, id_col: str, reach: float, scale: float = 1.0, power: float = 1.0, method: str = "euclidean") -> DataFrame:
+def area_similarity_table(
+    df: DataFrame, id_col: str, reach: float, scale: float = 1.0, power: float = 1.0, method: str = "euclidean"
+) -> DataFrame:
     """``(left_id, right_id, similarity)`` of ordered pairs within reach, by the areas of their geometries."""
     size = geometry.area(F.col("geometry"))
     met = _both(_apart(df, id_col, reach, method), df, id_col, {"_a": size}, {"_b": size})
-    return met.select("left_id", "right_id", equations.area_similarity(F.col("_a"), F.col("_b"), F.col("distance"), scale, power).alias("similarity"))
+    return met.select(
+        "left_id", "right_id", equations.area_similarity(F.col("_a"), F.col("_b"), F.col("distance"), scale, power).alias("similarity")
+    )
 
 
 def _from_anchor(df: DataFrame, id_col: str, anchor, method: str) -> DataFrame:
@@ -256,18 +307,29 @@ def _from_anchor(df: DataFrame, id_col: str, anchor, method: str) -> DataFrame:
     at = df.where(F.col(id_col) == F.lit(anchor)).select(F.col("x").alias("_ax"), F.col("y").alias("_ay")).limit(1)
     if at.isEmpty():
         raise KeyError(f"no row has the id {anchor}")
-    return df.join(F.broadcast(at)).withColumn("distance", equations.coordinate_distance(F.col("_ax"), F.col("_ay"), F.col("x"), F.col("y"), method)).drop("_ax", "_ay")  # one row
+    # one row
+    return df.join(F.broadcast(at)).withColumn(
+        "distance", equations.coordinate_distance(F.col("_ax"), F.col("_ay"), F.col("x"), F.col("y"), method)
+    ).drop("_ax", "_ay")
 
 
-def anchor_influence(df: DataFrame, id_col: str, weight: str, anchor, scale: float = 1.0, power: float = 2.0, method: str = "euclidean") -> DataFrame:
+def anchor_influence(
+    df: DataFrame, id_col: str, weight: str, anchor, scale: float = 1.0, power: float = 2.0, method: str = "euclidean"
+) -> DataFrame:
     """Rows with ``influence``: their weight, decayed by the distance from an anchor."""
-    return _from_anchor(df, id_col, anchor, method).withColumn("influence", equations.influence(F.col(weight), F.col("distance"), scale, power))
+    return _from_anchor(df, id_col, anchor, method).withColumn(
+        "influence", equations.influence(F.col(weight), F.col("distance"), scale, power)
+    )
 
 
-def corridor_accessibility(df: DataFrame, id_col: str, weight: str, anchor, scale: float = 1.0, power: float = 2.0, method: str = "euclidean") -> DataFrame:
+def corridor_accessibility(
+    df: DataFrame, id_col: str, weight: str, anchor, scale: float = 1.0, power: float = 2.0, method: str = "euclidean"
+) -> DataFrame:
     """Rows with ``accessibility``: their weight and length, decayed by the distance from an anchor."""
     size = geometry.length(F.col("geometry"))
-    return _from_anchor(df, id_col, anchor, method).withColumn("accessibility", equations.corridor_strength(F.col(weight), size, F.col("distance"), scale, power))
+    return _from_anchor(df, id_col, anchor, method).withColumn(
+        "accessibility", equations.corridor_strength(F.col(weight), size, F.col("distance"), scale, power)
+    )
 
 
 def buffer_points(df: DataFrame, distance: float, resolution: int = 16, geometry_col: str = "geometry") -> DataFrame:
@@ -277,14 +339,24 @@ def buffer_points(df: DataFrame, distance: float, resolution: int = 16, geometry
     n = 4 * resolution
     centre = F.element_at(F.col(geometry_col)["coords"], 1)
     angle = lambda k: k % n * (-2 * math.pi / n)
-    ring = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: geometry.vertex(centre["x"] + distance * F.cos(angle(k)), centre["y"] + distance * F.sin(angle(k))))
+    ring = F.transform(
+        F.sequence(F.lit(0), F.lit(n)),
+        lambda k: geometry.vertex(centre["x"] + distance * F.cos(angle(k)), centre["y"] + distance * F.sin(angle(k)))
+    )
     other = F.raise_error(F.lit("only points have buffers here")).cast(geometry.GEOMETRY)
-    return df.withColumn(geometry_col, F.when(F.col(geometry_col)["type"] == "Point", F.struct(F.lit("Polygon").alias("type"), ring.alias("coords"))).otherwise(other))
+    return df.withColumn(
+        geometry_col,
+        F.when(F.col(geometry_col)["type"] == "Point", F.struct(F.lit("Polygon").alias("type"), ring.alias("coords"))).otherwise(other)
+    )
 
 
-def buffer_join(points: DataFrame, other: DataFrame, distance: float, left_id: str, right_id: str, how: str = "inner", resolution: int = 16) -> DataFrame:
+def buffer_join(
+    points: DataFrame, other: DataFrame, distance: float, left_id: str, right_id: str, how: str = "inner", resolution: int = 16
+) -> DataFrame:
     """Pairs of points and geometries that meet the polygon around the point."""
-    return spatial_join(buffer_points(points, distance, resolution), other, left_id, right_id, "intersects", how, cell=max(distance * 2, 1e-6))
+    return spatial_join(
+        buffer_points(points, distance, resolution), other, left_id, right_id, "intersects", how, cell=max(distance * 2, 1e-6)
+    )
 
 
 def _turned(ring: list) -> list[tuple[float, float]]:

@@ -28,7 +28,9 @@ def conformal_intervals(rows: DataFrame, quantiles: DataFrame, group: str, predi
 def coverage(rows: DataFrame, group: str, label: str) -> DataFrame:
     """``(group, coverage, mean_width, n)``."""
     inside = F.col(label).between(F.col("lower"), F.col("upper"))
-    return rows.groupBy(group).agg(F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("mean_width"), F.count("*").alias("n"))
+    return rows.groupBy(group).agg(
+        F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("mean_width"), F.count("*").alias("n")
+    )
 
 
 def neighbour_sigma(nodes: DataFrame, edges: DataFrame, residual: str, strength: float = 0.5) -> DataFrame:
@@ -45,7 +47,9 @@ def rmse_by(rows: DataFrame, group: str, prediction: str, label: str) -> DataFra
 def confusion(rows: DataFrame, predicted: str, label: str) -> DataFrame:
     """One row of counts, accuracy, precision, recall and F1 for 0/1 columns."""
     p, y = F.col(predicted) == 1, F.col(label) == 1
-    c = rows.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    c = rows.agg(
+        F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn")
+    )
     ratio = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 4), F.lit(0.0))
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     c = c.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
@@ -76,13 +80,20 @@ def standardized_difference(rows: DataFrame, treatment: str, covariates: list[st
     for c in covariates:
         one, other = F.when(t, F.col(c)), F.when(~t, F.col(c))
         pooled = F.sqrt((F.var_samp(one) + F.var_samp(other)) / 2)
-        stats.append(F.struct(F.lit(c).alias("covariate"), ((F.avg(one) - F.avg(other)) / F.nullif(pooled, F.lit(0.0))).alias("smd"), (F.var_samp(one) / F.nullif(F.var_samp(other), F.lit(0.0))).alias("variance_ratio")))
+        stats.append(
+            F.struct(
+                F.lit(c).alias("covariate"), ((F.avg(one) - F.avg(other)) / F.nullif(pooled, F.lit(0.0))).alias("smd"),
+                (F.var_samp(one) / F.nullif(F.var_samp(other), F.lit(0.0))).alias("variance_ratio")
+            )
+        )
     return rows.agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def stratum_propensity(rows: DataFrame, treatment: str, stratum: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows with the clipped share of treated in their stratum as ``propensity``."""
-    share = rows.groupBy(stratum).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.avg(F.col(treatment).cast("double")))).alias("propensity"))
+    share = rows.groupBy(stratum).agg(
+        F.greatest(F.lit(low), F.least(F.lit(high), F.avg(F.col(treatment).cast("double")))).alias("propensity")
+    )
     return rows.join(share, stratum)
 
 
@@ -103,12 +114,17 @@ def doubly_robust_effect(rows: DataFrame, treatment: str, outcome: str, stratum:
     r = rows.join(means, stratum).where("_m1 is not null and _m0 is not null")
     y, p = F.col(outcome), F.col("propensity")
     score = F.col("_m1") - F.col("_m0") + F.when(t, (y - F.col("_m1")) / p).otherwise(-(y - F.col("_m0")) / (1 - p))
-    return r.agg(F.avg(score).alias("effect"), (F.stddev_samp(score) / F.sqrt(F.count("*"))).alias("standard_error"), F.count("*").alias("n"))
+    return r.agg(
+        F.avg(score).alias("effect"), (F.stddev_samp(score) / F.sqrt(F.count("*"))).alias("standard_error"), F.count("*").alias("n")
+    )
 
 
 def difference_in_differences(rows: DataFrame, treated: Column, after: Column, outcome: str) -> DataFrame:
     cell = lambda a, b: F.avg(F.when(a & b, F.col(outcome)))
-    return rows.agg((cell(treated, after) - cell(treated, ~after) - cell(~treated, after) + cell(~treated, ~after)).alias("effect"), F.count("*").alias("n"))
+    return rows.agg(
+        (cell(treated, after) - cell(treated, ~after) - cell(~treated, after) + cell(~treated, ~after)).alias("effect"),
+        F.count("*").alias("n")
+    )
 
 
 def two_stage_least_squares(rows: DataFrame, instrument: str, treatment: str, outcome: str) -> DataFrame:
@@ -119,7 +135,10 @@ def two_stage_least_squares(rows: DataFrame, instrument: str, treatment: str, ou
 
 
 def regression_line(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    return rows.groupBy(group).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regr_r2(y, x))).alias("r2"), F.count("*").alias("n"))
+    return rows.groupBy(group).agg(
+        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regr_r2(y, x))).alias("r2"), F.count("*").alias("n")
+    )
 
 
 def e_value(ratio: Column) -> Column:
@@ -148,14 +167,19 @@ def compare_scenarios(metrics: DataFrame, baseline: str) -> DataFrame:
     grid = names.join(F.broadcast(metrics.select("metric").distinct()), how="cross")  # scenario and metric names only
     out = grid.join(base, "metric", "left").join(others, ["scenario", "metric"], "left")
     delta = F.coalesce("value", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))
-    return out.select("scenario", "metric", "base", "value", delta.alias("delta"), (100 * delta / F.nullif(F.col("base"), F.lit(0.0))).alias("percent"), F.when(delta > 1e-9, "up").when(delta < -1e-9, "down").otherwise("flat").alias("direction"))
+    return out.select(
+        "scenario", "metric", "base", "value", delta.alias("delta"), (100 * delta / F.nullif(F.col("base"), F.lit(0.0))).alias("percent"),
+        F.when(delta > 1e-9, "up").when(delta < -1e-9, "down").otherwise("flat").alias("direction")
+    )
 
 
 def bins_2d(df: DataFrame, x: Column, y: Column, x_max: float, y_max: float, n: int = 10, success: Column | None = None) -> DataFrame:
     """``(bx, by, n, successes)`` on an n by n grid; the upper edges belong to the last bins."""
     bx = F.least(F.floor(x / x_max * n), F.lit(n - 1)).cast("long")
     by = F.least(F.floor(y / y_max * n), F.lit(n - 1)).cast("long")
-    return df.groupBy(bx.alias("bx"), by.alias("by")).agg(F.count("*").alias("n"), F.count_if(success if success is not None else F.lit(False)).alias("successes"))
+    return df.groupBy(bx.alias("bx"), by.alias("by")).agg(
+        F.count("*").alias("n"), F.count_if(success if success is not None else F.lit(False)).alias("successes")
+    )
 
 
 def two_line_effect(rows: DataFrame, treatment: str, x: str, outcome: str) -> DataFrame:
@@ -217,5 +241,11 @@ def sensitivity(rows: DataFrame, parameters: dict[str, float], model, share: flo
     ``model`` maps a dict of numbers to a column of ``rows``.
     """
     mean = lambda p: F.avg(model(p))
-    cases = [F.struct(F.lit(name).alias("parameter"), mean(parameters | {name: v * (1 - share)}).alias("low"), mean(parameters).alias("base"), mean(parameters | {name: v * (1 + share)}).alias("high")) for name, v in parameters.items()]
+    cases = [
+        F.struct(
+            F.lit(name).alias("parameter"), mean(parameters | {name: v * (1 - share)}).alias("low"), mean(parameters).alias("base"),
+            mean(parameters | {name: v * (1 + share)}).alias("high")
+        ) for name,
+        v in parameters.items()
+    ]
     return rows.agg(F.array(*cases).alias("x")).select(F.explode("x").alias("x")).select("x.*")

@@ -75,9 +75,13 @@ def pivot(df: DataFrame, index: str, columns: str, values: str, how: str = "sum"
 
 def scalar_check(df: DataFrame, name: str, condition: Column) -> DataFrame:
     """One row with the number of rows that break a contract."""
-    return df.agg(F.count_if(condition).alias("failures")).select(F.lit(name).alias("check_name"), "failures", (F.col("failures") == 0).alias("passed"))
+    return df.agg(F.count_if(condition).alias("failures")).select(
+        F.lit(name).alias("check_name"), "failures", (F.col("failures") == 0).alias("passed")
+    )
 
 
 def unique_violations(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     repeated = df.groupBy(*keys).count().where("count > 1")
-    return repeated.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check_name"), "failures", (F.col("failures") == 0).alias("passed"))
+    return repeated.agg(F.count("*").alias("failures")).select(
+        F.lit(name).alias("check_name"), "failures", (F.col("failures") == 0).alias("passed")
+    )

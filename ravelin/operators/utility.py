@@ -71,7 +71,9 @@ def scenarios(edges: DataFrame, sources: DataFrame, failed: list[str], restored:
     names = _one_column(spark, list(cases), "case", "string")
     fed = cases_reached(live(edges), names.join(F.broadcast(sources.select("node").distinct()), how="cross"), cut)  # three cases
     every = names.join(_nodes(edges), how="cross")
-    return every.join(fed.withColumn("on", F.lit(True)), ["case", "node"], "left").select(F.col("case").alias("scenario"), "node", F.coalesce("on", F.lit(False)).alias("energised"))
+    return every.join(fed.withColumn("on", F.lit(True)), ["case", "node"], "left").select(
+        F.col("case").alias("scenario"), "node", F.coalesce("on", F.lit(False)).alias("energised")
+    )
 
 
 def load_transfer(edges: DataFrame, source_a, source_b, capacity: float = float("inf"), load: float = 0.0) -> DataFrame:
@@ -80,7 +82,10 @@ def load_transfer(edges: DataFrame, source_a, source_b, capacity: float = float(
     kind = edges.schema["from_node"].dataType
     one = lambda v: _one_column(edges.sparkSession, [v], "node", kind)
     cost = network.od_costs(edges, one(source_a), one(source_b))
-    return cost.select(((F.col("cost") < float("inf")) & F.lit(spare > 0)).alias("feasible"), F.lit(spare).alias("available"), F.col("cost").alias("path_cost"))
+    return cost.select(
+        ((F.col("cost") < float("inf")) & F.lit(spare > 0)).alias("feasible"), F.lit(spare).alias("available"),
+        F.col("cost").alias("path_cost")
+    )
 
 
 def combination_screen(edges: DataFrame, sources: DataFrame, candidates: list[str], k: int) -> DataFrame:
@@ -91,7 +96,9 @@ def combination_screen(edges: DataFrame, sources: DataFrame, candidates: list[st
     one = _one_column(spark, sorted({str(c) for c in candidates}), "edge", "string")
     combos = one.select(F.array("edge").alias("edge_ids"))
     for _ in range(k - 1):  # a join of the short list of candidates with itself
-        combos = combos.join(one, F.col("edge") > F.element_at("edge_ids", -1)).select(F.concat("edge_ids", F.array("edge")).alias("edge_ids"))
+        combos = combos.join(one, F.col("edge") > F.element_at("edge_ids", -1)).select(
+            F.concat("edge_ids", F.array("edge")).alias("edge_ids")
+        )
     combos = combos.withColumn("case", F.array_join("edge_ids", "\x1f"))
     cut = F.array_contains(F.split("case", "\x1f"), F.col("edge_id"))
     starts = combos.select("case").join(F.broadcast(sources.select("node").distinct()), how="cross")  # a few sources for each case
@@ -109,7 +116,10 @@ def coverage_audit(edges: DataFrame, customers: DataFrame, supplies: DataFrame)
     alive = live(edges)
     tree = network.least_costs(alive, supplies.select(F.lit(0).alias("source"), "node"))
     named = alive.select(F.col("edge_id").cast("string").alias("_edge"), "from_node", F.col("to_node").alias("_to"))
-    back = settle(tree.join(named, (F.col("node") == F.col("_to")) & (F.col("edge_id") == F.col("_edge"))).select("node", "edge_id", "from_node"), "tree")
+    back = settle(
+        tree.join(named, (F.col("node") == F.col("_to")) & (F.col("edge_id") == F.col("_edge"))).select("node", "edge_id", "from_node"),
+        "tree"
+    )
     at, found = customers.select(F.col("node").alias("customer"), "node").distinct(), []
     while True:
         step = settle(at.join(back, "node").select("customer", "edge_id", "from_node"), "path")
@@ -136,7 +146,9 @@ def circuit_cuts(edges: DataFrame, circuits: DataFrame, candidates: DataFrame) -
     starts = on_path.select(key.alias("case"), F.col("origin").alias("node")).distinct()
     kept = cases_reached(edges, starts, F.substring_index("case", "\x1f", 1) == F.col("edge_id"))
     lost = on_path.withColumn("case", key).join(kept.withColumnRenamed("node", "destination"), ["case", "destination"], "left_anti")
-    counted = lost.join(asked.groupBy("origin", "destination").agg(F.count("*").alias("n")), ["origin", "destination"]).groupBy("edge_id").agg(F.sum("n").alias("n"))
+    counted = lost.join(
+        asked.groupBy("origin", "destination").agg(F.count("*").alias("n")), ["origin", "destination"]
+    ).groupBy("edge_id").agg(F.sum("n").alias("n"))
     return wanted.join(counted, "edge_id", "left").select("edge_id", F.coalesce("n", F.lit(0)).cast("long").alias("circuits_impacted"))
 
 
@@ -177,11 +189,19 @@ def zone_reconfiguration(edges: DataFrame, sources: DataFrame, devices: DataFram
     to be opened, which takes its edge away.
     """
     inside = pressure_zones(edges, sources, max_headloss).agg(F.count_if("within").alias("base"))
-    turned = devices.select(F.col("edge_id").cast("string").alias("case"), F.lower(F.coalesce("state", F.lit("open"))).isin(*OPEN_STATES, "closed_for_maintenance").alias("open")).distinct()
+    turned = devices.select(
+        F.col("edge_id").cast("string").alias("case"),
+        F.lower(F.coalesce("state", F.lit("open"))).isin(*OPEN_STATES, "closed_for_maintenance").alias("open")
+    ).distinct()
     starts = turned.select("case", "open").join(F.broadcast(sources.select("node").distinct()), how="cross")
-    starts = starts.select(F.when(F.col("open"), F.concat(F.lit("+"), "case")).otherwise(F.concat(F.lit("-"), "case")).alias("case"), "node")
+    starts = starts.select(
+        F.when(F.col("open"), F.concat(F.lit("+"), "case")).otherwise(F.concat(F.lit("-"), "case")).alias("case"), "node"
+    )
     kept = cases_reached(edges, starts, F.col("case") == F.concat(F.lit("-"), "edge_id")).groupBy("case").agg(F.count("*").alias("n"))
-    return kept.join(F.broadcast(inside)).select(F.expr("substring(case, 2)").alias("edge_id"), F.when(F.startswith("case", F.lit("+")), "close").otherwise("open").alias("action"), (F.col("n") - F.col("base")).alias("delta"))
+    return kept.join(F.broadcast(inside)).select(
+        F.expr("substring(case, 2)").alias("edge_id"), F.when(F.startswith("case", F.lit("+")), "close").otherwise("open").alias("action"),
+        (F.col("n") - F.col("base")).alias("delta")
+    )
 
 
 def pump_cascade(dependencies: DataFrame, pumps: DataFrame, failed: DataFrame) -> DataFrame:
@@ -198,12 +218,18 @@ def feeder_reconfiguration(edges: DataFrame, ties: list[str], sources: DataFrame
     """
     spark = edges.sparkSession
     cases = _one_column(spark, [str(t) for t in ties], "case", "string")
-    shut = edges.where(F.lower(F.coalesce("state", F.lit(""))).isin(*OPEN_STATES)).select(F.col("edge_id").cast("string").alias("edge_id")).withColumn("_open", F.lit(True))
-    marked = edges.withColumn("edge_id", F.col("edge_id").cast("string")).join(shut, "edge_id", "left").select("edge_id", "from_node", "to_node", F.coalesce("_open", F.lit(False)).alias("_open"))
+    shut = edges.where(
+        F.lower(F.coalesce("state", F.lit(""))).isin(*OPEN_STATES)
+    ).select(F.col("edge_id").cast("string").alias("edge_id")).withColumn("_open", F.lit(True))
+    marked = edges.withColumn("edge_id", F.col("edge_id").cast("string")).join(shut, "edge_id", "left").select(
+        "edge_id", "from_node", "to_node", F.coalesce("_open", F.lit(False)).alias("_open")
+    )
     steps = settle(marked, "devices")
     walk = lambda df: df.join(steps, df["node"] == steps["from_node"]).where(~F.col("_open") | (F.col("case") == F.col("edge_id"))).select("case", F.col("to_node").alias("node"))
     fed = network._closure(cases.join(F.broadcast(sources.select("node").distinct()), how="cross"), walk, ["case", "node"])
-    per = fed.join(demands.groupBy("node").agg(F.sum("demand").alias("demand")), "node", "left").groupBy("case").agg(F.count("*").alias("restored_nodes"), F.coalesce(F.sum("demand"), F.lit(0.0)).alias("restored_demand"))
+    per = fed.join(demands.groupBy("node").agg(F.sum("demand").alias("demand")), "node", "left").groupBy("case").agg(
+        F.count("*").alias("restored_nodes"), F.coalesce(F.sum("demand"), F.lit(0.0)).alias("restored_demand")
+    )
     best = per.orderBy(F.desc("restored_nodes"), "case").limit(max_actions)
     return best.orderBy(F.desc("restored_demand"), "case").withColumnRenamed("case", "tie_id")
 
@@ -225,11 +251,16 @@ def regulator_isolation(edges: DataFrame, regulator) -> DataFrame:
     near = two_way.where((F.col("from_node") == node) & (F.col("to_node") != node)).select(F.col("to_node").alias("node")).distinct()
     rest = two_way.where((F.col("from_node") != node) & (F.col("to_node") != node))
     comps = network.components(rest)
-    per = near.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component")).groupBy("component").agg(F.count("*").alias("n"))
+    per = near.join(comps, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")
+    ).groupBy("component").agg(F.count("*").alias("n"))
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("neighbours"), F.coalesce(F.max("n") > 1, F.lit(False)).alias("alternate_path"))
 
 
-def crew_dispatch(edges: DataFrame, sources: DataFrame, failed: list[str], demands: DataFrame, repair_hours: dict[str, float] | None = None, critical: list | None = None) -> DataFrame:
+def crew_dispatch(
+    edges: DataFrame, sources: DataFrame, failed: list[str], demands: DataFrame, repair_hours: dict[str, float] | None = None,
+    critical: list | None = None
+) -> DataFrame:
     """``(step, edge_id, score)``: repairs in the order of what each leaves served, an hour of repair; recomputed after every repair.
 
     A critical node counts as a demand of 1000. One search for all that is still
@@ -238,7 +269,9 @@ def crew_dispatch(edges: DataFrame, sources: DataFrame, failed: list[str], deman
     spark, hours = edges.sparkSession, repair_hours or {}
     weight = demands.groupBy("node").agg(F.sum("demand").alias("demand"))
     if critical:
-        weight = weight.union(_one_column(spark, critical, "node", edges.schema["from_node"].dataType).select("node", F.lit(1000.0))).groupBy("node").agg(F.sum("demand").alias("demand"))
+        weight = weight.union(
+            _one_column(spark, critical, "node", edges.schema["from_node"].dataType).select("node", F.lit(1000.0))
+        ).groupBy("node").agg(F.sum("demand").alias("demand"))
     alive, todo, plan = live(edges), sorted({str(f) for f in failed}), []
     while todo:
         cases = _one_column(spark, todo, "case", "string")
@@ -259,25 +292,41 @@ def capital_priorities(edges: DataFrame, sources: DataFrame, demands: DataFrame,
     and failures are one search with both as its case.
     """
     base = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
-    added = projects.select(F.col("project_id").cast("string").alias("project"), F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node").where("edge_id is not null")
-    names = projects.select(F.col("project_id").cast("string").alias("project")).distinct().union(edges.sparkSession.range(1).select(F.lit("").alias("project")))
+    added = projects.select(
+        F.col("project_id").cast("string").alias("project"), F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node"
+    ).where("edge_id is not null")
+    names = projects.select(F.col("project_id").cast("string").alias("project")).distinct().union(
+        edges.sparkSession.range(1).select(F.lit("").alias("project"))
+    )
     own = network.both_ways(added.select("project", "edge_id", "from_node", "to_node"))
-    failures = names.join(base.select("edge_id").distinct(), how="cross").union(added.select("project", "edge_id").distinct())  # every project is screened for every edge
+    # every project is screened for every edge
+    failures = names.join(base.select("edge_id").distinct(), how="cross").union(added.select("project", "edge_id").distinct())
     starts = failures.withColumnRenamed("edge_id", "failed").join(F.broadcast(sources.select("node").distinct()), how="cross")
     steps = network.both_ways(base)
 
     def walk(df: DataFrame) -> DataFrame:
-        old = df.join(steps, (df["node"] == steps["from_node"]) & (df["failed"] != steps["edge_id"])).select("project", "failed", F.col("to_node").alias("node"))
-        new = df.join(own.withColumnRenamed("project", "_project"), (F.col("project") == F.col("_project")) & (F.col("node") == F.col("from_node")) & (F.col("failed") != F.col("edge_id"))).select("project", "failed", F.col("to_node").alias("node"))
+        old = df.join(
+            steps, (df["node"] == steps["from_node"]) & (df["failed"] != steps["edge_id"])
+        ).select("project", "failed", F.col("to_node").alias("node"))
+        new = df.join(
+            own.withColumnRenamed("project", "_project"),
+            (F.col("project") == F.col("_project")) & (F.col("node") == F.col("from_node")) & (F.col("failed") != F.col("edge_id"))
+        ).select("project", "failed", F.col("to_node").alias("node"))
         return old.unionByName(new)
 
     kept = network._closure(starts.select("project", "failed", "node"), walk, ["project", "failed", "node"])
-    served = kept.join(demands.groupBy("node").agg(F.sum("demand").alias("demand")), "node").groupBy("project").agg(F.sum("demand").alias("served"))
+    served = kept.join(
+        demands.groupBy("node").agg(F.sum("demand").alias("demand")), "node"
+    ).groupBy("project").agg(F.sum("demand").alias("served"))
     total = network.reachable(steps, sources, open_devices=False).join(demands, "node").agg(F.sum("demand").alias("total"))
     n = failures.groupBy("project").agg(F.count("*").alias("n"))
-    risk = n.join(served, "project", "left").join(F.broadcast(total)).select("project", (F.col("n") * F.coalesce("total", F.lit(0.0)) - F.coalesce("served", F.lit(0.0))).alias("risk"))
+    risk = n.join(served, "project", "left").join(F.broadcast(total)).select(
+        "project", (F.col("n") * F.coalesce("total", F.lit(0.0)) - F.coalesce("served", F.lit(0.0))).alias("risk")
+    )
     before = risk.where("project = ''").select(F.col("risk").alias("before"))
-    costs = projects.groupBy(F.col("project_id").cast("string").alias("project")).agg(F.greatest(F.lit(1.0), F.max("cost").cast("double")).alias("cost"))
+    costs = projects.groupBy(F.col("project_id").cast("string").alias("project")).agg(
+        F.greatest(F.lit(1.0), F.max("cost").cast("double")).alias("cost")
+    )
     out = costs.join(risk, "project").join(F.broadcast(before))
     avoided = F.greatest(F.lit(0.0), F.col("before") - F.col("risk"))
     return out.select(F.col("project").alias("project_id"), "cost", avoided.alias("risk_avoided"), (avoided / F.col("cost")).alias("ratio"))
@@ -292,9 +341,16 @@ def age_risk_routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     risky = edges.withColumn("cost", F.col("cost") * (1 + 0.5 * ratio))
     start = pairs.select(F.col("origin").alias("source"), F.col("origin").alias("node")).distinct()
     found = lambda e, name: network.least_costs(e, start).select(F.col("source").alias("origin"), F.col("node").alias("destination"), F.col("cost").alias(name))
-    out = pairs.select("origin", "destination").distinct().join(found(risky, "risk"), ["origin", "destination"], "left").join(found(edges, "base"), ["origin", "destination"], "left")
+    out = pairs.select("origin", "destination").distinct().join(
+        found(risky, "risk"), ["origin", "destination"], "left"
+    ).join(found(edges, "base"), ["origin", "destination"], "left")
     inf = F.lit(float("inf"))
-    return out.select("origin", "destination", F.coalesce("risk", inf).alias("risk_cost"), F.when(F.col("risk").isNull(), inf).otherwise(F.greatest(F.lit(0.0), F.col("risk") - F.coalesce("base", F.lit(0.0)))).alias("premium"))
+    return out.select(
+        "origin", "destination", F.coalesce("risk", inf).alias("risk_cost"),
+        F.when(F.col("risk").isNull(), inf).otherwise(
+            F.greatest(F.lit(0.0), F.col("risk") - F.coalesce("base", F.lit(0.0)))
+        ).alias("premium")
+    )
 
 
 def basin_overflow(basins: DataFrame, capacity: str = "capacity", inflow: str = "inflow") -> DataFrame:
@@ -302,14 +358,18 @@ def basin_overflow(basins: DataFrame, capacity: str = "capacity", inflow: str =
     return basins.withColumn("overflow", F.greatest(F.lit(0.0), F.col(inflow) - F.col(capacity)))
 
 
-def infiltration_scan(edges: DataFrame, observed: str = "observed_flow", dry: str = "dry_weather_flow", threshold: float = 1.25) -> DataFrame:
+def infiltration_scan(
+    edges: DataFrame, observed: str = "observed_flow", dry: str = "dry_weather_flow", threshold: float = 1.25
+) -> DataFrame:
     """``(edge_id, ratio, flagged)``: observed over dry-weather flow; without the latter an edge is its own measure."""
     seen = F.coalesce(F.col(observed).cast("double"), F.lit(0.0))
     base = F.greatest(F.lit(1e-9), F.coalesce(F.col(dry).cast("double"), F.when(seen > 0, seen).otherwise(F.lit(1.0))))
     return edges.select("edge_id", (seen / base).alias("ratio"), (seen / base >= threshold).alias("flagged"))
 
 
-def constrained_flow(edges: DataFrame, demands: DataFrame, max_iterations: int = 8, penalty: float = 3.0, tolerance: float = 1e-6) -> DataFrame:
+def constrained_flow(
+    edges: DataFrame, demands: DataFrame, max_iterations: int = 8, penalty: float = 3.0, tolerance: float = 1e-6
+) -> DataFrame:
     """``(edge_id, load, stress, cost, iteration)``: demands on least paths, with costs that grow with overflow until nothing overflows.
 
     Costs are the own ones times one plus the penalised overflow of the last
@@ -317,15 +377,28 @@ def constrained_flow(edges: DataFrame, demands: DataFrame, max_iterations: int =
     """
     if max_iterations < 1 or penalty < 0:
         raise ValueError("at least one iteration and no negative penalty")
-    own = edges.select(F.col("edge_id").cast("string").alias("edge_id"), F.col("cost").alias("base"), "capacity").groupBy("edge_id").agg(F.min("base").alias("base"), F.max("capacity").alias("capacity"))
+    own = edges.select(
+        F.col("edge_id").cast("string").alias("edge_id"), F.col("cost").alias("base"), "capacity"
+    ).groupBy("edge_id").agg(F.min("base").alias("base"), F.max("capacity").alias("capacity"))
     now, out = edges, None
     for k in range(1, max_iterations + 1):
         loads = network.edge_loads(now, demands).select("edge_id", "load")
-        ratio = F.when(F.col("capacity").isNull() | (F.col("capacity") <= 0) | (F.col("capacity") == float("inf")), F.lit(0.0)).otherwise(F.col("load") / F.nullif(F.col("capacity"), F.lit(0.0)))
+        ratio = F.when(
+            F.col("capacity").isNull() | (F.col("capacity") <= 0) | (F.col("capacity") == float("inf")), F.lit(0.0)
+        ).otherwise(F.col("load") / F.nullif(F.col("capacity"), F.lit(0.0)))
         over = F.greatest(F.lit(0.0), ratio - 1)
-        out = settle(own.join(loads, "edge_id").select("edge_id", "load", ratio.alias("stress"), (F.col("base") * (1 + penalty * over)).alias("cost"), F.lit(k).cast("long").alias("iteration")), "assigned")
+        out = settle(
+            own.join(loads, "edge_id").select(
+                "edge_id", "load", ratio.alias("stress"), (F.col("base") * (1 + penalty * over)).alias("cost"),
+                F.lit(k).cast("long").alias("iteration")
+            ),
+            "assigned"
+        )
         if out.where(F.col("stress") - 1 > tolerance).isEmpty():
             break
         raised = out.select(F.col("edge_id").alias("_id"), F.col("cost").alias("_cost"))
-        now = settle(edges.join(raised, F.col("edge_id").cast("string") == F.col("_id")).withColumn("cost", F.col("_cost")).select(*edges.columns), "costs")
+        now = settle(
+            edges.join(raised, F.col("edge_id").cast("string") == F.col("_id")).withColumn("cost", F.col("_cost")).select(*edges.columns),
+            "costs"
+        )
     return out

@@ -13,42 +13,63 @@ from ..session import table
 
 def dim_segment(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "customer").select("c_mktsegment").distinct()  # a few rows, so one window orders them
-    return names.select(F.row_number().over(Window.orderBy("c_mktsegment")).cast("long").alias("segment_key"), F.col("c_mktsegment").alias("segment"))
+    return names.select(
+        F.row_number().over(Window.orderBy("c_mktsegment")).cast("long").alias("segment_key"), F.col("c_mktsegment").alias("segment")
+    )
 
 
 def customer_history(spark: SparkSession, d: str) -> DataFrame:
     """Slowly changing history of a customer's order priority: runs of equal values with their span."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    rows = table(spark, d, "orders").withColumn("_new", F.coalesce((F.lag("o_orderpriority").over(w) != F.col("o_orderpriority")).cast("int"), F.lit(1)))
+    rows = table(spark, d, "orders").withColumn(
+        "_new", F.coalesce((F.lag("o_orderpriority").over(w) != F.col("o_orderpriority")).cast("int"), F.lit(1))
+    )
     rows = rows.where("_new = 1").withColumn("to_date", F.lead("o_orderdate").over(w))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return rows.select("o_custkey", F.col("o_orderpriority").alias("priority"), day("o_orderdate").alias("effective_from"), F.coalesce(day("to_date"), F.lit("open")).alias("effective_to"), F.col("to_date").isNull().alias("is_current"))
+    return rows.select(
+        "o_custkey", F.col("o_orderpriority").alias("priority"), day("o_orderdate").alias("effective_from"),
+        F.coalesce(day("to_date"), F.lit("open")).alias("effective_to"), F.col("to_date").isNull().alias("is_current")
+    )
 
 
 def fact_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders with the keys of segment and region."""
-    c = table(spark, d, "customer").join(F.broadcast(dim_segment(spark, d)), F.col("c_mktsegment") == F.col("segment")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(F.broadcast(dim_segment(spark, d)), F.col("c_mktsegment") == F.col("segment")).join(
+        F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
+    )
     rows = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select("o_orderkey", "segment_key", F.col("n_regionkey").alias("region_key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.round("o_totalprice", 2).alias("total"))
+    return rows.select(
+        "o_orderkey", "segment_key", F.col("n_regionkey").alias("region_key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.round("o_totalprice", 2).alias("total")
+    )
 
 
 def mart_region_daily(spark: SparkSession, d: str) -> DataFrame:
-    return fact_orders(spark, d).groupBy("region_key", "day").agg(F.count("*").alias("n_orders"), F.round(F.max("total"), 2).alias("max_total"), F.countDistinct("segment_key").alias("n_segments"))
+    return fact_orders(spark, d).groupBy("region_key", "day").agg(
+        F.count("*").alias("n_orders"), F.round(F.max("total"), 2).alias("max_total"), F.countDistinct("segment_key").alias("n_segments")
+    )
 
 
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))  # noqa: E741
     dec = lambda c: c.cast("decimal(20,4)")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    out = l.groupBy("l_returnflag", "l_linestatus").agg(F.sum(dec(F.col("l_quantity"))).alias("q"), F.sum(dec(price)).alias("p"), F.count("*").alias("n_rows"))
-    return out.select("l_returnflag", "l_linestatus", F.round(F.col("q").cast("double"), 2).alias("sum_qty"), F.round(F.col("p").cast("double"), 0).alias("sum_disc_price"), "n_rows")
+    out = l.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum(dec(F.col("l_quantity"))).alias("q"), F.sum(dec(price)).alias("p"), F.count("*").alias("n_rows")
+    )
+    return out.select(
+        "l_returnflag", "l_linestatus", F.round(F.col("q").cast("double"), 2).alias("sum_qty"),
+        F.round(F.col("p").cast("double"), 0).alias("sum_disc_price"), "n_rows"
+    )
 
 
 # --- series
 
 
 def _monthly(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("total"))
+    o = table(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        (F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("total")
+    )
     return series.numbered(o, "o_orderpriority", ["month"], "total")
 
 
@@ -79,7 +100,9 @@ def forecast_leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linear_trends(spark: SparkSession, d: str) -> DataFrame:
-    return series.linear_trend(_monthly(spark, d)).select("key", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round("forecast", 3).alias("forecast"))
+    return series.linear_trend(_monthly(spark, d)).select(
+        "key", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round("forecast", 3).alias("forecast")
+    )
 
 
 def change_points(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +126,10 @@ def volatilities(spark: SparkSession, d: str) -> DataFrame:
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")  # noqa: E741
-    return l.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), (F.col("l_quantity") * 1500.0).alias("prediction"), F.col("l_extendedprice").alias("label"), (F.col("l_orderkey") % 2 == 0).alias("calibration"))
+    return l.select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), (F.col("l_quantity") * 1500.0).alias("prediction"),
+        F.col("l_extendedprice").alias("label"), (F.col("l_orderkey") % 2 == 0).alias("calibration")
+    )
 
 
 def conformal_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -119,19 +145,27 @@ def prediction_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_confusion(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("predicted", (F.col("n_chars") > 400).cast("int"))
+    rows = table(spark, d, "labels").join(
+        table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id"
+    ).withColumn("predicted", (F.col("n_chars") > 400).cast("int"))
     return statistics.confusion(rows, "predicted", "quality")
 
 
 def nearest_class(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").withColumn("size", F.col("p_size").cast("double")).withColumn("price", F.col("p_retailprice") / 40)
     classes = parts.withColumn("cls", F.substring("p_brand", 1, 7))
-    found = statistics.nearest_centroid(parts, statistics.centroids(classes, "cls", ["size", "price"]), "p_partkey", "cls", ["size", "price"])
+    found = statistics.nearest_centroid(
+        parts, statistics.centroids(classes, "cls", ["size", "price"]), "p_partkey", "cls", ["size", "price"]
+    )
     return found.groupBy("predicted").agg(F.count("*").alias("n"))
 
 
 def _treated(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("t"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), (F.col("l_linenumber") % 4).alias("stratum"), F.year("l_shipdate").alias("year"))
+    return table(spark, d, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias("t"), F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), (F.col("l_linenumber") % 4).alias("stratum"),
+        F.year("l_shipdate").alias("year")
+    )
 
 
 def covariate_balance(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +175,10 @@ def covariate_balance(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted_effect(spark: SparkSession, d: str) -> DataFrame:
     out = statistics.ipw_effect(statistics.stratum_propensity(_treated(spark, d), "t", "stratum"), "t", "price")
-    return out.select(F.round("effect", 4).alias("effect"), F.round("ess_treated", 3).alias("ess_treated"), F.round("ess_control", 3).alias("ess_control"), "n")
+    return out.select(
+        F.round("effect", 4).alias("effect"), F.round("ess_treated", 3).alias("ess_treated"),
+        F.round("ess_control", 3).alias("ess_control"), "n"
+    )
 
 
 def robust_effect(spark: SparkSession, d: str) -> DataFrame:
@@ -162,22 +199,30 @@ def instrument_effect(spark: SparkSession, d: str) -> DataFrame:
 def gauge_fits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     out = statistics.regression_line(rows, "l_returnflag", "l_quantity", "l_extendedprice")
-    return out.select("l_returnflag", F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
+    return out.select(
+        "l_returnflag", F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), "n"
+    )
 
 
 def balance_gini(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.gini(table(spark, d, "customer"), "c_mktsegment", "c_acctbal").select("c_mktsegment", F.round("gini", 6).alias("gini"))
+    return statistics.gini(
+        table(spark, d, "customer"), "c_mktsegment", "c_acctbal"
+    ).select("c_mktsegment", F.round("gini", 6).alias("gini"))
 
 
 def scenario_comparison(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    m = o.groupBy(F.col("o_orderpriority").alias("scenario")).agg(F.count("*").cast("double").alias("orders"), F.countDistinct("o_custkey").cast("double").alias("customers"))
+    m = o.groupBy(F.col("o_orderpriority").alias("scenario")).agg(
+        F.count("*").cast("double").alias("orders"), F.countDistinct("o_custkey").cast("double").alias("customers")
+    )
     out = statistics.compare_scenarios(m.unpivot("scenario", ["orders", "customers"], "metric", "value"), "5-LOW")
     return out.select("scenario", "metric", "delta", F.round("percent", 4).alias("percent"), "direction")
 
 
 def price_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.bins_2d(table(spark, d, "part"), F.col("p_size"), F.col("p_retailprice"), 50.0, 2100.0, 10, F.col("p_brand").endswith("1"))
+    return statistics.bins_2d(
+        table(spark, d, "part"), F.col("p_size"), F.col("p_retailprice"), 50.0, 2100.0, 10, F.col("p_brand").endswith("1")
+    )
 
 
 def raster_change(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +253,15 @@ z AS (SELECT key, position, value, (value - m) / CASE WHEN sd > 0 THEN sd ELSE 1
 _SEG = "seg AS (SELECT row_number() OVER (ORDER BY c_mktsegment) AS segment_key, c_mktsegment AS segment FROM (SELECT DISTINCT c_mktsegment FROM customer))"
 _F = f"WITH {_SEG}, f AS (SELECT o_orderkey, segment_key, n_regionkey AS region_key, strftime(o_orderdate, '%Y-%m-%d') AS day, round(o_totalprice, 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN seg ON segment = c_mktsegment JOIN nation ON c_nationkey = n_nationkey)"
 
-QUERIES = {f.__name__: f for f in (dim_segment, customer_history, fact_orders, mart_region_daily, pricing_summary, rolling_means, station_scores, station_mad, detector_quality, forecast_leaderboard, linear_trends, change_points, autocorrelations, seasonal_profiles, volatilities, conformal_coverage, prediction_errors, label_confusion, nearest_class, covariate_balance, weighted_effect, robust_effect, did_effect, instrument_effect, gauge_fits, balance_gini, scenario_comparison, price_heatmap, raster_change, odds_market)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        dim_segment, customer_history, fact_orders, mart_region_daily, pricing_summary, rolling_means, station_scores, station_mad,
+        detector_quality, forecast_leaderboard, linear_trends, change_points, autocorrelations, seasonal_profiles, volatilities,
+        conformal_coverage, prediction_errors, label_confusion, nearest_class, covariate_balance, weighted_effect, robust_effect,
+        did_effect, instrument_effect, gauge_fits, balance_gini, scenario_comparison, price_heatmap, raster_change, odds_market
+    )
+}
 
 SQL = {
     "dim_segment": f"WITH {_SEG} SELECT segment_key, segment FROM seg",
@@ -259,7 +312,10 @@ p AS (SELECT *, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(tp
 WITH c AS (SELECT substr(p_brand, 1, 7) AS cls, avg(p_size) AS s, avg(p_retailprice / 40) AS r FROM part GROUP BY 1),
 d AS (SELECT p_partkey, cls, row_number() OVER (PARTITION BY p_partkey ORDER BY pow(p_size - s, 2) + pow(p_retailprice / 40 - r, 2), cls) AS k FROM part, c)
 SELECT cls AS predicted, count(*) AS n FROM d WHERE k = 1 GROUP BY cls""",
-    "covariate_balance": f"WITH {_T} " + " UNION ALL ".join(f"SELECT '{c}' AS covariate, round((avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2), 6) AS smd, round(var_samp({c}) FILTER (t = 1) / var_samp({c}) FILTER (t = 0), 6) AS variance_ratio FROM t" for c in ("quantity", "price", "discount")),
+    "covariate_balance": f"WITH {_T} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS covariate, round((avg({c}) FILTER (t = 1) - avg({c}) FILTER (t = 0)) / sqrt((var_samp({c}) FILTER (t = 1) + var_samp({c}) FILTER (t = 0)) / 2), 6) AS smd, round(var_samp({c}) FILTER (t = 1) / var_samp({c}) FILTER (t = 0), 6) AS variance_ratio FROM t"
+        for c in ("quantity", "price", "discount")
+    ),
     "weighted_effect": f"""
 WITH {_T}, p AS (SELECT stratum, greatest(0.01, least(0.99, avg(t))) AS p FROM t GROUP BY stratum), w AS (SELECT *, CASE WHEN t = 1 THEN least(20, 1 / p) ELSE least(20, 1 / (1 - p)) END AS w FROM t JOIN p USING (stratum))
 SELECT round(sum(w * price) FILTER (t = 1) / sum(w) FILTER (t = 1) - sum(w * price) FILTER (t = 0) / sum(w) FILTER (t = 0), 4) AS effect, round(pow(sum(w) FILTER (t = 1), 2) / sum(w * w) FILTER (t = 1), 3) AS ess_treated, round(pow(sum(w) FILTER (t = 0), 2) / sum(w * w) FILTER (t = 0), 3) AS ess_control, count(*) AS n FROM w""",

@@ -14,7 +14,11 @@ def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     """Returned lines as the treated ones; the price in thousands as the outcome."""
     l = table(spark, d, "lineitem")  # noqa: E741
     t = (F.col("l_returnflag") == "R").cast("int")
-    return l.select("l_orderkey", t.alias("t"), (F.col("l_extendedprice") / 1000 + 2 * t).alias("y"), F.col("l_quantity").alias("q"), (F.col("l_discount") * 100 + 3 * t).alias("x"), (F.col("l_tax") * 100).alias("tax"), F.year("l_shipdate").alias("year"), (F.col("l_quantity") % 7 + 1).alias("w"))
+    return l.select(
+        "l_orderkey", t.alias("t"), (F.col("l_extendedprice") / 1000 + 2 * t).alias("y"), F.col("l_quantity").alias("q"),
+        (F.col("l_discount") * 100 + 3 * t).alias("x"), (F.col("l_tax") * 100).alias("tax"), F.year("l_shipdate").alias("year"),
+        (F.col("l_quantity") % 7 + 1).alias("w")
+    )
 
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -77,14 +81,20 @@ def weight_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def effect_scenarios(spark: SparkSession, d: str) -> DataFrame:
     """Biases of a given estimate, a row for each region."""
-    one = table(spark, d, "region").select((F.col("r_regionkey") - 1.5).cast("double").alias("effect"), (F.col("r_regionkey") - 2.5).cast("double").alias("ci_low"), (F.col("r_regionkey") - 0.5).cast("double").alias("ci_high"))
+    one = table(spark, d, "region").select(
+        (F.col("r_regionkey") - 1.5).cast("double").alias("effect"), (F.col("r_regionkey") - 2.5).cast("double").alias("ci_low"),
+        (F.col("r_regionkey") - 0.5).cast("double").alias("ci_high")
+    )
     return _rounded(estimators.bias_scenarios(one, 2.0, 3))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Orders' prices against those that their keys foretell."""
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.round(F.col("o_totalprice") / 1000).alias("a"), (F.col("o_orderkey") * 7919 % 300 + 40).cast("double").alias("b"), (F.col("o_custkey") * 31 % 280 + 50).cast("double").alias("c"))
+    return o.select(
+        "o_orderkey", F.round(F.col("o_totalprice") / 1000).alias("a"), (F.col("o_orderkey") * 7919 % 300 + 40).cast("double").alias("b"),
+        (F.col("o_custkey") * 31 % 280 + 50).cast("double").alias("c")
+    )
 
 
 def hidden_bias(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,11 @@ from .spatial import _D, _S, supplier_points
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")  # noqa: E741
     half = 4000 + 300 * F.col("l_quantity") + F.col("l_orderkey") % 997
-    return l.select((F.col("l_quantity") * 1500.0 - half).alias("lower"), (F.col("l_quantity") * 1500.0 + half).alias("upper"), F.col("l_extendedprice").alias("label"), half.cast("double").alias("half"), F.abs(F.col("l_extendedprice") - 1500.0 * F.col("l_quantity")).alias("score"), "l_quantity", "l_discount", "l_tax", "l_orderkey")
+    return l.select(
+        (F.col("l_quantity") * 1500.0 - half).alias("lower"), (F.col("l_quantity") * 1500.0 + half).alias("upper"),
+        F.col("l_extendedprice").alias("label"), half.cast("double").alias("half"),
+        F.abs(F.col("l_extendedprice") - 1500.0 * F.col("l_quantity")).alias("score"), "l_quantity", "l_discount", "l_tax", "l_orderkey"
+    )
 
 
 def coverage_by_width(spark: SparkSession, d: str) -> DataFrame:
@@ -63,9 +67,14 @@ def region_ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 def error_event_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Event types as cloud masks: stations by hour of day."""
-    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("y"), F.hour("ts").alias("x"), (F.col("event_type") == "error").alias("cloudy"))
+    e = table(spark, d, "events").select(
+        (F.col("user_id") % 10).alias("y"), F.hour("ts").alias("x"), (F.col("event_type") == "error").alias("cloudy")
+    )
     out = calibration.cloud_frequency(e, ["y", "x"], "cloudy", 0.25)
-    return out.select("y", F.col("x").cast("long").alias("x"), F.round("frequency", 6).alias("frequency"), "void", F.round("knowability", 6).alias("knowability"))
+    return out.select(
+        "y", F.col("x").cast("long").alias("x"), F.round("frequency", 6).alias("frequency"), "void",
+        F.round("knowability", 6).alias("knowability")
+    )
 
 
 def raster_losses(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +91,10 @@ def grid_path(spark: SparkSession, d: str) -> DataFrame:
 
 def grid_landmarks(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
-    pairs = nodes.where("node < 3").select(F.col("node").alias("origin")).join(nodes.where("node > 21").select(F.col("node").alias("target")), how="cross")  # three by three
+    # three by three
+    pairs = nodes.where("node < 3").select(F.col("node").alias("origin")).join(
+        nodes.where("node > 21").select(F.col("node").alias("target")), how="cross"
+    )
     return network.landmark_bounds(network.both_ways(grid(spark, d)), nodes.where("node in (2, 22)"), pairs)
 
 
@@ -108,7 +120,13 @@ def learner_effects(spark: SparkSession, d: str) -> DataFrame:
 _I = "i AS (SELECT l_quantity * 1500.0 - (4000 + 300 * l_quantity + l_orderkey % 997) AS lower, l_quantity * 1500.0 + (4000 + 300 * l_quantity + l_orderkey % 997) AS upper, l_extendedprice AS label, CAST(4000 + 300 * l_quantity + l_orderkey % 997 AS DOUBLE) AS half, abs(l_extendedprice - 1500.0 * l_quantity) AS score, l_quantity, l_discount, l_tax, l_orderkey FROM lineitem)"
 _W = lambda n: ", ".join(str(k / n) for k in range(1, n))
 
-QUERIES = {f.__name__: f for f in (coverage_by_width, interval_error, coverage_levels, quantile_loss, attribution, station_runs, supplier_autocorrelation, region_ensemble, error_event_frequency, raster_losses, grid_path, grid_landmarks, supplier_cuts, project_priorities, learner_effects)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        coverage_by_width, interval_error, coverage_levels, quantile_loss, attribution, station_runs, supplier_autocorrelation,
+        region_ensemble, error_event_frequency, raster_losses, grid_path, grid_landmarks, supplier_cuts, project_priorities, learner_effects
+    )
+}
 
 SQL = {
     "coverage_by_width": f"WITH {_I}, e AS (SELECT quantile_cont(half, [{_W(5)}]) AS e FROM i) SELECT CAST(len(list_filter(e, lambda x: x <= half)) AS BIGINT) AS bin, round(avg(CASE WHEN label BETWEEN lower AND upper THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(half), 4) AS mean_half, count(*) AS n FROM i, e GROUP BY 1",

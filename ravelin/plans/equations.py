@@ -12,16 +12,24 @@ from ..session import table
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", (k % 7 + 1).cast("double").alias("a"), (k % 5 + 2).cast("double").alias("b"), (k % 11 / 2).cast("double").alias("dist"))
+    return table(spark, d, "supplier").select(
+        "s_suppkey", (k % 7 + 1).cast("double").alias("a"), (k % 5 + 2).cast("double").alias("b"), (k % 11 / 2).cast("double").alias("dist")
+    )
 
 
 def equation_table(spark: SparkSession, d: str) -> DataFrame:
     a, b, x = F.col("a"), F.col("b"), F.col("dist")
     columns = {
         "power": eq.power_decay(x, 2.0, 1.5), "exponential": eq.exponential_decay(x, 0.3), "gaussian": eq.gaussian_decay(x, 2.0), "influence": eq.influence(a, x), "interaction": eq.interaction(a, b, x),
-        "gravity": eq.gravity_interaction(a, b, x + 1, 1.0, 0.5, 2.0), "service": eq.logistic_probability({"a": a, "b": b}, {"a": 0.4, "b": -0.7}, 0.1), "corridor": eq.corridor_strength(a, b, x),
+        "gravity": eq.gravity_interaction(a, b, x + 1, 1.0, 0.5, 2.0), "service": eq.logistic_probability(
+            {"a": a, "b": b}, {"a": 0.4, "b": -0.7}, 0.1
+        ), "corridor": eq.corridor_strength(a, b, x),
         "similarity": eq.area_similarity(a, b, x), "stress": eq.stress_index(a, b), "deficit": eq.service_deficit(b, a), "headloss": eq.headloss_hazen_williams(b * 100, a, b - 3), "failure": eq.aged_failure_rate(b / 100, a),
-        "resilience": eq.resilience_index(a / 10, b / 10, x / 10, a / 20), "miles": eq.convert_units(a, "km", "mi"), "access": eq.accessibility_score(F.array(a, b), F.array(x, x + 1), "exponential", rate=0.5),
+        "resilience": eq.resilience_index(
+            a / 10, b / 10, x / 10, a / 20
+        ), "miles": eq.convert_units(a, "km", "mi"), "access": eq.accessibility_score(
+            F.array(a, b), F.array(x, x + 1), "exponential", rate=0.5
+        ),
         "elo": eq.elo_expected(1500 + a, 1500 - b), "margin": eq.margin_multiplier(a - 1), "ndvi": eq.ndvi(a, b), "evi": eq.evi(a, b, x / 10), "aligned": eq.alignment(a, b, x, a + b, 45.0),
     }
     return _pairs(spark, d).select("s_suppkey", *[(F.round(c, 6) + 0.0).alias(n) for n, c in columns.items()])
@@ -42,7 +50,9 @@ def parameter_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 def travel_fatigue(spark: SparkSession, d: str) -> DataFrame:
     """Great-circle distances of nations on a grid of degrees, and a logarithmic penalty above 500 km."""
     k = F.col("n_nationkey")
-    km = eq.haversine_distance(F.lit(0.0), F.lit(0.0), (k % 5 * 2.0).cast("double"), (F.floor(k / 5) * 3.0).cast("double"), eq.TRAVEL_RADIUS_KM)
+    km = eq.haversine_distance(
+        F.lit(0.0), F.lit(0.0), (k % 5 * 2.0).cast("double"), (F.floor(k / 5) * 3.0).cast("double"), eq.TRAVEL_RADIUS_KM
+    )
     penalty = eq.travel_penalty(km)
     return table(spark, d, "nation").select("n_nationkey", F.round(km, 4).alias("km"), F.round(penalty, 6).alias("penalty"))
 
@@ -52,7 +62,9 @@ def customer_sets(spark: SparkSession, d: str) -> DataFrame:
     buyers = lambda y: table(spark, d, "orders").where(F.year("o_orderdate") == y).select("o_custkey")
     a, b = buyers(1996), buyers(1997)
     sized = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
-    return sized(a.union(b).distinct(), "union").unionByName(sized(a.intersect(b), "intersect")).unionByName(sized(a.subtract(b), "except")).unionByName(sized(a.union(b), "union_all"))
+    return sized(a.union(b).distinct(), "union").unionByName(
+        sized(a.intersect(b), "intersect")
+    ).unionByName(sized(a.subtract(b), "except")).unionByName(sized(a.union(b), "union_all"))
 
 
 _P = "p AS (SELECT s_suppkey, CAST(s_suppkey % 7 + 1 AS DOUBLE) AS a, CAST(s_suppkey % 5 + 2 AS DOUBLE) AS b, CAST(s_suppkey % 11 AS DOUBLE) / 2 AS x FROM supplier)"

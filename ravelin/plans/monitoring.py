@@ -11,16 +11,27 @@ from ..session import table
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select(F.col("c_custkey").alias("feature_id"), F.col("c_mktsegment").alias("category"), F.concat(F.lit("R"), "n_regionkey").alias("region"), (F.col("c_custkey") % 97).cast("double").alias("x"), F.floor(F.col("c_custkey") / 97).cast("double").alias("y"))
+    return c.select(
+        F.col("c_custkey").alias("feature_id"), F.col("c_mktsegment").alias("category"),
+        F.concat(F.lit("R"), "n_regionkey").alias("region"), (F.col("c_custkey") % 97).cast("double").alias("x"),
+        F.floor(F.col("c_custkey") / 97).cast("double").alias("y")
+    )
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("observation_id"), F.col("user_id").alias("feature_id"), F.col("ts").alias("observed_at"), F.lit("value").alias("metric"), "value", F.when(F.col("event_type") == "error", "alert").when(F.col("event_type") == "signup", "offline").otherwise("normal").alias("status"))
+    return e.select(
+        F.col("event_id").alias("observation_id"), F.col("user_id").alias("feature_id"), F.col("ts").alias("observed_at"),
+        F.lit("value").alias("metric"), "value",
+        F.when(F.col("event_type") == "error", "alert").when(F.col("event_type") == "signup", "offline").otherwise("normal").alias("status")
+    )
 
 
 def _thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("feature_id"), F.when(F.col("c_custkey") % 6 == 0, "other").otherwise("value").alias("metric"), F.lit(4.0).alias("low"), (F.col("c_custkey") % 40 + 30).cast("double").alias("high"))
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("feature_id"), F.when(F.col("c_custkey") % 6 == 0, "other").otherwise("value").alias("metric"),
+        F.lit(4.0).alias("low"), (F.col("c_custkey") % 40 + 30).cast("double").alias("high")
+    )
 
 
 def _stated(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +43,9 @@ def feature_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_list(spark: SparkSession, d: str) -> DataFrame:
-    return monitoring.list_features(_stated(spark, d), category="Building", status="ALERT", bbox=(5, 0, 90, 1)).select("feature_id", "category", "status")
+    return monitoring.list_features(
+        _stated(spark, d), category="Building", status="ALERT", bbox=(5, 0, 90, 1)
+    ).select("feature_id", "category", "status")
 
 
 def feature_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -44,16 +57,22 @@ def operations_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_rows(spark: SparkSession, d: str) -> DataFrame:
-    return monitoring.recent_observations(_observations(spark, d), 7, end="2024-01-20").select("observation_id", "feature_id", F.round("value", 6).alias("value"))
+    return monitoring.recent_observations(_observations(spark, d), 7, end="2024-01-20").select(
+        "observation_id", "feature_id", F.round("value", 6).alias("value")
+    )
 
 
 def recent_by_feature(spark: SparkSession, d: str) -> DataFrame:
-    return monitoring.recent_per_feature(_observations(spark, d), 3).select("feature_id", F.col("rank").cast("long").alias("rank"), "observation_id")
+    return monitoring.recent_per_feature(_observations(spark, d), 3).select(
+        "feature_id", F.col("rank").cast("long").alias("rank"), "observation_id"
+    )
 
 
 def observation_file(spark: SparkSession, d: str) -> DataFrame:
     chosen = monitoring.list_features(_features(spark, d), region="r2")
-    return monitoring.export_observations(_observations(spark, d), chosen, _thresholds(spark, d), start="2024-01-10").select("observation_id", "category", "status", "low", "high")
+    return monitoring.export_observations(
+        _observations(spark, d), chosen, _thresholds(spark, d), start="2024-01-10"
+    ).select("observation_id", "category", "status", "low", "high")
 
 
 _F = "f AS (SELECT c_custkey AS feature_id, c_mktsegment AS category, 'R' || n_regionkey AS region, c_custkey % 97 AS x, floor(c_custkey / 97) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -62,7 +81,10 @@ _T = "th AS (SELECT c_custkey AS feature_id, CASE WHEN c_custkey % 6 = 0 THEN NU
 _S = f"""WITH {_F}, {_O}, {_T}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY observed_at DESC, observation_id DESC) AS k FROM o) WHERE k = 1),
 s AS (SELECT f.*, l.value, low, high, CASE WHEN l.value IS NULL THEN coalesce(l.status, 'normal') WHEN l.status = 'offline' THEN 'offline' WHEN l.value < low OR l.value > high THEN 'alert' ELSE 'normal' END AS status FROM f LEFT JOIN l USING (feature_id) LEFT JOIN th USING (feature_id))"""
 
-QUERIES = {f.__name__: f for f in (feature_status, feature_list, feature_summary, operations_rollup, recent_rows, recent_by_feature, observation_file)}
+QUERIES = {
+    f.__name__: f
+    for f in (feature_status, feature_list, feature_summary, operations_rollup, recent_rows, recent_by_feature, observation_file)
+}
 
 SQL = {
     "feature_status": f"{_S} SELECT feature_id, status, CASE WHEN high IS NOT NULL THEN round(value / high, 2) WHEN status = 'alert' THEN 1.0 WHEN status = 'offline' THEN 0.8 ELSE 0.2 END AS alert_score FROM s WHERE value IS NOT NULL",

@@ -13,16 +13,25 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     """Nations on a 5 by 5 grid; edges to the right and upwards, with costs from the keys."""
     n = F.col("n_nationkey").cast("long")
     keys = table(spark, d, "nation").select(n.alias("k"))
-    right = keys.where("k % 5 < 4").select((F.col("k") * 2).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + 1).alias("to_node"))
-    up = keys.where("k < 20").select((F.col("k") * 2 + 1).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + 5).alias("to_node"))
+    right = keys.where("k % 5 < 4").select(
+        (F.col("k") * 2).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + 1).alias("to_node")
+    )
+    up = keys.where("k < 20").select(
+        (F.col("k") * 2 + 1).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + 5).alias("to_node")
+    )
     edges = right.union(up)
-    return edges.select("edge_id", "from_node", "to_node", ((F.col("edge_id") * 7) % 11 + 1).cast("double").alias("cost"), ((F.col("edge_id") * 5) % 13 + 4).cast("double").alias("capacity"))
+    return edges.select(
+        "edge_id", "from_node", "to_node", ((F.col("edge_id") * 7) % 11 + 1).cast("double").alias("cost"),
+        ((F.col("edge_id") * 5) % 13 + 4).cast("double").alias("capacity")
+    )
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers (even) and parts (odd), linked by deliveries."""
     rows = table(spark, d, "lineitem")
-    return rows.select((F.col("l_suppkey") * 2).alias("from_node"), (F.col("l_partkey") * 2 + 1).alias("to_node")).distinct().withColumn("edge_id", F.concat_ws("-", "from_node", "to_node"))
+    return rows.select(
+        (F.col("l_suppkey") * 2).alias("from_node"), (F.col("l_partkey") * 2 + 1).alias("to_node")
+    ).distinct().withColumn("edge_id", F.concat_ws("-", "from_node", "to_node"))
 
 
 def _nodes(spark: SparkSession, d: str, *keys: int) -> DataFrame:
@@ -43,7 +52,10 @@ def grid_od_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_supply(spark: SparkSession, d: str) -> DataFrame:
-    return network.nearest_supply(network.both_ways(grid(spark, d)), _nodes(spark, d, 3, 21), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node")))
+    return network.nearest_supply(
+        network.both_ways(grid(spark, d)), _nodes(spark, d, 3, 21),
+        table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    )
 
 
 def link_components(spark: SparkSession, d: str) -> DataFrame:
@@ -62,32 +74,43 @@ def grid_outage(spark: SparkSession, d: str) -> DataFrame:
 def grid_contingency(spark: SparkSession, d: str) -> DataFrame:
     """Each edge of the one-way grid cut alone, seen from its corner."""
     edges = grid(spark, d)
-    demands = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") % 4 + 1).cast("double").alias("demand"))
+    demands = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") % 4 + 1).cast("double").alias("demand")
+    )
     return network.single_edge_screen(edges, _nodes(spark, d, 0), demands, edges.where("edge_id < 12"))
 
 
 def grid_bottlenecks(spark: SparkSession, d: str) -> DataFrame:
     """Total load is checked against demand times hops, which ties of paths don't change here."""
-    nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("destination"), F.lit(0).cast("long").alias("origin"), (F.col("n_nationkey") % 3 + 1).cast("double").alias("demand")).where("destination > 0")
+    nation = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("destination"), F.lit(0).cast("long").alias("origin"),
+        (F.col("n_nationkey") % 3 + 1).cast("double").alias("demand")
+    ).where("destination > 0")
     edges = grid(spark, d).withColumn("cost", F.pow(F.lit(1.37), F.col("edge_id").cast("double") % 17) + F.col("edge_id") / 1000.0)
     found = network.edge_loads(edges, nation)
     return found.select("edge_id", F.round("load", 6).alias("load"), F.round("stress", 6).alias("stress"))
 
 
 def shared_corridors(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("service"), F.col("l_suppkey").alias("from_node"), F.col("l_partkey").alias("to_node"))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("service"), F.col("l_suppkey").alias("from_node"), F.col("l_partkey").alias("to_node")
+    )
     return network.shared_corridors(rows)
 
 
 def grid_node_removal(spark: SparkSession, d: str) -> DataFrame:
     edges = grid(spark, d)
-    demands = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") % 4 + 1).cast("double").alias("demand"))
+    demands = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("node"), (F.col("n_nationkey") % 4 + 1).cast("double").alias("demand")
+    )
     return network.node_removal_screen(edges, _nodes(spark, d, 0), demands, _nodes(spark, d, 1, 5, 6, 12, 24))
 
 
 def grid_restoration(spark: SparkSession, d: str) -> DataFrame:
     """Ties between row ends after the corner is cut off."""
-    ties = table(spark, d, "nation").where("n_nationkey % 6 = 0 and n_nationkey > 0").select(F.col("n_nationkey").alias("tie_id"), F.lit(0).cast("long").alias("from_node"), F.col("n_nationkey").cast("long").alias("to_node"))
+    ties = table(spark, d, "nation").where("n_nationkey % 6 = 0 and n_nationkey > 0").select(
+        F.col("n_nationkey").alias("tie_id"), F.lit(0).cast("long").alias("from_node"), F.col("n_nationkey").cast("long").alias("to_node")
+    )
     return network.restoration_options(grid(spark, d), ties, _nodes(spark, d, 0), ["0", "1"])
 
 
@@ -99,7 +122,9 @@ def part_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 def order_accumulation(spark: SparkSession, d: str) -> DataFrame:
     """Customers' balances run off to the customer of half their key."""
-    c = table(spark, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("node"), F.round(F.col("c_acctbal") * 100).cast("long").alias("runoff"))
+    c = table(spark, d, "customer").where("c_custkey > 0").select(
+        F.col("c_custkey").alias("node"), F.round(F.col("c_acctbal") * 100).cast("long").alias("runoff")
+    )
     edges = c.where("node > 1").select(F.col("node").alias("from_node"), F.floor(F.col("node") / 2).alias("to_node"))
     return network.flow_accumulation(edges, c)
 
@@ -114,7 +139,13 @@ r AS (SELECT CAST(n.n_nationkey AS BIGINT) AS s, CAST(n.n_nationkey AS BIGINT) A
       UNION ALL SELECT s, node, min(cost), k + 1 FROM (SELECT r.s, b.t AS node, r.cost + b.cost AS cost, r.k FROM r JOIN b ON b.f = r.node UNION ALL SELECT s, node, cost, k FROM r) WHERE k < 24 GROUP BY s, node, k),
 c AS (SELECT s, node, min(cost) AS cost FROM r GROUP BY s, node)"""
 
-QUERIES = {f.__name__: f for f in (grid_costs, grid_service_area, grid_od_matrix, grid_supply, link_components, grid_topology, grid_outage, grid_contingency, grid_bottlenecks, grid_node_removal, grid_restoration, part_dependencies, order_accumulation, shared_corridors)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        grid_costs, grid_service_area, grid_od_matrix, grid_supply, link_components, grid_topology, grid_outage, grid_contingency,
+        grid_bottlenecks, grid_node_removal, grid_restoration, part_dependencies, order_accumulation, shared_corridors
+    )
+}
 
 SQL = {
     "grid_costs": f"{_ALL} SELECT node, round(cost, 6) AS cost FROM c WHERE s = 0",

@@ -15,13 +15,18 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, d, "part").select(
         k, (F.col("p_retailprice") / 100).alias("recent_mean"), (k % 31 / 10).alias("variability"), (k % 13 / 20).alias("trend"), (k % 11 / 30).alias("anomaly_rate"),
-        (F.col("p_size") % 9).cast("double").alias("maintenance_lag"), (k % 6).cast("double").alias("exceedance_days"), F.when(F.col("p_size") + k % 13 > 32, "high").otherwise("low").alias("label"),
+        (F.col("p_size") % 9).cast("double").alias("maintenance_lag"), (k % 6).cast("double").alias("exceedance_days"), F.when(
+            F.col("p_size") + k % 13 > 32, "high"
+        ).otherwise("low").alias("label"),
     )
 
 
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
     top = F.array_join(F.transform(profiles.top_drivers(2), lambda p: p["feature"]), ",")
-    return _samples(spark, d).select("p_partkey", profiles.risk_score().alias("score"), profiles.scorecard_label().alias("scorecard"), profiles.rules_label().alias("rules"), top.alias("drivers"))
+    return _samples(spark, d).select(
+        "p_partkey", profiles.risk_score().alias("score"), profiles.scorecard_label().alias("scorecard"),
+        profiles.rules_label().alias("rules"), top.alias("drivers")
+    )
 
 
 def risk_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +50,19 @@ def price_fits(spark: SparkSession, d: str) -> DataFrame:
 def price_gauges(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as gauges."""
     out = profiles.gauge_report(table(spark, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice")
-    return out.select(F.col("gauge").alias("l_suppkey"), "n", "x_range", "y_range", F.round("r2", 3).alias("r2"), F.round("slope", 4).alias("slope"), "category")
+    return out.select(
+        F.col("gauge").alias("l_suppkey"), "n", "x_range", "y_range", F.round("r2", 3).alias("r2"), F.round("slope", 4).alias("slope"),
+        "category"
+    )
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     part = F.when(k % 5 < 2, "train").when(k % 5 < 4, "calibration").otherwise("test")
-    return table(spark, d, "customer").select(k.alias("node"), (F.col("c_nationkey") % 3).cast("long").alias("type"), part.alias("part"), (F.col("c_acctbal") / 1000).alias("label"), (k % 10).cast("double").alias("prediction"))
+    return table(spark, d, "customer").select(
+        k.alias("node"), (F.col("c_nationkey") % 3).cast("long").alias("type"), part.alias("part"),
+        (F.col("c_acctbal") / 1000).alias("label"), (k % 10).cast("double").alias("prediction")
+    )
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +82,12 @@ def propagation_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey")
-    return table(spark, d, "lineitem").select((k % 17 / 10).alias("nir"), (k % 7 / 10).alias("red"), (F.col("l_quantity") / 50).alias("blue"), (k % 9 - 4).cast("double").alias("logit"), (k % 4 == 0).alias("cloudy"), (F.col("l_quantity") + F.col("l_discount") * 100).alias("sigma"), (F.col("l_extendedprice") / 1000 - F.col("l_quantity")).alias("error"))
+    return table(spark, d, "lineitem").select(
+        (k % 17 / 10).alias("nir"), (k % 7 / 10).alias("red"), (F.col("l_quantity") / 50).alias("blue"),
+        (k % 9 - 4).cast("double").alias("logit"), (k % 4 == 0).alias("cloudy"),
+        (F.col("l_quantity") + F.col("l_discount") * 100).alias("sigma"),
+        (F.col("l_extendedprice") / 1000 - F.col("l_quantity")).alias("error")
+    )
 
 
 def pixel_losses(spark: SparkSession, d: str) -> DataFrame:
@@ -87,15 +103,22 @@ def certain_pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trade(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("mass"), (F.col("o_custkey") % 9 + 1).cast("double").alias("other"), (F.col("o_orderkey") % 23 + 1).cast("double").alias("cost"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("mass"), (F.col("o_custkey") % 9 + 1).cast("double").alias("other"),
+        (F.col("o_orderkey") % 23 + 1).cast("double").alias("cost")
+    )
 
 
 def gravity_rows(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.gravity_table(_trade(spark, d), "mass", "other", "cost", alpha=0.5, gamma=1.5).select("o_orderkey", F.round("gravity", 6).alias("gravity"))
+    return profiles.gravity_table(
+        _trade(spark, d), "mass", "other", "cost", alpha=0.5, gamma=1.5
+    ).select("o_orderkey", F.round("gravity", 6).alias("gravity"))
 
 
 def service_rows(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.service_table(_trade(spark, d), ["mass", "cost"], {"mass": 0.01, "cost": -0.1}, 0.2).select("o_orderkey", F.round("service", 6).alias("service"))
+    return profiles.service_table(
+        _trade(spark, d), ["mass", "cost"], {"mass": 0.01, "cost": -0.1}, 0.2
+    ).select("o_orderkey", F.round("service", 6).alias("service"))
 
 
 def customer_access(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +136,13 @@ _Q = "l[CAST(floor(pos) AS BIGINT) + 1] + (l[CAST(ceil(pos) AS BIGINT) + 1] - l[
 _PX = "p AS (SELECT l_orderkey % 17 / 10 AS nir, l_orderkey % 7 / 10 AS red, l_quantity / 50 AS blue, l_orderkey % 9 - 4 AS z, CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END AS c, l_quantity + l_discount * 100 AS sigma, l_extendedprice / 1000 - l_quantity AS e FROM lineitem)"
 _TR = "t AS (SELECT o_orderkey, o_custkey, o_totalprice / 1000 AS m, CAST(o_custkey % 9 + 1 AS DOUBLE) AS o, CAST(o_orderkey % 23 + 1 AS DOUBLE) AS c FROM orders)"
 
-QUERIES = {f.__name__: f for f in (risk_scores, risk_profile, risk_leaderboard, monthly_profiles, price_fits, price_gauges, propagated_widths, propagation_weights, pixel_losses, certain_pixels, gravity_rows, service_rows, customer_access)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        risk_scores, risk_profile, risk_leaderboard, monthly_profiles, price_fits, price_gauges, propagated_widths, propagation_weights,
+        pixel_losses, certain_pixels, gravity_rows, service_rows, customer_access
+    )
+}
 
 SQL = {
     "risk_scores": f"""

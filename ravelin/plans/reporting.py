@@ -34,10 +34,15 @@ def is_alert():
 def regional_window_change(spark: SparkSession, d: str) -> DataFrame:
     """Alerts by region in two windows from one pass, with names and changes."""
     now, before = in_window(RECENT), in_window(PREVIOUS)
-    alerts = observations(spark, d).where(is_alert() & (now | before)).groupBy("region").agg(F.count_if(now).alias("recent_alerts"), F.count_if(before).alias("previous_alerts"))
+    alerts = observations(spark, d).where(is_alert() & (now | before)).groupBy("region").agg(
+        F.count_if(now).alias("recent_alerts"), F.count_if(before).alias("previous_alerts")
+    )
     named = alerts.join(table(spark, d, "region"), F.col("region") == F.col("r_regionkey"))
     change = F.col("recent_alerts") - F.col("previous_alerts")
-    return named.select(F.col("r_name").alias("region"), "recent_alerts", "previous_alerts", change.alias("change"), F.when(change > 0, "worsening").when(change < 0, "improving").otherwise("stable").alias("direction"))
+    return named.select(
+        F.col("r_name").alias("region"), "recent_alerts", "previous_alerts", change.alias("change"),
+        F.when(change > 0, "worsening").when(change < 0, "improving").otherwise("stable").alias("direction")
+    )
 
 
 def regional_full_join(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +56,10 @@ def regional_full_join(spark: SparkSession, d: str) -> DataFrame:
 
 def window_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = observations(spark, d).where(in_window(RECENT))
-    return rows.agg(F.count("*").alias("n_rows"), F.count_if(is_alert()).alias("alerts"), F.round(F.avg("value"), 2).alias("mean_value"), F.round(F.min("value"), 6).alias("min_value"), F.round(F.max("value"), 6).alias("max_value"))
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_if(is_alert()).alias("alerts"), F.round(F.avg("value"), 2).alias("mean_value"),
+        F.round(F.min("value"), 6).alias("min_value"), F.round(F.max("value"), 6).alias("max_value")
+    )
 
 
 def category_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +81,9 @@ def station_anomalies(spark: SparkSession, d: str) -> DataFrame:
     rows = observations(spark, d).withColumn("before", F.lag("value").over(w)).withColumn("type_before", F.lag("event_type").over(w))
     delta = F.col("value") - F.col("before")
     found = rows.where(in_window(RECENT) & (F.abs(delta) > 40))
-    return found.select("event_id", "user_id", "type_before", F.round(delta, 6).alias("delta")).orderBy(F.desc(F.abs("delta")), "event_id").limit(20)
+    return found.select(
+        "event_id", "user_id", "type_before", F.round(delta, 6).alias("delta")
+    ).orderBy(F.desc(F.abs("delta")), "event_id").limit(20)
 
 
 def latest_per_station(spark: SparkSession, d: str) -> DataFrame:
@@ -85,8 +95,12 @@ def latest_per_station(spark: SparkSession, d: str) -> DataFrame:
 def station_status(spark: SparkSession, d: str) -> DataFrame:
     """Status and score of each station's latest value against the limits of its region."""
     last = latest_per_station(spark, d).withColumn("low", F.lit(5.0)).withColumn("high", 60.0 + 5 * (F.col("user_id") % 5))
-    status = threshold_status(F.col("value"), F.col("low"), F.col("high"), F.when(F.col("event_type") == "signup", "offline").otherwise("normal"))
-    return last.select("user_id", status.alias("status"), alert_score(F.col("value"), F.lit(None).cast("double"), F.col("high"), F.lit(0.0)).alias("score"))
+    status = threshold_status(
+        F.col("value"), F.col("low"), F.col("high"), F.when(F.col("event_type") == "signup", "offline").otherwise("normal")
+    )
+    return last.select(
+        "user_id", status.alias("status"), alert_score(F.col("value"), F.lit(None).cast("double"), F.col("high"), F.lit(0.0)).alias("score")
+    )
 
 
 def observation_export(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +108,13 @@ def observation_export(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer")
     chosen = customers.where(F.lower("c_mktsegment") == "building")
     rows = observations(spark, d).join(chosen, F.col("user_id") == F.col("c_custkey"), "left_semi")
-    named = rows.join(customers.select("c_custkey", "c_nationkey"), F.col("user_id") == F.col("c_custkey"), "left").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return named.select("event_id", "user_id", F.coalesce("n_name", F.lit("")).alias("nation"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"), F.round("value", 6).alias("value"))
+    named = rows.join(
+        customers.select("c_custkey", "c_nationkey"), F.col("user_id") == F.col("c_custkey"), "left"
+    ).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return named.select(
+        "event_id", "user_id", F.coalesce("n_name", F.lit("")).alias("nation"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"), F.round("value", 6).alias("value")
+    )
 
 
 def json_properties(spark: SparkSession, d: str) -> DataFrame:
@@ -105,10 +124,14 @@ def json_properties(spark: SparkSession, d: str) -> DataFrame:
 
 def contract_checks(spark: SparkSession, d: str) -> DataFrame:
     events, customers = observations(spark, d), table(spark, d, "customer")
-    orphans = events.join(customers, F.col("user_id") == F.col("c_custkey"), "left_anti").agg(F.count("*").alias("failures")).select(F.lit("station_exists").alias("check_name"), "failures", (F.col("failures") == 0).alias("passed"))
+    orphans = events.join(customers, F.col("user_id") == F.col("c_custkey"), "left_anti").agg(F.count("*").alias("failures")).select(
+        F.lit("station_exists").alias("check_name"), "failures", (F.col("failures") == 0).alias("passed")
+    )
     return (
         tables.unique_violations(events, "event_id_unique", ["event_id"])
-        .unionByName(tables.scalar_check(events, "event_type_known", ~F.col("event_type").isin("view", "signup", "error", "click", "purchase")))
+        .unionByName(
+            tables.scalar_check(events, "event_type_known", ~F.col("event_type").isin("view", "signup", "error", "click", "purchase"))
+        )
         .unionByName(tables.scalar_check(events, "props_complete", F.col("props").isNull() | (F.trim("props") == "")))
         .unionByName(orphans)
     )
@@ -123,7 +146,9 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_status_mart(spark: SparkSession, d: str) -> DataFrame:
-    return observations(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "region", "event_type").agg(F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total_value"), F.round(F.max("value"), 6).alias("max_value"))
+    return observations(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "region", "event_type").agg(
+        F.count("*").alias("n_rows"), F.round(F.sum("value"), 2).alias("total_value"), F.round(F.max("value"), 6).alias("max_value")
+    )
 
 
 def layer_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +172,9 @@ def table_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def table_join(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    suppliers = table(spark, d, "supplier").select(F.when(F.col("s_nationkey") % 7 != 0, F.col("s_nationkey")).alias("key"), F.col("s_name").alias("name"))
+    suppliers = table(spark, d, "supplier").select(
+        F.when(F.col("s_nationkey") % 7 != 0, F.col("s_nationkey")).alias("key"), F.col("s_name").alias("name")
+    )
     nations = tables.where(nations.withColumn("key", F.when(F.col("key") != 3, F.col("key"))))
     return tables.join(suppliers, nations, "key", "left").select(F.col("key").cast("string").alias("key"), "name", "name_right")
 
@@ -155,7 +182,14 @@ def table_join(spark: SparkSession, d: str) -> DataFrame:
 _OBS = "(SELECT *, user_id % 5 AS region FROM events)"
 _IN = lambda w: f"(ts > TIMESTAMP '{w[0]}' AND ts <= TIMESTAMP '{w[1]}')"
 
-QUERIES = {f.__name__: f for f in (regional_window_change, regional_full_join, window_summary, category_breakdown, top_alerts_per_category, station_anomalies, latest_per_station, station_status, observation_export, json_properties, contract_checks, freshness, daily_status_mart, layer_counts, segment_pivot, table_summary, table_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        regional_window_change, regional_full_join, window_summary, category_breakdown, top_alerts_per_category, station_anomalies,
+        latest_per_station, station_status, observation_export, json_properties, contract_checks, freshness, daily_status_mart,
+        layer_counts, segment_pivot, table_summary, table_join
+    )
+}
 
 SQL = {
     "regional_window_change": f"""

@@ -11,12 +11,18 @@ from ..session import table
 
 
 def customer_points(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 97).cast("double").alias("x"), F.floor(F.col("c_custkey") / 97).cast("double").alias("y"))
+    c = table(spark, d, "customer").select(
+        "c_custkey", "c_acctbal", (F.col("c_custkey") % 97).cast("double").alias("x"),
+        F.floor(F.col("c_custkey") / 97).cast("double").alias("y")
+    )
     return c.withColumn("geometry", geometry.point(F.col("x"), F.col("y")))
 
 
 def supplier_points(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", ((F.col("s_suppkey") * 7) % 97 + 0.5).cast("double").alias("x"), ((F.col("s_suppkey") * 13) % 16 + 0.5).cast("double").alias("y"))
+    s = table(spark, d, "supplier").select(
+        "s_suppkey", "s_acctbal", ((F.col("s_suppkey") * 7) % 97 + 0.5).cast("double").alias("x"),
+        ((F.col("s_suppkey") * 13) % 16 + 0.5).cast("double").alias("y")
+    )
     return s.withColumn("geometry", geometry.point(F.col("x"), F.col("y")))
 
 
@@ -41,18 +47,27 @@ def proximity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_suppliers(spark: SparkSession, d: str) -> DataFrame:
     found = spatial.nearest_join(customer_points(spark, d), supplier_points(spark, d), "c_custkey", "s_suppkey", 2)
-    return found.select(F.col("left_id").alias("c_custkey"), F.col("right_id").alias("s_suppkey"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    return found.select(
+        F.col("left_id").alias("c_custkey"), F.col("right_id").alias("s_suppkey"), F.round("distance", 6).alias("distance"),
+        F.col("rank").cast("long").alias("rank")
+    )
 
 
 def nearest_neighbors(spark: SparkSession, d: str) -> DataFrame:
     p = supplier_points(spark, d)
     found = spatial.nearest_join(p, p, "s_suppkey", "s_suppkey", 3, exclude_self=True)
-    return found.select(F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("neighbor"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    return found.select(
+        F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("neighbor"), F.round("distance", 6).alias("distance"),
+        F.col("rank").cast("long").alias("rank")
+    )
 
 
 def assignment_summary(spark: SparkSession, d: str) -> DataFrame:
     found = spatial.summarize_assignments(supplier_points(spark, d), customer_points(spark, d), "s_suppkey", "c_custkey")
-    return found.select(F.col("origin_id").alias("s_suppkey"), "n_targets", F.round("max_distance", 6).alias("max_distance"), F.round("mean_distance", 6).alias("mean_distance"))
+    return found.select(
+        F.col("origin_id").alias("s_suppkey"), "n_targets", F.round("max_distance", 6).alias("max_distance"),
+        F.round("mean_distance", 6).alias("mean_distance")
+    )
 
 
 def box_join(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +77,9 @@ def box_join(spark: SparkSession, d: str) -> DataFrame:
 
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Boxes against the same boxes moved, by intersection of polygons."""
-    moved = nation_boxes(spark, d).withColumn("geometry", geometry.transform_vertices(F.col("geometry"), lambda v: geometry.vertex(v["x"] + 11, v["y"] + 2)))
+    moved = nation_boxes(spark, d).withColumn(
+        "geometry", geometry.transform_vertices(F.col("geometry"), lambda v: geometry.vertex(v["x"] + 11, v["y"] + 2))
+    )
     found = spatial.spatial_join(nation_boxes(spark, d), moved, "n_nationkey", "n_nationkey", "intersects", cell=10.0)
     return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
@@ -93,7 +110,10 @@ def great_circle(spark: SparkSession, d: str) -> DataFrame:
 def shape_measures(spark: SparkSession, d: str) -> DataFrame:
     g = F.col("geometry")
     n = nation_boxes(spark, d)
-    return n.select("n_nationkey", F.round(geometry.area(g), 6).alias("area"), F.round(geometry.length(g), 6).alias("perimeter"), F.round(geometry.centroid(g)["x"], 6).alias("cx"), F.round(geometry.centroid(g)["y"], 6).alias("cy"))
+    return n.select(
+        "n_nationkey", F.round(geometry.area(g), 6).alias("area"), F.round(geometry.length(g), 6).alias("perimeter"),
+        F.round(geometry.centroid(g)["x"], 6).alias("cx"), F.round(geometry.centroid(g)["y"], 6).alias("cy")
+    )
 
 
 def clipped_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -108,23 +128,36 @@ def _degrees(df: DataFrame) -> DataFrame:
 
 def sphere_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs within 400 km; suppliers without any stay."""
-    found = spatial.proximity_join(_degrees(supplier_points(spark, d)), _degrees(customer_points(spark, d)), 400.0, "s_suppkey", "c_custkey", "left", "haversine")
-    return found.select(F.col("left_id").alias("s_suppkey"), F.coalesce("right_id", F.lit(-1)).alias("c_custkey"), F.round("distance", 4).alias("km"))
+    found = spatial.proximity_join(
+        _degrees(supplier_points(spark, d)), _degrees(customer_points(spark, d)), 400.0, "s_suppkey", "c_custkey", "left", "haversine"
+    )
+    return found.select(
+        F.col("left_id").alias("s_suppkey"), F.coalesce("right_id", F.lit(-1)).alias("c_custkey"), F.round("distance", 4).alias("km")
+    )
 
 
 def sphere_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The nearest customer of each supplier within 200 km, if there is one."""
-    found = spatial.nearest_join(_degrees(supplier_points(spark, d)), _degrees(customer_points(spark, d)), "s_suppkey", "c_custkey", 1, 200.0, how="left", method="haversine")
-    return found.select(F.col("left_id").alias("s_suppkey"), F.coalesce("right_id", F.lit(-1)).alias("c_custkey"), F.round("distance", 4).alias("km"))
+    found = spatial.nearest_join(
+        _degrees(supplier_points(spark, d)), _degrees(customer_points(spark, d)), "s_suppkey", "c_custkey", 1, 200.0, how="left",
+        method="haversine"
+    )
+    return found.select(
+        F.col("left_id").alias("s_suppkey"), F.coalesce("right_id", F.lit(-1)).alias("c_custkey"), F.round("distance", 4).alias("km")
+    )
 
 
 def assignment_balances(spark: SparkSession, d: str) -> DataFrame:
-    found = spatial.summarize_assignments(supplier_points(spark, d), customer_points(spark, d), "s_suppkey", "c_custkey", 6.0, "inner", aggregations={"c_acctbal": "sum"})
+    found = spatial.summarize_assignments(
+        supplier_points(spark, d), customer_points(spark, d), "s_suppkey", "c_custkey", 6.0, "inner", aggregations={"c_acctbal": "sum"}
+    )
     return found.select(F.col("origin_id").alias("s_suppkey"), "n_targets", F.round("c_acctbal_sum", 2).alias("balance"))
 
 
 def box_balances(spark: SparkSession, d: str) -> DataFrame:
-    found = spatial.coverage_summary(nation_boxes(spark, d), customer_points(spark, d), "n_nationkey", "c_custkey", "contains", 8.0, {"c_acctbal": "max"})
+    found = spatial.coverage_summary(
+        nation_boxes(spark, d), customer_points(spark, d), "n_nationkey", "c_custkey", "contains", 8.0, {"c_acctbal": "max"}
+    )
     return found.select(F.col("area_id").alias("n_nationkey"), "n_covered", F.col("c_acctbal_max").alias("balance"))
 
 
@@ -179,9 +212,13 @@ def buffer_areas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlay_areas(spark: SparkSession, d: str) -> DataFrame:
-    moved = nation_boxes(spark, d).withColumn("geometry", geometry.transform_vertices(F.col("geometry"), lambda v: geometry.vertex(v["x"] + 11, v["y"] + 2)))
+    moved = nation_boxes(spark, d).withColumn(
+        "geometry", geometry.transform_vertices(F.col("geometry"), lambda v: geometry.vertex(v["x"] + 11, v["y"] + 2))
+    )
     found = spatial.overlay_intersections(nation_boxes(spark, d), moved, "n_nationkey", "n_nationkey", 10.0)
-    found = found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round(geometry.area(F.col("geometry")), 6).alias("area"))
+    found = found.select(
+        F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round(geometry.area(F.col("geometry")), 6).alias("area")
+    )
     return found.where("area > 0")
 
 
@@ -193,7 +230,15 @@ _DEG = "(pi() / 180)"
 _KM = f"""c AS (SELECT c_custkey, radians(x * 3 - 145) AS lon, radians(y % 120 - 60) AS lat FROM {_C}), v AS (SELECT s_suppkey, radians(x * 3 - 145) AS lon, radians(y % 120 - 60) AS lat FROM {_S}),
 h AS (SELECT s_suppkey, c_custkey, pow(sin((c.lat - v.lat) / 2), 2) + cos(v.lat) * cos(c.lat) * pow(sin((c.lon - v.lon) / 2), 2) AS a FROM c, v), k AS (SELECT s_suppkey, c_custkey, 2 * 6371.0088 * atan2(sqrt(a), sqrt(1 - a)) AS km FROM h)"""
 
-QUERIES = {f.__name__: f for f in (bounds_filter, radius_filter, proximity_pairs, nearest_suppliers, nearest_neighbors, assignment_summary, box_join, box_overlaps, box_coverage, supplier_pressure, supplier_interaction, great_circle, shape_measures, clipped_boxes, sphere_pairs, sphere_nearest, assignment_balances, box_balances, joined_rows, distance_rows, area_similarities, anchor_influences, corridor_scores, directed_interaction, buffer_hits, buffer_areas, overlay_areas)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bounds_filter, radius_filter, proximity_pairs, nearest_suppliers, nearest_neighbors, assignment_summary, box_join, box_overlaps,
+        box_coverage, supplier_pressure, supplier_interaction, great_circle, shape_measures, clipped_boxes, sphere_pairs, sphere_nearest,
+        assignment_balances, box_balances, joined_rows, distance_rows, area_similarities, anchor_influences, corridor_scores,
+        directed_interaction, buffer_hits, buffer_areas, overlay_areas
+    )
+}
 
 SQL = {
     "bounds_filter": f"SELECT c_custkey, x, y FROM {_C} WHERE x BETWEEN 10 AND 40 AND y BETWEEN 2 AND 9",

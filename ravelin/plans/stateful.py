@@ -19,7 +19,9 @@ def _drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).foreachBatch(keep).start()
+    query = stream.writeStream.outputMode(mode).option(
+        "checkpointLocation", f"{path}-log"
+    ).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     rows = spark.read.parquet(path)
     return rows.drop("batch") if mode == "complete" else rows
@@ -29,13 +31,18 @@ def streamed_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """Event-time windows over the event files as a stream."""
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     out = _drained(conformal.event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), window="1 day"), "complete", "daily")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 4).alias("mean_value"))
+    return out.select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 4).alias("mean_value")
+    )
 
 
 def streamed_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles of the last 200 scores of each kind."""
     stream = spark.readStream.schema(table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem*.parquet")
-    scores = stream.select(F.col("l_returnflag").alias("kind"), F.abs(F.col("l_extendedprice") - 1500.0 * F.col("l_quantity")).alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    scores = stream.select(
+        F.col("l_returnflag").alias("kind"), F.abs(F.col("l_extendedprice") - 1500.0 * F.col("l_quantity")).alias("score"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+    )
     out = _drained(conformal.sliding_calibration(scores), "update", "calibration")
     last = out.groupBy("kind").agg(F.max_by(F.struct("n_seen", "window_size", "quantile"), "n_seen").alias("x"))
     return last.select("kind", "x.n_seen", "x.window_size", F.round("x.quantile", 4).alias("quantile"))
@@ -43,7 +50,11 @@ def streamed_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.select((F.col("o_custkey") % 2).alias("league"), "o_orderkey", (F.col("o_custkey") % 8).alias("home"), ((F.col("o_custkey") + 1 + F.col("o_orderkey") % 7) % 8).alias("away"), (F.col("o_orderkey") % 5).cast("int").alias("home_score"), (F.col("o_custkey") % 4).cast("int").alias("away_score"))
+    return o.select(
+        (F.col("o_custkey") % 2).alias("league"), "o_orderkey", (F.col("o_custkey") % 8).alias("home"),
+        ((F.col("o_custkey") + 1 + F.col("o_orderkey") % 7) % 8).alias("away"), (F.col("o_orderkey") % 5).cast("int").alias("home_score"),
+        (F.col("o_custkey") % 4).cast("int").alias("away_score")
+    )
 
 
 def elo_ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -55,12 +66,17 @@ def team_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simulated_matches(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("problem"), (1.0 + F.col("s_suppkey") % 4).alias("home_rate"), (1.0 + F.col("s_suppkey") % 3).alias("away_rate"))
+    p = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("problem"), (1.0 + F.col("s_suppkey") % 4).alias("home_rate"),
+        (1.0 + F.col("s_suppkey") % 3).alias("away_rate")
+    )
     return ratings.simulate(spark, p, 500)
 
 
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.bootstrap_interval(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal")
+    return ratings.bootstrap_interval(
+        table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_acctbal"
+    )
 
 
 def monthly_pacf(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +94,9 @@ def propensity_bands(spark: SparkSession, d: str) -> DataFrame:
     """Treated and others by band of a fitted propensity."""
     rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("t"), "l_quantity", "l_discount", "l_tax")
     found = models.logistic_propensity(rows, "t", ["l_quantity", "l_discount", "l_tax"])
-    return found.groupBy(F.floor(F.col("propensity") * 35).alias("band")).agg(F.count_if(F.col("t") == 1).alias("treated"), F.count_if(F.col("t") == 0).alias("others"))
+    return found.groupBy(F.floor(F.col("propensity") * 35).alias("band")).agg(
+        F.count_if(F.col("t") == 1).alias("treated"), F.count_if(F.col("t") == 0).alias("others")
+    )
 
 
 def synthetic_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -90,16 +108,27 @@ def partner_matches(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matches of customers with a debt by nation, nearest in key."""
     from ..operators.statistics import matched_effect
 
-    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("t"), F.col("c_acctbal").alias("y"), (F.col("c_custkey") % 100 / 100).alias("p"), "c_nationkey")
+    c = table(spark, d, "customer").select(
+        "c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("t"), F.col("c_acctbal").alias("y"),
+        (F.col("c_custkey") % 100 / 100).alias("p"), "c_nationkey"
+    )
     return matched_effect(c, "t", "y", "p", "c_nationkey", 0.1, "c_custkey")
 
 
 def _monthly(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("total"))
+    o = table(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        (F.sum(F.col("o_totalprice").cast("decimal(18,2)")) / 1000).cast("double").alias("total")
+    )
     return series.numbered(o, "o_orderpriority", ["month"], "total")
 
 
-QUERIES = {f.__name__: f for f in (streamed_daily_counts, streamed_calibration, elo_ratings, team_table, simulated_matches, bootstrap_means, monthly_pacf, monthly_forecasts, propensity_bands, synthetic_priority, partner_matches)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        streamed_daily_counts, streamed_calibration, elo_ratings, team_table, simulated_matches, bootstrap_means, monthly_pacf,
+        monthly_forecasts, propensity_bands, synthetic_priority, partner_matches
+    )
+}
 
 SQL = {
     "monthly_pacf": f"""

@@ -16,18 +16,28 @@ def _side(spark: SparkSession, d: str) -> DataFrame:
 
 def lattice_nodes(spark: SparkSession, d: str) -> DataFrame:
     m = _side(spark, d)
-    return m.select("m", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("m") - 1)).alias("k")).select("m", F.col("k").cast("long").alias("k"))
+    return m.select(
+        "m", F.explode(F.sequence(F.lit(0), F.col("m") * F.col("m") - 1)).alias("k")
+    ).select("m", F.col("k").cast("long").alias("k"))
 
 
 def lattice(spark: SparkSession, d: str) -> DataFrame:
     """Edges to the right (even ids) and upwards (odd ids), with costs, capacities, states and ages from their ids."""
     n = lattice_nodes(spark, d)
-    right = n.where("k % m < m - 1").select((F.col("k") * 2).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + 1).alias("to_node"))
-    up = n.where("k < m * (m - 1)").select((F.col("k") * 2 + 1).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + F.col("m")).alias("to_node"))
+    right = n.where("k % m < m - 1").select(
+        (F.col("k") * 2).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + 1).alias("to_node")
+    )
+    up = n.where("k < m * (m - 1)").select(
+        (F.col("k") * 2 + 1).alias("edge_id"), F.col("k").alias("from_node"), (F.col("k") + F.col("m")).alias("to_node")
+    )
     e = F.col("edge_id")
     return right.union(up).select(
-        e, "from_node", "to_node", (e * 7 % 11 + 1 + e / 1000 + e * e % 97 / 9700).alias("cost"), (e * 5 % 13 + 4).cast("double").alias("capacity"),
-        F.when(e % 7 == 3, "open").otherwise("closed").alias("state"), (e * 3 % 80).cast("double").alias("age"), F.when(e % 5 > 0, (e % 4 * 10 + 20).cast("double")).alias("design_life"),
+        e, "from_node", "to_node", (
+            e * 7 % 11 + 1 + e / 1000 + e * e % 97 / 9700
+        ).alias("cost"), (e * 5 % 13 + 4).cast("double").alias("capacity"),
+        F.when(e % 7 == 3, "open").otherwise("closed").alias("state"), (e * 3 % 80).cast("double").alias("age"), F.when(
+            e % 5 > 0, (e % 4 * 10 + 20).cast("double")
+        ).alias("design_life"),
         (e % 9).cast("double").alias("observed_flow"), F.when(e % 4 > 0, (e % 6).cast("double")).alias("dry_weather_flow"),
     )
 
@@ -124,14 +134,24 @@ def lattice_regulator(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lattice_crews(spark: SparkSession, d: str) -> DataFrame:
-    return utility.crew_dispatch(_two_way(spark, d), _corners(spark, d, "0"), ["0", "1", "2"], _demands(spark, d), {"0": 4.0, "1": 2.0}, [1])
+    return utility.crew_dispatch(
+        _two_way(spark, d), _corners(spark, d, "0"), ["0", "1", "2"], _demands(spark, d), {"0": 4.0, "1": 2.0}, [1]
+    )
 
 
 def lattice_capital(spark: SparkSession, d: str) -> DataFrame:
     """Shortcuts from the first node into a one-way lattice, where they avoid losses."""
-    far = _side(spark, d).select(F.lit("far").alias("project_id"), F.lit(900.0).alias("cost"), F.lit("p0").alias("edge_id"), F.lit(0).cast("long").alias("from_node"), (F.col("m") - 1).cast("long").alias("to_node"))
-    near = far.select(F.lit("near").alias("project_id"), F.lit(50.0).alias("cost"), F.lit("p1").alias("edge_id"), "from_node", F.lit(1).cast("long").alias("to_node"))
-    out = utility.capital_priorities(lattice(spark, d).where("edge_id % 2 = 0 or from_node = 0"), _corners(spark, d, "0"), _demands(spark, d), far.union(near))
+    far = _side(spark, d).select(
+        F.lit("far").alias("project_id"), F.lit(900.0).alias("cost"), F.lit("p0").alias("edge_id"),
+        F.lit(0).cast("long").alias("from_node"), (F.col("m") - 1).cast("long").alias("to_node")
+    )
+    near = far.select(
+        F.lit("near").alias("project_id"), F.lit(50.0).alias("cost"), F.lit("p1").alias("edge_id"), "from_node",
+        F.lit(1).cast("long").alias("to_node")
+    )
+    out = utility.capital_priorities(
+        lattice(spark, d).where("edge_id % 2 = 0 or from_node = 0"), _corners(spark, d, "0"), _demands(spark, d), far.union(near)
+    )
     return out.select("project_id", "cost", "risk_avoided", F.round("ratio", 6).alias("ratio"))
 
 
@@ -146,14 +166,19 @@ def lattice_infiltration(spark: SparkSession, d: str) -> DataFrame:
 
 def order_basins(spark: SparkSession, d: str) -> DataFrame:
     """Orders as inflow, with a capacity by their priority."""
-    o = table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("inflow"), (F.length("o_orderpriority") * 15000).cast("long").alias("capacity"))
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.round("o_totalprice").cast("long").alias("inflow"),
+        (F.length("o_orderpriority") * 15000).cast("long").alias("capacity")
+    )
     return utility.basin_overflow(o).select("o_orderkey", F.col("overflow").cast("double").alias("overflow"))
 
 
 def lattice_flows(spark: SparkSession, d: str) -> DataFrame:
     demands = _circuits(spark, d).withColumn("demand", F.lit(5.0))
     out = utility.constrained_flow(_two_way(spark, d), demands, 3)
-    return out.select("edge_id", F.round("load", 6).alias("load"), F.round("stress", 6).alias("stress"), F.round("cost", 6).alias("cost"), "iteration")
+    return out.select(
+        "edge_id", F.round("load", 6).alias("load"), F.round("stress", 6).alias("stress"), F.round("cost", 6).alias("cost"), "iteration"
+    )
 
 
 _L = """s AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS m FROM supplier), n AS (SELECT m, unnest(range(m * m)) AS k FROM s),

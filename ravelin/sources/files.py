@@ -31,17 +31,29 @@ def preset(name: str) -> dict:
 def _geometry_of(g):
     """A geometry struct from a type and its coordinates as JSON text; of polygons the outer ring."""
     pairs = "array<array<double>>"
-    flat = F.when(g["type"] == "Point", F.array(F.from_json(g["coordinates"], "array<double>"))).when(g["type"] == "Polygon", F.from_json(g["coordinates"], f"array<{pairs}>")[0]).otherwise(F.from_json(g["coordinates"], pairs))
+    flat = F.when(
+        g["type"] == "Point", F.array(F.from_json(g["coordinates"], "array<double>"))
+    ).when(g["type"] == "Polygon", F.from_json(g["coordinates"], f"array<{pairs}>")[0]).otherwise(F.from_json(g["coordinates"], pairs))
     return F.struct(g["type"].alias("type"), F.transform(flat, lambda v: geometry.vertex(v[0], v[1])).alias("coords"))
 
 
 def read_features(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
     """GeoJSON files, a feature or a collection each: ``(id, properties, geometry, crs)``."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", _PAYLOAD).alias("p"))
-    own = F.array(F.struct(F.col("p.type").alias("type"), F.col("p.id").alias("id"), F.col("p.properties").alias("properties"), F.col("p.geometry").alias("geometry")))
-    rows = raw.select(F.col("p.crs.properties.name").alias("crs"), F.explode(F.when(F.col("p.type") == "FeatureCollection", F.col("p.features")).otherwise(own)).alias("f"))
+    own = F.array(
+        F.struct(
+            F.col("p.type").alias("type"), F.col("p.id").alias("id"), F.col("p.properties").alias("properties"),
+            F.col("p.geometry").alias("geometry")
+        )
+    )
+    rows = raw.select(
+        F.col("p.crs.properties.name").alias("crs"),
+        F.explode(F.when(F.col("p.type") == "FeatureCollection", F.col("p.features")).otherwise(own)).alias("f")
+    )
     name = F.coalesce(F.element_at("f.properties", id_name), F.col("f.id"))
-    return rows.select(name.alias(id_name), F.col("f.properties").alias("properties"), _geometry_of(F.col("f.geometry")).alias("geometry"), "crs")
+    return rows.select(
+        name.alias(id_name), F.col("f.properties").alias("properties"), _geometry_of(F.col("f.geometry")).alias("geometry"), "crs"
+    )
 
 
 def read_points(spark: SparkSession, path: str, x: str, y: str, columns: list[str] | None = None, delimiter: str = ",") -> DataFrame:
@@ -64,7 +76,9 @@ def every_nth(df: DataFrame, order: list[str], step: int, limit: int | None = No
     from ..session import settle
 
     numbered = settle(numbered, "numbered")
-    sizes = sorted((r["_part"], r["n"], r["low"]) for r in numbered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("low")).collect())
+    sizes = sorted(
+        (r["_part"], r["n"], r["low"]) for r in numbered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("low")).collect()
+    )
     starts, seen = [], 0
     for part, n, low in sizes:
         starts.append((part, low - seen))
@@ -80,7 +94,9 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of ``{stationId, metric, values}`` in long form."""
     rows = spark.read.schema("series array<struct<stationId:string,metric:string,values:array<double>>>").json(path, multiLine=True)
     one = rows.select(F.explode("series").alias("s"))
-    return one.select("s.stationId", "s.metric", F.posexplode("s.values").alias("pos", "value")).select("stationId", "metric", (F.col("pos") + 1).cast("long").alias("position"), "value")
+    return one.select("s.stationId", "s.metric", F.posexplode("s.values").alias("pos", "value")).select(
+        "stationId", "metric", (F.col("pos") + 1).cast("long").alias("position"), "value"
+    )
 
 
 def read_regular_series(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +104,10 @@ def read_regular_series(spark: SparkSession, path: str) -> DataFrame:
     schema = "seriesName string, siteCode string, startTimestamp string, frequencyHours int, stageFt array<double>"
     rows = spark.read.schema(schema).json(path, multiLine=True)
     long = rows.select("seriesName", "siteCode", "startTimestamp", "frequencyHours", F.posexplode("stageFt").alias("pos", "value"))
-    return long.select("seriesName", "siteCode", (F.to_timestamp("startTimestamp") + F.make_dt_interval(hours=F.col("pos") * F.col("frequencyHours"))).alias("ts"), "value")
+    return long.select(
+        "seriesName", "siteCode",
+        (F.to_timestamp("startTimestamp") + F.make_dt_interval(hours=F.col("pos") * F.col("frequencyHours"))).alias("ts"), "value"
+    )
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +123,12 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     schema = "features array<struct<featureId:string,name:string,category:string,region:string>>, thresholds array<struct<featureId:string,metricName:string,minValue:double,maxValue:double>>, observations array<struct<observationId:string,featureId:string,observedAt:string,metricName:string,value:double,status:string>>"
     raw = spark.read.schema(schema).json(path, multiLine=True)
     seen = raw.select(F.explode("observations").alias("o")).select("o.*")
-    features = raw.select(F.posexplode("features").alias("pos", "f")).groupBy("f.featureId").agg(F.max_by("f", "pos").alias("f")).select("featureId", "f.name", "f.category", "f.region")
-    limits = raw.select(F.posexplode("thresholds").alias("pos", "t")).groupBy("t.featureId").agg(F.max_by("t", "pos").alias("t")).select("featureId", F.col("t.metricName").alias("_metric"), "t.minValue", "t.maxValue")
+    features = raw.select(F.posexplode("features").alias("pos", "f")).groupBy("f.featureId").agg(F.max_by("f", "pos").alias("f")).select(
+        "featureId", "f.name", "f.category", "f.region"
+    )
+    limits = raw.select(F.posexplode("thresholds").alias("pos", "t")).groupBy("t.featureId").agg(F.max_by("t", "pos").alias("t")).select(
+        "featureId", F.col("t.metricName").alias("_metric"), "t.minValue", "t.maxValue"
+    )
     out = seen.join(features, "featureId", "left").join(limits, "featureId", "left")
     same = F.col("_metric") == F.col("metricName")
     return out.withColumns({"minValue": F.when(same, F.col("minValue")), "maxValue": F.when(same, F.col("maxValue"))}).drop("_metric")
@@ -132,13 +155,18 @@ def iterate(df: DataFrame, rows: int) -> Iterator[list]:
 def write_geojson(df: DataFrame, path: str, id_col: str, geometry_col: str = "geometry") -> None:
     """One feature a line, in as many files as partitions; ``read_geojson_lines`` reads them."""
     properties = F.to_json(F.struct(*[c for c in df.columns if c not in (id_col, geometry_col)])) if len(df.columns) > 2 else F.lit("{}")
-    line = F.concat(F.lit('{"type":"Feature","id":"'), F.col(id_col).cast("string"), F.lit('","properties":'), properties, F.lit(',"geometry":'), geometry.to_geojson(F.col(geometry_col)), F.lit("}"))
+    line = F.concat(
+        F.lit('{"type":"Feature","id":"'), F.col(id_col).cast("string"), F.lit('","properties":'), properties, F.lit(',"geometry":'),
+        geometry.to_geojson(F.col(geometry_col)), F.lit("}")
+    )
     df.select(line.alias("value")).write.text(path)
 
 
 def read_geojson_lines(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
     f = spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f"))
-    return f.select(F.col("f.id").alias(id_name), F.col("f.properties").alias("properties"), _geometry_of(F.col("f.geometry")).alias("geometry"))
+    return f.select(
+        F.col("f.id").alias(id_name), F.col("f.properties").alias("properties"), _geometry_of(F.col("f.geometry")).alias("geometry")
+    )
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",") -> None:
@@ -193,7 +221,9 @@ def write_insert_sql(df: DataFrame, path: str, name: str) -> None:
 
     def literal(c: str):
         plain = kinds[c] in ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean") or kinds[c].startswith("decimal")
-        value = F.col(c).cast("string") if plain else F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+        value = F.col(c).cast("string") if plain else F.concat(
+            F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")
+        )
         return F.coalesce(value, F.lit("NULL"))
 
     values = F.concat_ws(", ", *[literal(c) for c in df.columns])

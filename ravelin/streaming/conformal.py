@@ -28,7 +28,9 @@ def window_quantile(scores: list[float], alpha: float) -> float:
     return ordered[low] + (at - low) * (ordered[min(low + 1, n - 1)] - ordered[low])
 
 
-def sliding_calibration(stream: DataFrame, kind: str = "kind", score: str = "score", order: str = "seq", size: int = 200, alpha: float = 0.1, rate: float = 0.0) -> DataFrame:
+def sliding_calibration(
+    stream: DataFrame, kind: str = "kind", score: str = "score", order: str = "seq", size: int = 200, alpha: float = 0.1, rate: float = 0.0
+) -> DataFrame:
     """The quantile of the last ``size`` scores of each kind, after every batch.
 
     With a ``rate`` the miscoverage level adapts: it falls after a score above
@@ -59,19 +61,25 @@ def sliding_calibration(stream: DataFrame, kind: str = "kind", score: str = "sco
                 held = [*held[-(size - 1) :], float(value)] if size > 1 else [float(value)]
                 seen += 1
         state.update((json.dumps(held), seen, level))
-        yield pd.DataFrame({"kind": [key[0]], "n_seen": [seen], "window_size": [len(held)], "quantile": [window_quantile(held, level)], "level": [level]})
+        yield pd.DataFrame(
+            {"kind": [key[0]], "n_seen": [seen], "window_size": [len(held)], "quantile": [window_quantile(held, level)], "level": [level]}
+        )
 
     return stream.groupBy(F.col(kind).alias("kind")).applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def event_counts(stream: DataFrame, time: str = "ts", key: str = "event_type", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and means by event-time window; later rows than the watermark allows are dropped."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("window_start"), key, "n", "mean_value")
+    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean_value")
+    ).select(F.col("w.start").alias("window_start"), key, "n", "mean_value")
 
 
 def running_loads(stream: DataFrame, capacities: DataFrame) -> DataFrame:
     """Loads ``(edge_id, load)`` added up over batches, with their stress; a stream-static join."""
-    return stream.join(capacities, "edge_id").groupBy("edge_id", "capacity").agg(F.sum("load").alias("load")).select("edge_id", "load", stress_index(F.col("load"), F.col("capacity")).alias("stress"))
+    return stream.join(capacities, "edge_id").groupBy("edge_id", "capacity").agg(F.sum("load").alias("load")).select(
+        "edge_id", "load", stress_index(F.col("load"), F.col("capacity")).alias("stress")
+    )
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 8) -> DataFrame:

@@ -63,14 +63,18 @@ def test_weighting_and_double_robustness(data):
     one = np.column_stack([np.ones(len(t)), x])
     score = pseudo(t, y, one @ ols(one[t == 1], y[t == 1]), one @ ols(one[t == 0], y[t == 0]), p)
     got = estimators.doubly_robust(frame, "t", "y", ["a", "b"]).first()
-    assert (got["effect"], got["se"]) == (pytest.approx(score.mean(), abs=1e-6), pytest.approx(score.std(ddof=1) / math.sqrt(len(t)), abs=1e-6))
+    assert (got["effect"], got["se"]) == (
+        pytest.approx(score.mean(), abs=1e-6), pytest.approx(score.std(ddof=1) / math.sqrt(len(t)), abs=1e-6)
+    )
 
 
 def test_cross_fitting(data, spark):
     from pyspark.sql import functions as F
 
     frame, t, y, x = data
-    fold = np.array([r["f"] for r in frame.where("y is not null").orderBy("id").select(F.pmod(F.xxhash64("id"), F.lit(4)).alias("f")).collect()])
+    fold = np.array(
+        [r["f"] for r in frame.where("y is not null").orderBy("id").select(F.pmod(F.xxhash64("id"), F.lit(4)).alias("f")).collect()]
+    )
     one, score = np.column_stack([np.ones(len(t)), x]), np.zeros(len(t))
     for k in range(4):
         train, own = fold != k, fold == k

@@ -19,7 +19,9 @@ def value(spark, column):
 
 @pytest.fixture(scope="module")
 def messy(spark):
-    return spark.createDataFrame([(1, "a", 2.0), (2, None, None), (3, "a", 5.0), (4, None, 1.0), (5, "b", None)], "id int, k string, v double")
+    return spark.createDataFrame(
+        [(1, "a", 2.0), (2, None, None), (3, "a", 5.0), (4, None, 1.0), (5, "b", None)], "id int, k string, v double"
+    )
 
 
 def test_null_keys_meet(spark, messy):
@@ -81,10 +83,18 @@ def shape(kind, *points):
 def test_geometry(spark):
     square = shape("Polygon", (0, 0), (4, 0), (4, 4), (0, 4), (0, 0))
     cases = [
-        (geometry.area(square), 16.0), (geometry.length(shape("LineString", (0, 0), (3, 4), (3, 5))), 6.0), (geometry.length(shape("LineString", (1, 1), (1, 1))), 0.0),
-        (geometry.within(shape("Point", (4, 2)), square), True), (geometry.within(shape("Point", (5, 2)), square), False), (geometry.contains(square, shape("LineString", (1, 1), (2, 3))), True),
-        (geometry.intersects(square, shape("Polygon", (4, 4), (6, 4), (6, 6), (4, 4))), True), (geometry.intersects(square, shape("Polygon", (1, 1), (2, 1), (2, 2), (1, 1))), True),
-        (geometry.intersects(shape("LineString", (-1, 2), (5, 2)), square), True), (geometry.intersects(shape("LineString", (-1, 5), (5, 5)), square), False), (geometry.intersects(shape("Point", (1, 1)), shape("LineString", (0, 0), (2, 2))), True),
+        (geometry.area(square), 16.0), (
+            geometry.length(shape("LineString", (0, 0), (3, 4), (3, 5))), 6.0
+        ), (geometry.length(shape("LineString", (1, 1), (1, 1))), 0.0),
+        (geometry.within(shape("Point", (4, 2)), square), True), (geometry.within(shape("Point", (5, 2)), square), False), (
+            geometry.contains(square, shape("LineString", (1, 1), (2, 3))), True
+        ),
+        (
+            geometry.intersects(square, shape("Polygon", (4, 4), (6, 4), (6, 6), (4, 4))), True
+        ), (geometry.intersects(square, shape("Polygon", (1, 1), (2, 1), (2, 2), (1, 1))), True),
+        (geometry.intersects(shape("LineString", (-1, 2), (5, 2)), square), True), (
+            geometry.intersects(shape("LineString", (-1, 5), (5, 5)), square), False
+        ), (geometry.intersects(shape("Point", (1, 1)), shape("LineString", (0, 0), (2, 2))), True),
     ]
     for column, want in cases:
         assert value(spark, column) == want
@@ -101,7 +111,10 @@ def test_geometry(spark):
 def test_nearest_ties_and_far_rows(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 0.0)], "id int, x double, y double")
     right = spark.createDataFrame([(10, 1.0, 0.0), (9, -1.0, 0.0), (3, 0.0, 5.0)], "rid int, x double, y double")
-    got = [(r["left_id"], r["right_id"], r["rank"]) for r in spatial.nearest_join(left, right, "id", "rid", 2).orderBy("left_id", "rank").collect()]
+    got = [
+        (r["left_id"], r["right_id"], r["rank"])
+        for r in spatial.nearest_join(left, right, "id", "rid", 2).orderBy("left_id", "rank").collect()
+    ]
     assert got == [(1, 10, 1), (1, 9, 2), (2, 10, 1), (2, 3, 2)]  # ids tie as text
     assert spatial.nearest_join(left, right, "id", "rid", 1, max_distance=2.0).count() == 1
     assert spatial.nearest_join(left, right.limit(0), "id", "rid").count() == 0
@@ -112,19 +125,40 @@ def test_nearest_ties_and_far_rows(spark):
 
 
 def test_network(spark):
-    edges = spark.createDataFrame([("a", 1, 2, 1.0, 5.0), ("b", 2, 3, 1.0, 5.0), ("c", 1, 3, 5.0, 5.0), ("d", 3, 3, 1.0, 5.0), ("e", 8, 9, 1.0, 0.0), ("f", 1, 2, 4.0, 1.0)], "edge_id string, from_node int, to_node int, cost double, capacity double")
+    edges = spark.createDataFrame(
+        [
+            ("a", 1, 2, 1.0, 5.0), ("b", 2, 3, 1.0, 5.0), ("c", 1, 3, 5.0, 5.0), ("d", 3, 3, 1.0, 5.0), ("e", 8, 9, 1.0, 0.0),
+            ("f", 1, 2, 4.0, 1.0)
+        ],
+        "edge_id string, from_node int, to_node int, cost double, capacity double"
+    )
     assert {(r["node"], r["cost"]) for r in network.service_area(edges, 1, 10.0).collect()} == {(1, 0.0), (2, 1.0), (3, 2.0)}
     nodes = lambda *n: spark.createDataFrame([(x,) for x in n], "node int")
     od = {(r["origin"], r["destination"]): r["cost"] for r in network.od_costs(edges, nodes(1, 77), nodes(3, 9)).collect()}
     assert od == {(1, 3): 2.0, (1, 9): math.inf}
     t = network.topology(edges).first()
     assert (t["n_nodes"], t["n_components"], t["n_loops"], t["n_repeated"]) == (5, 2, 1, 1)
-    loads = {r["edge_id"]: (r["load"], r["stress"]) for r in network.edge_loads(edges, spark.createDataFrame([(1, 3, 2.0), (1, 2, 3.0), (1, 9, 4.0)], "origin int, destination int, demand double")).collect()}
+    loads = {
+        r["edge_id"]: (r["load"], r["stress"])
+        for r in network.edge_loads(
+            edges, spark.createDataFrame([(1, 3, 2.0), (1, 2, 3.0), (1, 9, 4.0)], "origin int, destination int, demand double")
+        ).collect()
+    }
     assert loads["a"] == (5.0, 1.0) and loads["b"][0] == 2.0 and loads["e"] == (0.0, 0.0)
-    cut = {r["edge_id"]: (r["lost_nodes"], r["lost_demand"]) for r in network.single_edge_screen(edges, nodes(1), spark.createDataFrame([(2, 7.0), (3, 1.0)], "node int, demand double"), edges).collect()}
+    cut = {
+        r["edge_id"]: (r["lost_nodes"], r["lost_demand"])
+        for r in network.single_edge_screen(
+            edges, nodes(1), spark.createDataFrame([(2, 7.0), (3, 1.0)], "node int, demand double"), edges
+        ).collect()
+    }
     assert cut["a"] == (0, 0.0) and cut["c"] == (0, 0.0)
     alone = edges.where("edge_id in ('a', 'b')")
-    cut = {r["edge_id"]: (r["lost_nodes"], r["lost_demand"]) for r in network.single_edge_screen(alone, nodes(1), spark.createDataFrame([(2, 7.0), (3, 1.0)], "node int, demand double"), alone).collect()}
+    cut = {
+        r["edge_id"]: (r["lost_nodes"], r["lost_demand"])
+        for r in network.single_edge_screen(
+            alone, nodes(1), spark.createDataFrame([(2, 7.0), (3, 1.0)], "node int, demand double"), alone
+        ).collect()
+    }
     assert cut == {"a": (2, 8.0), "b": (1, 1.0)}
     with pytest.raises(Exception, match="negative"):
         network.service_area(edges.withColumn("cost", F.lit(-1.0)), 1, 9.0).collect()
@@ -157,7 +191,9 @@ def test_conformal(spark):
 
 
 def test_causal(spark):
-    rows = spark.createDataFrame([(t, s, 10.0 * s + 3.0 * t) for t, s, n in ((1, 0, 2), (0, 0, 6), (1, 1, 6), (0, 1, 2)) for _ in range(n)], "t int, s int, y double")
+    rows = spark.createDataFrame(
+        [(t, s, 10.0 * s + 3.0 * t) for t, s, n in ((1, 0, 2), (0, 0, 6), (1, 1, 6), (0, 1, 2)) for _ in range(n)], "t int, s int, y double"
+    )
     p = statistics.stratum_propensity(rows, "t", "s")
     assert statistics.ipw_effect(p, "t", "y").first()["effect"] == pytest.approx(3.0)
     assert statistics.doubly_robust_effect(p, "t", "y", "s").first()["effect"] == pytest.approx(3.0)
@@ -166,7 +202,10 @@ def test_causal(spark):
 
 
 def test_ratings(spark):
-    matches = spark.createDataFrame([("x", 1, "a", "b", 2, 0), ("x", 2, "b", "a", 1, 1), ("y", 1, "c", "d", 0, 0)], "league string, n int, home string, away string, home_score int, away_score int")
+    matches = spark.createDataFrame(
+        [("x", 1, "a", "b", 2, 0), ("x", 2, "b", "a", 1, 1), ("y", 1, "c", "d", 0, 0)],
+        "league string, n int, home string, away string, home_score int, away_score int"
+    )
     got = {r["team"]: r for r in ratings.elo_ratings(matches, "league", ["n"]).collect()}
     assert got["a"]["rating"] > 1500 > got["b"]["rating"] and got["c"]["rating"] == got["d"]["rating"] == 1500.0
     assert ratings.team_table(matches).where("team = 'a'").first()["wins"] == 1

@@ -25,7 +25,10 @@ def reach(edges, starts, without=()):
 @pytest.fixture(scope="module")
 def net(spark):
     rng = random.Random(8)
-    edges = [(f"e{k}", a, b, round(rng.uniform(1, 9), 4), "open" if k % 9 == 4 else None) for k, (a, b) in enumerate([*[(i, i + 1) for i in range(9)], (2, 6), (7, 7), (3, 5), (3, 5), (20, 21), (8, 12), (12, 13)])]
+    edges = [
+        (f"e{k}", a, b, round(rng.uniform(1, 9), 4), "open" if k % 9 == 4 else None) for k,
+        (a, b) in enumerate([*[(i, i + 1) for i in range(9)], (2, 6), (7, 7), (3, 5), (3, 5), (20, 21), (8, 12), (12, 13)])
+    ]
     df = spark.createDataFrame(edges, "edge_id string, from_node int, to_node int, cost double, state string")
     return edges, network.both_ways(df), lambda *n: spark.createDataFrame([(x,) for x in n], "node int")
 
@@ -49,7 +52,12 @@ def test_combinations_and_cuts(net, spark):
     base = len(reach(edges, [0]))
     assert got == {c: base - len(reach(edges, [0], set(c))) for c in itertools.combinations(sorted(chosen), 2)}
     circuits = [(0, 9), (4, 13), (0, 21), (5, 3)]
-    got = {r["edge_id"]: r["circuits_impacted"] for r in utility.circuit_cuts(two_way, spark.createDataFrame(circuits, "origin int, destination int"), two_way.select("edge_id")).collect()}
+    got = {
+        r["edge_id"]: r["circuits_impacted"]
+        for r in utility.circuit_cuts(
+            two_way, spark.createDataFrame(circuits, "origin int, destination int"), two_way.select("edge_id")
+        ).collect()
+    }
     assert got == {e[0]: sum(b in reach(edges, [a]) and b not in reach(edges, [a], {e[0]}) for a, b in circuits) for e in edges}
 
 
