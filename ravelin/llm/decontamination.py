@@ -150,7 +150,13 @@ def _pass(docs: DataFrame, searcher, item_type: str) -> DataFrame:
                     n.append(len(words))
                     runs.append([{"a": a, "b": b} for a, b in hit])
                     items.append(sorted(which, key=str))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(runs, runs_type), pa.array(items, pa.list_(arrow_item))], ["id", "text_key", "n_words", "runs", "items"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(runs, runs_type),
+                        pa.array(items, pa.list_(arrow_item))
+                    ],
+                    ["id", "text_key", "n_words", "runs", "items"]
+                )
 
     return docs.mapInArrow(run, _run_type(docs.schema["id"].dataType.simpleString(), item_type))
 
@@ -160,12 +166,17 @@ def _total(runs: Column) -> Column:
     step = F.aggregate(
         F.array_sort(runs),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda s, r: F.struct((s["n"] + F.greatest(r["b"] - F.greatest(r["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")),
+        lambda s, r: F.struct(
+            (s["n"] + F.greatest(r["b"] - F.greatest(r["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")
+        ),
     )
     return step["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """``(id, text_key, n_words, n_hit, items)`` for each document row."""
     spark = docs.sparkSession
     item_type = "bigint" if benchmark.schema[item_col].dataType.simpleString() in ("int", "bigint") else "string"
@@ -199,7 +210,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), "text_key", "n_words", _total(F.col("runs")).alias("n_hit"), "items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """``docs`` without the rows that hold a window of an item; a filter, so nothing is shuffled.
 
     Of several blocks each filters what the one before kept, which is written in
@@ -221,7 +235,10 @@ def _is_clean(searcher):
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 OP2_SQL = r"""

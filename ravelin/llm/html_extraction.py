@@ -49,7 +49,9 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _MARKED = frozenset(("article", "main"))
 #: Elements of prose, whose words count as content where the labelled pages tell nothing.
@@ -157,10 +159,14 @@ def count_page(page: str, counts: dict) -> None:
             counts["tag", value][not inside] += 1
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES, max_keys: int = MAX_KEYS) -> Weights:
+def fit(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES, max_keys: int = MAX_KEYS
+) -> Weights:
     """Log odds from a bounded number of labelled pages, for a bounded number of element keys."""
     order = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = pages.select(F.col(id_col).alias("_id"), order.alias("_order")).where("_id is not null").distinct().orderBy("_order", "_id").limit(train_pages)
+    chosen = pages.select(
+        F.col(id_col).alias("_id"), order.alias("_order")
+    ).where("_id is not null").distinct().orderBy("_order", "_id").limit(train_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict = defaultdict(lambda: [0, 0])
@@ -168,7 +174,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train
             for page in texts_of(batch, html_col):
                 count_page(page, counts)
         rows = [(kind, key, *n) for (kind, key), n in counts.items()]
-        yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("kind", "key", "inside", "outside"))}, pa.schema([("kind", pa.string()), ("key", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(
+            {k: [r[i] for r in rows] for i, k in enumerate(("kind", "key", "inside", "outside"))},
+            pa.schema([("kind", pa.string()), ("key", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
+        )
 
     # The ids of at most train_pages pages are broadcast.
     rows = pages.select(id_col, html_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(html_col)
@@ -229,7 +238,9 @@ def extract_pages(pages: DataFrame, weights: Weights, id_col: str = "page_id", u
         for batch in batches:
             for part in slices(batch, 64):
                 texts = [extract(x, own) for x in texts_of(part, html_col)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column(url_col), pa.array(texts, pa.string())], [id_col, url_col, "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col), part.column(url_col), pa.array(texts, pa.string())], [id_col, url_col, "text"]
+                )
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")

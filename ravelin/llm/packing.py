@@ -105,12 +105,18 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
                 # Two bytes an id where they suffice; the length tells which.
                 narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in chunks]
                 sizes = np.array([len(x) for x in ids], np.int64)
-                columns = [part.column(id_col).take(pa.array(at)), pa.array(keys[at]), pa.array(np.full(len(at), here, np.int32)), pa.array(row + at), pa.array(starts), pa.array(sizes[at]), pa.array([len(x) for x in chunks], pa.int32()), pa.array(narrow, pa.binary())]
+                columns = [
+                    part.column(id_col).take(pa.array(at)), pa.array(keys[at]), pa.array(np.full(len(at), here, np.int32)),
+                    pa.array(row + at), pa.array(starts), pa.array(sizes[at]), pa.array([len(x) for x in chunks], pa.int32()),
+                    pa.array(narrow, pa.binary())
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "key", "part", "row", "start", "doc_tokens", "n", "ids"])
                 row += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, part int, row long, start long, doc_tokens long, n int, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(
+        run, f"id {kind}, key long, part int, row long, start long, doc_tokens long, n int, ids binary"
+    )
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
@@ -129,7 +135,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for batch in batches:
             for part in slices(batch):
                 out: list[tuple] = []
-                for at, (n, first, raw) in enumerate(zip(part.column("n").to_pylist(), part.column("start").to_pylist(), part.column("ids").to_pylist(), strict=True)):
+                for at, (n, first, raw) in enumerate(
+                    zip(part.column("n").to_pylist(), part.column("start").to_pylist(), part.column("ids").to_pylist(), strict=True)
+                ):
                     wide = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
                     start = 0
                     while start < n:
@@ -140,10 +148,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                             sequence, filled = sequence + 1, 0
                 at, *rest = (np.array(x, np.int64) for x in zip(*out, strict=True))
                 of = lambda name, at=at, part=part: part.column(name).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([of("id"), *map(pa.array, rest[:3]), of("doc_tokens"), *map(pa.array, rest[3:]), of("key")], [id_col, *_PIECE, "key"])
+                yield pa.RecordBatch.from_arrays(
+                    [of("id"), *map(pa.array, rest[:3]), of("doc_tokens"), *map(pa.array, rest[3:]), of("key")], [id_col, *_PIECE, "key"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("id", "key", "start", "doc_tokens", "n", "ids").mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in _PIECE) + ", key long")
+    return rows.select("id", "key", "start", "doc_tokens", "n", "ids").mapInArrow(
+        run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in _PIECE) + ", key long"
+    )
 
 
 _PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

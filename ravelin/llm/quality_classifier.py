@@ -143,13 +143,20 @@ def _held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % HOLD_OUT == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    max_train: int = MAX_TRAIN
+) -> np.ndarray:
     """The averaged weights of all shards, an array of ``DIM`` numbers."""
     order = F.xxhash64("_id")
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label"))
+    chosen = labels.where(
+        F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~_held_out(id_col)
+    ).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label"))
     chosen = chosen.select("_id", "label", order.alias("order")).orderBy("order", "_id").limit(max_train)
     # Two numbers for each of at most max_train rows are broadcast.
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    ).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
     # Of several texts with one id the one with the least hash trains.
     rows = rows.groupBy("id", "order", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = rows.select("text", F.col("label").cast("double").alias("label"), "order", F.pmod("order", F.lit(SHARDS)).alias("shard"))
@@ -160,7 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return weights[:DIM] / max(1.0, weights[DIM])
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(
+    docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
     """``(id, held_out, score, predicted)`` for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

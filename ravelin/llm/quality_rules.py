@@ -98,7 +98,13 @@ def _measured(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 got = [measure(t) for t in texts_of(part)]
                 base = [pa.array([x[k] for x in got], pa.int64()) for k in _BASE]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("host"), part.column("text_key"), *base, pa.array([x["lines"] for x in got], lines_type)], ["id", "host", "text_key", *_BASE, "lines"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"), part.column("host"), part.column("text_key"), *base,
+                        pa.array([x["lines"] for x in got], lines_type)
+                    ],
+                    ["id", "host", "text_key", *_BASE, "lines"]
+                )
 
     kind = docs.schema["id"].dataType.simpleString()
     figures = ", ".join(f"{k} long" for k in _BASE)
@@ -116,30 +122,45 @@ def _frequent(lines: DataFrame, max_host_docs: int) -> DataFrame:
     return counts.where(F.col("n_docs") > max_host_docs).select(F.col("host").alias("_host"), F.col("hash").alias("_hash"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_host_docs: int, min_left_percent: int) -> tuple[DataFrame, DataFrame]:
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, max_host_docs: int, min_left_percent: int
+) -> tuple[DataFrame, DataFrame]:
     """Figures and verdicts by (id, text_key), and the occurrences of frequent lines."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    docs = docs.select(
+        F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"),
+        text_key(text_col).alias("text_key")
+    )
     rows = materialise(_measured(docs), "measured")
     lines = rows.select("id", "host", "text_key", F.explode("lines").alias("line")).select("id", "host", "text_key", "line.*")
     frequent = _frequent(lines, max_host_docs)
     gone = lines.join(frequent, lines["host"].eqNullSafe(frequent["_host"]) & (lines["hash"] == frequent["_hash"]), "left_semi")
     gone = materialise(gone.select("id", "text_key", "hash", "words").distinct(), "frequent")
-    lost = gone.groupBy("id", "text_key").agg(F.sum("words").alias("n_removed_words")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "n_removed_words")
+    lost = gone.groupBy("id", "text_key").agg(F.sum("words").alias("n_removed_words")).select(
+        F.col("id").alias("_id"), F.col("text_key").alias("_key"), "n_removed_words"
+    )
     rows = rows.drop("lines").join(lost, rows["id"].eqNullSafe(lost["_id"]) & (rows["text_key"] == lost["_key"]), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     removed = F.coalesce("n_removed_words", F.lit(0))
     left = 100 * (F.col("n_words") - removed) >= min_left_percent * F.col("n_words")
-    rows = rows.select("id", "host", "text_key", *_BASE, removed.alias("n_removed_words"), failed.alias("base_failed"), (~failed & left).alias("kept"))
+    rows = rows.select(
+        "id", "host", "text_key", *_BASE, removed.alias("n_removed_words"), failed.alias("base_failed"), (~failed & left).alias("kept")
+    )
     return rows, gone
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_docs: int = MAX_HOST_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_docs: int = MAX_HOST_DOCS,
+    min_left_percent: int = MIN_LEFT_PERCENT
+) -> DataFrame:
     """Figures, ``base_failed`` and ``kept`` for each document row."""
     rows, _ = _judged(docs, id_col, text_col, host_col, max_host_docs, min_left_percent)
     return rows.select(F.col("id").alias(id_col), *_BASE, "base_failed", "kept", "n_removed_words")
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_docs: int = MAX_HOST_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def clean_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_docs: int = MAX_HOST_DOCS,
+    min_left_percent: int = MIN_LEFT_PERCENT
+) -> DataFrame:
     """The kept documents without the lines above the limits, all columns.
 
     ``n_chars``, if there, is set to the new length where a text has changed.
@@ -147,7 +168,10 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, gone = _judged(docs, id_col, text_col, host_col, max_host_docs, min_left_percent)
     cut = gone.groupBy("id", "text_key").agg(F.collect_set("hash").alias("_cut"))  # a document's own lines at most
     kept = rows.where("kept").select("id", "text_key").distinct()
-    kept = kept.join(cut.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "_cut"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    kept = kept.join(
+        cut.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "_cut"),
+        F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left"
+    )
     # Own columns are kept as one struct, so that no name of theirs can clash.
     kept = kept.select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.col("_cut").alias("cut"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
@@ -157,7 +181,9 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = {c: F.col(f"own.`{c}`") for c in docs.columns}
     columns[text_col] = F.col("clean")
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("cut").isNotNull(), F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+        columns["n_chars"] = F.when(
+            F.col("cut").isNotNull(), F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+        ).otherwise(columns["n_chars"])
     return out.select(*[x.alias(c) for c, x in columns.items()])
 
 

@@ -101,19 +101,37 @@ def own_hashes(own: str) -> list[int]:
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    quotes = pa.list_(pa.struct([("level", pa.int32()), ("hashes", pa.list_(pa.struct([("unit", pa.int32()), ("hash", pa.int64()), ("words", pa.int64())])))]))
+    quotes = pa.list_(
+        pa.struct(
+            [("level", pa.int32()), ("hashes", pa.list_(pa.struct([("unit", pa.int32()), ("hash", pa.int64()), ("words", pa.int64())])))]
+        )
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 got = [parse(t) for t in texts_of(part)]
-                found = [[{"level": level, "hashes": [dict(zip(("unit", "hash", "words"), x, strict=True)) for x in passage_hashes(lines)]} for level, lines in p] for _, p in got]
+                found = [
+                    [
+                        {
+                            "level": level, "hashes": [dict(zip(("unit", "hash", "words"), x, strict=True)) for x in passage_hashes(lines)]
+                        } for level,
+                        lines in p
+                    ] for _,
+                    p in got
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("conv"), part.column("turn"), part.column("role"), pa.array([o for o, _ in got], pa.string()), pa.array([own_hashes(o) for o, _ in got], pa.list_(pa.int64())), pa.array(found, quotes)],
+                    [
+                        part.column("conv"), part.column("turn"), part.column("role"), pa.array([o for o, _ in got], pa.string()),
+                        pa.array([own_hashes(o) for o, _ in got], pa.list_(pa.int64())), pa.array(found, quotes)
+                    ],
                     ["conv", "turn", "role", "own_text", "own", "quotes"],
                 )
 
-    return messages.mapInArrow(run, "conv long, turn long, role string, own_text string, own array<long>, quotes array<struct<level:int,hashes:array<struct<unit:int,hash:long,words:long>>>>")
+    return messages.mapInArrow(
+        run,
+        "conv long, turn long, role string, own_text string, own array<long>, quotes array<struct<level:int,hashes:array<struct<unit:int,hash:long,words:long>>>>"
+    )
 
 
 def _linked(rows: DataFrame, far_words: int) -> DataFrame:
@@ -123,13 +141,19 @@ def _linked(rows: DataFrame, far_words: int) -> DataFrame:
     near = own.groupBy("hash", "conv").agg(F.min("turn").alias("near_turn"))
     far = near.groupBy("hash").agg(F.min(F.struct("conv", "near_turn")).alias("far"))
     asked = rows.where("conv is not null and turn is not null").select("conv", "turn", F.posexplode("quotes").alias("pos", "quote"))
-    asked = asked.select("conv", "turn", "pos", "quote.level", F.explode("quote.hashes").alias("x")).select("conv", "turn", "pos", "level", "x.*")
+    asked = asked.select(
+        "conv", "turn", "pos", "quote.level", F.explode("quote.hashes").alias("x")
+    ).select("conv", "turn", "pos", "level", "x.*")
     found = asked.join(near, ["hash", "conv"], "left").join(far, "hash", "left")
     inner = F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv").alias("to_conv"), F.col("near_turn").alias("to_turn")))
     whole = (F.col("unit") == WHOLE) & (F.col("words") >= far_words)
-    outer = F.when(whole & (F.col("far.conv") < F.col("conv")), F.struct(F.col("far.conv").alias("to_conv"), F.col("far.near_turn").alias("to_turn")))
+    outer = F.when(
+        whole & (F.col("far.conv") < F.col("conv")), F.struct(F.col("far.conv").alias("to_conv"), F.col("far.near_turn").alias("to_turn"))
+    )
     to = F.coalesce(inner, outer)
-    best = found.where(to.isNotNull()).groupBy("conv", "turn", "pos", "level").agg(F.min(F.struct("unit", F.when(inner.isNotNull(), 0).otherwise(1).alias("outer"), to.alias("to"))).alias("best"))
+    best = found.where(to.isNotNull()).groupBy("conv", "turn", "pos", "level").agg(
+        F.min(F.struct("unit", F.when(inner.isNotNull(), 0).otherwise(1).alias("outer"), to.alias("to"))).alias("best")
+    )
     return best.select("conv", "turn", "pos", "level", "best.to.to_conv", "best.to.to_turn")
 
 
@@ -139,7 +163,9 @@ def _before(nodes: DataFrame) -> DataFrame:
     within = Window.partitionBy("conv", "run").orderBy("turn")
     tails = nodes.groupBy("conv", "run").agg(F.max("turn").alias("tail"))
     tails = tails.withColumn("tail", F.lag("tail").over(Window.partitionBy("conv").orderBy("run")))
-    return nodes.withColumn("own_before", F.lag("turn").over(within)).join(tails, ["conv", "run"]).select("conv", "turn", F.coalesce("own_before", "tail").alias("before_turn"))
+    return nodes.withColumn("own_before", F.lag("turn").over(within)).join(tails, ["conv", "run"]).select(
+        "conv", "turn", F.coalesce("own_before", "tail").alias("before_turn")
+    )
 
 
 def _threads(parents: DataFrame) -> DataFrame:
@@ -148,31 +174,51 @@ def _threads(parents: DataFrame) -> DataFrame:
     Messages whose path ends at a root are done and only looked up afterwards.
     """
     root = F.col("to_turn").isNull()
-    at = parents.select("conv", "turn", F.coalesce("to_conv", "conv").alias("up_conv"), F.coalesce("to_turn", "turn").alias("up_turn"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done"))
+    at = parents.select(
+        "conv", "turn", F.coalesce("to_conv", "conv").alias("up_conv"), F.coalesce("to_turn", "turn").alias("up_turn"),
+        F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done")
+    )
     at = materialise(at, "paths")
     done, todo = at.where("done"), at.where("not done")
     while not todo.isEmpty():
-        up = done.unionByName(todo).select(F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("top_conv"), F.col("up_turn").alias("top_turn"), F.col("depth").alias("more"), F.col("done").alias("ends"))
-        at = todo.join(up, ["up_conv", "up_turn"]).select("conv", "turn", F.col("top_conv").alias("up_conv"), F.col("top_turn").alias("up_turn"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        up = done.unionByName(todo).select(
+            F.col("conv").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("top_conv"),
+            F.col("up_turn").alias("top_turn"), F.col("depth").alias("more"), F.col("done").alias("ends")
+        )
+        at = todo.join(up, ["up_conv", "up_turn"]).select(
+            "conv", "turn", F.col("top_conv").alias("up_conv"), F.col("top_turn").alias("up_turn"),
+            (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")
+        )
         at = materialise(at, "paths")
         done, todo = done.unionByName(at.where("done")), at.where("not done")
     return done.select("conv", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
 
 
-def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", far_words: int = 1) -> DataFrame:
+def reply_order(
+    messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    far_words: int = 1
+) -> DataFrame:
     """Each message without its quotes, and its place in its thread.
 
     ``(conv, turn, role, own_text, n_quotes, n_linked, max_level, parent_conv,
     parent_turn, thread_conv, thread_turn, depth)``.
     """
-    rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    rows = messages.select(
+        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
+        F.col(text_col).alias("text")
+    )
     rows = materialise(_parsed(rows), "messages")
     links = materialise(_linked(rows, far_words), "links")
     nodes = rows.where("conv is not null and turn is not null").select("conv", "turn").distinct()
-    first = links.groupBy("conv", "turn").agg(F.min(F.struct("level", "pos", "to_conv", "to_turn")).alias("to"), F.countDistinct("pos").alias("n_linked"))
+    first = links.groupBy("conv", "turn").agg(
+        F.min(F.struct("level", "pos", "to_conv", "to_turn")).alias("to"), F.countDistinct("pos").alias("n_linked")
+    )
     first = first.select("conv", "turn", "to.to_conv", "to.to_turn", "n_linked")
     parents = _before(nodes).join(first, ["conv", "turn"], "left")
-    parents = parents.select("conv", "turn", F.coalesce("to_conv", F.when(F.col("before_turn").isNotNull(), F.col("conv"))).alias("to_conv"), F.coalesce("to_turn", "before_turn").alias("to_turn"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+    parents = parents.select(
+        "conv", "turn", F.coalesce("to_conv", F.when(F.col("before_turn").isNotNull(), F.col("conv"))).alias("to_conv"),
+        F.coalesce("to_turn", "before_turn").alias("to_turn"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")
+    )
     parents = materialise(parents, "parents")
     placed = parents.join(_threads(parents), ["conv", "turn"])
     out = rows.join(placed, ["conv", "turn"], "left")
@@ -186,4 +232,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reply_order(table(spark, sf_dir, "conversations"))
     own = F.col("own_text")
-    return found.select("conv_id", "turn", "role", F.sha2(own, 256).alias("own_sha256"), F.char_length(own).cast("long").alias("own_chars"), "n_quotes", "n_linked", "max_level", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth")
+    return found.select(
+        "conv_id", "turn", "role", F.sha2(own, 256).alias("own_sha256"), F.char_length(own).cast("long").alias("own_chars"), "n_quotes",
+        "n_linked", "max_level", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth"
+    )

@@ -181,7 +181,9 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO
+) -> DataFrame:
     """``(id, n_assign, n_access, n_hex, n_dense, base, spans)`` for each row; spans as ``kind:start:end``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +191,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in slices(batch):
                 got = [scan(t, vocabulary, max_ratio) for t in texts_of(part, text_col)]
                 counts = [pa.array([sum(k == kind for _, k, _ in every) for _, every in got], pa.int64()) for kind in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), *counts, pa.array([_named(b) for b, _ in got]), pa.array([_named(x) for _, x in got])], [id_col, *[f"n_{k}" for k in KINDS], "base", "spans"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col), *counts, pa.array([_named(b) for b, _ in got]), pa.array([_named(x) for _, x in got])],
+                    [id_col, *[f"n_{k}" for k in KINDS], "base", "spans"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(
+        run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string"
+    )
 
 
 def without_secrets(text: str, mark: str = MARK, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> str:
@@ -205,7 +212,9 @@ def without_secrets(text: str, mark: str = MARK, vocabulary: str = VOCABULARY, m
     return "".join(out) + text[at:] if out else text
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", mark: str = MARK, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO
+) -> DataFrame:
     """All rows and columns, secrets replaced by ``mark``; ``n_chars``, if there, follows changed texts."""
 
     def clean(texts: pd.Series) -> pd.Series:
@@ -218,7 +227,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, vocabulary
     columns = {c: F.col(f"own.`{c}`") for c in docs.columns}
     columns[text_col] = F.col("clean")
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("clean").eqNullSafe(was), columns["n_chars"]).otherwise(F.char_length("clean").cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(F.col("clean").eqNullSafe(was), columns["n_chars"]).otherwise(
+            F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+        )
     return own.select(*[x.alias(c) for c, x in columns.items()])
 
 

@@ -137,7 +137,9 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for part in slices(batch):
                 fps = np.array([fingerprint(t, shingle) for t in texts_of(part)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(fps.view(np.int64))], [id_col, "text_key", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("text_key"), pa.array(fps.view(np.int64))], [id_col, "text_key", "fp"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
@@ -326,9 +328,13 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ordered(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")))
+        large = ordered(
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
+        )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = materialise(ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))), "star")
+        edges = materialise(
+            ordered(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))), "star"
+        )
         if (after := mark(edges)) == before:
             break
         before = after
@@ -336,7 +342,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, budget: int = MAX_BITS
+) -> DataFrame:
     """``(id, text_key, fp, root, component_id)`` for each row.
 
     ``component_id`` is the least id reachable over links, ``root`` the component's least fingerprint.
@@ -348,7 +356,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     classed = materialise(classed, "classes")
     first = materialise(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
-    return prints.join(classed.join(first, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_key", "fp", "root", "component_id")
+    return prints.join(
+        classed.join(first, "root").select("fp", "root", "component_id"), "fp"
+    ).select(id_col, "text_key", "fp", "root", "component_id")
 
 
 _PAIR = ["group", "i", "j"]
@@ -392,7 +402,9 @@ def _confirmed(sets: DataFrame, pair_rows: int) -> DataFrame:
 
     # A large group is dealt into blocks; pairs of blocks together hold every pair of nodes.
     blocks = F.when(F.col("n") <= pair_rows, 1).otherwise(F.ceil(2 * F.col("n") / pair_rows)).cast("int")
-    rows = sets.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = sets.withColumn(
+        "own", F.pmod(F.xxhash64("node"), blocks).cast("int")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
     order = [*_PAIR, "node"]
     dealt = rows.repartition(shuffle_partitions(sets.sparkSession), *_PAIR).sortWithinPartitions(*order)
@@ -411,7 +423,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch):
                 sets = [shingle_set(t) for t in texts_of(part)]
                 keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array([node_of(x) for x in sets], pa.int64()), keys], [id_col, "text_key", "node", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("text_key"), pa.array([node_of(x) for x in sets], pa.int64()), keys],
+                    [id_col, "text_key", "node", "keys"]
+                )
         _words.clear()
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,25 +443,33 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, text_key long, node long, keys array<long>"), "signatures")
     row_key = lambda name: F.xxhash64(F.col(name), F.col("text_key"))
     # Texts with one set of shingles are one node, for which one row's text is read again.
-    nodes = rows.groupBy("node").agg(F.min(id_col).alias("least_id"), F.min(row_key(id_col)).alias("row_key"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("node").agg(
+        F.min(id_col).alias("least_id"), F.min(row_key(id_col)).alias("row_key"), F.first("keys").alias("keys")
+    )
     nodes = materialise(nodes, "nodes")
     keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Candidates are the nodes that keys connect; each one's set is read once and compared with all of its group.
-    groups = components(keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("root", "group")
+    groups = components(
+        keys.join(shared, "key").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    ).withColumnRenamed("root", "group")
     groups = materialise(groups, "candidates")
     wanted = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group").join(nodes.select("node", "row_key"), "node")
     wanted = materialise(wanted, "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
     # A filter of the rows that are wanted leaves few other texts to be shuffled.
     blocks = blocks_for(wanted.count())
-    texts = possible(texts.select("text", row_key("id").alias("hash")), bloom_filter(wanted.select(F.col("row_key").alias("hash")), blocks), blocks).where("possible")
+    texts = possible(
+        texts.select("text", row_key("id").alias("hash")), bloom_filter(wanted.select(F.col("row_key").alias("hash")), blocks), blocks
+    ).where("possible")
     texts = texts.join(wanted, texts["hash"] == wanted["row_key"]).select("node", "group", "n", "text")
     sets = texts.mapInArrow(as_sets, "node long, group long, n long, shingles binary")
     roots = components(_confirmed(sets, pair_rows))
     classed = materialise(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "classes")
     first = materialise(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
-    return rows.select(id_col, "text_key", "node").join(classed.join(first, "root").select("node", "root", "component_id"), "node").select(id_col, "text_key", "root", "component_id")
+    return rows.select(id_col, "text_key", "node").join(
+        classed.join(first, "root").select("node", "root", "component_id"), "node"
+    ).select(id_col, "text_key", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
@@ -456,8 +479,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least hash, and of rows that repeat both the one that is least as JSON.
     """
     found = similar_documents(docs, id_col, text_col) if found is None else found
-    found = materialise(found.select(F.col(id_col).alias("id"), "text_key", "root", F.col(id_col).eqNullSafe(F.col("component_id")).alias("least")), "found")
-    keep = found.where("least").groupBy("root", F.col("id").alias("keep_id")).agg(F.min("text_key").alias("keep_key"), F.count("*").alias("n")).drop("root")
+    found = materialise(
+        found.select(F.col(id_col).alias("id"), "text_key", "root", F.col(id_col).eqNullSafe(F.col("component_id")).alias("least")), "found"
+    )
+    keep = found.where("least").groupBy("root", F.col("id").alias("keep_id")).agg(
+        F.min("text_key").alias("keep_key"), F.count("*").alias("n")
+    ).drop("root")
     keep = materialise(keep, "keep")
     # Rows whose id goes nowhere, and is there once, stay as they are and are not shuffled.
     unsure = found.where("not least").select(F.xxhash64("id").alias("hash")).union(keep.where("n > 1").select(F.xxhash64("keep_id")))
@@ -465,7 +492,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Own columns are kept as one struct, so that no name of theirs can clash.
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(F.col(f"`{id_col}`")).alias("hash"))
     own = possible(own, bloom_filter(unsure, blocks), blocks, "unsure")
-    kept = own.where("unsure").join(keep, F.col(f"own.`{id_col}`").eqNullSafe(F.col("keep_id")) & (text_key(F.col(f"own.`{text_col}`")) == F.col("keep_key")))
+    kept = own.where("unsure").join(
+        keep, F.col(f"own.`{id_col}`").eqNullSafe(F.col("keep_id")) & (text_key(F.col(f"own.`{text_col}`")) == F.col("keep_key"))
+    )
     # Only rows that are repeated go through a grouping, of which the one that is least as JSON is kept.
     more = kept.where("n > 1").groupBy("keep_id", "keep_key").agg(F.min_by("own", F.to_json("own")).alias("own"))
     out = own.where("not unsure").select("own.*").unionByName(kept.where("n = 1").select("own.*"))

@@ -72,7 +72,9 @@ def _best(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         count, bits = PACKINGS[selector - 1]
         while size < count:  # most[i]: the greatest width among ids i .. i + size - 1
             add = min(size, count - size)
-            most = np.concatenate([np.maximum(most[:-add], most[add:]), np.full(min(add, n), 255, np.uint8)])[:n] if n > add else np.full(n, 255, np.uint8)
+            most = np.concatenate(
+                [np.maximum(most[:-add], most[add:]), np.full(min(add, n), 255, np.uint8)]
+            )[:n] if n > add else np.full(n, 255, np.uint8)
             size += add
         fits = most <= bits
         fits &= room >= count
@@ -172,12 +174,16 @@ class TokenFile:
         return decode(self._words[int(self._firsts[first]) : stop])[skip : skip + end - start]
 
 
-def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, file_ids: int = FILE_IDS) -> None:
+def write_files(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, file_ids: int = FILE_IDS
+) -> None:
     """Tokenises ``docs`` and writes the table of files to ``path``."""
     spark = docs.sparkSession
     order = [id_col, "_text_key"]  # a range's sample is sent to the driver, so the text itself is no key
     ranges = range_count(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0])
-    rows = docs.select(id_col, text_col, text_key(text_col).alias("_text_key")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    rows = docs.select(
+        id_col, text_col, text_key(text_col).alias("_text_key")
+    ).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +191,10 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         names, tokens, held, kind = [], [], 0, None
 
         def closed() -> pa.RecordBatch:
-            columns = [pa.array([part_no], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([pack_file(tokens)], pa.binary())]
+            columns = [
+                pa.array([part_no], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()),
+                pa.array([names], pa.list_(kind)), pa.array([pack_file(tokens)], pa.binary())
+            ]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_ids", "ids", "data"])
 
         for batch in batches:
@@ -231,12 +240,17 @@ def read_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
                 starts = ends - file.sizes.astype(np.int64)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("part").take(pa.array([0] * len(crc))), one.column("seq").take(pa.array([0] * len(crc))), one.column("ids").flatten(), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                    [
+                        one.column("part").take(pa.array([0] * len(crc))), one.column("seq").take(pa.array([0] * len(crc))),
+                        one.column("ids").flatten(), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())
+                    ],
                     ["part", "seq", id_col, "local", "n_tokens", "ids_crc32"],
                 )
 
     # Few bytes a document are left when the place of its file is joined.
-    rows = files.select("part", "seq", "ids", "data").mapInArrow(run, f"part int, seq int, `{id_col}` {id_type}, local long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "seq", "ids", "data").mapInArrow(
+        run, f"part int, seq int, `{id_col}` {id_type}, local long, n_tokens long, ids_crc32 long"
+    )
     return rows.join(places, ["part", "seq"]).select(id_col, (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -77,7 +77,10 @@ def path_prefixes(path: Column, segments: Column) -> Column:
     """The canonical path and all paths above it of at most so many segments, which end in a slash."""
     whole = F.regexp_replace(F.concat(F.lit("/"), path), "/+", "/")
     parts = F.split(whole, "/")
-    above = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, segments)), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")))
+    above = F.transform(
+        F.sequence(F.lit(1), F.least(F.size(parts) - 1, segments)),
+        lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))
+    )
     return F.array_union(above, F.array(whole))
 
 
@@ -92,11 +95,16 @@ def listing(spark: SparkSession, listed: DataFrame | list[str]) -> DataFrame:
         listed = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in listed]).cast("array<string>")).alias("url"))
     url = F.col(listed.columns[0])
     url = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("x://"), url))
-    rows = listed.select(canonical(host_of(url), path_of(url)).alias("canonical")).where("canonical is not null and canonical <> '/'").distinct()
+    rows = listed.select(
+        canonical(host_of(url), path_of(url)).alias("canonical")
+    ).where("canonical is not null and canonical <> '/'").distinct()
     return rows.withColumn("hash", F.xxhash64("canonical"))
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame | list[str] = LISTED, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, blocks: int = BLOCKS) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, listed: DataFrame | list[str] = LISTED, id_col: str = "page_id", url_col: str = "url",
+    rules: list[tuple[str, str, str]] = RULES, blocks: int = BLOCKS
+) -> DataFrame:
     """``(id, host, path, rule, verdict, listed)`` for each row; ``listed`` is the entry that blocks it."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
@@ -106,10 +114,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame | list[str] = LISTED, id_col:
     # Distinct URLs are looked up once, however many rows repeat them.
     urls = rows.where("found is null and host <> ''").select("host", "path").distinct()
     # First the hosts, then the paths below those that are listed, no deeper than a host's deepest entry.
-    hosts = entries.groupBy(F.substring_index("canonical", "/", 1).alias("suffix")).agg(F.max(F.size(F.split("canonical", "/"))).alias("segments")).withColumn("hash", F.xxhash64("suffix"))
-    sites = _maybe(urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).withColumn("hash", F.xxhash64("suffix")), hosts, blocks)
+    hosts = entries.groupBy(F.substring_index("canonical", "/", 1).alias("suffix")).agg(
+        F.max(F.size(F.split("canonical", "/"))).alias("segments")
+    ).withColumn("hash", F.xxhash64("suffix"))
+    sites = _maybe(
+        urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).withColumn("hash", F.xxhash64("suffix")),
+        hosts, blocks
+    )
     sites = sites.drop("hash").join(hosts.drop("hash"), "suffix")
-    keys = sites.select("host", "path", F.explode(F.transform(path_prefixes(F.col("path"), F.col("segments")), lambda p: F.concat("suffix", p))).alias("canonical")).withColumn("hash", F.xxhash64("canonical"))
+    keys = sites.select(
+        "host", "path",
+        F.explode(F.transform(path_prefixes(F.col("path"), F.col("segments")), lambda p: F.concat("suffix", p))).alias("canonical")
+    ).withColumn("hash", F.xxhash64("canonical"))
     maybe = _maybe(keys, entries, blocks)
     hits = maybe.join(entries.withColumnRenamed("canonical", "entry"), "hash").where(F.col("canonical") == F.col("entry"))
     hits = hits.groupBy("host", "path").agg(F.min("entry").alias("listed"))

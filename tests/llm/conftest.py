@@ -6,7 +6,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id
 
 
 def words(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()) + rng.choice(["", "", ",", "s", str(rng.randrange(40))]) for _ in range(n))
+    return " ".join(
+        rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split())
+        + rng.choice(["", "", ",", "s", str(rng.randrange(40))]) for _ in range(n)
+    )
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +24,10 @@ def messy_rows():
     rows = [(i, t, "en", f"src{i % 2}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
     near = words(rng, 400)
     rows += [(100, near, None, "src0", len(near)), (101, near + " end", "en", "src0", len(near) + 4), (102, near, "en", "src1", None)]
-    rows += [rows[6], rows[6], (6, "same id, other text", "en", "src0", 19), (None, "no id here", "en", "src0", 10), (None, None, None, None, None)]
+    rows += [
+        rows[6], rows[6], (6, "same id, other text", "en", "src0", 19), (None, "no id here", "en", "src0", 10),
+        (None, None, None, None, None)
+    ]
     return [(*r, "x", None, 7, 8, None, 3, 9) for r in rows]
 
 

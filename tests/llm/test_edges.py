@@ -20,7 +20,10 @@ from ravelin.llm import html_extraction, quality_classifier, quality_rules, quot
 from ravelin.llm.base import scratch_path
 from ravelin.llm.tokens import encoder
 
-_PARTS = st.lists(st.sampled_from(["foo", "bar", " ", "\n", "\n\n", "  ", "\t", "é", "'s", ".", ",", "ß", "1", "A", " ", "\r\n", "don't", "x/y"]), max_size=6).map("".join)
+_PARTS = st.lists(
+    st.sampled_from(["foo", "bar", " ", "\n", "\n\n", "  ", "\t", "é", "'s", ".", ",", "ß", "1", "A", " ", "\r\n", "don't", "x/y"]),
+    max_size=6
+).map("".join)
 
 
 @pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -35,7 +38,10 @@ def test_long_and_hostile_texts_take_little_time():
     for t in ("a1" + "-" * 100_000 + "1a1a", "a1-" * 40_000 + "x", "password" + " " * 100_000, "/".join(["production", "a" * 19] * 5_000)):
         secrets.scan(t)
     weights = html_extraction.Weights({}, {})
-    for page in ("<a " * 20_000, '<a "' * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<!-" * 20_000, "<script " * 20_000):
+    for page in (
+        "<a " * 20_000, '<a "' * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<!-" * 20_000,
+        "<script " * 20_000
+    ):
         html_extraction.extract(page, weights)
     assert time.perf_counter() - began < 20
 
@@ -46,17 +52,25 @@ def test_shared_template_lines_count_documents(spark):
     template = " ".join(f"template word {chr(97 + k)}" for k in range(20))
     rows = [(i, f"the header of the host\n{own(60)}\nthe footer of the host", "h") for i in range(60)]
     rows += [(100 + i, f"the header of the host\n{own(5)}\n{template}\nthe footer of the host", "h") for i in range(40)]
-    docs = spark.createDataFrame([(i, t, "en", s, len(t), 1, 2, 3) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _cut int, _kept_id int, clean int")
+    docs = spark.createDataFrame(
+        [(i, t, "en", s, len(t), 1, 2, 3) for i, t, s in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, _cut int, _kept_id int, clean int"
+    )
     kept = quality_rules.clean_documents(docs).collect()
     assert {r["doc_id"] for r in kept} == set(range(60)) and not any("header" in r["text"] or "footer" in r["text"] for r in kept)
     assert {(r["_cut"], r["_kept_id"], r["clean"]) for r in kept} == {(1, 2, 3)}
     got = quality_rules.judge(docs).select("doc_id", "kept", "n_removed_words").collect()
-    assert Counter(map(tuple, got)) == Counter((x[0], x[7], x[8]) for x in plain_rules([(i, t, None, s) for i, t, s in rows], quality_rules.MAX_HOST_DOCS))
+    assert Counter(map(tuple, got)) == Counter(
+        (x[0], x[7], x[8]) for x in plain_rules([(i, t, None, s) for i, t, s in rows], quality_rules.MAX_HOST_DOCS)
+    )
 
 
 def test_clashing_names_and_maps(spark):
     text = " ".join(f"word{k}" for k in range(80))
-    docs = spark.createDataFrame([(i, text, 5, 6, {"a": i}, "t") for i in (3, 2, 2, 9)] + [(7, "another text", 5, 6, None, "t")], "doc_id long, text string, _n int, _keep_id int, m map<string,int>, _clean_text string")
+    docs = spark.createDataFrame(
+        [(i, text, 5, 6, {"a": i}, "t") for i in (3, 2, 2, 9)] + [(7, "another text", 5, 6, None, "t")],
+        "doc_id long, text string, _n int, _keep_id int, m map<string,int>, _clean_text string"
+    )
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 7]
     assert {r["_clean_text"] for r in secrets.redact(docs).collect()} == {"t"}
@@ -65,7 +79,9 @@ def test_clashing_names_and_maps(spark):
 def test_pipeline_on_an_empty_table(spark):
     base = scratch_path(spark, "sf")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
-    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame(
+        [], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{base}/documents.parquet")
     assert corpus_pipeline.run(spark, base).count() == 0
 
 
@@ -143,7 +159,15 @@ def test_the_region_is_the_best_run():
     rng = random.Random(7)
     weights = html_extraction.Weights({"p": 1.5, "li": 0.2, "div": -1.2, "div.x": -0.6}, {"p": -0.1, "div": -2.0, "li": -0.7})
     for _ in range(60):
-        page = "".join(rng.choice(["<p>one two</p>", "<div>menu", "</div>", "<li>item</li>", "<div class='x'>note", "<b>bold</b>", "<br>", "</p>", "tail words here "]) for _ in range(rng.randrange(1, 14)))
+        page = "".join(
+            rng.choice(
+                [
+                    "<p>one two</p>", "<div>menu", "</div>", "<li>item</li>", "<div class='x'>note", "<b>bold</b>", "<br>", "</p>",
+                    "tail words here "
+                ]
+            )
+            for _ in range(rng.randrange(1, 14))
+        )
         got = "".join(html_extraction.extract(page, weights).split())  # inline tags leave no space
         runs = best_runs(page, weights)
         assert got == "" if not runs else got in ["".join(words_between(page, r)) for r in runs]
@@ -154,7 +178,10 @@ def test_without_the_scan_the_text_is_wrong():
     counts = defaultdict(lambda: [0, 0])
     for _ in range(5):
         html_extraction.count_page(page, counts)
-    weights = html_extraction.Weights({k: math.log((i + 1) / (o + 1)) for (kind, k), (i, o) in counts.items() if kind == "word"}, {k: min(-0.05, math.log((i + 1) / (o + 1))) for (kind, k), (i, o) in counts.items() if kind == "tag"})
+    weights = html_extraction.Weights(
+        {k: math.log((i + 1) / (o + 1)) for (kind, k), (i, o) in counts.items() if kind == "word"},
+        {k: min(-0.05, math.log((i + 1) / (o + 1))) for (kind, k), (i, o) in counts.items() if kind == "tag"}
+    )
     assert html_extraction.extract(page, weights) == "The words of the text itself."
     assert words_between(page, (0, len(list(html_extraction.events(page))))) != "The words of the text itself.".split()
 
@@ -196,13 +223,17 @@ def test_quote_links_against_all_messages(spark):
             if texts and rng.random() < 0.7:
                 quoted = rng.choice(texts).split("\n")
                 a = rng.randrange(len(quoted))
-                lines += ["On Monday someone wrote:"] * rng.randrange(2) + [rng.choice(["> ", ">", ">> "]) + x.upper() for x in quoted[a:] if not x.startswith(">")]
+                lines += ["On Monday someone wrote:"] * rng.randrange(2) + [
+                    rng.choice(["> ", ">", ">> "]) + x.upper() for x in quoted[a:] if not x.startswith(">")
+                ]
             lines += [say() for _ in range(rng.randrange(1, 3))] + (["", say()] if rng.random() < 0.4 else [])
             rows.append((c, t, "\n".join(lines)))
             texts.append(rows[-1][2])
     want = plain_links(rows)
     assert len(want) > 10 and any(k[0] != v[1][0] for k, v in want.items())
-    got = quote_linking.reply_order(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    got = quote_linking.reply_order(
+        spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    ).collect()
     parents, linked = {}, Counter(k[:2] for k in want)
     for (c, t, pos), (level, to) in want.items():
         parents[c, t] = min(parents.get((c, t), (level, pos, to)), (level, pos, to))
@@ -216,6 +247,15 @@ def test_quote_links_against_all_messages(spark):
 
 
 def test_paragraphs_of_a_wrapped_quote_link(spark):
-    rows = [(1, 0, "First paragraph that is long.\n\nSecond paragraph\nis long too.\n\nThird one."), (1, 1, "something else"), (1, 2, "> First paragraph\n> that is long.\n>\n> Second paragraph is long\n> too.\nyes"), (2, 0, "Thanks"), (3, 0, "> Thanks\n> but this was said nowhere\nno")]
-    got = {(r["conv_id"], r["turn"]): r for r in quote_linking.reply_order(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    rows = [
+        (1, 0, "First paragraph that is long.\n\nSecond paragraph\nis long too.\n\nThird one."), (1, 1, "something else"),
+        (1, 2, "> First paragraph\n> that is long.\n>\n> Second paragraph is long\n> too.\nyes"), (2, 0, "Thanks"),
+        (3, 0, "> Thanks\n> but this was said nowhere\nno")
+    ]
+    got = {
+        (r["conv_id"], r["turn"]): r
+        for r in quote_linking.reply_order(
+            spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+        ).collect()
+    }
     assert got[1, 2]["parent_turn"] == 0 and got[3, 0]["parent_conv"] is None

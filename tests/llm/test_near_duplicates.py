@@ -40,7 +40,9 @@ def test_similar_documents_appended_truncated_and_edited(spark):
             pair = [" ".join(names[w] for w in t.split()) for t in (base, other)]
             assert 0.8 <= jaccard(*pair) < 0.82
             rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {
+        r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
     assert [found[i] for i in range(len(rows))] == [i - i % 2 for i in range(len(rows))]
 
 

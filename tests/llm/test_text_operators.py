@@ -46,7 +46,9 @@ def plain_rules(rows, limit):
 
 
 def test_quality_rules(messy, messy_rows):
-    got = quality_rules.judge(messy, max_host_docs=5).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words").collect()
+    got = quality_rules.judge(messy, max_host_docs=5).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
+    ).collect()
     assert as_counts(got) == as_counts(plain_rules(messy_rows, 5))
 
 
@@ -57,7 +59,9 @@ def test_clean_documents(messy, messy_rows, empty):
     kept = Counter(r[0] for r in plain_rules(messy_rows, 5) if r[7])
     assert Counter(r["doc_id"] for r in rows) == kept
     # A null host is a host of its own, with too few documents for the limit here.
-    assert all(r["source"] is None for r in rows if "shared by many" in r["text"]) or all("shared by many" not in r["text"] for r in rows if r["source"])
+    assert all(
+        r["source"] is None for r in rows if "shared by many" in r["text"]
+    ) or all("shared by many" not in r["text"] for r in rows if r["source"])
     assert all(r["n_chars"] == len(r["text"]) for r in rows if "shared" not in r["text"] and r["doc_id"] not in (102,))
     assert quality_rules.clean_documents(empty).count() == 0 and quality_rules.judge(empty).count() == 0
 
@@ -88,7 +92,10 @@ def plain_hits(text, items):
 
 def contaminated_case(spark, messy_rows):
     long = messy_rows[8][1].split()
-    items = [(1, " ".join(long[50:75])), (2, "one"), (3, None), (4, "..."), (5, " ".join(long[60:72])), (5, "ALPHA! not there at all"), (6, "Two Words"), (7, messy_rows[6][1]), (7, messy_rows[6][1])]
+    items = [
+        (1, " ".join(long[50:75])), (2, "one"), (3, None), (4, "..."), (5, " ".join(long[60:72])), (5, "ALPHA! not there at all"),
+        (6, "Two Words"), (7, messy_rows[6][1]), (7, messy_rows[6][1])
+    ]
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 

@@ -15,7 +15,11 @@ from ravelin.llm import html_extraction, packing, quality_classifier, quote_link
 from ravelin.llm.base import scratch_path
 from ravelin.llm.tokens import encoder
 
-TRICKY = ["", " ", "  a", "a  b", "\n\n  bar", "foo\n\n bar", "foo\nBar. Baz \n bar  ", "x  y", "é ́a b", "don't 'tis it's", "a\x1c b", "日本 語 b", "Aİ ΣΣ bΣ c", "a\u3000 b", "1 2  3\t 4 \t5", "<|endoftext|> a<|endoftext|>b", "\u180e a \u200b b \x85 c", "a \x01 b\x01 c", "\n", "word,next é. né,\u00d7, x\u00f7! it's.'s (a) a***b##\n**c U.S.A. naïve? \u0301, e\u0301, \u00a0.", None]
+TRICKY = [
+    "", " ", "  a", "a  b", "\n\n  bar", "foo\n\n bar", "foo\nBar. Baz \n bar  ", "x  y", "é ́a b", "don't 'tis it's", "a\x1c b", "日本 語 b",
+    "Aİ ΣΣ bΣ c", "a\u3000 b", "1 2  3\t 4 \t5", "<|endoftext|> a<|endoftext|>b", "\u180e a \u200b b \x85 c", "a \x01 b\x01 c", "\n",
+    "word,next é. né,\u00d7, x\u00f7! it's.'s (a) a***b##\n**c U.S.A. naïve? \u0301, e\u0301, \u00a0.", None
+]
 
 
 def whole(vocabulary, text):
@@ -34,7 +38,10 @@ def test_cached_words_give_the_ids_of_whole_texts(vocabulary, messy_rows):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=300), st.sampled_from([1, 7, 64, 1024]))
+@given(
+    st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=300),
+    st.sampled_from([1, 7, 64, 1024])
+)
 def test_simple8b_round_trip(ids, block):
     ids = np.array(ids, np.uint64)
     assert token_files.decode(token_files.encode(ids, block)[0]).tolist() == ids.tolist()
@@ -76,7 +83,10 @@ def test_packing(messy, messy_rows, empty):
         ids[r[0]].append(whole(packing.VOCABULARY, r[1]))
     assert sum(r["length"] for r in got) == sum(len(x) for v in ids.values() for x in v)
     for r in got:  # each piece is a slice of a document of its id
-        assert any(len(x) == r["doc_tokens"] and zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for x in ids[r["doc_id"]])
+        assert any(
+            len(x) == r["doc_tokens"] and zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+            for x in ids[r["doc_id"]]
+        )
     sequences = defaultdict(list)
     for r in got:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -102,14 +112,18 @@ def test_neighbours_on_the_curve_are_alike():
 def test_classifier(spark, messy, messy_rows, empty):
     rows = [(i, ("spam!! buy!! now!! " if i % 3 == 0 else "a calm sentence about rivers and hills ") * 12 + str(i)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(600)] + [(None, 1), (3, None), (99_999, 0)], "doc_id long, quality int")
+    labels = spark.createDataFrame(
+        [(i, int(i % 3 != 0)) for i in range(600)] + [(None, 1), (3, None), (99_999, 0)], "doc_id long, quality int"
+    )
     weights = quality_classifier.train(docs, labels)
     got = quality_classifier.score_documents(docs, weights).collect()
     held = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert sum(r["predicted"] == int(r["doc_id"] % 3 != 0) for r in held) >= 0.98 * len(held) > 0
     # Labels of held-out rows change nothing.
-    flipped = spark.createDataFrame([(i, int((i % 3 != 0) != (zlib.crc32(str(i).encode()) % 5 == 0))) for i in range(600)], "doc_id long, quality int")
+    flipped = spark.createDataFrame(
+        [(i, int((i % 3 != 0) != (zlib.crc32(str(i).encode()) % 5 == 0))) for i in range(600)], "doc_id long, quality int"
+    )
     assert np.allclose(quality_classifier.train(docs, flipped), weights)
     scored = quality_classifier.score_documents(messy, weights).collect()
     assert len(scored) == len(messy_rows) and all(0 <= r["score"] <= 1 for r in scored)
@@ -129,7 +143,10 @@ PAGE = (
 
 def test_html_extraction(spark):
     page = PAGE.replace("{side}", "side words " * 200)
-    rows = [(i, "u", page.replace("Second", f"Second{i}"), "x") for i in range(30)] + [(30, None, None, "x"), (31, "u", "", "x"), (31, "u", "", "x"), (None, "u", "<p>only", "x"), (33, "u", "<!-- open <p>x</p>", "x"), (34, "u", "<p>" + "w " * 50_000, "x")]
+    rows = [(i, "u", page.replace("Second", f"Second{i}"), "x") for i in range(30)] + [
+        (30, None, None, "x"), (31, "u", "", "x"), (31, "u", "", "x"), (None, "u", "<p>only", "x"), (33, "u", "<!-- open <p>x</p>", "x"),
+        (34, "u", "<p>" + "w " * 50_000, "x")
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     weights = html_extraction.fit(pages)
     got = {}
@@ -146,7 +163,11 @@ def test_html_extraction(spark):
 
 
 def test_quote_linking(spark):
-    rows = [(1, 0, "user", "Hello there friend\nhow are you"), (1, 1, "a", "> hello  There friend\n> how are you\nI am fine.\n\nAnd you?"), (1, 2, "user", "> I am fine.\nGreat"), (1, 3, "a", ">> hello there friend\n> and you?\nok"), (2, 0, "user", "> Great\nnew thread"), (2, 1, "x", None), (2, 1, "x", "dup"), (None, 3, "y", ">z")]
+    rows = [
+        (1, 0, "user", "Hello there friend\nhow are you"), (1, 1, "a", "> hello  There friend\n> how are you\nI am fine.\n\nAnd you?"),
+        (1, 2, "user", "> I am fine.\nGreat"), (1, 3, "a", ">> hello there friend\n> and you?\nok"), (2, 0, "user", "> Great\nnew thread"),
+        (2, 1, "x", None), (2, 1, "x", "dup"), (None, 3, "y", ">z")
+    ]
     rows += [(9, t, "user", f"turn {t}") for t in range(2500)]  # one long conversation
     messages = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, conv int, hash int")
     got = quote_linking.reply_order(messages).collect()
@@ -160,11 +181,20 @@ def test_quote_linking(spark):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://EXAMPLE.net/en/x", "http://a.example.net/de/", "https://example.com/de/1?x#y", "https://notexample.com/de/1", "http://x.org/fr/", "http://x.org?/fr/", "http://spam-farm.example.org", "http://www.SPAM-farm.example.org/a//b?c", "http://xspam-farm.example.org/", "http://net", "a://b://net/", "http://x.com/p/q/r/s/t/u/v", "http://x.com/p/q", "http://x.com/p/qq", "http://x.com/p/q", "http://" + "a." * 300 + "x.com/" + "p/" * 300]
+    urls = [
+        None, "", "no scheme", "http://EXAMPLE.net/en/x", "http://a.example.net/de/", "https://example.com/de/1?x#y",
+        "https://notexample.com/de/1", "http://x.org/fr/", "http://x.org?/fr/", "http://spam-farm.example.org",
+        "http://www.SPAM-farm.example.org/a//b?c", "http://xspam-farm.example.org/", "http://net", "a://b://net/",
+        "http://x.com/p/q/r/s/t/u/v", "http://x.com/p/q", "http://x.com/p/qq", "http://x.com/p/q",
+        "http://" + "a." * 300 + "x.com/" + "p/" * 300
+    ]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, host string")
     listed = [*url_filter.LISTED, "x.com/p/q"]
     for blocks in (1, 1 << 16):  # a filter that is full lets more pass, and the join removes it
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, listed, blocks=blocks).collect()}
+        got = {
+            r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"])
+            for r in url_filter.judge_urls(pages, listed, blocks=blocks).collect()
+        }
         assert len(got) == len(urls)
         for i in (0, 1, 2):
             assert got[i] == ("", "", None, "allow")
