@@ -165,7 +165,7 @@ SELECT l_suppkey, n, x_range, y_range, round(r2, 3) AS r2, round(s, 4) AS slope,
     "propagated_widths": f"""
 WITH {_N}, s AS (SELECT type, list_sort(list(abs(y - p) / (1 + 0.4 * w))) AS l, count(*) AS k FROM v WHERE part = 'calibration' GROUP BY type), a AS (SELECT *, (k - 1) * least(1.0, ceil((k + 1) * (1 - 0.2)) / k) AS pos FROM s), q AS (SELECT type, {_Q} AS q FROM a)
 SELECT node, type, round(p - q * (1 + 0.4 * w), 5) AS lower, round(p + q * (1 + 0.4 * w), 5) AS upper FROM v JOIN q USING (type) WHERE part <> 'train'""",
-    "gravity_rows": f"WITH {_TR} SELECT o_orderkey, round(sqrt(m) * o / pow(c, 1.5), 6) AS gravity FROM t",
+    "gravity_rows": f"WITH {_TR} SELECT o_orderkey, round(1.0 * pow(m, 0.5) * pow(o, 1.0) / pow(c, 1.5), 6) AS gravity FROM t",
     "service_rows": f"WITH {_TR} SELECT o_orderkey, round(1 / (1 + exp(-(0.2 + 0.01 * m - 0.1 * c))), 6) AS service FROM t",
     "customer_access": f"WITH {_TR} SELECT o_custkey, round(sum(m * exp(-0.2 * c)), 4) AS accessibility, count(*) AS n FROM t GROUP BY 1",
     "pixel_losses": f"""
