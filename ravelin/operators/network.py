@@ -392,6 +392,20 @@ def landmark_bounds(edges: DataFrame, landmarks: DataFrame, pairs: DataFrame) ->
     )
 
 
+def ring_redundancy(edges: DataFrame, hub, nodes: DataFrame) -> DataFrame:
+    """``(node, redundant)``: nodes with two edges of their own and more that still reach the hub without one of them.
+
+    A path leaves its node over one edge, so cutting another leaves it whole:
+    being connected, and having a second edge, is all that has to be looked up.
+    """
+    two_way = both_ways(edges)
+    start = edges.sparkSession.range(1).select(F.lit(hub).cast(edges.schema["from_node"].dataType).alias("node"))
+    fed = reachable(two_way, start, open_devices=False).withColumn("fed", F.lit(True))
+    degree = two_way.groupBy(F.col("from_node").alias("node")).agg(F.countDistinct(F.col("edge_id").cast("string")).alias("degree"))
+    out = nodes.select("node").distinct().join(fed, "node", "left").join(degree, "node", "left")
+    return out.select("node", (F.coalesce("fed", F.lit(False)) & (F.coalesce("degree", F.lit(0)) >= 2)).alias("redundant"))
+
+
 def shared_fate(circuits: DataFrame) -> DataFrame:
     """``(edge_id, n_lost)`` of ``(circuit, edge_id)``: how many circuits use each edge and are lost with it."""
     return circuits.select("edge_id", "circuit").distinct().groupBy("edge_id").agg(F.count("*").alias("n_lost"))

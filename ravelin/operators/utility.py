@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from . import network
+from .network import ring_redundancy  # noqa: F401
 
 OPEN_STATES = ("open", "normally_open")
 
@@ -160,20 +161,6 @@ def splice_trace(edges: DataFrame, splices: DataFrame, circuits: DataFrame) -> D
     return splices.select("node").distinct().join(per, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("circuits"))
 
 
-def ring_redundancy(edges: DataFrame, hub, nodes: DataFrame) -> DataFrame:
-    """``(node, redundant)``: nodes with two edges of their own and more that still reach the hub without one of them.
-
-    A path leaves its node over one edge, so cutting another leaves it whole:
-    being connected, and having a second edge, is all that has to be looked up.
-    """
-    two_way = network.both_ways(edges)
-    start = _one_column(edges.sparkSession, [hub], "node", edges.schema["from_node"].dataType)
-    fed = network.reachable(two_way, start, open_devices=False).withColumn("fed", F.lit(True))
-    degree = two_way.groupBy(F.col("from_node").alias("node")).agg(F.countDistinct(F.col("edge_id").cast("string")).alias("degree"))
-    out = nodes.select("node").distinct().join(fed, "node", "left").join(degree, "node", "left")
-    return out.select("node", (F.coalesce("fed", F.lit(False)) & (F.coalesce("degree", F.lit(0)) >= 2)).alias("redundant"))
-
-
 def pressure_zones(edges: DataFrame, sources: DataFrame, max_headloss: float) -> DataFrame:
     """``(node, headloss, within)``: the least headloss from any source, and whether it is within the limit."""
     if max_headloss < 0:
