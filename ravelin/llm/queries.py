@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, packing, quality_classifier, quality_rules, quote_linking, secrets, simhash, token_files, url_filter
+from . import decontamination, divergence, html_extraction, packing, quality_classifier, quality_rules, quote_linking, secrets, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_quote_linking": quote_linking.op9_quote_linking,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
 }
