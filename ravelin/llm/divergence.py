@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import materialise, shuffle_partitions, table
+from .runs import starts, whole_runs
 
 MIN_DOCS = 10
 TOP = 10
@@ -86,42 +87,11 @@ def _partial_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from emitted()
 
 
-def _starts(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
-    """The rows at which a run of equal ``keys`` begins."""
-    new = np.zeros(batch.num_rows, bool)
-    new[:1] = True
-    for k in keys:
-        c = batch.column(k)
-        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """The same sorted rows in batches that end where a run of ``keys`` ends."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = int(_starts(batch, keys)[-1])
-        goes_on = held and all(batch.column(k)[0].equals(held[-1].column(k)[0]) for k in keys)
-        if held and (last or not goes_on):
-            parts = [*held, batch.slice(0, last)] if goes_on else held
-            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            if not goes_on and last:
-                yield batch.slice(0, last)
-            held = []
-        elif last:
-            yield batch.slice(0, last)
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each run of language, term and source."""
     keys = ("lang", "term", "source")
-    for batch in _whole_runs(batches, keys):
-        at = _starts(batch, keys)
+    for batch in whole_runs(batches, keys):
+        at = starts(batch, keys)
         sums = [pa.array(np.add.reduceat(batch.column(c).to_numpy(), at)) for c in ("docs", "count")]
         yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns[:3], *sums], schema=_RUN)
 
@@ -129,8 +99,8 @@ def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept_terms(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of terms with enough documents, each row with the term's count in the language; ``first`` is 1 once a term."""
-        for batch in _whole_runs(batches, ("lang", "term")):
-            at = _starts(batch, ("lang", "term"))
+        for batch in whole_runs(batches, ("lang", "term")):
+            at = starts(batch, ("lang", "term"))
             lengths = np.diff(np.append(at, batch.num_rows))
             docs, total = (np.add.reduceat(batch.column(c).to_numpy(), at) for c in ("docs", "count"))
             first = np.zeros(batch.num_rows, np.int64)
@@ -188,7 +158,7 @@ class _Tile:
 
     def add(self, part: pa.RecordBatch) -> None:
         """Rows of whole runs, a run for each term."""
-        at = _starts(part, ("term",))
+        at = starts(part, ("term",))
         dense = np.tile(self.least, (len(at), 1))
         dense[np.repeat(np.arange(len(at)), np.diff(np.append(at, part.num_rows))), [self.at[s] for s in part.column("source").to_pylist()]] = part.column("p")
         for k in range(self.cut):
@@ -207,8 +177,8 @@ class _Tile:
 def _partial_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Scans runs sorted by tile and term. A tile's sources stand before its terms, as rows of the empty term."""
     tile, keys = None, ("lang", "tile_row", "tile_col")
-    for batch in _whole_runs(batches, (*keys, "term")):
-        cuts = [*_starts(batch, keys).tolist(), batch.num_rows]
+    for batch in whole_runs(batches, (*keys, "term")):
+        cuts = [*starts(batch, keys).tolist(), batch.num_rows]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             part = batch.slice(start, end - start)
             key = tuple(part.column(c)[0].as_py() for c in keys)
