@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontamination, divergence, html_extraction, packing, quality_classifier, quality_rules, quote_linking, secrets, simhash, token_files, url_filter
+from . import conversation_trie, decontamination, divergence, html_extraction, packing, quality_classifier, quality_rules, quote_linking, secrets, simhash, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quote_linking": quote_linking.op9_quote_linking,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 ORACLE_SQL: dict[str, str] = {
