@@ -118,8 +118,8 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     run = "lang string, term string, source string, docs long, count long"
     partial = rows.mapInArrow(_partial_runs, run)
-    runs = partial.repartition(n, "lang", "term", "source").sortWithinPartitions("lang", "term", "source").mapInArrow(_joined_runs, run)
-    ordered = runs.repartition(n, "lang", "term").sortWithinPartitions("lang", "term", "source")
+    runs = partial.repartition(n, "lang", "term", "source").sortWithinPartitions("term", "lang", "source").mapInArrow(_joined_runs, run)
+    ordered = runs.repartition(n, "lang", "term").sortWithinPartitions("term", "lang", "source")
     return ordered.mapInArrow(_kept_terms(min_docs), "lang string, term string, source string, count long, lang_count long, first long")
 
 
