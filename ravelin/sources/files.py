@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, shapes
 
 #: Reader options by workload.
 PRESETS = {
@@ -37,8 +37,7 @@ def _geometry_of(g):
     return F.struct(g["type"].alias("type"), F.transform(flat, lambda v: geometry.vertex(v[0], v[1])).alias("coords"))
 
 
-def read_features(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
-    """GeoJSON files, a feature or a collection each: ``(id, properties, geometry, crs)``."""
+def _features(spark: SparkSession, path: str, id_name: str, name: str, geometry_of) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", _PAYLOAD).alias("p"))
     own = F.array(
         F.struct(
@@ -50,10 +49,18 @@ def read_features(spark: SparkSession, path: str, id_name: str = "site_id") -> D
         F.col("p.crs.properties.name").alias("crs"),
         F.explode(F.when(F.col("p.type") == "FeatureCollection", F.col("p.features")).otherwise(own)).alias("f")
     )
-    name = F.coalesce(F.element_at("f.properties", id_name), F.col("f.id"))
-    return rows.select(
-        name.alias(id_name), F.col("f.properties").alias("properties"), _geometry_of(F.col("f.geometry")).alias("geometry"), "crs"
-    )
+    own_id = F.coalesce(F.element_at("f.properties", id_name), F.col("f.id"))
+    return rows.select(own_id.alias(id_name), F.col("f.properties").alias("properties"), geometry_of(F.col("f.geometry")).alias(name), "crs")
+
+
+def read_features(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
+    """GeoJSON files, a feature or a collection each: ``(id, properties, geometry, crs)``; of polygons the outer ring."""
+    return _features(spark, path, id_name, "geometry", _geometry_of)
+
+
+def read_shapes(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
+    """The same with all rings and parts: ``(id, properties, shape, crs)``; a geometry that is none of the six types, or broken, is null."""
+    return _features(spark, path, id_name, "shape", lambda g: shapes.from_geojson(g["type"], g["coordinates"]))
 
 
 def read_points(spark: SparkSession, path: str, x: str, y: str, columns: list[str] | None = None, delimiter: str = ",") -> DataFrame:
