@@ -6,7 +6,8 @@ runs. Besides, runs of key characters are encoded with a byte-level vocabulary
 tokens, a random string many. A low ratio of characters to tokens marks a run,
 unless it has the form of a digest, a UUID or another identifier, or a pattern
 has found it already. Where words are joined to a random string, the run's densest
-stretches of tokens are tested, and then its pieces between separators.
+stretches of tokens are tested, wherever they lie and however long the run is, and
+then its pieces between separators.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned one
 by one; empty tables give empty results; other columns, whatever their names,
@@ -23,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -37,8 +39,12 @@ MARK = "<secret>"
 #: Least characters of a run that is tested, and the ratio below which it is a secret.
 MIN_RUN = 20
 MAX_RATIO = 2.0
-#: Characters of a part of a run that is no secret as a whole; parts are searched one by one.
-MAX_PART = 4096
+#: Characters that are encoded at a time. A token may be cut there, but stretches go on across.
+ENCODE_AT_ONCE = 4096
+#: How far a stretch is widened to a separator.
+WIDEN = 64
+#: A run of which this share of the characters follow the one before them in the code is an alphabet or a count.
+SEQUENCE_SHARE = 0.8
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
@@ -50,11 +56,11 @@ _PIECE = re.compile(rf"[A-Za-z0-9]{{{MIN_RUN},}}")
 _LETTERS = re.compile(rf"[A-Za-z]{{{MIN_RUN},}}")
 _SEPARATORS = "+/_=-"
 _UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
-#: Forms of digests (MD5, SHA-1, SHA-2) and of identifiers: UUIDs, joined words with numbers, dates, paths of such.
+#: Forms of digests (MD5, SHA-1, SHA-2) and of identifiers: UUIDs, joined words with numbers, dates and times, paths of such.
 _KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
-    r"|(?:[A-Za-z]*+[0-9]*+[-_/+=])*+[A-Za-z]*+[0-9]*+"
+    r"|(?:(?:[0-9]{2}T[0-9]{2}|[0-9]{8}T[0-9]{4,6}Z?|[0-9]{2}Z|[A-Za-z]*+[0-9]*+)[-_/+=])*+(?:[0-9]{8}T[0-9]{4,6}Z?|[0-9]{2}T[0-9]{2}|[0-9]{2}Z|[A-Za-z]*+[0-9]*+)"
     r"|[0-9=_/+-]+)"
 )
 
@@ -94,72 +100,108 @@ def _uncovered(start: int, end: int, covered: list[tuple[int, int]]) -> Iterator
         start = max(start, b)
 
 
+def _sequence(run: str) -> bool:
+    codes = np.frombuffer(run.encode(), np.uint8).astype(np.int16)
+    return len(codes) > 1 and float(np.mean(np.diff(codes) == 1)) >= SEQUENCE_SHARE
+
+
+def _known(run: str) -> bool:
+    """Whether a run is a digest, an identifier, or an alphabet."""
+    return bool(_KNOWN.fullmatch(run)) or _sequence(run)
+
+
+def _encode(run: str, encoding) -> list[int]:
+    out = []
+    for start in range(0, len(run), ENCODE_AT_ONCE):
+        out += encoding.encode_ordinary(run[start : start + ENCODE_AT_ONCE])
+    return out
+
+
 def _is_dense(run: str, encoding, max_ratio: float) -> bool:
-    if _KNOWN.fullmatch(run) or not _DIGIT.search(run) or not _LETTER.search(run):
+    if not _DIGIT.search(run) or not _LETTER.search(run) or _known(run):
         return False
-    return len(run) < max_ratio * len(encoding.encode_ordinary(run))
-
-
-def _densest(run: str, encoding, max_ratio: float) -> tuple[int, int] | None:
-    """The stretch of at least ``MIN_RUN`` characters with the most tokens beyond the ratio, widened to the separators around it."""
-    ends, score = [0], [0.0]
-    for t in encoding.encode_ordinary(run):
-        size = len(encoding.decode_single_token_bytes(t))
-        ends.append(ends[-1] + size)
-        score.append(score[-1] + max_ratio - size)
-    best, found, least, i = 0.0, None, 0, 0
-    for j in range(1, len(ends)):
-        while ends[j] - ends[i] >= MIN_RUN:
-            least = i if score[i] < score[least] else least
-            i += 1
-        if i and score[j] - score[least] > best:
-            best, found = score[j] - score[least], (ends[least], ends[j])
-    if found is None:
+    return len(run) < max_ratio * len(_encode(run, encoding))
+
+
+def _best(ends: np.ndarray, score: np.ndarray, first: int, last: int) -> tuple[int, int] | None:
+    """The stretch of at least ``MIN_RUN`` characters between two places with the highest score, if that is positive."""
+    e, s = ends[first : last + 1], score[first : last + 1]
+    before = np.searchsorted(e, e - MIN_RUN, side="right") - 1  # the last start that is far enough
+    can = before >= 0
+    if not can.any():
+        return None
+    low = np.minimum.accumulate(s)
+    gain = np.where(can, s - low[np.maximum(before, 0)], -np.inf)
+    j = int(np.argmax(gain))
+    if gain[j] <= 0:
         return None
-    a, b = found
-    while a and run[a - 1] not in _SEPARATORS:
-        a -= 1
-    while b < len(run) and run[b] not in _SEPARATORS:
-        b += 1
-    return a, b
+    return first + int(np.argmin(s[: before[j] + 1])), first + j
 
 
-def _parts(run: str) -> Iterator[tuple[int, int]]:
-    """A long run cut behind separators into parts, so that the time is in proportion to its length."""
-    start = 0
-    while len(run) - start > MAX_PART:
-        stop = max(run.rfind(x, start + MIN_RUN, start + MAX_PART) for x in _SEPARATORS) + 1 or start + MAX_PART
-        yield start, stop
-        start = stop
-    yield start, len(run)
+def _stretches(ends: np.ndarray, score: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All dense stretches as pairs of places between tokens.
+
+    A place with a new least score parts the run: a stretch that goes on over it is
+    better from there, unless that is too short. So blocks between such places are
+    searched with so many characters on both sides, and what a block's best stretch
+    leaves is searched again. Stretches may overlap.
+    """
+    todo = [(0, len(ends) - 1)]
+    while todo:
+        first, last = todo.pop()
+        if ends[last] - ends[first] < MIN_RUN:
+            continue
+        s = score[first : last + 1]
+        cuts = np.append(np.append(0, np.flatnonzero(s[1:] < np.minimum.accumulate(s)[:-1]) + 1), len(s))
+        for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if q - p < 2:
+                continue
+            p, q = first + p, first + q - 1
+            p = max(first, int(np.searchsorted(ends, ends[p] - MIN_RUN, side="right")) - 1)
+            q = min(last, int(np.searchsorted(ends, ends[q] + MIN_RUN)) + 1)
+            if (found := _best(ends, score, p, q)) is not None:
+                yield found
+                todo += [(p, found[0]), (found[1], q)]
 
 
 def _dense_within(run: str, encoding, max_ratio: float) -> list[tuple[int, int]]:
     """The secrets of a run: the whole, else dense stretches, and of what is left dense pieces between separators."""
-    if _is_dense(run, encoding, max_ratio):
+    tokens, known = _encode(run, encoding), _known(run)
+    if not known and _DIGIT.search(run) and _LETTER.search(run) and len(run) < max_ratio * len(tokens):
         return [(0, len(run))]
-    if len(run) > MAX_PART:
-        return [(start + a, start + b) for start, end in _parts(run) for a, b in _dense_within(run[start:end], encoding, max_ratio)]
-    found = []
-    todo = [(0, len(run))]
-    while todo:
-        start, end = todo.pop()
-        if _KNOWN.fullmatch(run, start, end) or (stretch := _densest(run[start:end], encoding, max_ratio)) is None:
-            continue
-        a, b = start + stretch[0], start + stretch[1]
-        if not _KNOWN.fullmatch(run, a, b):
+    sizes = np.array([len(encoding.decode_single_token_bytes(t)) for t in tokens])
+    ends, score = (np.append(0, np.cumsum(x)) for x in (sizes, max_ratio - sizes))
+    found: list[tuple[int, int]] = []
+    for i, j in () if known else _stretches(ends, score):
+        a, b = int(ends[i]), int(ends[j])
+        # To the separators around it, if they are near.
+        left = max(run.rfind(x, max(0, a - WIDEN), a) for x in _SEPARATORS) + 1
+        a = left if left else (0 if a <= WIDEN else a)
+        right = min((k for x in _SEPARATORS if (k := run.find(x, b, b + WIDEN)) >= 0), default=-1)
+        b = right if right >= 0 else (len(run) if len(run) - b <= WIDEN else b)
+        if not _known(run[a:b]):
             found.append((a, b))
-        todo += _uncovered(start, end, [(a, b)])
+    found = _united(found)
     for start, end in list(_uncovered(0, len(run), found)):
         for m in _PIECE.finditer(run, start, end):
             if _is_dense(m[0], encoding, max_ratio):
                 found.append((m.start(), m.end()))
             else:
-                letters = [x for x in _LETTERS.finditer(m[0]) if len(x[0]) < max_ratio * len(encoding.encode_ordinary(x[0]))]
+                letters = [x for x in _LETTERS.finditer(m[0]) if len(x[0]) < max_ratio * len(_encode(x[0], encoding)) and not _sequence(x[0])]
                 found += [(m.start() + x.start(), m.start() + x.end()) for x in letters]
     return found
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def dense_spans(text: str, taken: list[tuple[int, int, int]], vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
     """Parts of runs that take many tokens for their length and lie outside ``taken``."""
     found = []
