@@ -5,9 +5,13 @@ several the longest wins. A URL without a rule is looked up in a list of
 canonical URLs, each of which stands for itself and all below it: as in other
 block lists, the URL is expanded into all its host suffixes and, for listed hosts,
 path prefixes. The expansions meet a Bloom filter first, whose bits for one key all lie in one
-64-bit block, so that one look-up decides. Blocks are rows of a fixed number,
-which is why they can be broadcast; what passes goes through an exact join of
-hashes and canonical URLs, which removes false positives.
+64-bit block, so that one look-up decides. Blocks are rows, some for each six entries
+and 2^18 at most, which is why they can be broadcast; what passes goes through an exact
+join of hashes and canonical URLs, which removes false positives.
+
+For the look-up, and in the list, a host loses its user, port and outer dots, percent
+signs are decoded once, and a path has single slashes and no dot segments. Rules, and the
+columns ``host`` and ``path``, take the URL as it is written.
 
 Only DataFrame functions are used.
 
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import materialise, table
-from .bloom import bloom_filter, possible
+from .bloom import blocks_for, bloom_filter, possible
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -33,9 +37,12 @@ LISTED = [
     "casino-win.example.org/",
     "ads-track.example.org/",
     "free-bets.example.com/",
+    "spam-farm.example.org/offers/",
+    "tionble.example.org/es/",
+    "example.com/en/sponsored/",
+    "blog.tionsh.example.com/es/",
+    "a.b.c.link-swap.example.org/out/",
 ]
-#: Blocks of the filter: 8 bytes each, so the broadcast has at most 512 KB of bits.
-BLOCKS = 1 << 16
 
 
 def host_of(url: Column) -> Column:
@@ -61,27 +68,49 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return out
 
 
+def _decoded(text: Column) -> Column:
+    """Percent signs decoded; those before no two hexadecimal digits stay."""
+    escaped = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.coalesce(F.try_url_decode(escaped), text)
+
+
+def canonical_host(host: Column) -> Column:
+    """Without user, port and outer dots, percent signs decoded, A-Z in lower case."""
+    plain = _decoded(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""))
+    return F.btrim(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("."))
+
+
+def canonical_path(path: Column) -> Column:
+    """Percent signs decoded, single slashes, ``.`` and ``..`` resolved; a path that names a folder ends in a slash."""
+    whole = F.regexp_replace(F.concat(F.lit("/"), _decoded(path)), "/+", "/")
+    kept = F.aggregate(
+        F.split(whole, "/"), F.array().cast("array<string>"),
+        lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    )
+    folder = whole.rlike(r"(^|/)\.{0,2}$") & (F.size(kept) > 0)
+    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
+    return F.when(whole.rlike(r"/\.{1,2}(/|$)"), resolved).otherwise(whole)
+
+
 def canonical(host: Column, path: Column) -> Column:
-    """Host without leading or trailing dots, path with single slashes."""
-    return F.concat(F.btrim(host, F.lit(".")), F.regexp_replace(F.concat(F.lit("/"), path), "/+", "/"))
+    return F.concat(canonical_host(host), canonical_path(path))
 
 
 def host_suffixes(host: Column) -> Column:
     """A host and all hosts above it."""
-    labels = F.split(F.btrim(host, F.lit(".")), r"\.")
+    labels = F.split(host, r"\.")
     n = F.size(labels)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")))
 
 
 def path_prefixes(path: Column, segments: Column) -> Column:
     """The canonical path and all paths above it of at most so many segments, which end in a slash."""
-    whole = F.regexp_replace(F.concat(F.lit("/"), path), "/+", "/")
-    parts = F.split(whole, "/")
+    parts = F.split(path, "/")
     above = F.transform(
         F.sequence(F.lit(1), F.least(F.size(parts) - 1, segments)),
         lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))
     )
-    return F.array_union(above, F.array(whole))
+    return F.array_union(above, F.array(path))
 
 
 def _maybe(keys: DataFrame, listed: DataFrame, blocks: int) -> DataFrame:
@@ -97,40 +126,45 @@ def listing(spark: SparkSession, listed: DataFrame | list[str]) -> DataFrame:
     url = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("x://"), url))
     rows = listed.select(
         canonical(host_of(url), path_of(url)).alias("canonical")
-    ).where("canonical is not null and canonical <> '/'").distinct()
+    ).where("canonical is not null and not startswith(canonical, '/')").distinct()
     return rows.withColumn("hash", F.xxhash64("canonical"))
 
 
 def judge_urls(
     pages: DataFrame, listed: DataFrame | list[str] = LISTED, id_col: str = "page_id", url_col: str = "url",
-    rules: list[tuple[str, str, str]] = RULES, blocks: int = BLOCKS
+    rules: list[tuple[str, str, str]] = RULES, blocks: int | None = None
 ) -> DataFrame:
-    """``(id, host, path, rule, verdict, listed)`` for each row; ``listed`` is the entry that blocks it."""
+    """``(id, host, path, rule, verdict, listed)`` for each row; ``listed`` is the entry that blocks it.
+
+    The filter has ``blocks`` blocks, or as many as the list's size asks for.
+    """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rows = rows.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumns({"site": canonical_host(F.col("host")), "file": canonical_path(F.col("path"))})
     entries = listing(spark, listed)
+    blocks = blocks or blocks_for(entries.count())
     # Distinct URLs are looked up once, however many rows repeat them.
-    urls = rows.where("found is null and host <> ''").select("host", "path").distinct()
+    urls = rows.where("found is null and site <> ''").select("site", "file").distinct()
     # First the hosts, then the paths below those that are listed, no deeper than a host's deepest entry.
     hosts = entries.groupBy(F.substring_index("canonical", "/", 1).alias("suffix")).agg(
         F.max(F.size(F.split("canonical", "/"))).alias("segments")
     ).withColumn("hash", F.xxhash64("suffix"))
     sites = _maybe(
-        urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).withColumn("hash", F.xxhash64("suffix")),
+        urls.select("site", "file", F.explode(host_suffixes(F.col("site"))).alias("suffix")).withColumn("hash", F.xxhash64("suffix")),
         hosts, blocks
     )
     sites = sites.drop("hash").join(hosts.drop("hash"), "suffix")
     keys = sites.select(
-        "host", "path",
-        F.explode(F.transform(path_prefixes(F.col("path"), F.col("segments")), lambda p: F.concat("suffix", p))).alias("canonical")
+        "site", "file",
+        F.explode(F.transform(path_prefixes(F.col("file"), F.col("segments")), lambda p: F.concat("suffix", p))).alias("canonical")
     ).withColumn("hash", F.xxhash64("canonical"))
     maybe = _maybe(keys, entries, blocks)
     hits = maybe.join(entries.withColumnRenamed("canonical", "entry"), "hash").where(F.col("canonical") == F.col("entry"))
-    hits = hits.groupBy("host", "path").agg(F.min("entry").alias("listed"))
-    hits = materialise(hits, "listed-urls").withColumnsRenamed({"host": "_host", "path": "_path"})
-    out = rows.join(hits, F.col("found").isNull() & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    hits = hits.groupBy("site", "file").agg(F.min("entry").alias("listed"))
+    hits = materialise(hits, "listed-urls").withColumnsRenamed({"site": "_site", "file": "_file"})
+    out = rows.join(hits, F.col("found").isNull() & (F.col("site") == F.col("_site")) & (F.col("file") == F.col("_file")), "left")
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
@@ -151,7 +185,9 @@ r AS (SELECT *, CASE
         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN EXISTS (SELECT 1 FROM (SELECT unnest([{_LISTED_SQL}]) AS e) WHERE host = rtrim(e, '/') OR ends_with(host, '.' || rtrim(e, '/'))) THEN 'block'
+    WHEN EXISTS (
+        SELECT 1 FROM (SELECT split_part(e, '/', 1) AS h, substr(e, strpos(e, '/')) AS p FROM (SELECT unnest([{_LISTED_SQL}]) AS e))
+        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(regexp_replace('/' || path, '/+', '/', 'g'), p)) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
