@@ -7,8 +7,9 @@ A-Z, single spaces) is hashed, whole, by paragraph and by line, and joined to th
 hashes of other messages' own texts, paragraphs and lines. A whole passage goes
 before a paragraph and that before a single line, a message of the same
 conversation before others, an earlier one before a later one. Messages of other
-conversations are linked by whole passages only, of ``far_words`` words and more,
-since single lines such as thanks are said in many.
+conversations are linked by whole passages only, of ``far_words`` words and more.
+With the default of one word all are; the query asks for ``FAR_WORDS``, since short
+lines such as thanks are said in many.
 
 A message replies to the message that its first outermost quote links to, else
 to the one before it in its conversation. Only earlier messages, by conversation
@@ -16,7 +17,8 @@ and turn, are linked, so replies form trees; their roots and depths are found by
 jumping over ever longer paths, in as many rounds as the depth has binary
 digits. Sorting by ``thread_conv, thread_turn, depth, turn`` gives reply order.
 
-Defined cases: null and empty texts have no passages and an empty own text; rows
+Defined cases: conversation ids of any type that can be ordered are taken as they are;
+null and empty texts have no passages and an empty own text; rows
 that repeat conversation and turn share a place in the tree, that of the least
 parent, and are returned one by one; rows without conversation or turn are their
 own threads; an empty table gives an empty result; other columns are not looked
@@ -33,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .base import materialise, slices, table, texts_of
 
@@ -40,6 +43,8 @@ _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 #: The line before a quote that says whose it is.
 _WROTE = re.compile(r"[ \t]*On [^\n]{1,300} wrote:[ \t\r]*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Least words of a passage that links to another conversation, in the query.
+FAR_WORDS = 8
 #: Turns of a conversation that one task sorts together.
 TURNS = 1000
 
@@ -128,9 +133,10 @@ def _parsed(messages: DataFrame) -> DataFrame:
                     ["conv", "turn", "role", "own_text", "own", "quotes"],
                 )
 
+    kind = messages.schema["conv"].dataType.simpleString()
     return messages.mapInArrow(
         run,
-        "conv long, turn long, role string, own_text string, own array<long>, quotes array<struct<level:int,hashes:array<struct<unit:int,hash:long,words:long>>>>"
+        f"conv {kind}, turn long, role string, own_text string, own array<long>, quotes array<struct<level:int,hashes:array<struct<unit:int,hash:long,words:long>>>>"
     )
 
 
@@ -203,8 +209,10 @@ def reply_order(
     ``(conv, turn, role, own_text, n_quotes, n_linked, max_level, parent_conv,
     parent_turn, thread_conv, thread_turn, depth)``.
     """
+    conv = F.col(conv_col)
+    conv = conv.cast("long") if isinstance(messages.schema[conv_col].dataType, IntegralType) else conv
     rows = messages.select(
-        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
+        conv.alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
         F.col(text_col).alias("text")
     )
     rows = materialise(_parsed(rows), "messages")
@@ -230,7 +238,7 @@ def reply_order(
 
 
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reply_order(table(spark, sf_dir, "conversations"))
+    found = reply_order(table(spark, sf_dir, "conversations"), far_words=FAR_WORDS)
     own = F.col("own_text")
     return found.select(
         "conv_id", "turn", "role", F.sha2(own, 256).alias("own_sha256"), F.char_length(own).cast("long").alias("own_chars"), "n_quotes",
