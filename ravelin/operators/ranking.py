@@ -40,8 +40,9 @@ def mean_rank() -> Column:
 
 def quantile_at(ranks: DataFrame, keys: list[str], value: str, level: Column) -> DataFrame:
     """``(*keys, quantile, n)``: the interpolated quantile of each group; ``level`` may depend on the group's size ``size``."""
-    sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("size")).withColumn("_at", (F.col("size") - 1) * level)
-    joined = ranks.join(sizes, keys) if keys else ranks.join(F.broadcast(sizes))
+    sizes = ranks.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.sum("n").alias("size")).withColumn("_at", (F.col("size") - 1) * level)
+    # without keys one row
+    joined = ranks.join(sizes, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else ranks.join(F.broadcast(sizes))
     holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
     low, high = F.floor("_at"), F.ceil("_at")
     out = joined.groupBy(*keys).agg(

@@ -19,10 +19,11 @@ def conformal_quantiles(scores: DataFrame, group: str, score: str, alpha: float
 
 
 def conformal_intervals(rows: DataFrame, quantiles: DataFrame, group: str, prediction: str, sigma: str | None = None) -> DataFrame:
-    """``lower`` and ``upper`` for each row; a group without scores has infinite ones."""
+    """``lower`` and ``upper`` for each row; a group without scores has infinite ones, and a null group is a group."""
     q = F.coalesce("quantile", F.lit(float("inf"))) * (F.col(sigma) if sigma else F.lit(1.0))
-    joined = rows.join(quantiles.select(group, "quantile"), group, "left")
-    return joined.withColumns({"lower": F.col(prediction) - q, "upper": F.col(prediction) + q}).drop("quantile")
+    known = quantiles.select(F.col(group).alias("_quantile_of"), "quantile")
+    joined = rows.join(known, F.col(group).eqNullSafe(F.col("_quantile_of")), "left")
+    return joined.withColumns({"lower": F.col(prediction) - q, "upper": F.col(prediction) + q}).drop("quantile", "_quantile_of")
 
 
 def coverage(rows: DataFrame, group: str, label: str) -> DataFrame:

@@ -160,20 +160,32 @@ def iterate(df: DataFrame, rows: int) -> Iterator[list]:
 
 
 def write_geojson(df: DataFrame, path: str, id_col: str, geometry_col: str = "geometry") -> None:
-    """One feature a line, in as many files as partitions; ``read_geojson_lines`` reads them."""
-    properties = F.to_json(F.struct(*[c for c in df.columns if c not in (id_col, geometry_col)])) if len(df.columns) > 2 else F.lit("{}")
-    line = F.concat(
-        F.lit('{"type":"Feature","id":"'), F.col(id_col).cast("string"), F.lit('","properties":'), properties, F.lit(',"geometry":'),
-        geometry.to_geojson(F.col(geometry_col)), F.lit("}")
-    )
+    """One feature a line, in as many files as partitions, of geometries or shapes; ``read_geojson_lines`` and ``read_shape_lines`` read them.
+
+    Null ids and properties are left out; a null geometry is one.
+    """
+    own = [c for c in df.columns if c not in (id_col, geometry_col)]
+    properties = F.struct(*own) if own else F.create_map().cast("map<string,string>")
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(id_col).cast("string").alias("id"), properties.alias("properties")))
+    is_shape = "parts" in df.schema[geometry_col].dataType.names
+    body = F.coalesce((shapes if is_shape else geometry).to_geojson(F.col(geometry_col)), F.lit("null"))
+    line = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"geometry":'), body, F.lit("}"))
     df.select(line.alias("value")).write.text(path)
 
 
 def read_geojson_lines(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
-    f = spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f"))
-    return f.select(
-        F.col("f.id").alias(id_name), F.col("f.properties").alias("properties"), _geometry_of(F.col("f.geometry")).alias("geometry")
-    )
+    """Features, one a line: ``(id, properties, geometry)``; of polygons the outer ring. A line that is no JSON is an error."""
+    return _feature_lines(spark, path, id_name, "geometry", _geometry_of)
+
+
+def read_shape_lines(spark: SparkSession, path: str, id_name: str = "site_id") -> DataFrame:
+    """The same with all rings and parts: ``(id, properties, shape)``."""
+    return _feature_lines(spark, path, id_name, "shape", lambda g: shapes.from_geojson(g["type"], g["coordinates"]))
+
+
+def _feature_lines(spark: SparkSession, path: str, id_name: str, name: str, geometry_of) -> DataFrame:
+    f = spark.read.text(path).select(F.from_json("value", _FEATURE, {"mode": "FAILFAST"}).alias("f"))
+    return f.select(F.col("f.id").alias(id_name), F.col("f.properties").alias("properties"), geometry_of(F.col("f.geometry")).alias(name))
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",") -> None:

@@ -222,3 +222,16 @@ def test_predicates_of_shapes_with_holes(spark):
 def test_one_ring_geometries_become_shapes(spark):
     df = spark.range(1).select(shapes.from_geometry(geometry.box(*(F.lit(float(k)) for k in (0, 0, 3, 2)))).alias("shape"))
     assert df.select(shapes.area(F.col("shape")), shapes.geometry_type(F.col("shape"))).first()[:] == (6.0, "Polygon")
+
+
+def test_features_round_trip_with_any_id(spark, tmp_path):
+    rows = [('a"b', "Polygon", [[box(0, 0, 4, 4), box(1, 1, 1, 1)]]), ("line\nbreak\\", "MultiPoint", [[[(1.0, 2.0)]], [[(3.0, 4.0)]]]), (None, "Point", [[[(5.0, 6.0)]]]), ("none", None, None)]
+    df = frame(spark, rows).withColumn("label", F.concat(F.lit('says "'), F.col("id"), F.lit('"')))
+    files.write_geojson(df, str(tmp_path / "out"), "id", "shape")
+    got = {r["site_id"]: r for r in files.read_shape_lines(spark, str(tmp_path / "out")).collect()}
+    want = {r["id"]: r for r in df.collect()}
+    assert {k: (r["shape"], r["properties"].get("label")) for k, r in got.items()} == {k: (r["shape"], r["label"]) for k, r in want.items()}
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.txt").write_text('{"type":"Feature","id":"a"b"}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_shape_lines(spark, str(tmp_path / "broken")).collect()
