@@ -58,8 +58,14 @@ _MARKED = frozenset(("article", "main"))
 _PROSE = frozenset("article body blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup li main p pre section td th".split())
 #: Elements that are no content.
 _ASIDE_TAGS = frozenset("nav aside footer form button select menu dialog head title".split())
-#: Words in a class, id or role of what is inserted into articles: adverts, comments, offers to share.
+#: Names of what is inserted into articles: adverts, comments, offers to share. A class, id or role has to be one of
+#: them as a whole, or with words for whose it is and what holds it: "related-posts", but not "related-work".
 _INSERTED = frozenset("ad ads advert advertisement comment comments newsletter promo related share sponsored".split())
+_HOLDERS = frozenset("area article articles banner block box buttons container content form inner items links list posts reader readers section signup slot social stories unit user wrapper".split())
+
+
+def _is_inserted(names: str) -> bool:
+    return any((words := set(_WORDS.findall(name))) & _INSERTED and words <= _INSERTED | _HOLDERS for name in names.split())
 
 
 class _Element:
@@ -73,7 +79,7 @@ class _Element:
         self.key = parent.key if inline and not names else f"{tag}.{names.split()[0]}" if names else tag
         marked = tag in _MARKED or "main" in words or "articlebody" in words
         self.marked = marked or (parent is not None and parent.marked)
-        aside = tag in _ASIDE_TAGS or (self.marked and not marked and bool(words & _INSERTED))
+        aside = tag in _ASIDE_TAGS or (self.marked and not marked and _is_inserted(names))
         aside = aside or (tag == "header" and not self.marked) or (parent is not None and parent.aside)
         # Of a header within the content only headings count.
         if parent is not None and parent.tag == "header" and parent.marked and not parent.aside and tag not in _HEADINGS:
