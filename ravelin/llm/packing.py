@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import materialise, range_count, slices, table
-from .tokens import byte_slices, encoder
+from .tokens import LIGHT_SLICE, byte_slices, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 2048
@@ -89,13 +89,13 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, light: bool = False) -> DataFrame:
     """``(id, key, part, row, start, doc_tokens, ids)``: the curve's key, the row's place, and its ids as bytes, ``CHUNK`` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row, here = encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encode, row, here = encoder(vocabulary, light), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in byte_slices(batch, text_col):
+            for part in byte_slices(batch, text_col, LIGHT_SLICE) if light else byte_slices(batch, text_col):
                 every, at = encode.encode_column(part.column(text_col))
                 ids = [every[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 keys = hilbert_key(np.array([grid_point(x) for x in ids]))
@@ -119,13 +119,15 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> D
     )
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, light: bool = False) -> DataFrame:
     """One row for each piece of a document: where it lies in which sequence.
 
+    ``light`` takes less memory and more time; the rows are the same.
+
     ``(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, key)``.
     """
     spark = docs.sparkSession
-    rows = materialise(tokenised(docs, id_col, text_col, vocabulary), "tokens")
+    rows = materialise(tokenised(docs, id_col, text_col, vocabulary, light), "tokens")
     order = ["key", "id", "part", "row", "start"]
     ranges = range_count(spark, rows.agg(F.sum(F.octet_length("ids"))).first()[0])
     rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 END_ID = 1
 #: Parts kept that have been seen in two batches, and in one.
 _MOST_PARTS, _MOST_NEW = 400_000, 450_000
+#: The same, and bytes of a slice, where workers hold the tables of other operators too.
+_LIGHT_PARTS, _LIGHT_NEW, LIGHT_SLICE = 100_000, 120_000, 2 << 20
 _JOIN = 2000
 #: Parts that can't touch a mark between them: no white space or control character within.
 _PLAIN = re.compile(r" ?[^\s\x00-\x20\x7f-\xa0]+")
@@ -56,9 +58,10 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iter
 
 
 class WordEncoder:
-    """Encodes columns of texts; ``leading`` tells whether ids depend on the space before a word."""
+    """Encodes columns of texts; ``leading`` tells whether ids depend on the space before a word, ``light`` asks for small caches."""
 
-    def __init__(self, path: str, leading: bool):
+    def __init__(self, path: str, leading: bool, light: bool = False):
+        self._most_parts, self._most_new = (_LIGHT_PARTS, _LIGHT_NEW) if light else (_MOST_PARTS, _MOST_NEW)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,9 +92,9 @@ class WordEncoder:
     def _look_up(self, parts: list[bytes]) -> list[bytes]:
         """The ids of distinct parts. What is met again is kept longer."""
         known, new = self._known, self._new
-        if len(known) > _MOST_PARTS:
+        if len(known) > self._most_parts:
             known.clear()
-        if len(new) > _MOST_NEW:
+        if len(new) > self._most_new:
             new.clear()
         ids = [*map(known.get, parts)]
         rare = [k for k, x in enumerate(ids) if x is None]
@@ -149,7 +152,7 @@ class WordEncoder:
 
 
 @cache
-def encoder(vocabulary: str) -> WordEncoder:
+def encoder(vocabulary: str, light: bool = False) -> WordEncoder:
     """One encoder for each vocabulary file and Python worker."""
     path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
-    return WordEncoder(path, leading=not os.path.basename(path).startswith("word_"))
+    return WordEncoder(path, leading=not os.path.basename(path).startswith("word_"), light=light)
