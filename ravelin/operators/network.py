@@ -1,8 +1,8 @@
-"""Least-cost search and screens over networks as iterated joins.
+"""Least-cost search and screens over networks in rounds.
 
 An edge table has ``edge_id, from_node, to_node, cost`` and, where needed,
-``capacity``. Every round goes a few edges on from the nodes whose cost got
-smaller and keeps the least cost of each node, until nothing changes; rounds are
+``capacity``. Every round searches the blocks of nodes that something came into
+and keeps the least cost of each node, until nothing changes; rounds are
 written out, so plans stay short and lost executors cost little. Costs have a total
 order with the predecessor's edge, so results don't depend on row order.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.equations import stress_index
 from ..session import settle
+from . import blocks
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -35,61 +36,25 @@ def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float | None = N
 
     ``edge_id`` is the last edge of a least path. Negative costs are an error.
     """
-    steps = edges.select(
+    steps, node_blocks = blocks.in_blocks(costed(edges))
+    found = blocks.search(steps, node_blocks, sources.select("source", "node", F.lit(0.0).alias("cost")), max_cost, max_rounds=max_rounds)
+    return found.select("source", "node", "cost", F.nullif("edge_id", F.lit("")).alias("edge_id"), "hops")
+
+
+def costed(edges: DataFrame) -> DataFrame:
+    """Edges as steps of a search; negative costs are an error."""
+    return edges.select(
         "from_node", "to_node",
         F.when(F.col("cost") >= 0, F.col("cost")).otherwise(
             F.raise_error(F.lit("costs must not be negative")).cast("double")
         ).alias("step"),
-        F.col("edge_id").cast("string").alias("edge_id")
+        F.lit(1).cast("long").alias("hop"), F.col("edge_id").cast("string").alias("by")
     )
-    start = sources.select(
-        "source", "node", F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("edge_id")
-    ).distinct()
-    steps = settle(steps.withColumnRenamed("edge_id", "by"), "steps")
-    least = lambda df: df.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("new"))
-
-    def onward(df: DataFrame) -> DataFrame:
-        tried = df.join(steps, F.col("node") == F.col("from_node")).select(
-            "source", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"),
-            F.col("by").alias("edge_id")
-        )
-        return least(tried if max_cost is None else tried.where(F.col("cost") <= max_cost)).select("source", "node", "new.*")
-
-    moved = settle(start, "costs")
-    found = [moved]
-    for _ in range(max_rounds):
-        hops = [onward(moved)]
-        for _ in range(_HOPS - 1):
-            hops.append(onward(hops[-1]))
-        tried = least(_union(hops))
-        # Costs only fall, so the least of what the rounds have written is the best.
-        best = _union(found).groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "edge_id")).alias("best"))
-        better = F.col("best").isNull() | (F.col("new.cost") < F.col("best.cost"))
-        moved = settle(tried.join(best, ["source", "node"], "left").where(better).select("source", "node", "new.*"), "costs")
-        if moved.isEmpty():
-            return best.select("source", "node", "best.*")
-        found = _compact(
-            [*found, moved],
-            lambda df: df.groupBy("source", "node").agg(
-                F.min(F.struct("cost", "hops", "edge_id")).alias("best")
-            ).select("source", "node", "best.*")
-        )
-    raise RuntimeError("the search did not end within the allowed rounds")
 
 
-#: Rounds whose rows are read one by one before they are written together, and edges that a round goes on.
-_ROUNDS, _HOPS = 16, 4
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _compact(parts: list[DataFrame], merge=lambda df: df) -> list[DataFrame]:
-    return parts if len(parts) < _ROUNDS else [settle(merge(_union(parts)), "rounds")]
+#: Edges that a round of a closure goes on.
+_HOPS = 4
+_union, _compact = blocks.union, blocks.compact
 
 
 def _closure(start: DataFrame, step, keys: list[str]) -> DataFrame:
@@ -203,9 +168,7 @@ def reachable(edges: DataFrame, sources: DataFrame, failed: list[str] = (), open
     alive = edges.where(~F.col("edge_id").cast("string").isin([str(x) for x in failed])) if failed else edges
     if open_devices and "device_state" in edges.columns:
         alive = alive.where(~F.lower(F.coalesce("device_state", F.lit(""))).isin("open", "normally_open"))
-    return _closure(
-        sources.select("node"), lambda df: df.join(alive, df["node"] == alive["from_node"]).select(F.col("to_node").alias("node")), ["node"]
-    )
+    return blocks.reach(alive.select("from_node", "to_node"), sources.select(F.lit(0).alias("case"), "node")).select("node")
 
 
 def outage(edges: DataFrame, sources: DataFrame, failed: list[str]) -> DataFrame:
@@ -218,30 +181,15 @@ def outage(edges: DataFrame, sources: DataFrame, failed: list[str]) -> DataFrame
 def edge_loads(edges: DataFrame, demands: DataFrame) -> DataFrame:
     """``(edge_id, load, stress)``: demands ``(origin, destination, demand)`` put on least paths.
 
-    From every destination the path is walked back edge by edge, all demands together.
+    From every destination the path is walked back, all demands together.
     """
-    spark = edges.sparkSession
-    tree = least_costs(edges, demands.select(F.col("origin").alias("source"), F.col("origin").alias("node")).distinct())
-    back = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node", "cost")
-    last = tree.join(
-        back.select("edge_id", "from_node", "to_node"), (tree["node"] == F.col("to_node")) & (tree["edge_id"] == back["edge_id"]), "left"
-    ).select("source", "node", tree["edge_id"].alias("edge_id"), "from_node")
-    last = settle(last, "tree")
-    at = settle(
-        demands.groupBy(F.col("origin").alias("source"), F.col("destination").alias("node")).agg(F.sum("demand").alias("demand")), "demands"
+    steps, node_blocks = blocks.in_blocks(costed(edges))
+    origins = demands.select(F.col("origin").alias("source"), F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct()
+    tree = blocks.rooted(blocks.search(steps, node_blocks, origins), steps)
+    at = demands.select(
+        F.col("origin").alias("source"), F.lit(0).alias("tag"), F.col("destination").alias("node"), F.col("demand").alias("amount")
     )
-    loads = spark.createDataFrame([], "edge_id string, demand double")
-    while True:
-        step = settle(
-            at.join(last.where("edge_id is not null"), ["source", "node"]).select(
-                "source", F.col("from_node").alias("node"), "edge_id", "demand"
-            ),
-            "walk"
-        )
-        if step.isEmpty():
-            break
-        loads = loads.unionByName(step.select("edge_id", F.col("demand").cast("double")))
-        at = settle(step.groupBy("source", "node").agg(F.sum("demand").alias("demand")), "demands")
+    loads = blocks.walk_back(tree, at).select("edge_id", F.col("amount").alias("demand"))
     total = loads.groupBy("edge_id").agg(F.sum("demand").alias("load"))
     capacity = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "capacity").distinct()
     return capacity.join(total, "edge_id", "left").select(
@@ -257,10 +205,8 @@ def single_edge_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame,
     """
     cases = candidates.select(F.col("edge_id").cast("string").alias("case")).distinct()
     base = reachable(edges, sources)
-    step = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
     start = cases.join(F.broadcast(sources.select("node").distinct()), how="cross")  # a few sources for each case
-    cut = lambda df: df.join(step, (df["node"] == step["from_node"]) & (df["case"] != step["edge_id"])).select("case", F.col("to_node").alias("node"))
-    found = _closure(start, cut, ["case", "node"])
+    found = blocks.reach(edges.select("edge_id", "from_node", "to_node"), start, lambda lanes: lanes.where("case <> by"))
     total = base.join(demands.select("node", "demand"), "node", "left").agg(F.count("*").alias("n"), F.sum("demand").alias("d"))
     kept = found.join(demands.select("node", "demand"), "node", "left").groupBy("case").agg(
         F.count("*").alias("kept_n"), F.sum("demand").alias("kept_d")
@@ -283,8 +229,7 @@ def node_removal_screen(edges: DataFrame, sources: DataFrame, demands: DataFrame
     """``(node, lost_demand)`` for the removal of each candidate node alone."""
     cases = candidates.select(F.col("node").alias("case")).distinct()
     start = cases.join(F.broadcast(sources.select("node").distinct()), how="cross").where("case <> node")  # a few sources for each case
-    walk = lambda df: df.join(edges.select("from_node", "to_node"), F.col("node") == F.col("from_node")).where("to_node <> case").select("case", F.col("to_node").alias("node"))
-    kept = _closure(start, walk, ["case", "node"]).join(
+    kept = blocks.reach(edges.select("from_node", "to_node"), start, lambda lanes: lanes.where("to_node <> case")).join(
         demands.select("node", "demand"), "node"
     ).groupBy("case").agg(F.sum("demand").alias("kept"))
     total = reachable(edges, sources).join(demands.select("node", "demand"), "node").agg(
