@@ -2,7 +2,7 @@
 
 Edge tables are those of ``network``; ``state`` may tell that an edge is an open
 device. Every screen carries its cases as a column and searches all of them at
-once, so the number of jobs depends on the depth of the network and not on the
+once, so the number of jobs depends on the blocks of the network and not on the
 number of cases. A case is searched only where it can matter: an edge that lies
 on no least path of a circuit can't part that circuit.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import network
+from . import blocks, network
 from .network import ring_redundancy  # noqa: F401
 
 OPEN_STATES = ("open", "normally_open")
@@ -37,29 +37,26 @@ def live(edges: DataFrame) -> DataFrame:
 def cases_reached(edges: DataFrame, starts: DataFrame, cut: Column) -> DataFrame:
     """``(case, node)`` reached from ``starts(case, node)``; ``cut`` tells which edges a case is without, from its ``case`` and an edge's ``edge_id``."""
     steps = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
-    walk = lambda df: df.join(steps, df["node"] == steps["from_node"]).where(~cut).select("case", F.col("to_node").alias("node"))
-    return network._closure(starts.select("case", "node"), walk, ["case", "node"])
+    return blocks.reach(steps, starts.select("case", "node"), lambda lanes: lanes.where(~cut))
 
 
 def path_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(origin, destination, edge_id, node)``: the edges of one least path of each pair, and the node that each leads to.
 
-    Paths are walked back together, a step a round.
+    Paths are walked back together, a block of nodes a round.
     """
-    origins = pairs.select("origin").distinct()
-    tree = network.least_costs(edges, origins.select(F.col("origin").alias("source"), F.col("origin").alias("node")))
-    named = edges.select(F.col("edge_id").cast("string").alias("_edge"), "from_node", F.col("to_node").alias("_to"))
-    back = tree.where("edge_id is not null").join(named, (F.col("node") == F.col("_to")) & (F.col("edge_id") == F.col("_edge")))
-    back = settle(back.select(F.col("source").alias("origin"), "node", "edge_id", "from_node"), "tree")
-    at = pairs.select("origin", "destination", F.col("destination").alias("node")).distinct()
-    found = []
-    while True:
-        step = settle(at.join(back, ["origin", "node"]).select("origin", "destination", "edge_id", "node", "from_node"), "path")
-        if step.isEmpty():
-            break
-        found = network._compact([*found, step])
-        at = step.select("origin", "destination", F.col("from_node").alias("node"))
-    return network._union([*found, step]).drop("from_node")
+    steps, node_blocks = blocks.in_blocks(network.costed(edges))
+    return _paths(steps, node_blocks, pairs).select("origin", "destination", "edge_id", "node")
+
+
+def _paths(steps: DataFrame, node_blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    origins = pairs.select(F.col("origin").alias("source"), F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct()
+    tree = blocks.rooted(blocks.search(steps, node_blocks, origins), steps)
+    at = pairs.select(
+        F.col("origin").alias("source"), F.col("destination").alias("tag"), F.col("destination").alias("node"), F.lit(1.0).alias("amount")
+    ).distinct()
+    walked = blocks.walk_back(tree, at)
+    return walked.select(F.col("source").alias("origin"), F.col("tag").alias("destination"), "edge_id", "node", F.col("hops").alias("place"))
 
 
 def scenarios(edges: DataFrame, sources: DataFrame, failed: list[str], restored: list[str]) -> DataFrame:
@@ -115,40 +112,31 @@ def coverage_audit(edges: DataFrame, customers: DataFrame, supplies: DataFrame)
     reaches at all has one row with a null edge.
     """
     alive = live(edges)
-    tree = network.least_costs(alive, supplies.select(F.lit(0).alias("source"), "node"))
-    named = alive.select(F.col("edge_id").cast("string").alias("_edge"), "from_node", F.col("to_node").alias("_to"))
-    back = settle(
-        tree.join(named, (F.col("node") == F.col("_to")) & (F.col("edge_id") == F.col("_edge"))).select("node", "edge_id", "from_node"),
-        "tree"
-    )
-    at, found = customers.select(F.col("node").alias("customer"), "node").distinct(), []
-    while True:
-        step = settle(at.join(back, "node").select("customer", "edge_id", "from_node"), "path")
-        if step.isEmpty():
-            break
-        found = network._compact([*found, step])
-        at = step.select("customer", F.col("from_node").alias("node"))
-    on_path = settle(network._union([*found, step]).select("customer", "edge_id"), "paths")
-    cases = on_path.select(F.col("edge_id").alias("case")).distinct()
-    starts = cases.join(F.broadcast(supplies.select("node").distinct()), how="cross")  # a few supplies for each case
-    fed = cases_reached(alive, starts, F.col("case") == F.col("edge_id"))
-    single = on_path.join(fed.select(F.col("case").alias("edge_id"), F.col("node").alias("customer")), ["edge_id", "customer"], "left_anti")
-    unserved = customers.select("node").distinct().join(tree.select("node"), "node", "left_anti")
-    return single.select(F.col("customer").alias("node"), "edge_id").union(unserved.select("node", F.lit(None).cast("string")))
+    steps, node_blocks = blocks.in_blocks(network.costed(alive))
+    roots = supplies.select("node").distinct()
+    found = settle(blocks.search(steps, node_blocks, roots.select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost"))), "costs")
+    at = customers.select(F.lit(0).alias("source"), F.col("node").alias("tag"), "node", F.lit(1.0).alias("amount")).distinct()
+    path = blocks.walk_back(blocks.rooted(found, steps), at).select(F.col("tag").alias("case"), F.col("hops").alias("place"), "node", "edge_id")
+    path = settle(path, "paths")
+    starts = path.select("case").distinct().join(F.broadcast(roots), how="cross")  # a few supplies for each customer
+    single = blocks.parting(steps, node_blocks, path, starts)
+    unserved = customers.select("node").distinct().join(found.select("node"), "node", "left_anti")
+    return single.select(F.col("case").alias("node"), "edge_id").union(unserved.select("node", F.lit(None).cast("string")))
 
 
 def circuit_cuts(edges: DataFrame, circuits: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(edge_id, circuits_impacted)``: circuits ``(origin, destination)`` whose ends a cut of each candidate edge parts."""
     wanted = candidates.select(F.col("edge_id").cast("string").alias("edge_id")).distinct()
-    asked = circuits.select("origin", "destination").withColumn("circuit", F.xxhash64("origin", "destination"))
-    on_path = path_edges(edges, circuits).join(wanted, "edge_id", "left_semi").select("origin", "destination", "edge_id").distinct()
-    on_path = settle(on_path, "on-path")
-    key = F.concat_ws("\x1f", "edge_id", F.col("origin").cast("string"))
-    starts = on_path.select(key.alias("case"), F.col("origin").alias("node")).distinct()
-    kept = cases_reached(edges, starts, F.substring_index("case", "\x1f", 1) == F.col("edge_id"))
-    lost = on_path.withColumn("case", key).join(kept.withColumnRenamed("node", "destination"), ["case", "destination"], "left_anti")
+    steps, node_blocks = blocks.in_blocks(network.costed(edges))
+    path = _paths(steps, node_blocks, circuits).withColumn("case", F.struct("origin", "destination"))
+    path = settle(path.select("case", "place", "node", "edge_id"), "paths")
+    # A circuit without candidate edges on its path is not searched.
+    asked_for = settle(path.join(wanted, "edge_id", "left_semi").select("case").distinct(), "cases")
+    path = path.join(asked_for, "case", "left_semi")
+    parted = blocks.parting(steps, node_blocks, path, asked_for.select("case", F.col("case.origin").alias("node")))
+    lost = parted.join(wanted, "edge_id", "left_semi").select("edge_id", "case.*")
     counted = lost.join(
-        asked.groupBy("origin", "destination").agg(F.count("*").alias("n")), ["origin", "destination"]
+        circuits.groupBy("origin", "destination").agg(F.count("*").alias("n")), ["origin", "destination"]
     ).groupBy("edge_id").agg(F.sum("n").alias("n"))
     return wanted.join(counted, "edge_id", "left").select("edge_id", F.coalesce("n", F.lit(0)).cast("long").alias("circuits_impacted"))
 
@@ -211,9 +199,8 @@ def feeder_reconfiguration(edges: DataFrame, ties: list[str], sources: DataFrame
     marked = edges.withColumn("edge_id", F.col("edge_id").cast("string")).join(shut, "edge_id", "left").select(
         "edge_id", "from_node", "to_node", F.coalesce("_open", F.lit(False)).alias("_open")
     )
-    steps = settle(marked, "devices")
-    walk = lambda df: df.join(steps, df["node"] == steps["from_node"]).where(~F.col("_open") | (F.col("case") == F.col("edge_id"))).select("case", F.col("to_node").alias("node"))
-    fed = network._closure(cases.join(F.broadcast(sources.select("node").distinct()), how="cross"), walk, ["case", "node"])
+    starts = cases.join(F.broadcast(sources.select("node").distinct()), how="cross")
+    fed = blocks.reach(marked, starts, lambda lanes: lanes.where(~F.col("_open") | (F.col("case") == F.col("edge_id"))))
     per = fed.join(demands.groupBy("node").agg(F.sum("demand").alias("demand")), "node", "left").groupBy("case").agg(
         F.count("*").alias("restored_nodes"), F.coalesce(F.sum("demand"), F.lit(0.0)).alias("restored_demand")
     )
@@ -275,8 +262,11 @@ def crew_dispatch(
 def capital_priorities(edges: DataFrame, sources: DataFrame, demands: DataFrame, projects: DataFrame) -> DataFrame:
     """``(project_id, cost, risk_avoided, ratio)`` of projects ``(project_id, cost, edge_id, from_node, to_node)`` that add edges.
 
-    The risk is the demand lost over the single failures of all edges; projects
-    and failures are one search with both as its case.
+    The risk is the demand lost over the single failures of all edges. Only edges of a
+    tree of least paths can lose any, and each of them loses what lies behind it,
+    if no other edge leads out from there. To tell, every other edge has a random number,
+    added at one end and subtracted at the other: sums over what lies behind are
+    zero where none leads out, and otherwise by a chance of about 2^-80. Ids of edges are unique.
     """
     base = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "from_node", "to_node")
     added = projects.select(
@@ -285,30 +275,41 @@ def capital_priorities(edges: DataFrame, sources: DataFrame, demands: DataFrame,
     names = projects.select(F.col("project_id").cast("string").alias("project")).distinct().union(
         edges.sparkSession.range(1).select(F.lit("").alias("project"))
     )
-    own = network.both_ways(added.select("project", "edge_id", "from_node", "to_node"))
-    # every project is screened for every edge
-    failures = names.join(base.select("edge_id").distinct(), how="cross").union(added.select("project", "edge_id").distinct())
-    starts = failures.withColumnRenamed("edge_id", "failed").join(F.broadcast(sources.select("node").distinct()), how="cross")
-    steps = network.both_ways(base)
-
-    def walk(df: DataFrame) -> DataFrame:
-        old = df.join(
-            steps, (df["node"] == steps["from_node"]) & (df["failed"] != steps["edge_id"])
-        ).select("project", "failed", F.col("to_node").alias("node"))
-        new = df.join(
-            own.withColumnRenamed("project", "_project"),
-            (F.col("project") == F.col("_project")) & (F.col("node") == F.col("from_node")) & (F.col("failed") != F.col("edge_id"))
-        ).select("project", "failed", F.col("to_node").alias("node"))
-        return old.unionByName(new)
-
-    kept = network._closure(starts.select("project", "failed", "node"), walk, ["project", "failed", "node"])
-    served = kept.join(
-        demands.groupBy("node").agg(F.sum("demand").alias("demand")), "node"
-    ).groupBy("project").agg(F.sum("demand").alias("served"))
-    total = network.reachable(steps, sources, open_devices=False).join(demands, "node").agg(F.sum("demand").alias("total"))
+    every = base.select(F.lit(None).cast("string").alias("project"), "*").union(added).distinct()
+    steps, node_blocks = blocks.in_blocks(network.both_ways(every).select(
+        "project", "from_node", "to_node", F.lit(1.0).alias("step"), F.lit(1).cast("long").alias("hop"), F.col("edge_id").alias("by")
+    ))
+    roots = sources.select("node").distinct()
+    starts = names.select(F.col("project").alias("source")).join(F.broadcast(roots), how="cross")  # a few sources for each project
+    own = lambda lanes: lanes.where(F.col("project").isNull() | (F.col("project") == F.col("source")))
+    found = settle(blocks.search(steps, node_blocks, starts.withColumn("cost", F.lit(0.0)), cut=own), "projects")
+    tree = blocks.rooted(found, steps)
+    demand = demands.groupBy("node").agg(F.sum("demand").cast("double").alias("demand"))
+    # The edges between reached nodes that are in no tree, from one end each; a step in the other direction is the same edge.
+    at = found.select("source", "node")
+    others = names.select(F.col("project").alias("source")).join(
+        every, F.col("project").isNull() | (F.col("project") == F.col("source"))
+    ).select("source", F.col("edge_id").alias("by"), "from_node", "to_node")
+    others = others.join(tree.select("source", F.col("edge_id").alias("by")), ["source", "by"], "left_anti")
+    parts = range(2)  # two numbers of 40 bits, whose sums doubles hold exactly
+    rolled = [F.shiftrightunsigned(F.xxhash64("by", F.lit(k)), 24).cast("double") for k in parts]
+    marks = others.select("source", F.col("from_node").alias("node"), *[r.alias(f"m{k}") for k, r in enumerate(rolled)]).union(
+        others.select("source", "to_node", *[-r for r in rolled])
+    ).groupBy("source", "node").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in parts])
+    held = settle(at.join(demand, "node", "left").join(marks, ["source", "node"], "left"), "held")
+    tags = held.select("source", "node", F.posexplode(F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("demand", "m0", "m1")])).alias("tag", "amount"))
+    behind = blocks.walk_back(tree, tags).groupBy("source", "edge_id").agg(
+        F.sum(F.when(F.col("tag") == 0, F.col("amount"))).alias("lost"),
+        *[F.sum(F.when(F.col("tag") == k + 1, F.col("amount"))).alias(f"m{k}") for k in parts]
+    )
+    lost = behind.where("m0 = 0 and m1 = 0").groupBy(F.col("source").alias("project")).agg(F.sum("lost").alias("lost"))
+    fed = held.groupBy(F.col("source").alias("project")).agg(F.sum("demand").alias("fed"))
+    failures = names.join(base.select("edge_id").distinct(), how="cross").union(added.select("project", "edge_id").distinct()).distinct()
+    total = network.reachable(network.both_ways(base), sources, open_devices=False).join(demands, "node").agg(F.sum("demand").alias("total"))
     n = failures.groupBy("project").agg(F.count("*").alias("n"))
-    risk = n.join(served, "project", "left").join(F.broadcast(total)).select(
-        "project", (F.col("n") * F.coalesce("total", F.lit(0.0)) - F.coalesce("served", F.lit(0.0))).alias("risk")
+    zero = F.lit(0.0)
+    risk = n.join(fed, "project", "left").join(lost, "project", "left").join(F.broadcast(total)).select(
+        "project", (F.col("n") * (F.coalesce("total", zero) - F.coalesce("fed", zero)) + F.coalesce("lost", zero)).alias("risk")
     )
     before = risk.where("project = ''").select(F.col("risk").alias("before"))
     costs = projects.groupBy(F.col("project_id").cast("string").alias("project")).agg(
