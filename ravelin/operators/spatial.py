@@ -3,13 +3,15 @@
 Spark has no range or spatial join, so rows meet in grid cells: every row of one
 side is put into all cells that it can reach, the other into its own, an
 equi-join on the cell finds candidates, and the exact test decides. Distances
-are between centroids, columns ``x`` and ``y``.
+are between centroids, columns ``x`` and ``y``; rows at one place are compared once.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +67,54 @@ def _straight(distance: float, method: str) -> float:
     return 2 * r * math.sin(min(distance / (2 * r), math.pi / 2))
 
 
-def _sides(left: DataFrame, right: DataFrame, left_id: str, right_id: str, method: str = "euclidean") -> tuple[DataFrame, DataFrame]:
-    axes = list(dict.fromkeys(["x", "y", *_AXES.get(method, [])]))
-    one, two = left.select(F.col(left_id).alias("left_id"), "x", "y"), right.select(F.col(right_id).alias("right_id"), "x", "y")
-    return _placed(one, method).select("left_id", *axes), _placed(two, method).select("right_id", *axes)
+def _places(rows: DataFrame, side: str, method: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct places of rows with the number of their rows ``n``, and the rows with their place's number instead of ``x`` and ``y``.
+
+    Rows at one place have one distance to others, so that places are compared and not rows.
+    """
+    number, n = f"_{side}", f"_n_{side}"
+    plain = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumns({c: F.col(c) + F.lit(0.0) for c in "xy"})
+    places = plain.groupBy("x", "y").agg(F.count("*").alias(n)).withColumn(number, F.monotonically_increasing_id())
+    places = settle(places, "places")
+    return _placed(places, method), plain.join(places.select("x", "y", number), ["x", "y"]).drop("x", "y")
 
 
-def _pairs(left: DataFrame, right: DataFrame, size: float, method: str = "euclidean") -> DataFrame:
-    """Pairs of centroids that may be within ``size`` as the crow flies, with their distance and that straight one."""
+def _near_places(left: DataFrame, right: DataFrame, size: float, method: str) -> DataFrame:
+    """Pairs of places that may be within ``size`` as the crow flies, with both places' columns, the right's with ``_r`` before its coordinates."""
     axes = _AXES[method]
     cells = [f"_c{k}" for k in range(len(axes))]
     around = lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _cell(F.col(x), size) + k)
     a = left.withColumns({c: _cell(F.col(x), size) for c, x in zip(cells, axes, strict=True)})
     b = right
-    for c, x in zip(cells, axes, strict=True):  # each row in its own cell and those around it
+    for c, x in zip(cells, axes, strict=True):  # each place in its own cell and those around it
         b = b.withColumn(c, F.explode(around(x)))
     names = list(dict.fromkeys(["x", "y", *axes]))
-    met = a.join(b.withColumnsRenamed({x: f"_r{x}" for x in names}), cells)
-    straight = F.sqrt(sum(((F.col(x) - F.col(f"_r{x}")) * (F.col(x) - F.col(f"_r{x}")) for x in axes), F.lit(0.0)))
+    return a.join(b.withColumnsRenamed({x: f"_r{x}" for x in names}), cells)
+
+
+def _met(left: DataFrame, right: DataFrame, reach: float, method: str) -> DataFrame:
+    """All pairs of rows ``(x, y, ...)`` within reach, with ``distance`` and the other columns of both sides.
+
+    Places meet first; then their rows, dealt by what they make, so that no task has a crowded place to itself.
+    """
+    if reach <= 0:
+        raise ValueError("the distance must be positive")
+    one, left_rows = _places(left, "left", method)
+    two, right_rows = _places(right, "right", method)
+    # A little more than the straight line, against rounding; the exact distance decides.
+    near = _near_places(one, two, _straight(reach, method) * (1 + 1e-9) + 1e-9, method)
     distance = equations.coordinate_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"), method)
-    return met.select("left_id", "right_id", distance.alias("distance"), straight.alias("_straight"))
+    near = near.select("_left", "_right", "_n_left", "_n_right", distance.alias("distance")).where(F.col("distance") <= reach)
+    near = settle(near, "near")
+    n = near.agg(F.coalesce(F.sum(F.col("_n_left") * F.col("_n_right")), F.lit(0))).first()[0]
+    tasks = min(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // _PAIRS_A_TASK)), 20_000)
+    out = near.drop("_n_left", "_n_right").join(left_rows, "_left").withColumn("_salt", F.pmod(F.xxhash64("left_id"), F.lit(_SALTS)))
+    spread = right_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    return out.repartition(tasks, "_right", "_salt").join(spread, ["_right", "_salt"]).drop("_left", "_right", "_salt")
+
+
+#: Pairs that a task makes, about, and parts that the left rows near a place are dealt into.
+_PAIRS_A_TASK, _SALTS = 2_000_000, 8
 
 
 def _keep_left(pairs: DataFrame, left: DataFrame, left_id: str, how: str) -> DataFrame:
@@ -97,12 +127,10 @@ def proximity_join(
     left: DataFrame, right: DataFrame, max_distance: float, left_id: str, right_id: str, how: str = "inner", method: str = "euclidean"
 ) -> DataFrame:
     """All pairs within a distance: ``(left_id, right_id, distance)``; with ``how="left"`` also left rows without any."""
-    if max_distance <= 0:
-        raise ValueError("the distance must be positive")
-    # A little more than the straight line, against rounding; the exact distance decides.
-    found = _pairs(
-        *_sides(left, right, left_id, right_id, method), _straight(max_distance, method) * (1 + 1e-9) + 1e-9, method
-    ).where(F.col("distance") <= max_distance)
+    if method not in _AXES:
+        raise ValueError(f"unknown distance method: {method}")
+    one, two = left.select(F.col(left_id).alias("left_id"), "x", "y"), right.select(F.col(right_id).alias("right_id"), "x", "y")
+    found = _met(one, two, max_distance, method)
     return _keep_left(found.select("left_id", "right_id", "distance"), left, left_id, how)
 
 
@@ -112,44 +140,96 @@ def nearest_join(
 ) -> DataFrame:
     """The k nearest rows of ``right``: ``(left_id, right_id, distance, rank)``, ties by the text of the id.
 
-    Exact: a left row is done when its k-th match lies within the radius of the
-    search; for the others the radius is doubled. Past the largest possible
-    distance every row is done. With ``how="left"`` left rows without a match
-    stay. Distances on the sphere grow with straight ones, which are searched by.
+    Exact: places are dealt into blocks along a curve, and only pairs of blocks are
+    compared whose bounds leave it open whether one has a nearest place of the
+    other. With ``how="left"`` left rows without a match stay. Distances on the
+    sphere grow with straight ones, which are searched by.
     """
-    spark = left.sparkSession
-    a, b = _sides(left, right, left_id, right_id, method)
-    axes = _AXES[method]
-    spans = a.select(*axes).union(b.select(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
-    n = b.count()
-    if not n or spans[0] is None:
-        none = spark.createDataFrame(
-            [], f"left_id {dict(a.dtypes)['left_id']}, right_id {dict(b.dtypes)['right_id']}, distance double, rank int"
-        )
-        return _keep_left(none, left, left_id, how)
-    furthest = math.sqrt(sum((v or 0.0) ** 2 for v in spans)) * (1 + 1e-9)
-    span = max(*(v or 0.0 for v in spans), 1e-9)
-    limit = furthest if max_distance is None else min(_straight(max_distance, method) * (1 + 1e-9), furthest)
-    radius = min(max(2.0 * span * (k / n) ** 0.5, 1e-9), max(limit, 1e-9))
-    w = Window.partitionBy("left_id").orderBy("distance", F.col("right_id").cast("string"))
-    todo, out = a, None
-    while True:
-        found = _pairs(todo, b, radius, method).where(F.col("_straight") <= radius).drop("_straight")
-        if max_distance is not None:
-            found = found.where(F.col("distance") <= max_distance)
-        if exclude_self:
-            found = found.where(F.col("left_id") != F.col("right_id"))
-        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if radius >= limit:
-            return _keep_left(ranked if out is None else out.unionByName(ranked), left, left_id, how)
-        ranked = settle(ranked, "nearest")
-        done = ranked.where(F.col("rank") == k).select("left_id")
-        ready = ranked.join(done, "left_id", "left_semi")
-        out = ready if out is None else out.unionByName(ready)
-        todo = settle(todo.join(done, "left_id", "left_anti"), "nearest-todo")
-        if todo.isEmpty():
-            return _keep_left(out, left, left_id, how)
-        radius = min(radius * 2, limit)
+    if method not in _AXES:
+        raise ValueError(f"unknown distance method: {method}")
+    one, left_rows = _places(left.select(F.col(left_id).alias("left_id"), "x", "y"), "left", method)
+    two, right_rows = _places(right.select(F.col(right_id).alias("right_id"), "x", "y"), "right", method)
+    own = right_rows.groupBy("right_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] if exclude_self else 0
+    wanted = k + own  # a row's own id can be among the nearest, as often as it is there
+    limit = None if max_distance is None else _straight(max_distance, method) * (1 + _NEARLY) + _NEARLY
+    near = _nearest_places(one, two, wanted, limit, _AXES[method]).join(
+        one.select("_left", "x", "y"), "_left"
+    ).join(two.select("_right", F.col("x").alias("_rx"), F.col("y").alias("_ry")), "_right")
+    distance = equations.coordinate_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"), method)
+    near = near.select("_left", "_right", distance.alias("distance"))
+    if max_distance is not None:
+        near = near.where(F.col("distance") <= max_distance)
+    text = F.col("right_id").cast("string")
+    first = right_rows.withColumn("_k", F.row_number().over(Window.partitionBy("_right").orderBy(text))).where(F.col("_k") <= wanted).drop("_k")
+    ranked = near.join(first, "_right").withColumn("rank", F.row_number().over(Window.partitionBy("_left").orderBy("distance", text)))
+    found = ranked.where(F.col("rank") <= wanted).join(left_rows, "_left")
+    if exclude_self:
+        again = Window.partitionBy("left_id").orderBy("distance", text)
+        found = found.where(F.col("left_id") != F.col("right_id")).withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+    return _keep_left(found.select("left_id", "right_id", "distance", "rank"), left, left_id, how)
+
+
+#: Places of a block, about; and what distances may differ by for rounding.
+_BLOCK_PLACES, _NEARLY = 1024, 1e-9
+
+
+def _place_blocks(places: DataFrame, number: str, axes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Places with a ``block``, by a Z-order of their axes, and the bounds and number of places of the blocks."""
+    spans = places.agg(F.count("*"), *[f(x) for x in axes for f in (F.min, F.max)]).first()
+    key = F.lit(0).cast("long")
+    for a, x in enumerate(axes):
+        low, high = spans[1 + 2 * a] or 0.0, spans[2 + 2 * a] or 0.0
+        step = F.floor((F.col(x) - low) / max(high - low, 1e-300) * 65535).cast("long")
+        for bit in range(16):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(step, bit).bitwiseAND(F.lit(1).cast("long")), bit * len(axes) + a))
+    n = max(1, -(-spans[0] // _BLOCK_PLACES))
+    dealt = places.select(number, *axes, key.alias("_key")).repartitionByRange(n, "_key", *axes)
+    dealt = settle(dealt.withColumn("block", F.spark_partition_id()).drop("_key"), "blocks")
+    bounds = dealt.groupBy("block").agg(
+        F.count("*").alias("n"), *[F.min(x).alias(f"{x}_0") for x in axes], *[F.max(x).alias(f"{x}_1") for x in axes]
+    )
+    return dealt, settle(bounds, "bounds")
+
+
+def _nearest_places(left: DataFrame, right: DataFrame, k: int, limit: float | None, axes: list[str]) -> DataFrame:
+    """``(_left, _right)``: among others, for each left place its k nearest right ones by straight distance, with all that tie."""
+    a, a_bounds = _place_blocks(left, "_left", axes)
+    b, b_bounds = _place_blocks(right, "_right", axes)
+    one = a_bounds.select(F.col("block").alias("_a"), *[F.col(f"{x}_{e}").alias(f"a{x}_{e}") for x in axes for e in "01"])
+    both = one.join(F.broadcast(b_bounds.withColumnRenamed("block", "_b")), how="cross")  # bounds of blocks of 1024 places
+    gap = lambda x: F.greatest(F.lit(0.0), F.col(f"{x}_0") - F.col(f"a{x}_1"), F.col(f"a{x}_0") - F.col(f"{x}_1"))
+    wide = lambda x: F.greatest(F.col(f"{x}_1") - F.col(f"a{x}_0"), F.col(f"a{x}_1") - F.col(f"{x}_0"))
+    both = both.select(
+        "_a", "_b", "n", F.sqrt(sum((gap(x) * gap(x) for x in axes), F.lit(0.0))).alias("low"),
+        F.sqrt(sum((wide(x) * wide(x) for x in axes), F.lit(0.0))).alias("high")
+    )
+    # The blocks that are near as a whole and have k places say how far the k-th can be.
+    both = both.withColumn("_sum", F.sum("n").over(Window.partitionBy("_a").orderBy("high", "_b")))
+    far = F.min(F.when(F.col("_sum") >= k, F.col("high"))).over(Window.partitionBy("_a"))
+    far = F.coalesce(far, F.lit(float("inf")))
+    far = far if limit is None else F.least(far, F.lit(limit))
+    pairs = settle(both.withColumn("far", far).where(F.col("low") <= F.col("far") * (1 + _NEARLY) + _NEARLY).select("_a", "_b"), "block-pairs")
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        square = np.zeros((len(x), len(y)))
+        for c in axes:
+            square += (x[c].to_numpy()[:, None] - y[c].to_numpy()[None, :]) ** 2
+        d = np.sqrt(square)
+        most = np.full(len(x), np.inf) if k >= d.shape[1] else np.partition(d, k - 1, axis=1)[:, k - 1]
+        most = most if limit is None else np.minimum(most, limit)
+        i, j = np.nonzero(d <= (most * (1 + _NEARLY) + _NEARLY)[:, None])
+        return pd.DataFrame({"_left": x["_left"].to_numpy()[i], "_right": y["_right"].to_numpy()[j], "d": d[i, j]})
+
+    x = pairs.join(a.withColumnRenamed("block", "_a"), "_a")
+    y = pairs.withColumnsRenamed({"_a": "_a2", "_b": "_b2"}).join(b.withColumnRenamed("block", "_b2"), "_b2")
+    n = max(1, min(pairs.count(), 2000))
+    found = x.repartition(n, "_a", "_b").groupBy("_a", "_b").cogroup(y.repartition(n, "_a2", "_b2").groupBy("_a2", "_b2")).applyInPandas(
+        nearest, "_left long, _right long, d double"
+    )
+    # Of the nearest of several blocks only the nearest stay.
+    found = found.withColumn("_k", F.row_number().over(Window.partitionBy("_left").orderBy("d")))
+    most = F.max(F.when(F.col("_k") <= k, F.col("d"))).over(Window.partitionBy("_left"))
+    return found.withColumn("_most", most).where(F.col("d") <= F.col("_most") * (1 + _NEARLY) + _NEARLY).select("_left", "_right")
 
 
 def with_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, suffix: str = "right") -> DataFrame:
@@ -247,25 +327,29 @@ def coverage_summary(
 
 def neighborhood_pressure(df: DataFrame, id_col: str, weight: str, reach: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
     """Decayed weights of the other rows within reach, summed for each row."""
-    pairs = proximity_join(df, df, reach, id_col, id_col).where(F.col("left_id") != F.col("right_id"))
-    weights = df.select(F.col(id_col).alias("right_id"), F.col(weight).alias("_w"))
-    per = pairs.join(weights, "right_id").groupBy("left_id").agg(
-        F.sum(equations.influence(F.col("_w"), F.col("distance"), scale, power)).alias("pressure")
-    )
+    if reach <= 0:
+        raise ValueError("the distance must be positive")
+    rows = df.select(F.col(id_col).alias("left_id"), F.col(weight).alias("_w"), "x", "y").where("left_id is not null")
+    places, placed = _places(rows, "left", "euclidean")
+    # Weights at one place decay alike, so that they are summed first; a row's own is taken off.
+    summed = places.join(placed.groupBy("_left").agg(F.sum("_w").alias("_w")), "_left")
+    other = summed.select(F.col("_left").alias("_right"), "_w", "x", "y")
+    distance = equations.coordinate_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"))
+    decayed = equations.influence(F.col("_w"), F.col("distance"), scale, power)
+    near = _near_places(places, other, reach * (1 + 1e-9) + 1e-9, "euclidean").withColumn("distance", distance).where(F.col("distance") <= reach)
+    per = placed.drop("_w").join(near.groupBy("_left").agg(F.sum(decayed).alias("_p")), "_left").select("left_id", "_p")
+    own = rows.drop("_w").join(rows.select("left_id", "_w", F.col("x").alias("_rx"), F.col("y").alias("_ry")), "left_id")
+    own = own.withColumn("distance", distance).where(F.col("distance") <= reach).select("left_id", (-decayed).alias("_p"))
+    per = per.union(own).groupBy("left_id").agg(F.sum("_p").alias("pressure"))
     return df.select(F.col(id_col).alias("left_id")).join(per, "left_id", "left").select(
         F.col("left_id").alias(id_col), F.coalesce("pressure", F.lit(0.0)).alias("pressure")
     )
 
 
-def _apart(df: DataFrame, id_col: str, reach: float, method: str) -> DataFrame:
-    """Ordered pairs of different rows within reach."""
-    return proximity_join(df, df, reach, id_col, id_col, method=method).where(F.col("left_id") != F.col("right_id"))
-
-
-def _both(pairs: DataFrame, df: DataFrame, id_col: str, left: dict[str, Column], right: dict[str, Column]) -> DataFrame:
-    a = df.select(F.col(id_col).alias("left_id"), *[c.alias(n) for n, c in left.items()])
-    b = df.select(F.col(id_col).alias("right_id"), *[c.alias(n) for n, c in right.items()])
-    return pairs.join(a, "left_id").join(b, "right_id")
+def _apart(df: DataFrame, id_col: str, reach: float, method: str, left: dict[str, Column], right: dict[str, Column]) -> DataFrame:
+    """Ordered pairs of different rows within reach, with columns of both."""
+    side = lambda name, more: df.select(F.col(id_col).alias(f"{name}_id"), "x", "y", *[c.alias(n) for n, c in more.items()])
+    return _met(side("left", left), side("right", right), reach, method).where(F.col("left_id") != F.col("right_id"))
 
 
 def interaction_table(
@@ -273,12 +357,12 @@ def interaction_table(
     preferred_bearing: float | None = None, method: str = "euclidean"
 ) -> DataFrame:
     """Interactions of ordered pairs within reach: ``(left_id, right_id, distance, interaction)``, with ``alignment`` to a preferred bearing if one is given."""
-    met = _both(
-        _apart(df, id_col, reach, method), df, id_col, {"_o": F.col(origin), "_x": F.col("x"), "_y": F.col("y")},
-        {"_d": F.col(destination), "_rx": F.col("x"), "_ry": F.col("y")}
+    met = _apart(
+        df, id_col, reach, method, {"_o": F.col(origin), "_ox": F.col("x"), "_oy": F.col("y")},
+        {"_d": F.col(destination), "_dx": F.col("x"), "_dy": F.col("y")}
     )
     more = [] if preferred_bearing is None else [
-        equations.alignment(F.col("_x"), F.col("_y"), F.col("_rx"), F.col("_ry"), preferred_bearing).alias("alignment")
+        equations.alignment(F.col("_ox"), F.col("_oy"), F.col("_dx"), F.col("_dy"), preferred_bearing).alias("alignment")
     ]
     return met.select(
         "left_id", "right_id", "distance",
@@ -296,7 +380,7 @@ def area_similarity_table(
 ) -> DataFrame:
     """``(left_id, right_id, similarity)`` of ordered pairs within reach, by the areas of their geometries."""
     size = geometry.area(F.col("geometry"))
-    met = _both(_apart(df, id_col, reach, method), df, id_col, {"_a": size}, {"_b": size})
+    met = _apart(df, id_col, reach, method, {"_a": size}, {"_b": size})
     return met.select(
         "left_id", "right_id", equations.area_similarity(F.col("_a"), F.col("_b"), F.col("distance"), scale, power).alias("similarity")
     )
