@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group stays, the one with the least id; fingerprints of SimHash within two bits link, and sets at a similarity of 0.8."""
+    return simhash.drop_near_duplicates(docs, found=simhash.linked_documents(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

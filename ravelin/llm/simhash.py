@@ -472,6 +472,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ).select(id_col, "text_key", "root", "component_id")
 
 
+def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, text_key, root, component_id)`` for each row: components over the links of fingerprints and of similar sets together.
+
+    Classes of one method that share a row are linked; the rows of each are linked already.
+    """
+    prints = materialise(near_duplicates(docs, id_col, text_col).select(id_col, "text_key", F.xxhash64(F.lit("fp"), "root").alias("u")), "prints")
+    sets = materialise(
+        similar_documents(docs, id_col, text_col).select(
+            F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.xxhash64(F.lit("set"), "root").alias("v")
+        ).distinct(), "sets"
+    )
+    rows = prints.join(sets, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("_id", "_key")
+    rows = materialise(rows, "both")
+    roots = components(rows.select("u", "v")).withColumnRenamed("node", "u")
+    rows = materialise(rows.join(roots, "u").select(id_col, "text_key", "root"), "linked")
+    return rows.join(rows.groupBy("root").agg(F.min(id_col).alias("component_id")), "root").select(id_col, "text_key", "root", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each component of ``found``, by default of ``similar_documents``; all columns.
 
