@@ -59,6 +59,26 @@ def _placed(df: DataFrame, method: str) -> DataFrame:
     return df.withColumns({"_u": r * F.cos(lat) * F.cos(lon), "_v": r * F.cos(lat) * F.sin(lon), "_w": r * F.sin(lat)})
 
 
+def _ranking_distance(x1: Column, y1: Column, x2: Column, y2: Column, method: str) -> Column:
+    """Distances that decide which of nearly equal ones comes first.
+
+    On the sphere by the C library: the JVM's arc tangent is off by up to two units in
+    the last place, so that nearly equal distances tie or change places.
+    """
+    if method != "haversine":
+        return equations.coordinate_distance(x1, y1, x2, y2, method)
+    diameter = 2.0 * equations.EARTH_RADIUS_KM
+
+    def kilometres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+        if not all(map(math.isfinite, (lon1, lat1, lon2, lat2))):
+            return math.nan
+        half = lambda a, b: math.pow(math.sin((math.radians(b) - math.radians(a)) / 2), 2.0)
+        a = half(lat1, lat2) + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half(lon1, lon2)
+        return diameter * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+
+    return F.udf(kilometres, "double", useArrow=True)(x1, y1, x2, y2)
+
+
 def _straight(distance: float, method: str) -> float:
     """The length of the straight line through the sphere for a distance on it."""
     if method == "euclidean":
@@ -155,7 +175,7 @@ def nearest_join(
     near = _nearest_places(one, two, wanted, limit, _AXES[method]).join(
         one.select("_left", "x", "y"), "_left"
     ).join(two.select("_right", F.col("x").alias("_rx"), F.col("y").alias("_ry")), "_right")
-    distance = equations.coordinate_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"), method)
+    distance = _ranking_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"), method)
     near = near.select("_left", "_right", distance.alias("distance"))
     if max_distance is not None:
         near = near.where(F.col("distance") <= max_distance)

@@ -43,3 +43,11 @@ def test_pairs_and_pressure_of_crowded_places(spark):
     got = {r["a"]: r["pressure"] for r in spatial.neighborhood_pressure(df, "a", "w", 1.0).collect()}
     for a, x, _, _ in rows:
         assert abs(got[a] - sum(w / (1 + abs(x - u)) ** 2 for b, u, _, w in rows if b != a and abs(x - u) <= 1)) < 1e-9
+
+
+def test_nearest_on_the_sphere_tells_last_digits_apart(spark):
+    # In doubles the second is nearer by one unit in the last place; by the JVM's arc tangent both are as far.
+    left = spark.createDataFrame([(1, 3.5, -45.5)], "a long, x double, y double")
+    right = spark.createDataFrame([(13047, 2.0, -46.0), (13048, 5.0, -46.0)], "b long, x double, y double")
+    got = [r["right_id"] for r in spatial.nearest_join(left, right, "a", "b", 2, 200.0, method="haversine").orderBy("rank").collect()]
+    assert got == [13048, 13047]
