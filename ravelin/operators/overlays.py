@@ -337,21 +337,76 @@ def intersection(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return parts.select("group.left_id", "group.right_id", "shape")
 
 
-def bounds_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, shape: str = "shape", cell: float | None = None, reach: float = 0.0) -> DataFrame:
+def _slopes(s: Column) -> Column:
+    """A polygon's edges that are not upright, from left to right, with 1 where the inside is below and -1 where it is above."""
+    def of(part: Column) -> Column:
+        def ring(r: Column, k: Column) -> Column:
+            turn = F.when(k == 0, 1.0).otherwise(-1.0) * F.signum(shapes.signed_area(r))
+            back = lambda e: e["b"]["x"] < e["a"]["x"]
+            end = lambda e, p, q, x: F.when(back(e), e[q][x]).otherwise(e[p][x])
+            return F.transform(
+                F.filter(shapes._ring_segments(r), lambda e: e["a"]["x"] != e["b"]["x"]),
+                lambda e: F.struct(
+                    end(e, "a", "b", "x").alias("x0"), end(e, "b", "a", "x").alias("x1"), end(e, "a", "b", "y").alias("y0"), end(e, "b", "a", "y").alias("y1"),
+                    (F.when(back(e), 1.0).otherwise(-1.0) * turn).alias("s"),
+                ),
+            )
+
+        return F.flatten(F.transform(part, ring))
+
+    return F.flatten(F.transform(s["parts"], of))
+
+
+def intersection_areas(left: DataFrame, right: DataFrame, left_id: str, right_id: str, shape: str = "shape", cell: float | None = None) -> DataFrame:
+    """``(left_id, right_id, area)``: how much polygons of both sides have in common, for pairs with more than nothing.
+
+    A polygon is what lies below its upper edges less what lies below its lower ones, so the area is a
+    sum over pairs of edges of what lies below both; it needs no pieces and rings. A polygon's parts
+    must not overlap each other, and what rounding alone can make counts as nothing.
+    """
+    polygons = [side.where(shapes.is_polygon(F.col(shape))) for side in (left, right)]
+    pairs = bounds_join(*polygons, left_id, right_id, shape, cell, keep={"edges": _slopes(F.col(shape)), "low": shapes.bounds(F.col(shape))["min_y"]})
+    rows = pairs.select("left_id", "right_id", "left_low", "right_edges", F.explode("left_edges").alias("e"))
+    rows = rows.select("left_id", "right_id", "left_low", "e", F.explode("right_edges").alias("f"))
+    rows = rows.withColumns({"x0": F.greatest("e.x0", "f.x0"), "x1": F.least("e.x1", "f.x1")}).where("x0 < x1")
+    # Both edges' heights above the left polygon's foot where they begin and end to be above each other.
+    at = lambda g, x: F.col(f"{g}.y0") + (F.col(x) - F.col(f"{g}.x0")) / (F.col(f"{g}.x1") - F.col(f"{g}.x0")) * (F.col(f"{g}.y1") - F.col(f"{g}.y0")) - F.col("left_low")
+    rows = rows.select("left_id", "right_id", (F.col("e.s") * F.col("f.s") * (F.col("x1") - F.col("x0")) / 2).alias("w"), *(at(g, x).alias(f"{g}{x}") for g in "ef" for x in ("x0", "x1")))
+    low, high, d0, d1 = F.least("ex0", "fx0"), F.least("ex1", "fx1"), F.col("ex0") - F.col("fx0"), F.col("ex1") - F.col("fx1")
+    t = d0 / (d0 - d1)
+    middle = F.col("ex0") + t * (F.col("ex1") - F.col("ex0"))
+    mean = F.when(((d0 < 0) & (d1 > 0)) | ((d0 > 0) & (d1 < 0)), t * (low + middle) + (1 - t) * (middle + high)).otherwise(low + high)
+    found = rows.select("left_id", "right_id", (F.col("w") * mean).alias("part")).groupBy("left_id", "right_id")
+    return found.agg(F.sum("part").alias("area"), F.sum(F.abs("part")).alias("all")).where("area > all * 1e-13").drop("all")
+
+
+#: Candidate pairs that a task compares, about, and parts at most that the rows of a cell are dealt into.
+_PAIRS_A_TASK, _SALTS = 2_000_000, 64
+
+
+def bounds_join(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, shape: str = "shape", cell: float | None = None, reach: float = 0.0, keep: dict[str, Column] | None = None
+) -> DataFrame:
     """``(left_id, right_id)`` of shapes whose bounds come within ``reach``, each pair once.
 
     Bounds stand in cells of a grid as large as themselves, four at most; of two shapes the
     smaller looks for the larger in that one's grid. A given ``cell`` is the least size.
+    ``keep`` names columns of both sides that come along as ``left_`` and ``right_``, so that
+    pairs needn't be joined to their shapes again. Crowded cells are dealt to several tasks.
     """
+    keep = keep or {}
+
     def placed(df: DataFrame, name: str, side: str, grow: float) -> DataFrame:
         b = shapes.bounds(F.col(shape))
-        rows = df.where(F.col(shape).isNotNull()).select(F.col(name).alias(f"{side}_id"), b.alias("b"))
-        rows = rows.select(f"{side}_id", *((F.col(f"b.{k}") + (grow if k.startswith("max") else -grow)).alias(f"{side}_{k}") for k in ("min_x", "min_y", "max_x", "max_y")))
+        rows = df.where(F.col(shape).isNotNull()).select(F.col(name).alias(f"{side}_id"), *(c.alias(f"{side}_{k}") for k, c in keep.items()), b.alias("b"))
+        own = [f"{side}_id", *(f"{side}_{k}" for k in keep)]
+        rows = rows.select(*own, *((F.col(f"b.{k}") + (grow if k.startswith("max") else -grow)).alias(f"{side}_{k}") for k in ("min_x", "min_y", "max_x", "max_y")))
         extent = F.greatest(F.col(f"{side}_max_x") - F.col(f"{side}_min_x"), F.col(f"{side}_max_y") - F.col(f"{side}_min_y"), F.lit(cell or 1e-12))
         return rows.withColumn(f"{side}_scale", F.ceil(F.log2(extent)).cast("int"))
 
     a, b = placed(left, left_id, "left", reach), placed(right, right_id, "right", 0.0)
     size = lambda s: F.pow(F.lit(2.0), s)
+    at = ["scale", "i", "j"]
 
     def spread(df: DataFrame, side: str, scale: Column) -> DataFrame:
         out = df.withColumn("scale", scale)
@@ -366,29 +421,62 @@ def bounds_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         own = F.col(f"{small_side}_scale")
         looking = small.withColumn("want", F.explode(F.filter(wanted, lambda s: s > own if strict else s >= own)))
         one, two = spread(large, large_side, F.col(f"{large_side}_scale")), spread(looking, small_side, F.col("want"))
-        return one.join(two, ["scale", "i", "j"])
+        number = lambda df, n: df.groupBy(*at).agg(F.count("*").alias(n))
+        pairs = F.col("m") * F.col("n")
+        seen = number(one, "m").join(number(two, "n"), at).agg(F.sum(pairs).alias("all"), F.max(pairs).alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n")).first()
+        tasks = min(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(seen["all"] or 0) // _PAIRS_A_TASK)), 20_000)
+        parts = min(_SALTS, max(1, -(-(seen["most"] or 0) // _PAIRS_A_TASK)))
+        if (seen["m"] or 0) < (seen["n"] or 0):
+            one, two, large_side = two, one, small_side
+        one = one.withColumn("salt", F.pmod(F.xxhash64(f"{large_side}_id"), F.lit(parts)))
+        two = two.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        return one.repartition(tasks, *at, "salt").join(two, [*at, "salt"])
 
     both = [met(a, "left", b, "right", False), met(b, "right", a, "left", True)]
-    columns = ["left_id", "right_id", "i", "j", "scale", *(f"{s}_{k}" for s in ("left", "right") for k in ("min_x", "min_y", "max_x", "max_y"))]
+    columns = ["left_id", "right_id", *at, *(f"{s}_{k}" for s in ("left", "right") for k in ("min_x", "min_y", "max_x", "max_y", *keep))]
     rows = both[0].select(*columns).unionByName(both[1].select(*columns))
     # The pair counts in the first cell that both stand in.
     first = lambda k: F.floor(F.greatest(f"left_min_{k}", f"right_min_{k}") / size(F.col("scale"))).cast("long")
     meets = lambda k: (F.col(f"left_min_{k}") <= F.col(f"right_max_{k}")) & (F.col(f"left_max_{k}") >= F.col(f"right_min_{k}"))
-    return rows.where(meets("x") & meets("y") & (F.col("i") == first("x")) & (F.col("j") == first("y"))).select("left_id", "right_id")
+    found = rows.where(meets("x") & meets("y") & (F.col("i") == first("x")) & (F.col("j") == first("y")))
+    return found.select("left_id", "right_id", *(f"{s}_{k}" for s in ("left", "right") for k in keep))
+
+
+def _predicate(name: str):
+    tests = {"intersects": shapes.intersects, "within": shapes.within, "contains": lambda s, t: shapes.within(t, s)}
+    if name not in tests:
+        raise ValueError(f"unknown predicate: {name}")
+    return tests[name]
 
 
 def shape_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, predicate: str = "intersects", shape: str = "shape", how: str = "inner") -> DataFrame:
     """``(left_id, right_id)`` of shapes of which the left one ``intersects``, is ``within`` or ``contains`` the right one; holes and parts count."""
-    tests = {"intersects": shapes.intersects, "within": shapes.within, "contains": lambda s, t: shapes.within(t, s)}
-    if predicate not in tests:
-        raise ValueError(f"unknown predicate: {predicate}")
-    pairs = bounds_join(left, right, left_id, right_id, shape)
-    a = left.select(F.col(left_id).alias("left_id"), F.col(shape).alias("_s"))
-    b = right.select(F.col(right_id).alias("right_id"), F.col(shape).alias("_t"))
-    met = pairs.join(a, "left_id").join(b, "right_id").where(tests[predicate](F.col("_s"), F.col("_t"))).select("left_id", "right_id")
+    test = _predicate(predicate)
+    pairs = bounds_join(left, right, left_id, right_id, shape, keep={"shape": F.col(shape)})
+    met = pairs.where(test(F.col("left_shape"), F.col("right_shape"))).select("left_id", "right_id")
     return left.select(F.col(left_id).alias("left_id")).join(met, "left_id", "left") if how == "left" else met
 
 
+def _numbered(df: DataFrame, id_col: str, shape: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct shapes of rows ``(number, n, shape)``, with ``n`` rows each, and the rows' ids ``(number, id)``; null shapes have no number."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(shape).alias("shape"))
+    known = settle(rows.where("shape is not null").groupBy("shape").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()), "shapes")
+    return known, rows.join(known.select("number", "shape"), "shape", "left").select("id", "number")
+
+
+def shape_counts(left: DataFrame, right: DataFrame, left_id: str, predicate: str = "intersects", shape: str = "shape") -> DataFrame:
+    """``(left_id, n)``: how many right shapes each left row intersects, is within or contains; rows without any have 0.
+
+    Equal shapes are tried once, for all their rows.
+    """
+    one, ids = _numbered(left, left_id, shape)
+    two = right.where(F.col(shape).isNotNull()).groupBy(F.col(shape).alias("shape")).agg(F.count("*").alias("n"))
+    two = settle(two.withColumn("number", F.monotonically_increasing_id()), "shapes")
+    met = bounds_join(one, two, "number", "number", keep={"shape": F.col("shape"), "n": F.col("n")})
+    per = met.where(_predicate(predicate)(F.col("left_shape"), F.col("right_shape"))).groupBy("left_id").agg(F.sum("right_n").alias("found"))
+    return ids.join(per.withColumnRenamed("left_id", "number"), "number", "left").select(F.col("id").alias("left_id"), F.coalesce("found", F.lit(0)).alias("n"))
+
+
 def _capsule(a: Column, b: Column, distance: float, resolution: int) -> Column:
     """The ring around an edge: a regular polygon of ``4 * resolution`` corners moved from a to b; around a point that polygon."""
     n = 4 * resolution
