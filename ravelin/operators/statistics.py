@@ -91,11 +91,14 @@ def standardized_difference(rows: DataFrame, treatment: str, covariates: list[st
 
 
 def stratum_propensity(rows: DataFrame, treatment: str, stratum: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Rows with the clipped share of treated in their stratum as ``propensity``."""
+    """Rows with the clipped share of treated in their stratum as ``propensity``.
+
+    The strata's shares go to the rows, since rows dealt by a few strata would be a few tasks.
+    """
     share = rows.groupBy(stratum).agg(
         F.greatest(F.lit(low), F.least(F.lit(high), F.avg(F.col(treatment).cast("double")))).alias("propensity")
     )
-    return rows.join(share, stratum)
+    return rows.join(F.broadcast(share), stratum)
 
 
 def ipw_effect(rows: DataFrame, treatment: str, outcome: str, cap: float = 20.0) -> DataFrame:
@@ -109,10 +112,10 @@ def ipw_effect(rows: DataFrame, treatment: str, outcome: str, cap: float = 20.0)
 
 
 def doubly_robust_effect(rows: DataFrame, treatment: str, outcome: str, stratum: str) -> DataFrame:
-    """Augmented weighting with stratum means as the outcome models."""
+    """Augmented weighting with stratum means as the outcome models; these go to the rows, as in ``stratum_propensity``."""
     t = F.col(treatment) == 1
     means = rows.groupBy(stratum).agg(F.avg(F.when(t, F.col(outcome))).alias("_m1"), F.avg(F.when(~t, F.col(outcome))).alias("_m0"))
-    r = rows.join(means, stratum).where("_m1 is not null and _m0 is not null")
+    r = rows.join(F.broadcast(means), stratum).where("_m1 is not null and _m0 is not null")
     y, p = F.col(outcome), F.col("propensity")
     score = F.col("_m1") - F.col("_m0") + F.when(t, (y - F.col("_m1")) / p).otherwise(-(y - F.col("_m0")) / (1 - p))
     return r.agg(

@@ -209,3 +209,11 @@ def test_ratings(spark):
     got = {r["team"]: r for r in ratings.elo_ratings(matches, "league", ["n"]).collect()}
     assert got["a"]["rating"] > 1500 > got["b"]["rating"] and got["c"]["rating"] == got["d"]["rating"] == 1500.0
     assert ratings.team_table(matches).where("team = 'a'").first()["wins"] == 1
+
+
+def test_strata_go_to_the_rows(spark):
+    rows = spark.createDataFrame([(k % 2, float(k % 7 + 2 * (k % 2)), k % 3) for k in range(60)], "t int, y double, s int")
+    p = statistics.stratum_propensity(rows, "t", "s")
+    for df in (p, statistics.doubly_robust_effect(p, "t", "y", "s")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == plan.count("rightHint=(strategy=broadcast)") > 0
