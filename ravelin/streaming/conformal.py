@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.equations import stress_index
 
@@ -35,16 +36,40 @@ def sliding_calibration(
 
     With a ``rate`` the miscoverage level adapts: it falls after a score above
     the quantile and rises after others. Rows of a batch go by ``order``; state
-    is bounded by the window, and so is what a task holds of a batch. Only with a
+    is bounded by the window, and so is what a task holds of a batch: each part of
+    it passes on only its last rows of each kind and their number. Only with a
     rate, where every score counts, is a kind's batch sorted whole.
     """
+    number = "_n_scores"
+
+    def last_rows(rows: pd.DataFrame) -> pd.DataFrame:
+        """The last rows of each kind, the last of which has the number of all."""
+        rows = rows.sort_values(order, kind="stable")
+        kinds = rows.groupby(kind, dropna=False)
+        rows[number] = kinds[number].transform("sum").where(kinds.cumcount(ascending=False) == 0, 0)
+        return rows.groupby(kind, dropna=False).tail(size)
+
+    def trimmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, without, limit = None, None, 0
+        for pdf in batches:
+            scored = pdf[score].notna()
+            pdf = pdf.assign(**{number: scored.astype("int64")})
+            # A kind without any score has a row of state too.
+            without = pd.concat([without, pdf[~scored]]).drop_duplicates(kind)
+            kept = pd.concat([kept, pdf[scored]])
+            if len(kept) > limit:  # twice what stayed, so that many kinds are not sorted again for each batch
+                kept = last_rows(kept)
+                limit = 2 * len(kept)
+        if kept is not None:
+            yield last_rows(kept)
+            yield without
 
     def last_of(batches: Iterable[pd.DataFrame]) -> tuple[list[float], int]:
         """The scores of the last rows, and how many there were."""
         kept, n = None, 0
         for pdf in batches:
-            pdf = pdf[[order, score]].dropna(subset=[score])
-            n += len(pdf)
+            pdf = pdf[[order, score, number]].dropna(subset=[score])
+            n += int(pdf[number].sum())
             kept = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(order, kind="stable").tail(size)
         return ([] if kept is None else kept[score].astype(float).tolist()), n
 
@@ -65,6 +90,10 @@ def sliding_calibration(
             {"kind": [key[0]], "n_seen": [seen], "window_size": [len(held)], "quantile": [window_quantile(held, level)], "level": [level]}
         )
 
+    if not rate:
+        rows = stream.select(kind, order, score)
+        schema = StructType([*rows.schema.fields, StructField(number, LongType())])
+        stream = rows.mapInPandas(trimmed, schema)
     return stream.groupBy(F.col(kind).alias("kind")).applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
