@@ -4,10 +4,12 @@ Edges of all polygons of a group, interiors on their left, are split where they
 meet; equal pieces are summed, so that copies are one piece and opposite ones
 cancel. Each piece then asks how many polygons lie on its left and on its right: a
 cell's corner counts the edges that a level line crosses on its way there, and the
-piece the few that lie between it and the corner. Pieces with the result on one
-side only are its boundary; they are linked by the sharpest turn and numbered by
-doubling pointers. All steps are joins within grid cells and sums: neither a group
-nor a polygon is held by one task, only a ring of the result is.
+piece the few that lie between it and the corner. Cells that lie within the result
+or outside it as a whole, by their corner and the edges in them, are left out, and
+crowded ones are quartered, so that only edges near the boundary are split. Pieces
+with the result on one side only are its boundary; they are linked by the sharpest
+turn and numbered by doubling pointers. All steps are joins within cells and sums:
+neither a group nor a polygon is held by one task, only a ring of the result is.
 
 Vertices are rounded to ``10^-DIGITS``. Rings of the result turn left, holes turn
 right; parts that meet in a point only are apart; vertices in the middle of a
@@ -27,6 +29,9 @@ from .tables import aggregate
 
 DIGITS = 9
 _TIE = 1e-12
+#: Edges with which a cell isn't quartered any more, and how often cells are quartered at most.
+_EDGES_A_CELL, _QUARTERINGS = 24, 8
+_ENDS = ("ax", "ay", "bx", "by")
 
 
 def _snap(v: Column) -> Column:
@@ -43,8 +48,10 @@ def _meet(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 def polygon_edges(df: DataFrame, group: str, shape: str) -> DataFrame:
     """``(group, ax, ay, bx, by, w)``: the edges of polygon shapes from the lower to the higher end; ``w`` is how often the inside is on their left, less how often on their right."""
     rings = F.flatten(F.transform(F.col(shape)["parts"], lambda p: F.transform(p, lambda r, i: F.struct(r.alias("ring"), (F.when(i == 0, 1).otherwise(-1) * F.signum(shapes.signed_area(r))).alias("turn")))))
-    rows = df.where(F.col(shape).isNotNull() & shapes.is_polygon(F.col(shape))).select(F.col(group).alias("group"), F.explode(rings).alias("r"))
-    edges = rows.select("group", F.col("r.turn").cast("int").alias("turn"), F.explode(shapes._ring_segments(F.col("r.ring"))).alias("e"))
+    # Equal shapes of a group are taken apart once.
+    polygons = df.where(F.col(shape).isNotNull() & shapes.is_polygon(F.col(shape))).groupBy(F.col(group).alias("group"), F.col(shape).alias(shape)).agg(F.count("*").alias("n"))
+    rows = polygons.select("group", "n", F.explode(rings).alias("r"))
+    edges = rows.select("group", (F.col("r.turn").cast("int") * F.col("n")).alias("turn"), F.explode(shapes._ring_segments(F.col("r.ring"))).alias("e"))
     edges = edges.select("group", "turn", *(_snap(F.col(f"e.{p}.{k}")).alias(f"{p}{k}") for p in "ab" for k in "xy"))
     return _pieces(edges)
 
@@ -58,6 +65,23 @@ def _pieces(edges: DataFrame) -> DataFrame:
     return summed.groupBy("group", "ax", "ay", "bx", "by").agg(F.sum("turn").cast("int").alias("w")).where("w <> 0")
 
 
+def laid_over(edges: DataFrame) -> DataFrame:
+    """Level and upright edges of a line as stretches side by side, with the sum of what lies there; other edges as they are.
+
+    Shapes of many sizes from one corner share lines, and no cell is small enough to part their edges.
+    """
+    upright, level = F.col("ax") == F.col("bx"), F.col("ay") == F.col("by")
+    along = lambda p: F.when(upright, F.col(f"{p}y")).otherwise(F.col(f"{p}x"))
+    ends = F.array(*(F.struct(along(p).alias("at"), (F.col("w") * sign).alias("d")) for p, sign in (("a", 1), ("b", -1))))
+    met = edges.where(upright | level).select("group", upright.alias("upright"), F.when(upright, F.col("ax")).otherwise(F.col("ay")).alias("line"), F.explode(ends).alias("x"))
+    turns = met.groupBy("group", "upright", "line", "x.at").agg(F.sum("x.d").alias("d")).where("d <> 0")
+    line = Window.partitionBy("group", "upright", "line").orderBy("at")
+    runs = turns.select("group", "upright", "line", "at", F.lead("at").over(line).alias("to"), F.sum("d").over(line).cast("int").alias("w")).where("w <> 0")
+    x, y = (lambda k: F.when(F.col("upright"), F.col("line")).otherwise(F.col(k))), (lambda k: F.when(F.col("upright"), F.col(k)).otherwise(F.col("line")))
+    straight = runs.select("group", x("at").alias("ax"), y("at").alias("ay"), x("to").alias("bx"), y("to").alias("by"), "w")
+    return edges.where(~(upright | level)).select(*straight.columns).unionByName(straight)
+
+
 def cell_size(edges: DataFrame) -> tuple[float, float, float]:
     """A cell about as large as an edge, not below a millionth of the extent, and the grid's origin off the vertices."""
     row = edges.agg(
@@ -74,28 +98,130 @@ def _cell(v: Column, origin: float, size: float) -> Column:
     return F.floor((v - origin) / size).cast("long")
 
 
-def in_cells(edges: DataFrame, grid: tuple[float, float, float]) -> DataFrame:
-    """A row for each cell ``(i, j)`` that an edge goes through: its columns, and in each column the rows between its ends there."""
+def _finer(grid: tuple[float, float, float], level: int) -> tuple[float, float, float]:
+    """The grid whose cells are quartered so many times."""
+    return grid[0] / 2**level, grid[1], grid[2]
+
+
+def _columns(grid: tuple[float, float, float]) -> tuple[Column, Column]:
+    """The first and the last column of cells that an edge goes through; a hair more on both sides, so that rounding can't lose a cell."""
+    size, x0, _ = grid
+    return _cell(F.col("ax") - size * 1e-9, x0, size), _cell(F.col("bx") + size * 1e-9, x0, size)
+
+
+def _rows(i: Column, grid: tuple[float, float, float]) -> tuple[Column, Column]:
+    """The first and the last row that an edge goes through in a column, with a hair more too."""
     size, x0, y0 = grid
-    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    ax, ay, bx, by = (F.col(c) for c in _ENDS)
     slope = (by - ay) / F.nullif(bx - ax, F.lit(0.0))
 
     def height(x: Column) -> Column:
         return F.coalesce(ay + slope * (F.least(F.greatest(x, ax), bx) - ax), ay)
 
-    def rows(i: Column) -> Column:
-        left, right = height(i * size + x0), height((i + 1) * size + x0)
-        low, high = F.least(left, right), F.greatest(left, right)
-        low, high = F.when(ax == bx, F.least(ay, by)).otherwise(low), F.when(ax == bx, F.greatest(ay, by)).otherwise(high)
-        # A hair more on both sides, so that rounding can't lose a cell.
-        hair = size * 1e-9
-        return F.transform(F.sequence(_cell(low - hair, y0, size), _cell(high + hair, y0, size)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    left, right = height(i * size + x0), height((i + 1) * size + x0)
+    low, high = F.least(left, right), F.greatest(left, right)
+    low, high = F.when(ax == bx, F.least(ay, by)).otherwise(low), F.when(ax == bx, F.greatest(ay, by)).otherwise(high)
+    return _cell(low - size * 1e-9, y0, size), _cell(high + size * 1e-9, y0, size)
+
 
-    hair = size * 1e-9
-    cells = F.flatten(F.transform(F.sequence(_cell(ax - hair, x0, size), _cell(bx + hair, x0, size)), rows))
+def in_cells(edges: DataFrame, grid: tuple[float, float, float]) -> DataFrame:
+    """A row for each cell ``(i, j)`` that an edge goes through: its columns, and in each column the rows between its ends there."""
+    rows = lambda i: F.transform(F.sequence(*_rows(i, grid)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    cells = F.flatten(F.transform(F.sequence(*_columns(grid)), rows))
     return edges.withColumn("c", F.explode(cells)).select(*edges.columns, "c.i", "c.j")
 
 
+def _in_quarters(placed: DataFrame, grid: tuple[float, float, float]) -> DataFrame:
+    """Edges in cells, as a row for each of the cells' quarters, the cells of ``grid``, that they go through."""
+    quarters = []
+    for k in (0, 1):
+        i = F.col("i") * 2 + k
+        low, high = _rows(i, grid)
+        for j in (F.col("j") * 2, F.col("j") * 2 + 1):
+            quarters.append(F.when(i.between(*_columns(grid)) & j.between(low, high), F.struct(i.alias("i"), j.alias("j"))))
+    rest = [c for c in placed.columns if c not in ("i", "j")]
+    return placed.withColumn("c", F.explode(F.array_compact(F.array(*quarters)))).select(*rest, "c.i", "c.j")
+
+
+def _corners(edges: DataFrame, cells: DataFrame, grid: tuple[float, float, float]) -> DataFrame:
+    """``(group, i, j, depth)``: how many polygons have the lower left corners of cells, by the edges that the level line to there crosses."""
+    size, x0, y0 = grid
+    level = lambda j: j * size + y0
+    rows = F.sequence(_cell(F.least("ay", "by"), y0, size), _cell(F.greatest("ay", "by"), y0, size) + 1)
+    lines = edges.withColumn("j", F.explode(rows)).where((F.col("ay") > level(F.col("j"))) != (F.col("by") > level(F.col("j"))))
+    at = F.col("ax") + (level(F.col("j")) - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    over = F.when(F.col("by") > F.col("ay"), -F.col("w")).otherwise(F.col("w"))
+    crossed = lines.select("group", "j", _cell(at, x0, size).alias("i"), over.alias("d")).groupBy("group", "j", "i").agg(F.sum("d").alias("d"))
+    asked = cells.select("group", "j", "i").distinct().withColumn("d", F.lit(0).cast("long"))
+    line = Window.partitionBy("group", "j").orderBy("i").rangeBetween(Window.unboundedPreceding, -1)
+    corners = crossed.withColumn("real", F.lit(0)).unionByName(asked.withColumn("real", F.lit(1)))
+    return corners.withColumn("depth", F.coalesce(F.sum("d").over(line), F.lit(0))).where("real = 1").select("group", "i", "j", "depth")
+
+
+def _over_level(y: Column, left: Column, right: Column, w: str) -> Column:
+    """What the level way from ``left`` to ``right``, which counts to it, adds to the depth where it crosses an edge."""
+    x = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
+    sign = F.when(F.col("by") > F.col("ay"), -F.col(w)).otherwise(F.col(w))
+    return F.when(((F.col("ay") > y) != (F.col("by") > y)) & (x > left) & (x <= right), sign).otherwise(0)
+
+
+def _over_upright(x: Column, low: Column, high: Column, w: str) -> Column:
+    """The same for the way up from ``low`` to ``high``."""
+    y = F.col("ay") + (x - F.col("ax")) * (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
+    return F.when(((F.col("ax") > x) != (F.col("bx") > x)) & (y > low) & (y <= high), F.col(w)).otherwise(0)
+
+
+def open_cells(edges: DataFrame, grid: tuple[float, float, float], least: int = 1) -> tuple[list[DataFrame], DataFrame]:
+    """The cells through which the boundary of what ``least`` polygons have may go, and the edges in them.
+
+    For each number of quarterings the cells ``(group, i, j, depth, crowded)`` with the depth of their lower left
+    corners, of which the crowded ones go on as their quarters; and ``(group, i, j, level, e, ...)``, the edges in the others.
+    A way within a cell crosses each of its edges once at most, so the depth differs by no more than their sum
+    anywhere in it: a cell that lies within or outside by that holds no boundary, however many edges it has.
+    """
+    rows = settle(in_cells(edges, grid), "placed")
+    corners = _corners(edges, rows, grid)
+    tree, near = [], []
+    for level in range(_QUARTERINGS + 1):
+        size, x0, y0 = _finer(grid, level)
+        half = _finer(grid, level + 1)[0]
+        left, low, middle, centre = F.col("i") * size + x0, F.col("j") * size + y0, (F.col("i") * 2 + 1) * half + x0, (F.col("j") * 2 + 1) * half + y0
+        ways = {"east": _over_level(low, left, middle, "w"), "north": _over_upright(left, low, centre, "w"), "up": _over_upright(middle, low, centre, "w")}
+        sums = rows.groupBy("group", "i", "j").agg(F.count("*").alias("n"), F.sum(F.abs("w")).alias("most"), *(F.sum(c).alias(k) for k, c in ways.items()))
+        seen = _meet(corners, sums, "i", "j").where((F.col("depth") - F.col("most") < least) & (F.col("depth") + F.col("most") >= least))
+        crowded = (F.col("n") > _EDGES_A_CELL) & F.lit(level < _QUARTERINGS)
+        seen = settle(seen.select("group", "i", "j", "depth", crowded.alias("crowded"), *ways), "cells")
+        tree.append(seen.select("group", "i", "j", "depth", "crowded"))
+        near.append(_meet(rows, seen.where("NOT crowded").select("group", "i", "j"), "i", "j").withColumn("level", F.lit(level)))
+        full = seen.where("crowded")
+        if full.isEmpty():
+            break
+        rows = settle(_in_quarters(_meet(rows, full.select("group", "i", "j"), "i", "j"), _finer(grid, level + 1)), "placed")
+        more = {(0, 0): F.lit(0), (1, 0): F.col("east"), (0, 1): F.col("north"), (1, 1): F.col("east") + F.col("up")}
+        quarters = F.array(*(F.struct((F.col("i") * 2 + k).alias("i"), (F.col("j") * 2 + m).alias("j"), (F.col("depth") + d).alias("depth")) for (k, m), d in more.items()))
+        corners = full.select("group", F.explode(quarters).alias("c")).select("group", "c.i", "c.j", "c.depth")
+    edges_there = near[0]
+    for others in near[1:]:
+        edges_there = edges_there.unionByName(others)
+    return tree, edges_there
+
+
+def _in_open_cells(pieces: DataFrame, tree: list[DataFrame], grid: tuple[float, float, float]) -> DataFrame:
+    """A row for each open cell that a piece goes through, with the place and depth of its corner, and whether the piece's middle lies there."""
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+    rows, found = in_cells(pieces, grid), None
+    for level, cells in enumerate(tree):
+        size, x0, y0 = _finer(grid, level)
+        here = _meet(rows, cells.where("NOT crowded").drop("crowded"), "i", "j")
+        own = (F.col("i") == _cell(mx, x0, size)) & (F.col("j") == _cell(my, y0, size))
+        here = here.withColumns({"level": F.lit(level), "cx": F.col("i") * size + x0, "cy": F.col("j") * size + y0, "own": own})
+        found = here if found is None else found.unionByName(here)
+        if level + 1 < len(tree):
+            crowded = cells.where("crowded").select("group", "i", "j")
+            rows = settle(_in_quarters(_meet(rows, crowded, "i", "j"), _finer(grid, level + 1)), "placed")
+    return settle(found, "placed")
+
+
 def _cuts(a: Column, b: Column) -> Column:
     """The points where two edges meet: a crossing, or ends of one on the other."""
     d = lambda p, q, k: q[k] - p[k]
@@ -119,54 +245,53 @@ def _cuts(a: Column, b: Column) -> Column:
     return F.array(meet, on(r, p, q), on(s, p, q), on(p, r, s), on(q, r, s))
 
 
-def split(edges: DataFrame, grid: tuple[float, float, float]) -> DataFrame:
-    """Pieces of the edges of each group that meet in their ends only."""
-    whole = settle(edges.withColumn("e", F.monotonically_increasing_id()), "edges")
-    placed = in_cells(whole, grid)
-    one = placed.select("group", "i", "j", F.struct("e", "ax", "ay", "bx", "by").alias("one"))
-    two = placed.select("group", "i", "j", F.struct("e", "ax", "ay", "bx", "by").alias("two"))
-    met = _meet(one, two, "i", "j").where(F.col("one.e") < F.col("two.e"))
-    cuts = met.select(F.col("one.e").alias("e1"), F.col("two.e").alias("e2"), F.explode(F.array_compact(_cuts(F.col("one"), F.col("two")))).alias("v"))
-    each = cuts.select(F.explode(F.array("e1", "e2")).alias("e"), "v")
-    cut_at = each.groupBy("e").agg(F.collect_set("v").alias("cuts"))
+def split(edges: DataFrame, near: DataFrame, grid: tuple[float, float, float]) -> DataFrame:
+    """Pieces of the edges ``(e, ...)`` of each group that meet in their ends only, as far as they go through the cells of ``near``; edges that are not there go."""
+    one = near.select("group", "level", "i", "j", F.struct("e", *_ENDS).alias("one"))
+    two = near.select("group", "level", "i", "j", F.struct("e", *_ENDS).alias("two"))
+    met = _meet(one, two, "level", "i", "j").where(F.col("one.e") < F.col("two.e"))
+    # Edges whose bounds are apart by more than the rounding have no cuts.
+    least, most = (lambda e, k: F.least(f"{e}.a{k}", f"{e}.b{k}")), (lambda e, k: F.greatest(f"{e}.a{k}", f"{e}.b{k}") + 4 * 10.0**-DIGITS)
+    for k in "xy":
+        met = met.where((least("one", k) <= most("two", k)) & (least("two", k) <= most("one", k)))
+    cuts = met.select(F.col("one.e").alias("e1"), F.col("two.e").alias("e2"), "level", "i", "j", F.explode(F.array_compact(_cuts(F.col("one"), F.col("two")))).alias("v"))
+    # A cut counts in the cell that it lies in.
+    size, slack = F.lit(grid[0]) / F.pow(F.lit(2.0), F.col("level")), 4 * 10.0**-DIGITS
+    for k, n, origin in (("x", "i", grid[1]), ("y", "j", grid[2])):
+        cuts = cuts.where(F.col(f"v.{k}").between(F.col(n) * size + origin - slack, (F.col(n) + 1) * size + origin + slack))
+    each = cuts.select(F.explode(F.array("e1", "e2")).alias("e"), "v").distinct()
+    cut_at = each.groupBy("e").agg(F.collect_list("v").alias("cuts"))
     a, b = (F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab")
     along = lambda v: (v["x"] - F.col("ax")) * (F.col("bx") - F.col("ax")) + (v["y"] - F.col("ay")) * (F.col("by") - F.col("ay"))
     inner = F.filter(F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double>>")), lambda v: (along(v) > 0) & (along(v) < along(b)))
     chain = F.transform(F.array_sort(F.transform(F.array_union(F.array(a, b), inner), lambda v: F.struct(along(v).alias("t"), v.alias("v")))), lambda x: x["v"])
-    chain = whole.join(cut_at, "e", "left").select("group", "w", chain.alias("chain"))
+    there = edges.join(near.select("e").distinct(), "e", "left_semi")
+    chain = there.join(cut_at, "e", "left").select("group", "w", chain.alias("chain"))
     ends = F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda k: F.struct(F.element_at("chain", k).alias("a"), F.element_at("chain", k + 1).alias("b")))
     parts = chain.select("group", F.col("w").alias("turn"), F.explode(ends).alias("s"))
     return _pieces(parts.select("group", "turn", *(F.col(f"s.{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy")))
 
 
 def boundary(edges: DataFrame, least: int = 1) -> DataFrame:
-    """``(group, ax, ay, bx, by)``: directed edges, with at least ``least`` polygons on their left and fewer on their right."""
-    grid = cell_size(edges)
-    size, x0, y0 = grid
-    pieces = settle(split(edges, grid).withColumn("e", F.monotonically_increasing_id()), "pieces")
-    placed = in_cells(pieces, grid)
-    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
-    middles = pieces.select("group", "e", "w", (F.col("ax") == F.col("bx")).alias("vertical"), mx.alias("mx"), my.alias("my"))
-    middles = middles.withColumns({"i": _cell(F.col("mx"), x0, size), "j": _cell(F.col("my"), y0, size)})
+    """``(group, ax, ay, bx, by)``: directed edges, with at least ``least`` polygons on their left and fewer on their right.
 
-    # The crossings of the level line below a row of cells, from the left, say how many polygons a cell's corner has.
-    level = lambda j: j * size + y0
-    rows = F.sequence(_cell(F.least("ay", "by"), y0, size), _cell(F.greatest("ay", "by"), y0, size) + 1)
-    lines = pieces.withColumn("j", F.explode(rows)).where((F.col("ay") > level(F.col("j"))) != (F.col("by") > level(F.col("j"))))
-    at = F.col("ax") + (level(F.col("j")) - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    over = F.when(F.col("by") > F.col("ay"), -F.col("w")).otherwise(F.col("w"))
-    crossed = lines.select("group", "j", _cell(at, x0, size).alias("i"), over.alias("d")).groupBy("group", "j", "i").agg(F.sum("d").alias("d"))
-    asked = middles.select("group", "j", "i").distinct().withColumn("d", F.lit(0).cast("long"))
-    line = Window.partitionBy("group", "j").orderBy("i").rangeBetween(Window.unboundedPreceding, -1)
-    corners = crossed.withColumn("real", F.lit(0)).unionByName(asked.withColumn("real", F.lit(1)))
-    corners = corners.withColumn("depth", F.coalesce(F.sum("d").over(line), F.lit(0))).where("real = 1").select("group", "i", "j", "depth")
+    A piece that also goes through cells without boundary isn't cut there. It has no cut in its open cells either,
+    so its sides are alike as a whole, and what its middle says holds for it; without an open cell there it isn't kept.
+    """
+    whole = settle(laid_over(edges).withColumn("e", F.monotonically_increasing_id()), "edges")
+    grid = cell_size(whole)
+    tree, near = open_cells(whole, grid, least)
+    pieces = settle(split(whole, near, grid).withColumn("e", F.monotonically_increasing_id()), "pieces")
+    placed = _in_open_cells(pieces, tree, grid)
+    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+    middles = placed.where("own").select("group", "e", "w", (F.col("ax") == F.col("bx")).alias("vertical"), mx.alias("mx"), my.alias("my"), "level", "i", "j", "cx", "cy", "depth")
 
     # From the corner along the level line and up; to upright pieces up and then to the right. Vertices on the second
     # leg count as lying before it, on its left or below, so the first leg crosses what ends there.
-    p = placed.select("group", "i", "j", F.col("e").alias("f"), "ax", "ay", "bx", "by", F.col("w").alias("v"))
-    met = _meet(middles, p, "i", "j")
+    p = placed.select("group", "level", "i", "j", F.col("e").alias("f"), *_ENDS, F.col("w").alias("v"))
+    met = _meet(middles, p, "level", "i", "j")
     other = F.col("e") != F.col("f")
-    cx, cy = F.col("i") * size + x0, F.col("j") * size + y0
+    cx, cy = F.col("cx"), F.col("cy")
 
     def level_leg(y: Column, left: Column, right: Column) -> Column:
         x = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
@@ -182,7 +307,7 @@ def boundary(edges: DataFrame, least: int = 1) -> DataFrame:
     slanted = level_leg(cy, cx, F.col("mx")) + F.when(other, upright_leg(F.col("mx"), cy, F.col("my"))).otherwise(0)
     step = F.when(F.col("vertical"), upright).otherwise(slanted)
     steps = met.select("e", step.alias("step")).groupBy("e").agg(F.sum("step").alias("step"))
-    known = _meet(middles, corners, "i", "j").select("e", "w", "vertical", "depth").join(steps, "e", "left")
+    known = middles.select("e", "w", "vertical", "depth").join(steps, "e", "left")
     came = F.col("depth") + F.coalesce("step", F.lit(0))
     sides = known.select("e", F.when(F.col("vertical"), came).otherwise(came + F.col("w")).alias("left"), F.when(F.col("vertical"), came - F.col("w")).otherwise(came).alias("right"))
     on_left, on_right = F.col("left") >= least, F.col("right") >= least
