@@ -20,6 +20,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -463,23 +467,19 @@ def intersection(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def _slopes(s: Column) -> Column:
-    """A polygon's edges that are not upright, from left to right, with 1 where the inside is below and -1 where it is above."""
+    """A polygon's edges that are not upright, from left to right: of each ``x0, x1, y0, y1``, and 1 where the inside is below and -1 where it is above."""
     def of(part: Column) -> Column:
-        def ring(r: Column, k: Column) -> Column:
-            turn = F.when(k == 0, 1.0).otherwise(-1.0) * F.signum(shapes.signed_area(r))
-            back = lambda e: e["b"]["x"] < e["a"]["x"]
-            end = lambda e, p, q, x: F.when(back(e), e[q][x]).otherwise(e[p][x])
-            return F.transform(
-                F.filter(shapes._ring_segments(r), lambda e: e["a"]["x"] != e["b"]["x"]),
-                lambda e: F.struct(
-                    end(e, "a", "b", "x").alias("x0"), end(e, "b", "a", "x").alias("x1"), end(e, "a", "b", "y").alias("y0"), end(e, "b", "a", "y").alias("y1"),
-                    (F.when(back(e), 1.0).otherwise(-1.0) * turn).alias("s"),
-                ),
-            )
+        turn = lambda r, k: F.when(k == 0, 1.0).otherwise(-1.0) * F.signum(shapes.signed_area(r))
+        back = lambda e: e["b"]["x"] < e["a"]["x"]
+        end = lambda e, p, q, x: F.when(back(e), e[q][x]).otherwise(e[p][x])
+        rings = F.transform(part, lambda r, k: F.struct(shapes._ring_segments(r).alias("edges"), turn(r, k).alias("turn")))  # a ring's turn is found once
+        edges = lambda r: F.transform(
+            F.filter(r["edges"], lambda e: e["a"]["x"] != e["b"]["x"]),
+            lambda e: F.array(end(e, "a", "b", "x"), end(e, "b", "a", "x"), end(e, "a", "b", "y"), end(e, "b", "a", "y"), F.when(back(e), 1.0).otherwise(-1.0) * r["turn"])
+        )
+        return F.flatten(F.transform(rings, edges))
 
-        return F.flatten(F.transform(part, ring))
-
-    return F.flatten(F.transform(s["parts"], of))
+    return F.flatten(F.flatten(F.transform(s["parts"], of)))
 
 
 def intersection_areas(left: DataFrame, right: DataFrame, left_id: str, right_id: str, shape: str = "shape", cell: float | None = None) -> DataFrame:
@@ -488,50 +488,218 @@ def intersection_areas(left: DataFrame, right: DataFrame, left_id: str, right_id
     A polygon is what lies below its upper edges less what lies below its lower ones, so the area is a
     sum over pairs of edges of what lies below both; it needs no pieces and rings. A polygon's parts
     must not overlap each other, and what rounding alone can make counts as nothing.
-    """
-    polygons = [side.where(shapes.is_polygon(F.col(shape))) for side in (left, right)]
-    pairs = bounds_join(*polygons, left_id, right_id, shape, cell, keep={"edges": _slopes(F.col(shape)), "low": shapes.bounds(F.col(shape))["min_y"]})
-    rows = pairs.select("left_id", "right_id", "left_low", "right_edges", F.explode("left_edges").alias("e"))
-    rows = rows.select("left_id", "right_id", "left_low", "e", F.explode("right_edges").alias("f"))
-    rows = rows.withColumns({"x0": F.greatest("e.x0", "f.x0"), "x1": F.least("e.x1", "f.x1")}).where("x0 < x1")
-    # Both edges' heights above the left polygon's foot where they begin and end to be above each other.
-    at = lambda g, x: F.col(f"{g}.y0") + (F.col(x) - F.col(f"{g}.x0")) / (F.col(f"{g}.x1") - F.col(f"{g}.x0")) * (F.col(f"{g}.y1") - F.col(f"{g}.y0")) - F.col("left_low")
-    rows = rows.select("left_id", "right_id", (F.col("e.s") * F.col("f.s") * (F.col("x1") - F.col("x0")) / 2).alias("w"), *(at(g, x).alias(f"{g}{x}") for g in "ef" for x in ("x0", "x1")))
-    low, high, d0, d1 = F.least("ex0", "fx0"), F.least("ex1", "fx1"), F.col("ex0") - F.col("fx0"), F.col("ex1") - F.col("fx1")
-    t = d0 / (d0 - d1)
-    middle = F.col("ex0") + t * (F.col("ex1") - F.col("ex0"))
-    mean = F.when(((d0 < 0) & (d1 > 0)) | ((d0 > 0) & (d1 < 0)), t * (low + middle) + (1 - t) * (middle + high)).otherwise(low + high)
-    found = rows.select("left_id", "right_id", (F.col("w") * mean).alias("part")).groupBy("left_id", "right_id")
-    return found.agg(F.sum("part").alias("area"), F.sum(F.abs("part")).alias("all")).where("area > all * 1e-13").drop("all")
-
-
-#: Candidate pairs that a task compares, about, and parts at most that the rows of a cell are dealt into.
-_PAIRS_A_TASK, _SALTS = 2_000_000, 64
-
-
-def bounds_join(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, shape: str = "shape", cell: float | None = None, reach: float = 0.0, keep: dict[str, Column] | None = None
-) -> DataFrame:
-    """``(left_id, right_id)`` of shapes whose bounds come within ``reach``, each pair once.
 
-    Bounds stand in cells of a grid as large as themselves, four at most; of two shapes the
-    smaller looks for the larger in that one's grid. A given ``cell`` is the least size.
-    ``keep`` names columns of both sides that come along as ``left_`` and ``right_``, so that
-    pairs needn't be joined to their shapes again. Crowded cells are dealt to several tasks.
+    Pairs are found and summed where both polygons' rows meet, and are not shuffled; only those of ids with several rows are, to be added up.
     """
-    keep = keep or {}
+    sides, several = [], False
+    for df, name, side in ((left, left_id, "left"), (right, right_id, "right")):
+        repeated = settle(df.groupBy(F.col(name).alias("id")).count().where("count > 1").select("id"), "repeated")
+        rows = df.where(shapes.is_polygon(F.col(shape))).select(F.col(name).alias("_id"), F.col(shape).alias("_shape"), F.lit(False).alias("_again"))
+        if not repeated.isEmpty():
+            several = True
+            rows = rows.drop("_again").join(repeated.withColumn("_again", F.lit(True)), F.col("_id").eqNullSafe(F.col("id")), "left")
+        keep = {"edges": _slopes(F.col("_shape")), "again": F.coalesce("_again", F.lit(False))}
+        extents = [F.col(f"{side}_max_{k}") - F.col(f"{side}_min_{k}") < float("inf") for k in "xy"]  # not where one is no number
+        sides.append(_placed(rows, "_id", side, "_shape", cell, 0.0, keep).where(F.size(f"{side}_edges") > 0).where(extents[0] & extents[1]))
+    kind = "left_id {}, right_id {}, area double, all double".format(*(dict(s.dtypes)[f"{n}_id"] for s, n in zip(sides, ("left", "right"), strict=True)))
+    met = _met_in_cells(*sides, _PAIRS_A_BLOCK)
+
+    def found(again: bool) -> DataFrame:
+        parts = []
+        for large, small, rows, pairs in met:
+            blocks = max(1, -(-pairs // max(1, _PAIRS_A_BLOCK // 8)), -(-rows // _ROWS_A_BLOCK))
+            tasks = min(blocks, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // (_PAIRS_A_BLOCK * 8))), 20_000)
+            block = F.pmod(F.xxhash64(*_DEALT), F.lit(blocks)).alias("block")
+            one, two = (side.select("*", block).repartition(tasks, "block").groupBy("block") for side in (large, small))
+            parts.append(one.cogroup(two).applyInArrow(_block_areas(again), kind))
+        return parts[0].unionByName(parts[1])
+
+    areas = found(False)
+    if several:
+        areas = areas.unionByName(found(True).groupBy("left_id", "right_id").agg(F.sum("area").alias("area"), F.sum("all").alias("all")))
+    return areas.where("area > all * 1e-13").drop("all")
+
+
+#: Numbers that tell an edge.
+_SLOPE = 5
+#: Candidate pairs of a crowded cell's part, and rows of a block of cells, about.
+_PAIRS_A_BLOCK, _ROWS_A_BLOCK = 8_000_000, 16_384
+#: Candidates, pairs and pairs of edges looked at in one step, whose arrays then stay in a core's cache, and rows of a batch.
+_STEP, _BATCH = 8192, 65_536
+#: Edges of polygons that are taken one after the other, for many pairs at once.
+_FEW_EDGES = 16
+
+
+class _Block:
+    """One side of a block of cells as arrays, in an order of its rows."""
+
+    def __init__(self, table: pa.Table, side: str, order: np.ndarray | None = None):
+        table = table.rename_columns([c.removeprefix(f"{side}_") for c in table.column_names])
+        table = (table if order is None else table.take(pa.array(order))).combine_chunks()
+        self.id, self.again = table["id"].combine_chunks(), table["again"].to_numpy()
+        self.bounds = [table[k].to_numpy() for k in ("min_x", "min_y", "max_x", "max_y")]
+        self.size = 2.0 ** table["scale"].to_numpy()
+        self.i, self.j = table["i"].to_numpy(), table["j"].to_numpy()
+        # 1 where the row begins in its cell by x, and 2 where it does by y.
+        starts = [np.floor(self.bounds[k] / self.size).astype(np.int64) == c for k, c in ((0, self.i), (1, self.j))]
+        self.first = starts[0].astype(np.int8) + 2 * starts[1].astype(np.int8)
+        edges = table["edges"].combine_chunks()
+        self.n = pc.list_value_length(edges).to_numpy() // _SLOPE
+        self.start = np.cumsum(self.n) - self.n
+        self.edges = np.ascontiguousarray(edges.flatten().to_numpy().reshape(-1, _SLOPE).T)
+        self.level = bool((self.edges[2] == self.edges[3]).all())
+
+    def by_place(self) -> np.ndarray:
+        """The rows' first, second, ... edges; rows of fewer have some of no weight there."""
+        rows, k = _runs(np.zeros(len(self.n), dtype=np.int64), self.n)
+        out = np.zeros((np.max(self.n, initial=0), _SLOPE, len(self.n)))
+        out[:, 1] = 1.0
+        out[k, :, rows] = self.edges.T
+        return out
 
-    def placed(df: DataFrame, name: str, side: str, grow: float) -> DataFrame:
-        b = shapes.bounds(F.col(shape))
-        rows = df.where(F.col(shape).isNotNull()).select(F.col(name).alias(f"{side}_id"), *(c.alias(f"{side}_{k}") for k, c in keep.items()), b.alias("b"))
-        own = [f"{side}_id", *(f"{side}_{k}" for k in keep)]
-        rows = rows.select(*own, *((F.col(f"b.{k}") + (grow if k.startswith("max") else -grow)).alias(f"{side}_{k}") for k in ("min_x", "min_y", "max_x", "max_y")))
-        extent = F.greatest(F.col(f"{side}_max_x") - F.col(f"{side}_min_x"), F.col(f"{side}_max_y") - F.col(f"{side}_min_y"), F.lit(cell or 1e-12))
-        return rows.withColumn(f"{side}_scale", F.ceil(F.log2(extent)).cast("int"))
 
-    a, b = placed(left, left_id, "left", reach), placed(right, right_id, "right", 0.0)
+def _runs(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of runs and what they hold: ``n`` numbers from ``start`` on, one run after the other."""
+    run = np.repeat(np.arange(len(n)), n)
+    return run, np.arange(len(run)) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def _steps(n: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Cuts of rows that stand for ``n`` each, with about ``size`` in a step."""
+    ends = np.cumsum(n)
+    cuts = np.unique(np.searchsorted(ends, np.arange(size, ends[-1], size)) + 1) if len(n) else []
+    return [(int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(n)], strict=True) if a < b]
+
+
+def _near_in_block(large: pa.Table, small: pa.Table, sides: tuple[str, str]) -> tuple[_Block, _Block, np.ndarray, np.ndarray]:
+    """Both sides, the second in an order in which each row of the first has the rows of its cell that are near it by x in a run ``(start, n)``."""
+    cells = pd.concat([t.select(_DEALT).to_pandas() for t in (large, small)], ignore_index=True).groupby(_DEALT, sort=False).ngroup().to_numpy()
+    one, two = _Block(large, sides[0]), _Block(small, sides[1])
+    # Rows begin less than a cell before theirs; the cells lie side by side in steps of four.
+    place = lambda c, b, x: 4.0 * c + np.clip(x / b.size - b.i, -1, 1) + 1
+    cell, own = cells[: len(one.n)], place(cells[len(one.n) :], two, two.bounds[0])
+    order = np.argsort(own, kind="stable")
+    own, width = own[order], np.max((two.bounds[2] - two.bounds[0]) / two.size, initial=0.0) * one.size
+    ends = [np.searchsorted(own, place(cell, one, x) + e, side) for x, e, side in ((one.bounds[0] - width, -1e-6, "left"), (one.bounds[2], 1e-6, "right"))]
+    return one, _Block(small, sides[1], order), ends[0], np.maximum(ends[1] - ends[0], 0)
+
+
+def _below_both(e: np.ndarray, f: np.ndarray, foot: np.ndarray, level: bool) -> np.ndarray:
+    """The area below both of each two edges, above their foot and with their signs."""
+    x0, x1 = np.maximum(e[0], f[0]), np.minimum(e[1], f[1])
+    width = np.maximum(x1 - x0, 0.0)
+    if level:
+        return e[4] * f[4] * width * (np.minimum(e[2], f[2]) - foot)
+    height = lambda g, x: g[2] + (x - g[0]) / (g[1] - g[0]) * (g[3] - g[2]) - foot
+    e0, f0, e1, f1 = height(e, x0), height(f, x0), height(e, x1), height(f, x1)
+    d0, d1, low0, low1 = e0 - f0, e1 - f1, np.minimum(e0, f0), np.minimum(e1, f1)
+    mean = low0 + low1
+    cross = np.flatnonzero((d0 < 0) & (d1 > 0) | (d0 > 0) & (d1 < 0))
+    t = d0[cross] / (d0[cross] - d1[cross])
+    middle = e0[cross] + t * (e1[cross] - e0[cross])
+    mean[cross] = t * (low0[cross] + middle) + (1 - t) * (middle + low1[cross])
+    return np.where(width > 0, e[4] * f[4] * width / 2 * mean, 0.0)
+
+
+def _areas(one: _Block, two: _Block, foot: str):
+    """A function of pairs of rows: the areas that they have in common, and the sums of their parts without signs."""
+    level = one.level and two.level
+    low = lambda a, b: one.bounds[1][a] if foot == "one" else two.bounds[1][b]
+
+    def few(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        area, whole, ground = np.zeros(len(a)), np.zeros(len(a)), low(a, b)
+        fs = [np.take(f, b, axis=1) for f in others]
+        for e in own:
+            e = np.take(e, a, axis=1)
+            for f in fs:
+                part = _below_both(e, f, ground, level)
+                area += part
+                whole += np.abs(part)
+        return area, whole
+
+    def many(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        area, whole = np.zeros(len(a)), np.zeros(len(a))
+        for first, last in _steps(one.n[a], _STEP):
+            p, e = _runs(one.start[a[first:last]], one.n[a[first:last]])
+            p += first
+            for start, end in _steps(two.n[b[p]], _STEP):
+                q, f = _runs(two.start[b[p[start:end]]], two.n[b[p[start:end]]])
+                q += start
+                over = np.maximum(one.edges[0][e[q]], two.edges[0][f]) < np.minimum(one.edges[1][e[q]], two.edges[1][f])
+                if not over.any():
+                    continue
+                q, f = q[over], f[over]
+                r = p[q]
+                part = _below_both(one.edges[:, e[q]], two.edges[:, f], low(a[r], b[r]), level)
+                for total, v in ((area, part), (whole, np.abs(part))):
+                    total[r[0] : r[-1] + 1] += np.bincount(r - r[0], v)
+        return area, whole
+
+    if max(np.max(one.n, initial=0), np.max(two.n, initial=0)) > _FEW_EDGES:
+        return many
+    own, others = one.by_place(), two.by_place()
+    return few
+
+
+def _block_areas(again: bool):
+    """Areas in common of pairs in a block of cells, of which an id is on several rows, or neither is."""
+
+    def pairs(one: _Block, two: _Block, start: np.ndarray, n: np.ndarray):
+        for first, last in _steps(n, _STEP):
+            a, b = _runs(start[first:last], n[first:last])
+            a += first
+            meets = (one.first[a] | two.first[b]) == 3  # the pair counts in the first cell that both stand in
+            for k in (0, 1):
+                meets &= (one.bounds[k][a] <= two.bounds[k + 2][b]) & (one.bounds[k + 2][a] >= two.bounds[k][b])
+            a, b = a[meets], b[meets]
+            wanted = (one.again[a] | two.again[b]) == again
+            yield a[wanted], b[wanted]
+
+    def areas(large: pa.Table, small: pa.Table) -> pa.Table:
+        turned = "right_id" in large.column_names
+        one, two, start, n = _near_in_block(large, small, ("right", "left") if turned else ("left", "right"))
+        of, found, waiting, size = _areas(one, two, "two" if turned else "one"), [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *side]) for side in (zip(*waiting, strict=True) if waiting else ([], [])))
+            cuts = [of(a[k : k + _STEP], b[k : k + _STEP]) for k in range(0, max(len(a), 1), _STEP)]
+            ids = [one.id.take(pa.array(a)), two.id.take(pa.array(b))]
+            return pa.RecordBatch.from_arrays([*(ids[::-1] if turned else ids), *(np.concatenate(v) for v in zip(*cuts, strict=True))], ["left_id", "right_id", "area", "all"])
+
+        for a, b in pairs(one, two, start, n):
+            waiting.append((a, b))
+            size += len(a)
+            if size >= _BATCH:
+                found.append(batch())
+                waiting, size = [], 0
+        return pa.Table.from_batches([*found, batch()])
+
+    return areas
+
+
+#: Candidate pairs that a task compares, about.
+_PAIRS_A_TASK = 2_000_000
+#: The cell that rows meet in, and the parts of a crowded one.
+_AT, _DEALT = ["scale", "i", "j"], ["scale", "i", "j", "large_part", "small_part"]
+
+
+def _placed(df: DataFrame, name: str, side: str, shape: str, cell: float | None, grow: float, keep: dict[str, Column]) -> DataFrame:
+    """``(side_id, side_..., side_min_x, ..., side_scale)``: the rows' bounds, and the power of two that they fit in."""
+    b = shapes.bounds(F.col(shape))
+    rows = df.where(F.col(shape).isNotNull()).select(F.col(name).alias(f"{side}_id"), *(c.alias(f"{side}_{k}") for k, c in keep.items()), b.alias("b"))
+    own = [f"{side}_id", *(f"{side}_{k}" for k in keep)]
+    rows = rows.select(*own, *((F.col(f"b.{k}") + (grow if k.startswith("max") else -grow)).alias(f"{side}_{k}") for k in ("min_x", "min_y", "max_x", "max_y")))
+    extent = F.greatest(F.col(f"{side}_max_x") - F.col(f"{side}_min_x"), F.col(f"{side}_max_y") - F.col(f"{side}_min_y"), F.lit(cell or 1e-12))
+    return settle(rows.withColumn(f"{side}_scale", F.ceil(F.log2(extent)).cast("int")), "placed")
+
+
+def _met_in_cells(left: DataFrame, right: DataFrame, pairs_a_part: int) -> list[tuple[DataFrame, DataFrame, int, int]]:
+    """Placed rows in cells ``_DEALT``, as large and small ones that meet there, with their number and that of their pairs.
+
+    Rows stand in the grid as large as themselves; the smaller look for the larger in that one's.
+    Both sides of a crowded cell are cut into parts with about ``pairs_a_part`` pairs of each two.
+    """
     size = lambda s: F.pow(F.lit(2.0), s)
-    at = ["scale", "i", "j"]
 
     def spread(df: DataFrame, side: str, scale: Column) -> DataFrame:
         out = df.withColumn("scale", scale)
@@ -540,26 +708,51 @@ def bounds_join(
             out = out.withColumn(n, F.explode(F.sequence(*ends)))
         return out
 
-    def met(large: DataFrame, large_side: str, small: DataFrame, small_side: str, strict: bool) -> DataFrame:
-        scales = [r[0] for r in large.select(f"{large_side}_scale").distinct().collect()]  # powers of two of a double
-        wanted = F.array(*(F.lit(s) for s in sorted(scales))) if scales else F.array().cast("array<int>")
+    def dealt(df: DataFrame, side: str, crowded: DataFrame, own: str, other: str) -> DataFrame:
+        number = F.xxhash64(f"{side}_id", *(f"{side}_{m}_{k}" for m in ("min", "max") for k in "xy"))
+        out = df.join(F.broadcast(crowded), _AT, "left").withColumn(f"{own}_part", F.pmod(number, F.coalesce(f"{own}_parts", F.lit(1)).cast("long")))
+        out = out.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_parts", F.lit(1)).cast("long") - 1)))
+        return out.drop("large_parts", "small_parts", f"{side}_scale")
+
+    def met(large: DataFrame, large_side: str, small: DataFrame, small_side: str, strict: bool) -> tuple[DataFrame, DataFrame, int, int]:
+        scales = [sorted(r[0] for r in df.select(f"{side}_scale").distinct().collect() if r[0] is not None) for df, side in ((large, large_side), (small, small_side))]
+        wanted = [s for s in scales[0] if scales[1] and (s > scales[1][0] if strict else s >= scales[1][0])]  # powers of two of a double
+        wanted = F.array(*(F.lit(s) for s in wanted)) if wanted else F.array().cast("array<int>")
         own = F.col(f"{small_side}_scale")
         looking = small.withColumn("want", F.explode(F.filter(wanted, lambda s: s > own if strict else s >= own)))
-        one, two = spread(large, large_side, F.col(f"{large_side}_scale")), spread(looking, small_side, F.col("want"))
-        number = lambda df, n: df.groupBy(*at).agg(F.count("*").alias(n))
-        pairs = F.col("m") * F.col("n")
-        seen = number(one, "m").join(number(two, "n"), at).agg(F.sum(pairs).alias("all"), F.max(pairs).alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n")).first()
-        tasks = min(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(seen["all"] or 0) // _PAIRS_A_TASK)), 20_000)
-        parts = min(_SALTS, max(1, -(-(seen["most"] or 0) // _PAIRS_A_TASK)))
-        if (seen["m"] or 0) < (seen["n"] or 0):
-            one, two, large_side = two, one, small_side
-        one = one.withColumn("salt", F.pmod(F.xxhash64(f"{large_side}_id"), F.lit(parts)))
-        two = two.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        return one.repartition(tasks, *at, "salt").join(two, [*at, "salt"])
-
-    both = [met(a, "left", b, "right", False), met(b, "right", a, "left", True)]
-    columns = ["left_id", "right_id", *at, *(f"{s}_{k}" for s in ("left", "right") for k in ("min_x", "min_y", "max_x", "max_y", *keep))]
-    rows = both[0].select(*columns).unionByName(both[1].select(*columns))
+        sought = large.where(F.array_contains(wanted, F.col(f"{large_side}_scale")))
+        one, two = spread(sought, large_side, F.col(f"{large_side}_scale")), spread(looking, small_side, F.col("want")).drop("want")
+        number = lambda df, n: df.groupBy(*_AT).agg(F.count("*").alias(n))
+        cells = settle(number(one, "m").join(number(two, "n"), _AT), "cells")
+        seen = cells.agg(F.sum(F.col("m") + F.col("n")), F.sum(F.col("m") * F.col("n"))).first()
+        # A cell with that many pairs has at least twice the root of them in rows, so there are few such cells.
+        most, root = F.lit(float(pairs_a_part)), F.lit(math.sqrt(pairs_a_part))
+        parts = lambda own, other: F.ceil(F.col(own) / F.greatest(root, most / F.col(other)))
+        crowded = cells.where(F.col("m") * F.col("n") > most).select(*_AT, parts("m", "n").alias("large_parts"), parts("n", "m").alias("small_parts"))
+        return dealt(one, large_side, crowded, "large", "small"), dealt(two, small_side, crowded, "small", "large"), seen[0] or 0, seen[1] or 0
+
+    return [met(left, "left", right, "right", False), met(right, "right", left, "left", True)]
+
+
+def bounds_join(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, shape: str = "shape", cell: float | None = None, reach: float = 0.0, keep: dict[str, Column] | None = None
+) -> DataFrame:
+    """``(left_id, right_id)`` of shapes whose bounds come within ``reach``, each pair once.
+
+    Bounds stand in cells of a grid as large as themselves, four at most; of two shapes the
+    smaller looks for the larger in that one's grid. A given ``cell`` is the least size.
+    ``keep`` names columns of both sides that come along as ``left_`` and ``right_``, so that
+    pairs needn't be joined to their shapes again. Crowded cells are dealt to several tasks.
+    """
+    keep = keep or {}
+    size = lambda s: F.pow(F.lit(2.0), s)
+    a, b = _placed(left, left_id, "left", shape, cell, reach, keep), _placed(right, right_id, "right", shape, cell, 0.0, keep)
+    columns = ["left_id", "right_id", *_AT, *(f"{s}_{k}" for s in ("left", "right") for k in ("min_x", "min_y", "max_x", "max_y", *keep))]
+    both = []
+    for large, small, _, pairs in _met_in_cells(a, b, _PAIRS_A_TASK):
+        tasks = min(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // _PAIRS_A_TASK)), 20_000)
+        both.append(large.repartition(tasks, *_DEALT).join(small, _DEALT).select(*columns))
+    rows = both[0].unionByName(both[1])
     # The pair counts in the first cell that both stand in.
     first = lambda k: F.floor(F.greatest(f"left_min_{k}", f"right_min_{k}") / size(F.col("scale"))).cast("long")
     meets = lambda k: (F.col(f"left_min_{k}") <= F.col(f"right_max_{k}")) & (F.col(f"left_max_{k}") >= F.col(f"right_min_{k}"))
